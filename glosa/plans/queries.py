@@ -93,3 +93,215 @@ _CLEAN_SQL = f"lower(trim(regexp_replace({_CLEAN_SQL}, ' +', ' ', 'g')))"
 @register("clean_text", f"WITH {S.COMMENTS_CTE}\nSELECT comment_id, {_CLEAN_SQL} AS cleaned FROM comments")
 def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(_T).alias("cleaned"))
+
+
+# ---------------------------------------------------------------------------
+# Label codes, stratified folds, class counts, fold splits
+# ---------------------------------------------------------------------------
+from glosa.columns import FOLD, LABELS, TASKS  # noqa: E402
+from glosa.operators import ensemble as ens  # noqa: E402
+from glosa.operators import evaluate as ev  # noqa: E402
+from glosa.operators import folds as fo  # noqa: E402
+from glosa.sources.comments import labelled  # noqa: E402
+from glosa.sources.sinks import submission_frame  # noqa: E402
+
+NUM_SPLITS, SEED = 7, 42
+_CODE_SQL = ("'[' || CAST(Sub1_Toxic AS VARCHAR) || ' ' || CAST(Sub2_Engaging AS VARCHAR) || ' '"
+             " || CAST(Sub3_FactClaiming AS VARCHAR) || ']'")
+_FOLDS_CTE = S.LABELLED_CTE + f""",
+coded AS (
+  SELECT *, {_CODE_SQL} AS label_code, md5('{SEED}:' || CAST(comment_id AS VARCHAR)) AS h FROM labelled
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label_code ORDER BY h, comment_id) AS rn FROM coded
+),
+class_sizes AS (SELECT label_code, count(*) AS n FROM coded GROUP BY label_code),
+class_starts AS (
+  SELECT label_code,
+         sum(n) OVER (ORDER BY label_code ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS start
+  FROM class_sizes
+),
+folded AS (
+  SELECT r.*, CAST((s.start + r.rn - 1) % {NUM_SPLITS} AS INT) AS fold
+  FROM ranked r JOIN class_starts s USING (label_code)
+)"""
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.assign_folds(labelled(spark, sf_dir), k=NUM_SPLITS, seed=SEED)
+
+
+@register("multilabel_to_multiclass", f"""WITH {S.LABELLED_CTE},
+coded AS (SELECT comment_id, {_CODE_SQL} AS label_code FROM labelled)
+SELECT comment_id, label_code, CAST(dense_rank() OVER (ORDER BY label_code) - 1 AS INT) AS class_id FROM coded""")
+def q_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.multilabel_to_multiclass(labelled(spark, sf_dir)).select(COMMENT_ID, fo.CODE, fo.CLASS_ID)
+
+
+@register("stratified_folds", f"WITH {_FOLDS_CTE}\nSELECT comment_id, label_code, fold FROM folded")
+def q_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folded(spark, sf_dir).select(COMMENT_ID, fo.CODE, FOLD)
+
+
+@register("class_distribution", f"""WITH {S.LABELLED_CTE}
+SELECT {_CODE_SQL} AS label_code, count(*) AS n_rows FROM labelled GROUP BY 1""")
+def q_class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.class_distribution(labelled(spark, sf_dir).withColumn(fo.CODE, fo.label_code()))
+
+
+@register("fold_class_counts", f"""WITH {_FOLDS_CTE}
+SELECT fold, label_code, count(*) AS n_rows FROM folded GROUP BY fold, label_code""")
+def q_fold_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.fold_class_counts(_folded(spark, sf_dir))
+
+
+@register("fold_split_train", f"""WITH {_FOLDS_CTE}
+SELECT c_text, Sub1_Toxic, Sub2_Engaging, Sub3_FactClaiming FROM folded WHERE fold IS DISTINCT FROM 0""")
+def q_split_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.split_fold(_folded(spark, sf_dir), 0)[0].drop(fo.CODE)
+
+
+@register("fold_split_dev", f"""WITH {_FOLDS_CTE}
+SELECT c_text, Sub1_Toxic, Sub2_Engaging, Sub3_FactClaiming FROM folded WHERE fold = 0""")
+def q_split_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.split_fold(_folded(spark, sf_dir), 0)[1].drop(fo.CODE)
+
+
+# ---------------------------------------------------------------------------
+# A1, A2, M6, M10, S6 on deterministic stand-in predictions
+# pred(model i, task t, id) = 1 when (id*31 + i*i*17 + i*id*5 + t*7) % 10 < 5
+# ---------------------------------------------------------------------------
+def stand_in_pred(model: Column, task: int, ident: Column = F.col(COMMENT_ID)) -> Column:
+    ident = ident.cast("long")
+    model = model.cast("long")
+    return ((ident * 31 + model * model * 17 + model * ident * 5 + task * 7) % 10 < 5).cast("int")
+
+
+def _pred_sql(model: str, task: str, ident: str = "comment_id") -> str:
+    return f"CASE WHEN ({ident}*31 + {model}*{model}*17 + {model}*{ident}*5 + {task}*7) % 10 < 5 THEN 1 ELSE 0 END"
+
+
+_PRED_COLS = [f"pred_{i}" for i in range(3)]
+
+
+def _oof_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions: each row is scored by the model of its own fold."""
+    df = _folded(spark, sf_dir)
+    df = df.select("*", *[stand_in_pred(F.col(FOLD), t).alias(p) for t, p in enumerate(_PRED_COLS)])
+    return ev.to_long(df, _PRED_COLS)
+
+
+_TASK_ROWS = " UNION ALL ".join(f"SELECT {i} AS t, '{name}' AS task, '{lab}' AS label_col"
+                                for i, (name, lab) in enumerate(zip(TASKS, LABELS)))
+_OOF_CTE = _FOLDS_CTE + f""",
+tasks AS ({_TASK_ROWS}),
+oof AS (
+  SELECT f.comment_id, f.fold, k.task,
+         CASE k.t WHEN 0 THEN f.Sub1_Toxic WHEN 1 THEN f.Sub2_Engaging ELSE f.Sub3_FactClaiming END AS label,
+         {_pred_sql('f.fold', 'k.t', 'f.comment_id')} AS pred
+  FROM folded f, tasks k
+),
+per_class AS (
+  SELECT o.fold, o.task, c.cls,
+         sum(CASE WHEN o.label = c.cls AND o.pred = c.cls THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN o.label <> c.cls AND o.pred = c.cls THEN 1 ELSE 0 END) AS fp,
+         sum(CASE WHEN o.label = c.cls AND o.pred <> c.cls THEN 1 ELSE 0 END) AS fn,
+         max(CASE WHEN o.label = c.cls OR o.pred = c.cls THEN 1 ELSE 0 END) AS present
+  FROM oof o, (SELECT 0 AS cls UNION ALL SELECT 1) c
+  GROUP BY o.fold, o.task, c.cls
+),
+metrics AS (
+  SELECT m.fold, m.task, a.accuracy,
+         avg(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END) FILTER (WHERE present = 1) AS precision,
+         avg(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END) FILTER (WHERE present = 1) AS recall,
+         avg(CASE WHEN 2*tp + fp + fn = 0 THEN 0 ELSE 2*tp / (2*tp + fp + fn) END) FILTER (WHERE present = 1) AS f1
+  FROM per_class m
+  JOIN (SELECT fold, task, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy
+        FROM oof GROUP BY fold, task) a USING (fold, task)
+  GROUP BY m.fold, m.task, a.accuracy
+)"""
+
+
+def _r6_all(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, *[r6(F.col(c)).alias(c) for c in df.columns if c not in keys])
+
+
+@register("task_metrics", f"""WITH {_OOF_CTE}
+SELECT fold, task, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1 FROM metrics""")
+def q_task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r6_all(ev.task_metrics(_oof_long(spark, sf_dir)), [FOLD, "task"])
+
+
+@register("metrics_summary", f"""WITH {_OOF_CTE}
+SELECT task,
+       round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std,
+       round(avg(precision), 6) AS precision_mean, round(stddev_pop(precision), 6) AS precision_std,
+       round(avg(recall), 6) AS recall_mean, round(stddev_pop(recall), 6) AS recall_std,
+       round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std
+FROM metrics GROUP BY task""")
+def q_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r6_all(ev.metrics_summary(ev.task_metrics(_oof_long(spark, sf_dir))), ["task"])
+
+
+@register("multilabel_macro_f1", f"""WITH {_OOF_CTE},
+pos AS (
+  SELECT fold, task,
+         sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
+         sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn
+  FROM oof GROUP BY fold, task
+)
+SELECT fold, round(avg(CASE WHEN 2*tp + fp + fn = 0 THEN 0 ELSE 2*tp / (2*tp + fp + fn) END), 6) AS macro_f1
+FROM pos GROUP BY fold""")
+def q_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r6_all(ev.multilabel_macro_f1(_oof_long(spark, sf_dir)), [FOLD])
+
+
+def _vote_sql(n_models: int, with_text: bool = False) -> str:
+    text = "c.c_text, " if with_text else ""
+    return f"""WITH {S.COMMENTS_CTE},
+p AS (
+  SELECT comment_id, t, {_pred_sql('i', 't')} AS pred
+  FROM comments, range(0, {n_models}) r(i), range(0, 3) s(t)
+),
+v AS (SELECT comment_id, t, CAST(2 * sum(pred) >= count(*) AS INT) AS vote FROM p GROUP BY comment_id, t)
+SELECT c.comment_id, {text}
+       max(CASE WHEN t = 0 THEN vote END) AS Sub1_Toxic,
+       max(CASE WHEN t = 1 THEN vote END) AS Sub2_Engaging,
+       max(CASE WHEN t = 2 THEN vote END) AS Sub3_FactClaiming
+FROM comments c JOIN v USING (comment_id) GROUP BY ALL"""
+
+
+def _voted(spark: SparkSession, sf_dir: str, n_models: int) -> DataFrame:
+    """Every fold model scores the same test rows, so the vote is in-row."""
+    c = _comments(spark, sf_dir)
+    return c.select(COMMENT_ID, TEXT, *[
+        ens.vote([stand_in_pred(F.lit(i), t) for i in range(n_models)]).alias(lab)
+        for t, lab in enumerate(LABELS)])
+
+
+@register("ensemble_vote", _vote_sql(7))
+def q_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voted(spark, sf_dir, 7).drop(TEXT)
+
+
+@register("ensemble_vote_tie", _vote_sql(6))
+def q_vote_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voted(spark, sf_dir, 6).drop(TEXT)
+
+
+@register("ensemble_vote_long", f"""WITH {S.COMMENTS_CTE}, tasks AS ({_TASK_ROWS}),
+p AS (SELECT comment_id, k.task, {_pred_sql('i', 'k.t')} AS pred FROM comments, range(0, 7) r(i), tasks k)
+SELECT comment_id, task, CAST(2 * sum(pred) >= count(*) AS INT) AS vote FROM p GROUP BY comment_id, task""")
+def q_vote_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comments(spark, sf_dir).select(COMMENT_ID, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("model"))
+    preds = c.select(COMMENT_ID, "model", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("task"), stand_in_pred(F.col("model"), t).alias("pred"))
+        for t, name in enumerate(TASKS)])).alias("_p")).select(COMMENT_ID, "model", "_p.task", "_p.pred")
+    return ens.vote_long(preds)
+
+
+@register("submission", _vote_sql(7, with_text=True))
+def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission_frame(_voted(spark, sf_dir, 7), with_text=True)
