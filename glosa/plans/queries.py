@@ -305,3 +305,219 @@ def q_vote_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("submission", _vote_sql(7, with_text=True))
 def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission_frame(_voted(spark, sf_dir, 7), with_text=True)
+
+
+# ---------------------------------------------------------------------------
+# G1: text-issue counts (regex rules and the external-matches path)
+# ---------------------------------------------------------------------------
+from glosa.operators import issues as iss  # noqa: E402
+
+_RULE_ROWS = " UNION ALL ".join(
+    f"SELECT comment_id, '{r.category}' AS category, '{r.rule_id}' AS rule_id, "
+    f"len(regexp_extract_all(c_text, '{r.pattern}')) AS n FROM comments" for r in iss.DEFAULT_RULES)
+_SLOT_CASE = """CASE
+  WHEN category = 'MISC' THEN 0
+  WHEN category = 'EMPFOHLENE_RECHTSCHREIBUNG' THEN 1
+  WHEN category = 'TYPOGRAPHY' AND rule_id NOT IN ('TYPOGRAFISCHE_ANFUEHRUNGSZEICHEN',
+       'FALSCHE_VERWENDUNG_DES_BINDESTRICHS', 'AKZENT_STATT_APOSTROPH', 'MULTIPLICATION_SIGN') THEN 2
+  WHEN category = 'PUNCTUATION' AND rule_id NOT IN ('EINHEIT_LEERZEICHEN', 'ZEICHENSETZUNG_DIREKTE_REDE') THEN 3
+  WHEN category = 'GRAMMAR' THEN 4
+  WHEN category = 'CASING' THEN 5
+  WHEN category = 'HILFESTELLUNG_KOMMASETZUNG' THEN 6
+  WHEN category = 'COLLOQUIALISMS' THEN 7
+  WHEN category = 'COMPOUNDING' THEN 8
+  WHEN category = 'CONFUSED_WORDS' THEN 9
+  WHEN category = 'REDUNDANCY' THEN 10
+  WHEN category = 'TYPOS' THEN 11
+  WHEN category = 'STYLE' THEN 12
+  WHEN category = 'PROPER_NOUNS' THEN 13
+  WHEN category = 'IDIOMS' THEN 14
+  WHEN category = 'PUNCTUATION' AND rule_id = 'DE_DOUBLE_PUNCTUATION' THEN 15
+  WHEN category = 'PUNCTUATION' AND rule_id = 'DOPPELTES_AUSRUFEZEICHEN' THEN 16
+END"""
+_ISSUE_MATCHES_CTE = f"""{S.COMMENTS_CTE},
+matches AS ({_RULE_ROWS}),
+slotted AS (SELECT comment_id, {_SLOT_CASE} AS slot, n FROM matches)"""
+_ISSUE_SELECT = ",\n  ".join(
+    f"round(ln(CAST(coalesce(sum(CASE WHEN s.slot = {i} THEN s.n END), 0) AS DOUBLE) + 1e-9)"
+    f" - ln(CAST(len({S.tokens_sql('c.c_text')}) AS DOUBLE) + 1e-9), 6) AS {name}"
+    for i, name in enumerate(iss.ISSUE_COLUMNS))
+_ISSUE_SQL = f"""WITH {_ISSUE_MATCHES_CTE}
+SELECT c.comment_id,
+  {_ISSUE_SELECT}
+FROM comments c LEFT JOIN slotted s ON s.comment_id = c.comment_id
+GROUP BY c.comment_id, c.c_text"""
+
+
+def _r6_features(df: DataFrame, key: str = COMMENT_ID) -> DataFrame:
+    return df.select(key, *[r6(F.col(c)).alias(c) for c in df.columns if c != key])
+
+
+@register("issue_counts", _ISSUE_SQL)
+def q_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r6_features(iss.issue_counts(_comments(spark, sf_dir)))
+
+
+@register("issue_counts_from_matches", _ISSUE_SQL)
+def q_issue_counts_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comments(spark, sf_dir)
+    return _r6_features(iss.issue_counts_from_matches(c, iss.rule_matches(c)))
+
+
+@register("issue_slot_totals", f"""WITH {_ISSUE_MATCHES_CTE}
+SELECT slot, CAST(sum(n) AS BIGINT) AS n_matches FROM slotted WHERE n > 0 AND slot IS NOT NULL GROUP BY slot""")
+def q_issue_slot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = iss.rule_matches(_comments(spark, sf_dir))
+    return (m.select(iss.slot_expr(F.col("category"), F.col("rule_id")).alias("slot"), "n")
+            .where(F.col("slot").isNotNull())
+            .groupBy("slot").agg(F.sum("n").cast("long").alias("n_matches")))
+
+
+# ---------------------------------------------------------------------------
+# Pooled word vectors and lexicon polarity (derived lookup tables)
+# ---------------------------------------------------------------------------
+from glosa.operators import attention as att  # noqa: E402
+from glosa.operators import lookups as lk  # noqa: E402
+from glosa.operators import windows as win  # noqa: E402
+from glosa.sources import lookups as lt  # noqa: E402
+from glosa.sources.comments import load_table  # noqa: E402
+
+_LTOKS_CTE = f"""{S.COMMENTS_CTE},
+toks AS (SELECT comment_id, unnest({_TOK_LOWER}) AS token FROM comments),
+ntok AS (SELECT comment_id, len({_TOK_LOWER}) AS n FROM comments)"""
+
+
+@register("pooled_word_vectors", f"""WITH {_LTOKS_CTE},
+wv AS (SELECT DISTINCT token FROM toks WHERE length(token) >= 3),
+sums AS (
+  SELECT t.comment_id, sum(length(w.token)) AS s0, sum(length(w.token) % 3) AS s1, sum(instr(w.token, 'e')) AS s2
+  FROM toks t JOIN wv w ON w.token = t.token GROUP BY t.comment_id
+)
+SELECT n.comment_id, d.dim,
+       round(coalesce(CAST(CASE d.dim WHEN 0 THEN s.s0 WHEN 1 THEN s.s1 ELSE s.s2 END AS DOUBLE) / nullif(n.n, 0), 0), 6)
+         AS value
+FROM ntok n LEFT JOIN sums s ON s.comment_id = n.comment_id, (SELECT unnest([0, 1, 2]) AS dim) d""")
+def q_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comments(spark, sf_dir)
+    pooled = lk.pooled_word_vectors(c, lt.derived_word_vectors(c), dim=3)
+    return pooled.select(COMMENT_ID, F.posexplode("pooled").alias("dim", "value")).withColumn("value", r6(F.col("value")))
+
+
+@register("lexicon_polarity", f"""WITH {_LTOKS_CTE},
+lex AS (SELECT DISTINCT token FROM toks WHERE length(token) >= 4),
+hits AS (
+  SELECT t.comment_id, avg((length(l.token) % 5 - 2) / 2.0) AS p
+  FROM toks t JOIN lex l ON l.token = t.token GROUP BY t.comment_id
+)
+SELECT c.comment_id, round(coalesce(h.p, 0), 6) AS polarity
+FROM comments c LEFT JOIN hits h ON h.comment_id = c.comment_id""")
+def q_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comments(spark, sf_dir)
+    return lk.lexicon_polarity(c, lt.derived_polarity(c)).withColumn("polarity", r6(F.col("polarity")))
+
+
+# ---------------------------------------------------------------------------
+# Token windows, vocabulary and character encoding, token re-join
+# ---------------------------------------------------------------------------
+# Style-model input shape (parameters of the model; ours).
+WINDOW_TOKENS, HOP, MAX_WINDOWS, MAX_CHARS, VOCAB_SIZE = 25, 20, 40, 15, 200
+
+_WIN_CTE = f"""{S.COMMENTS_CTE},
+toks AS (SELECT comment_id, {_TOK} AS tk FROM comments),
+w AS (
+  SELECT comment_id, start // {HOP} AS window_idx, tk[start + 1 : start + {WINDOW_TOKENS}] AS wt
+  FROM (SELECT comment_id, tk, unnest(range(0, len(tk), {HOP})) AS start FROM toks)
+)"""
+_WIN_TOK_CTE = f"""{_WIN_CTE},
+wtok AS (
+  SELECT comment_id, window_idx, unnest(wt) AS token, unnest(range(0, len(wt))) AS pos
+  FROM w WHERE window_idx < {MAX_WINDOWS}
+)"""
+
+
+@register("token_windows", f"""WITH {_WIN_CTE}
+SELECT comment_id, CAST(window_idx AS INT) AS window_idx, array_to_string(wt, ' ') AS window FROM w""")
+def q_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return win.token_windows(_comments(spark, sf_dir), WINDOW_TOKENS, HOP).select(COMMENT_ID, "window_idx", "window")
+
+
+@register("window_lengths", f"""WITH {_WIN_CTE}
+SELECT comment_id, CAST(window_idx AS INT) AS window_idx, CAST(len(wt) AS INT) AS n_words
+FROM w WHERE window_idx < {MAX_WINDOWS}""")
+def q_window_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lk.window_lengths(_comments(spark, sf_dir), WINDOW_TOKENS, HOP, MAX_WINDOWS)
+
+
+@register("vocab_encode", f"""WITH {_WIN_TOK_CTE},
+freq AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK_LOWER}) AS token FROM comments) GROUP BY token),
+vocab AS (
+  SELECT token, CAST(rn + 1 AS INT) AS id
+  FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rn FROM freq)
+  WHERE rn <= {VOCAB_SIZE}
+)
+SELECT t.comment_id, CAST(t.window_idx AS INT) AS window_idx, CAST(t.pos AS INT) AS pos, t.token,
+       coalesce(v.id, 1) AS word_id
+FROM wtok t LEFT JOIN vocab v ON v.token = t.token""")
+def q_vocab_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comments(spark, sf_dir)
+    return lk.vocab_encode(c, lt.derived_word_vocab(c, VOCAB_SIZE), WINDOW_TOKENS, HOP, MAX_WINDOWS)
+
+
+@register("char_encode", f"""WITH {_WIN_TOK_CTE}
+SELECT comment_id, CAST(window_idx AS INT) AS window_idx, CAST(pos AS INT) AS pos,
+       array_to_string(list_transform(regexp_extract_all(left(token, {MAX_CHARS}), '.'),
+         lambda ch: CASE WHEN ch >= 'a' AND ch <= 'z' THEN ascii(ch) - 95 ELSE 1 END), ',') AS char_ids
+FROM wtok""")
+def q_char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = lk.char_encode(_comments(spark, sf_dir), lt.derived_char_vocab(spark), WINDOW_TOKENS, HOP,
+                         MAX_WINDOWS, MAX_CHARS)
+    return enc.select(COMMENT_ID, "window_idx", "pos",
+                      F.array_join(F.transform("char_ids", lambda x: x.cast("string")), ",").alias("char_ids"))
+
+
+@register("join_tokens", f"""WITH {S.COMMENTS_CTE}
+SELECT comment_id,
+       trim(array_to_string(flatten(list_transform(string_split(c_text, chr(10)),
+            lambda s: {S.tokens_sql('s')})), ' ')) AS joined
+FROM comments""")
+def q_join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comments(spark, sf_dir).select(
+        COMMENT_ID, win.join_tokens(win.sentences_by_line(F.col(TEXT))).alias("joined"))
+
+
+# ---------------------------------------------------------------------------
+# Softmax pooling; G3: document-vector attach
+# ---------------------------------------------------------------------------
+@register("softmax_pool", """WITH e AS (
+  SELECT label, CAST(embedding[1] AS DOUBLE) AS s, embedding FROM embeddings
+),
+m AS (SELECT label, max(s) AS mx FROM e GROUP BY label),
+x AS (
+  SELECT e.label, exp(e.s - m.mx) AS w, unnest(e.embedding) AS v, unnest(range(0, len(e.embedding))) AS dim
+  FROM e JOIN m ON m.label = e.label
+)
+SELECT label, CAST(dim AS INT) AS dim, round(sum(w * v) / sum(w), 6) AS value FROM x GROUP BY label, dim""")
+def q_softmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load_table(spark, sf_dir, "embeddings")
+    items = e.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"),
+                     F.col("embedding").cast("array<double>").alias("vector"))
+    pooled = att.softmax_pool(items, "label", "score", "vector", salt_cols=["score"])
+    return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).withColumn("value", r6(F.col("value")))
+
+
+@register("attach_embeddings", f"""WITH {S.COMMENTS_CTE},
+hit AS (
+  SELECT c.comment_id, unnest(range(0, len(e.embedding))) AS dim, unnest(e.embedding) AS v
+  FROM comments c JOIN embeddings e ON e.vec_id = c.comment_id
+)
+SELECT comment_id, CAST(dim AS INT) AS dim, round(CAST(v AS DOUBLE), 6) AS value FROM hit
+UNION ALL
+SELECT comment_id, NULL, NULL FROM comments c
+WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.comment_id)""")
+def q_attach_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glosa.operators.scoring import attach_vectors
+    c = _comments(spark, sf_dir)
+    vecs = lt.doc_vectors_from_embeddings(load_table(spark, sf_dir, "embeddings"))
+    att_df = attach_vectors(c, vecs, "vector")
+    return att_df.select(COMMENT_ID, F.posexplode_outer("vector").alias("dim", "value")).withColumn(
+        "value", r6(F.col("value")))
