@@ -59,3 +59,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def right_size(df: DataFrame, n_rows: int, row_bytes: int, target_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Partition count from the data size: ``ceil(rows × row bytes / target)``.
+
+    Iterative ML fits launch one job per iteration, so a small training fold
+    in many partitions pays the task overhead many times over; a large one
+    gets as many partitions as its size needs.
+    """
+    want = max(1, -(-n_rows * row_bytes // target_bytes))
+    have = df.rdd.getNumPartitions()
+    if want < have:
+        return df.coalesce(want)
+    if want > have:
+        return df.repartition(want)
+    return df
