@@ -37,3 +37,19 @@ def model_input_tokens(cleaned: Column, max_tokens: int = 512) -> Column:
     still cleaned and counted."""
     toks = F.filter(F.split(cleaned, " "), lambda x: x != F.lit(""))
     return F.slice(toks, 1, max_tokens)
+
+
+def _projection(w, x):
+    return x.astype("float64") @ w
+
+
+def seeded_projection(dim_in: int, dim_out: int, seed: int = 7):
+    """``make_predict_fn`` for a fixed seeded linear map — a stand-in model for
+    tests and checks (real deployments pass their own loader)."""
+    def make():
+        import functools
+
+        import numpy as np
+        w = np.random.default_rng(seed).standard_normal((dim_in, dim_out))
+        return functools.partial(_projection, w)
+    return make

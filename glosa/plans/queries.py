@@ -48,7 +48,11 @@ _TOK_LOWER = S.tokens_sql("lower(c_text)")
 _LENS = f"list_transform({_TOK}, lambda x: length(x))"
 
 
+FEATURE_SQL: dict[str, str] = {}
+
+
 def _feature_query(name: str, out: str, expr: Callable[[Column], Column], sql_expr: str):
+    FEATURE_SQL[name] = sql_expr
     sql = f"WITH {S.COMMENTS_CTE}\nSELECT comment_id, round(CAST({sql_expr} AS DOUBLE), 6) AS {out} FROM comments"
 
     @register(name, sql)
@@ -521,3 +525,196 @@ def q_attach_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     att_df = attach_vectors(c, vecs, "vector")
     return att_df.select(COMMENT_ID, F.posexplode_outer("vector").alias("dim", "value")).withColumn(
         "value", r6(F.col("value")))
+
+
+# ---------------------------------------------------------------------------
+# M1, M2: population scaler, SVD projection and its second-moment matrix
+# ---------------------------------------------------------------------------
+from pyspark.ml.feature import VectorAssembler, VectorSlicer  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+
+from glosa.functions import registry as reg  # noqa: E402
+from glosa.operators import linalg as la  # noqa: E402
+
+_STD_CTE = """x AS (
+  SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS dim FROM embeddings
+),
+s AS (SELECT dim, avg(CAST(v AS DOUBLE)) AS mu, stddev_pop(CAST(v AS DOUBLE)) AS sd FROM x GROUP BY dim),
+z AS (
+  SELECT vec_id, dim, CASE WHEN sd > 0 THEN (CAST(v AS DOUBLE) - mu) / sd ELSE CAST(v AS DOUBLE) - mu END AS z
+  FROM x JOIN s USING (dim)
+)"""
+
+
+def _standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return la.fit_population_scaler(e, "v", "z").transform(e).select("vec_id", vector_to_array("z").alias("z"))
+
+
+@register("standardize_embeddings", f"""WITH {_STD_CTE}
+SELECT vec_id, CAST(dim AS INT) AS dim, round(z, 6) AS value FROM z""")
+def q_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _standardized(spark, sf_dir).select("vec_id", F.posexplode("z").alias("dim", "value")).withColumn(
+        "value", r6(F.col("value")))
+
+
+@register("svd_gram", f"""WITH {_STD_CTE}
+SELECT CAST(a.dim AS INT) AS i, CAST(b.dim AS INT) AS j, round(sum(a.z * b.z) / count(*), 6) AS value
+FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY a.dim, b.dim""")
+def q_svd_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _standardized(spark, sf_dir)
+    dim = len(z.select("z").first()[0])
+    return la.gram(z, "z", dim).withColumn("value", r6(F.col("value")))
+
+
+SVD_K = 8
+
+
+@register("svd_project")
+def q_svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: singular vectors are defined up to sign."""
+    e = load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    z = la.fit_population_scaler(e, "v", "z").transform(e)
+    p = la.fit_svd(z, "z", "p", SVD_K).transform(z)
+    return p.select("vec_id", F.posexplode(vector_to_array("p")).alias("component", "value"))
+
+
+# ---------------------------------------------------------------------------
+# Feature-set projection, block assembly and block selection
+# ---------------------------------------------------------------------------
+_SET = ["NumWords", "NumCharacters", "ExclamationMarkRatio", "NumReferences"]
+_SET_SQL = {"NumWords": "f_num_words", "NumCharacters": "f_num_characters",
+            "ExclamationMarkRatio": "f_exclamation_ratio", "NumReferences": "f_num_references"}
+
+
+@register("feature_set_select", f"""WITH {S.COMMENTS_CTE}
+SELECT comment_id, """ + ", ".join(f"round(CAST({FEATURE_SQL[_SET_SQL[n]]} AS DOUBLE), 6) AS f_{n}" for n in _SET)
+          + " FROM comments")
+def q_feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats, layout = reg.build_features(_comments(spark, sf_dir), _SET)
+    return feats.select(COMMENT_ID, *[r6(F.col(c)).alias(c) for c in layout.numerical])
+
+
+_ASM = ["NumWords", "NumCharacters", "DocumentEmbeddingsBERT"]
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = lt.doc_vectors_from_embeddings(load_table(spark, sf_dir, "embeddings"))
+    assets = reg.FeatureAssets(doc_vectors={"DocumentEmbeddingsBERT": (vecs, 64)})
+    feats, layout = reg.build_features(_comments(spark, sf_dir), _ASM, assets)
+    a = reg.assemble(feats, layout)
+    return VectorAssembler(inputCols=["num", "emb"], outputCol="features").transform(a)
+
+
+_ASM_SQL = f"""WITH {S.COMMENTS_CTE},
+nums AS (
+  SELECT comment_id, {FEATURE_SQL['f_num_words']} AS a, {FEATURE_SQL['f_num_characters']} AS b FROM comments
+),
+e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)"""
+
+
+@register("feature_assemble", f"""{_ASM_SQL}
+SELECT n.comment_id, 0 AS idx, round(n.a, 6) AS value FROM nums n WHERE n.comment_id IN (SELECT vec_id FROM embeddings)
+UNION ALL
+SELECT n.comment_id, 1, round(n.b, 6) FROM nums n WHERE n.comment_id IN (SELECT vec_id FROM embeddings)
+UNION ALL
+SELECT n.comment_id, CAST(e.i + 2 AS INT), round(CAST(e.v AS DOUBLE), 6) FROM nums n JOIN e ON e.vec_id = n.comment_id""")
+def q_feature_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _assembled(spark, sf_dir)
+    return a.select(COMMENT_ID, F.posexplode(vector_to_array("features")).alias("idx", "value")).withColumn(
+        "value", r6(F.col("value")))
+
+
+@register("feature_block_select", f"""{_ASM_SQL}
+SELECT n.comment_id, CAST(e.i AS INT) AS idx, round(CAST(e.v AS DOUBLE), 6) AS value
+FROM nums n JOIN e ON e.vec_id = n.comment_id""")
+def q_feature_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _assembled(spark, sf_dir)
+    emb = VectorSlicer(inputCol="features", outputCol="block", indices=list(range(2, 2 + 64))).transform(a)
+    return emb.select(COMMENT_ID, F.posexplode(vector_to_array("block")).alias("idx", "value")).withColumn(
+        "value", r6(F.col("value")))
+
+
+# ---------------------------------------------------------------------------
+# G3(b), G4: batch scoring hook and the sentiment model's input
+# ---------------------------------------------------------------------------
+from glosa.operators import scoring as sc  # noqa: E402
+
+SCORE_DIM = 4
+
+
+@register("score_batch")
+def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: a user model through Arrow batches, one row per (vector, output)."""
+    e = load_table(spark, sf_dir, "embeddings")
+    score = sc.batch_scorer(sc.seeded_projection(64, SCORE_DIM), SCORE_DIM, batch_size=128, input_shape=[64])
+    out = e.select("vec_id", score(F.col("embedding").cast("array<double>")).alias("scores"))
+    return out.select("vec_id", F.posexplode("scores").alias("output", "value"))
+
+
+MODEL_INPUT_TOKENS = 512
+
+
+@register("score_input_truncate", f"""WITH {S.COMMENTS_CTE},
+c AS (SELECT comment_id, list_filter(string_split({_CLEAN_SQL}, ' '), lambda x: x <> '') AS tk FROM comments)
+SELECT comment_id, CAST(len(tk) AS INT) AS n_words,
+       array_to_string(tk[1:{MODEL_INPUT_TOKENS}], ' ') AS model_input FROM c""")
+def q_score_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(_T).alias("cleaned"))
+    toks = F.filter(F.split("cleaned", " "), lambda x: x != F.lit(""))
+    return c.select(COMMENT_ID, F.size(toks).cast("int").alias("n_words"),
+                    F.array_join(sc.model_input_tokens(F.col("cleaned"), MODEL_INPUT_TOKENS), " ").alias("model_input"))
+
+
+# ---------------------------------------------------------------------------
+# M3–M11, A1/A2 on real fits: the cross-validated run (rows-only checks)
+# ---------------------------------------------------------------------------
+from glosa.plans import flagship as fl  # noqa: E402
+
+
+@register("fit_predict_tasks")
+def q_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fixed model (k = 8, C = 1) on every complete labelled row; predictions."""
+    from glosa.operators.model import FoldModel, fit_shared, fit_task, trial_features
+    train, _, assets = fl.flagship_inputs(spark, sf_dir)
+    feats, layout = reg.build_features(train, fl.FLAGSHIP_FEATURES, assets)
+    data = reg.assemble(feats, layout).cache()
+    shared = fit_shared(data, layout, 8)
+    x = trial_features(shared, 8).transform(shared.model.transform(data))
+    n = x.count()
+    regs = [fit_task(x, "m_xk", lab, 1.0, n, "m_", t) for t, lab in enumerate(LABELS)]
+    model = FoldModel(shared, 8, 1.0, regs, [f"pred_{t}" for t in range(3)])
+    return model.predict(data.select(COMMENT_ID, *LABELS, "num", "emb")).select(
+        COMMENT_ID, *LABELS, "pred_0", "pred_1", "pred_2")
+
+
+@register("tune")
+def q_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.flagship_run(spark, sf_dir).cv.trials
+
+
+@register("oof_predictions")
+def q_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.flagship_run(spark, sf_dir).cv.oof
+
+
+@register("cv_task_metrics")
+def q_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.flagship_run(spark, sf_dir).cv.metrics
+
+
+@register("cv_metrics_summary")
+def q_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.flagship_run(spark, sf_dir).cv.summary
+
+
+@register("feature_importance_topk")
+def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.flagship_run(spark, sf_dir).cv.importance
+
+
+@register("test_predictions")
+def q_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.flagship_run(spark, sf_dir).predictions
