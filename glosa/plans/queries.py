@@ -42,7 +42,6 @@ def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Scalar text features
 # ---------------------------------------------------------------------------
-_T = F.col(TEXT)
 _TOK = S.tokens_sql("c_text")
 _TOK_LOWER = S.tokens_sql("lower(c_text)")
 _LENS = f"list_transform({_TOK}, lambda x: length(x))"
@@ -57,7 +56,7 @@ def _feature_query(name: str, out: str, expr: Callable[[Column], Column], sql_ex
 
     @register(name, sql)
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _comments(spark, sf_dir).select(COMMENT_ID, r6(expr(_T)).alias(out))
+        return _comments(spark, sf_dir).select(COMMENT_ID, r6(expr(F.col(TEXT))).alias(out))
     return q
 
 
@@ -96,7 +95,7 @@ _CLEAN_SQL = f"lower(trim(regexp_replace({_CLEAN_SQL}, ' +', ' ', 'g')))"
 
 @register("clean_text", f"WITH {S.COMMENTS_CTE}\nSELECT comment_id, {_CLEAN_SQL} AS cleaned FROM comments")
 def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(_T).alias("cleaned"))
+    return _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(F.col(TEXT)).alias("cleaned"))
 
 
 # ---------------------------------------------------------------------------
@@ -175,8 +174,8 @@ def q_split_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A1, A2, M6, M10, S6 on deterministic stand-in predictions
 # pred(model i, task t, id) = 1 when (id*31 + i*i*17 + i*id*5 + t*7) % 10 < 5
 # ---------------------------------------------------------------------------
-def stand_in_pred(model: Column, task: int, ident: Column = F.col(COMMENT_ID)) -> Column:
-    ident = ident.cast("long")
+def stand_in_pred(model: Column, task: int, ident: Column | None = None) -> Column:
+    ident = (F.col(COMMENT_ID) if ident is None else ident).cast("long")
     model = model.cast("long")
     return ((ident * 31 + model * model * 17 + model * ident * 5 + task * 7) % 10 < 5).cast("int")
 
@@ -662,7 +661,7 @@ c AS (SELECT comment_id, list_filter(string_split({_CLEAN_SQL}, ' '), lambda x:
 SELECT comment_id, CAST(len(tk) AS INT) AS n_words,
        array_to_string(tk[1:{MODEL_INPUT_TOKENS}], ' ') AS model_input FROM c""")
 def q_score_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(_T).alias("cleaned"))
+    c = _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(F.col(TEXT)).alias("cleaned"))
     toks = F.filter(F.split("cleaned", " "), lambda x: x != F.lit(""))
     return c.select(COMMENT_ID, F.size(toks).cast("int").alias("n_words"),
                     F.array_join(sc.model_input_tokens(F.col("cleaned"), MODEL_INPUT_TOKENS), " ").alias("model_input"))
