@@ -98,6 +98,18 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comments(spark, sf_dir).select(COMMENT_ID, tx.clean_text(F.col(TEXT)).alias("cleaned"))
 
 
+# ---------------------------------------------------------------------------
+# The comment table written as header CSV and read back
+# ---------------------------------------------------------------------------
+@register("comments_load", f"""WITH {S.COMMENTS_CTE}
+SELECT CAST(comment_id AS VARCHAR) AS comment_id, nullif(c_text, '') AS c_text FROM comments""")
+def q_comments_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV round trip: quotes and newlines survive; an empty field reads back as null."""
+    from glosa.sources.comments import read_comments_csv, write_comments_csv
+    path = write_comments_csv(_comments(spark, sf_dir))
+    return read_comments_csv(spark, path, labelled=False)
+
+
 # ---------------------------------------------------------------------------
 # Label codes, stratified folds, class counts, fold splits
 # ---------------------------------------------------------------------------
@@ -376,6 +388,15 @@ def q_issue_slot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("slot").agg(F.sum("n").cast("long").alias("n_matches")))
 
 
+@register("issue_category_map", f"""WITH {_ISSUE_MATCHES_CTE}
+SELECT DISTINCT category, rule_id, {_SLOT_CASE} AS slot FROM matches WHERE n > 0""")
+def q_issue_category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot each matched (category, rule) lands in; null = not counted."""
+    m = iss.rule_matches(_comments(spark, sf_dir))
+    return (m.select("category", "rule_id").distinct()
+            .select("category", "rule_id", iss.slot_expr(F.col("category"), F.col("rule_id")).alias("slot")))
+
+
 # ---------------------------------------------------------------------------
 # Pooled word vectors and lexicon polarity (derived lookup tables)
 # ---------------------------------------------------------------------------

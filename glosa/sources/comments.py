@@ -31,6 +31,18 @@ def read_comments_csv(spark: SparkSession, path: str, labelled: bool = True, sep
             .csv(path))
 
 
+def write_comments_csv(df: DataFrame, path: str | None = None, sep: str = ",") -> str:
+    """Header CSV with quoted fields (S3/S6 layout); defaults to a fresh folder
+    under the shared checkpoint directory. Returns the path written."""
+    if path is None:
+        import uuid
+        from glosa.session import shared_dir
+        path = f"{shared_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep)
+     .csv(path))
+    return path
+
+
 def read_folded_csv(spark: SparkSession, path: str) -> DataFrame:
     """Pre-folded corpus: ``;``-separated with a ``fold`` column."""
     return read_comments_csv(spark, path, sep=";", schema=FOLDED_SCHEMA)
