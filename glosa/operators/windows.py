@@ -34,9 +34,14 @@ def window_tokens(toks: Column, window: int, hop: int, max_windows: int | None =
 
 def token_windows(df: DataFrame, window: int, hop: int, max_windows: int | None = None,
                   text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    """One row per window: ``(id, window_idx, window_tokens array, window string)``."""
-    w = window_tokens(tokens(F.col(text_col)), window, hop, max_windows)
-    return (df.select(id_col, F.posexplode(w).alias("window_idx", "window_tokens"))
+    """One row per window: ``(id, window_idx, window_tokens array, window string)``.
+
+    Tokens are projected first and the windows slice that column: a token
+    expression inside the window lambda would re-split the whole text once per
+    window (quadratic in the document length)."""
+    toks = df.select(id_col, tokens(F.col(text_col)).alias("_tok"))
+    w = window_tokens(F.col("_tok"), window, hop, max_windows)
+    return (toks.select(id_col, F.posexplode(w).alias("window_idx", "window_tokens"))
             .withColumn("window", F.array_join("window_tokens", " ")))
 
 
