@@ -6,7 +6,8 @@ totals — without ever ranking a whole class in one task:
 
 * each row gets a seeded order key ``h = md5(seed:id)``;
 * the first ``bucket_digits`` hex digits of ``h`` cut every class into
-  ``16**bucket_digits`` ranges of that order;
+  ``16**bucket_digits`` ranges of that order (chosen from the largest class
+  so that no range holds more than about a million rows);
 * per-(class, range) counts form a table bounded by classes × ranges, whose
   prefix sums give each range its start position (broadcast, size proven);
 * ``row_number`` runs inside a (class, range) group only.
@@ -55,24 +56,45 @@ def multilabel_to_multiclass(df: DataFrame, labels: Sequence[str] = LABELS) -> D
     return coded.withColumn(CLASS_ID, F.element_at(mapping, F.col(CODE)).cast("int"))
 
 
+# Largest number of rows one (class, range) group should rank in one task,
+# and the digit cap that keeps the broadcast start table small
+# (classes × 16**4 rows).
+TARGET_GROUP_ROWS = 1_000_000
+MAX_BUCKET_DIGITS = 4
+
+
+def auto_bucket_digits(largest_class: int, target: int = TARGET_GROUP_ROWS) -> int:
+    """Fewest hex digits that cut the largest class into groups of ≤ ``target`` rows."""
+    d = 1
+    while d < MAX_BUCKET_DIGITS and largest_class > target * 16 ** d:
+        d += 1
+    return d
+
+
 def stratified_folds(df: DataFrame, k: int = 7, seed: int = 42, class_col: str = CODE,
-                     id_col: str = COMMENT_ID, bucket_digits: int = 3,
+                     id_col: str = COMMENT_ID, bucket_digits: int | None = None,
                      max_classes: int = 256) -> DataFrame:
-    """Add ``fold`` in ``[0, k)`` balanced per class and overall."""
+    """Add ``fold`` in ``[0, k)`` balanced per class and overall.
+
+    ``bucket_digits=None`` sizes the hash ranges from the largest class; the
+    folds do not depend on it."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    keyed = (df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-             .withColumn("_b", F.substring("_h", 1, bucket_digits)))
-    per_bucket = keyed.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # Class start positions: classes are few (bounded), so their totals are tiny.
-    totals = per_bucket.groupBy(class_col).agg(F.sum("_n").alias("_t")).limit(max_classes + 1).collect()
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    # Class totals: classes are few (bounded), so this is a tiny collect.
+    totals = (df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_t"))
+              .limit(max_classes + 1).collect())
     if len(totals) > max_classes:
         raise ValueError(f"more than {max_classes} classes to stratify")
+    if bucket_digits is None:
+        bucket_digits = auto_bucket_digits(max((r[1] for r in totals), default=0))
     class_off, acc = {}, 0
-    for r in sorted(totals, key=lambda r: r[0]):
+    for r in sorted(totals, key=lambda r: (r[0] is None, r[0])):
         class_off[r[0]] = acc
         acc += r[1]
-    off_map = F.create_map(*[x for c, o in class_off.items() for x in (F.lit(c), F.lit(o))])
+    keyed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, bucket_digits))
+    per_bucket = keyed.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    off_map = F.create_map(*[x for c, o in class_off.items() if c is not None for x in (F.lit(c), F.lit(o))])
     # Range start positions inside each class: prefix sums over ≤ 16**digits rows per class.
     w_range = Window.partitionBy(class_col).orderBy("_b")
     starts = per_bucket.select(
@@ -85,7 +107,7 @@ def stratified_folds(df: DataFrame, k: int = 7, seed: int = 42, class_col: str =
 
 
 def assign_folds(df: DataFrame, k: int = 7, seed: int = 42, labels: Sequence[str] = LABELS,
-                 id_col: str = COMMENT_ID, bucket_digits: int = 3) -> DataFrame:
+                 id_col: str = COMMENT_ID, bucket_digits: int | None = None) -> DataFrame:
     """D1 + D2: code the label rows and stratify on the code."""
     return stratified_folds(df.withColumn(CODE, label_code(labels)), k=k, seed=seed,
                             id_col=id_col, bucket_digits=bucket_digits)

@@ -59,8 +59,20 @@ def prefix_slicer(input_col: str, output_col: str, k: int) -> VectorSlicer:
     return VectorSlicer(inputCol=input_col, outputCol=output_col, indices=list(range(k)))
 
 
-def gram(df: DataFrame, array_col: str, dim: int) -> DataFrame:
-    """``(i, j, value)`` of ``XᵀX / n`` over an ``array<double>`` column."""
+def gram(df: DataFrame, array_col: str, dim: int, max_partials: int | None = None) -> DataFrame:
+    """``(i, j, value)`` of ``XᵀX / n`` over an ``array<double>`` column.
+
+    Each task adds its rows into one d×d partial with NumPy. The input is
+    coalesced (no shuffle) to at most ``max_partials`` tasks — one per core by
+    default — so the shuffle holds ``partials × d²`` numbers however many
+    files the table has; a partial travels as ``d`` rows of ``d`` values and
+    the rows of one ``i`` are summed element-wise."""
+    sc = df.sparkSession.sparkContext
+    cap = max(1, max_partials or sc.defaultParallelism)
+    src = df.select(array_col)
+    if src.rdd.getNumPartitions() > cap:
+        src = src.coalesce(cap)
+
     def partial(batches):
         acc = np.zeros((dim, dim))
         n = 0
@@ -69,9 +81,11 @@ def gram(df: DataFrame, array_col: str, dim: int) -> DataFrame:
                 x = np.stack(pdf[array_col].to_numpy()).astype(np.float64)
                 acc += x.T @ x
                 n += len(x)
-        ii, jj = np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij")
-        yield pd.DataFrame({"i": ii.ravel().astype(np.int32), "j": jj.ravel().astype(np.int32),
-                            "s": acc.ravel(), "n": np.full(dim * dim, n, dtype=np.int64)})
-
-    parts = df.select(array_col).mapInPandas(partial, "i int, j int, s double, n long")
-    return (parts.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("value")))
+        yield pd.DataFrame({"i": np.arange(dim, dtype=np.int32), "row": list(acc),
+                            "n": np.full(dim, n, dtype=np.int64)})
+
+    parts = src.mapInPandas(partial, "i int, row array<double>, n long")
+    summed = parts.groupBy("i").agg(F.array(*[F.sum(F.col("row")[j]) for j in range(dim)]).alias("row"),
+                                    F.sum("n").alias("n"))
+    return summed.select("i", F.posexplode("row").alias("j", "s"), "n").select(
+        "i", "j", (F.col("s") / F.col("n")).alias("value"))

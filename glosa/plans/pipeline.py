@@ -142,7 +142,7 @@ class RunResult:
 
 def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig, assets: FeatureAssets,
         top_k: int = 25, cache_tag: str | None = None, fold_parallelism: int = 7, max_iter: int = 300,
-        bucket_digits: int = 3) -> RunResult:
+        bucket_digits: int | None = None) -> RunResult:
     """``train`` has ``comment_id, c_text`` and the three labels; ``test``
     has ``comment_id, c_text``."""
     folded = fo.assign_folds(train, k=cfg.num_splits, seed=cfg.random_state, bucket_digits=bucket_digits)

@@ -100,3 +100,12 @@ def test_vote_long_matches_majority(spark):
     for r in ens.vote_long(long).collect():
         votes = sum(p for (i, t, _, p) in rows if i == r[0] and t == r[1])
         assert r[2] == int(2 * votes >= 5)
+
+
+def test_auto_bucket_digits_bounds_group_size():
+    assert fo.auto_bucket_digits(0) == 1
+    assert fo.auto_bucket_digits(10_000) == 1
+    # A class of 30 billion rows (a third of 100 billion) still gets bounded groups.
+    d = fo.auto_bucket_digits(30_000_000_000)
+    assert d == fo.MAX_BUCKET_DIGITS
+    assert fo.auto_bucket_digits(50_000_000) == 2 and 50_000_000 / 16 ** 2 <= fo.TARGET_GROUP_ROWS
