@@ -137,6 +137,24 @@ REGISTRY: dict[str, FeatureSpec] = {s.name: s for s in [
 ]}
 
 
+# Table-backed features that aggregate over the comment's tokens; requested
+# together, they share one token pass (see ``token_lookup_features``).
+TOKEN_LOOKUP_FEATURES = {"SentimentTextBlob": "f_SentimentTextBlob",
+                         "DocumentEmbeddingsFastTextPool": "e_DocumentEmbeddingsFastTextPool"}
+
+
+def _attach_token_lookups(df: DataFrame, a: FeatureAssets, id_col: str) -> DataFrame:
+    from glosa.operators.lookups import token_lookup_features
+    if a.polarity is None or a.word_vectors is None:
+        raise ValueError("SentimentTextBlob and DocumentEmbeddingsFastTextPool need a polarity table and a "
+                         "word-vector table")
+    agg = token_lookup_features(df.select(id_col, TEXT), word_vectors=a.word_vectors, dim=a.word_vector_dim,
+                                lexicon=a.polarity, id_col=id_col,
+                                pooled_out=TOKEN_LOOKUP_FEATURES["DocumentEmbeddingsFastTextPool"],
+                                polarity_out=TOKEN_LOOKUP_FEATURES["SentimentTextBlob"])
+    return df.join(agg, id_col, "left")
+
+
 def register_feature(spec: FeatureSpec) -> None:
     """Add a user feature under its config name."""
     REGISTRY[spec.name] = spec
@@ -202,8 +220,12 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
     out = df.select(id_col, TEXT, *kept, *row_cols)
     col_of: dict[str, list[str]] = {}
     produced = out.columns
+    fused = [s.name for s in specs if s.name in TOKEN_LOOKUP_FEATURES]
+    if len(fused) > 1:
+        out = _attach_token_lookups(out, assets, id_col)
+        col_of.update({n: [TOKEN_LOOKUP_FEATURES[n]] for n in fused})
     for s in specs:
-        if s.attach is not None:
+        if s.attach is not None and s.name not in col_of:
             out, cols = s.attach(out, assets, id_col)
             col_of[s.name] = cols
     # Column names per spec, in config order.

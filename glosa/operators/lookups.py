@@ -24,18 +24,42 @@ def _token_rows(df: DataFrame, text_col: str, id_col: str, lower: bool = True) -
             .select(id_col, F.size("_tok").alias("_n"), F.posexplode_outer("_tok").alias("_pos", "token")))
 
 
+def token_lookup_features(df: DataFrame, *, word_vectors: DataFrame | None = None, dim: int = 0,
+                          lexicon: DataFrame | None = None, text_col: str = TEXT, id_col: str = COMMENT_ID,
+                          pooled_out: str = "pooled", polarity_out: str = "polarity",
+                          strategy: str = "auto") -> DataFrame:
+    """G2 and G5 over one token pass: the lower-cased tokens are exploded once,
+    left-joined to each given table and folded back in a single grouped
+    aggregate (partial aggregation collapses a document's tokens map-side).
+
+    * pooled (G2): mean over all tokens of their word vector, a miss counting as
+      zeros; ``word_vectors`` is ``(token, vector array<double>)``;
+    * polarity (G5): mean polarity of the tokens found in ``lexicon(token,
+      polarity)``; 0 when none is found.
+    """
+    if word_vectors is None and lexicon is None:
+        raise ValueError("give a word-vector table, a lexicon, or both")
+    rows = _token_rows(df, text_col, id_col)
+    aggs, outs = [], []
+    if word_vectors is not None:
+        rows = lookup_join(rows, word_vectors.select("token", "vector"), "token", "left", strategy=strategy,
+                           salt_cols=[id_col, "_pos"])
+        aggs += [array_sum(F.col("vector").cast("array<double>"), dim).alias("_sum"), F.max("_n").alias("_n")]
+        outs.append(F.transform("_sum", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)))
+                    .alias(pooled_out))
+    if lexicon is not None:
+        rows = lookup_join(rows, lexicon.select("token", "polarity"), "token", "left", strategy=strategy,
+                           salt_cols=[id_col, "_pos"])
+        aggs.append(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias(polarity_out))
+        outs.append(F.col(polarity_out))
+    return rows.groupBy(id_col).agg(*aggs).select(id_col, *outs)
+
+
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, dim: int, text_col: str = TEXT,
                         id_col: str = COMMENT_ID, out: str = "pooled", strategy: str = "auto") -> DataFrame:
-    """Mean over all tokens of their word vector, a miss counting as zeros
-    (mean pooling with a zero unknown-word vector). ``word_vectors`` is
-    ``(token, vector array<double>)``; lower-cased tokens are looked up."""
-    rows = _token_rows(df, text_col, id_col)
-    hit = lookup_join(rows, word_vectors.select("token", "vector"), "token", "left", strategy=strategy,
-                      salt_cols=[id_col, "_pos"])
-    summed = hit.groupBy(id_col).agg(array_sum(F.col("vector").cast("array<double>"), dim).alias("_sum"),
-                                     F.max("_n").alias("_n"))
-    return summed.select(id_col, F.transform("_sum", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)))
-                         .alias(out))
+    """G2 alone."""
+    return token_lookup_features(df, word_vectors=word_vectors, dim=dim, text_col=text_col, id_col=id_col,
+                                 pooled_out=out, strategy=strategy)
 
 
 def array_sum(vec, dim: int):
@@ -47,12 +71,9 @@ def array_sum(vec, dim: int):
 
 def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text_col: str = TEXT, id_col: str = COMMENT_ID,
                      out: str = "polarity", strategy: str = "auto") -> DataFrame:
-    """Mean polarity of the tokens found in ``lexicon(token, polarity)``;
-    0 when none is found."""
-    rows = _token_rows(df, text_col, id_col)
-    hit = lookup_join(rows, lexicon.select("token", "polarity"), "token", "left", strategy=strategy,
-                      salt_cols=[id_col, "_pos"])
-    return hit.groupBy(id_col).agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias(out))
+    """G5 alone."""
+    return token_lookup_features(df, lexicon=lexicon, text_col=text_col, id_col=id_col, polarity_out=out,
+                                 strategy=strategy)
 
 
 def _unk_id(vocab: DataFrame) -> int:

@@ -137,3 +137,15 @@ def test_softmax_pool_matches_numpy(spark):
 def test_join_tokens(spark):
     df = spark.createDataFrame([([["a", "b"], [], ["c"]],)], "s array<array<string>>")
     assert df.select(win.join_tokens(F.col("s"))).first()[0] == "a b c"
+
+
+def test_fused_token_lookups_equal_separate(docs):
+    """Polarity and pooled vectors from one token pass equal the single-table runs."""
+    wv, pol = lt.derived_word_vectors(docs), lt.derived_polarity(docs)
+    both = _rows(lk.token_lookup_features(docs, word_vectors=wv, dim=3, lexicon=pol))
+    alone_v = _rows(lk.pooled_word_vectors(docs, wv, 3))
+    alone_p = _rows(lk.lexicon_polarity(docs, pol))
+    assert set(both) == set(alone_v) == set(alone_p) == {r["comment_id"] for r in docs.collect()}
+    for k, r in both.items():
+        assert np.allclose(r["pooled"], alone_v[k]["pooled"])
+        assert math.isclose(r["polarity"], alone_p[k]["polarity"], abs_tol=1e-12)
