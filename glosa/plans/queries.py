@@ -665,13 +665,28 @@ from glosa.operators import scoring as sc  # noqa: E402
 SCORE_DIM = 4
 
 
-@register("score_batch")
+SCORE_SEED, SCORE_IN = 7, 64
+
+
+def _score_weights_sql() -> str:
+    """The stand-in model's weights as a VALUES table (same seeded draw)."""
+    import numpy as np
+    w = np.random.default_rng(SCORE_SEED).standard_normal((SCORE_IN, SCORE_DIM))
+    return ", ".join(f"({i}, {j}, {float(w[i, j])!r})" for i in range(SCORE_IN) for j in range(SCORE_DIM))
+
+
+@register("score_batch", f"""WITH w(i, j, wv) AS (VALUES {_score_weights_sql()}),
+e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT e.vec_id, CAST(w.j AS INT) AS output, round(sum(e.x * w.wv), 6) AS value
+FROM e JOIN w ON w.i = e.i GROUP BY e.vec_id, w.j""")
 def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: a user model through Arrow batches, one row per (vector, output)."""
+    """A user model through Arrow batches (here a seeded linear map), one row per (vector, output)."""
     e = load_table(spark, sf_dir, "embeddings")
-    score = sc.batch_scorer(sc.seeded_projection(64, SCORE_DIM), SCORE_DIM, batch_size=128, input_shape=[64])
+    score = sc.batch_scorer(sc.seeded_projection(SCORE_IN, SCORE_DIM, SCORE_SEED), SCORE_DIM, batch_size=128,
+                            input_shape=[SCORE_IN])
     out = e.select("vec_id", score(F.col("embedding").cast("array<double>")).alias("scores"))
-    return out.select("vec_id", F.posexplode("scores").alias("output", "value"))
+    return out.select("vec_id", F.posexplode("scores").alias("output", "value")).withColumn(
+        "value", r6(F.col("value")))
 
 
 MODEL_INPUT_TOKENS = 512
