@@ -57,16 +57,19 @@ def multilabel_to_multiclass(df: DataFrame, labels: Sequence[str] = LABELS) -> D
 
 
 # Largest number of rows one (class, range) group should rank in one task,
-# and the digit cap that keeps the broadcast start table small
-# (classes × 16**4 rows).
+# and the caps that keep the broadcast start table (classes × 16**digits rows)
+# small.
 TARGET_GROUP_ROWS = 1_000_000
 MAX_BUCKET_DIGITS = 4
+MAX_START_ROWS = 1 << 20
 
 
-def auto_bucket_digits(largest_class: int, target: int = TARGET_GROUP_ROWS) -> int:
-    """Fewest hex digits that cut the largest class into groups of ≤ ``target`` rows."""
+def auto_bucket_digits(largest_class: int, n_classes: int = 8, target: int = TARGET_GROUP_ROWS) -> int:
+    """Fewest hex digits that cut the largest class into groups of ≤ ``target``
+    rows, within the cap on the start table (``n_classes × 16**digits`` rows)."""
     d = 1
-    while d < MAX_BUCKET_DIGITS and largest_class > target * 16 ** d:
+    while (d < MAX_BUCKET_DIGITS and largest_class > target * 16 ** d
+           and max(n_classes, 1) * 16 ** (d + 1) <= MAX_START_ROWS):
         d += 1
     return d
 
@@ -87,7 +90,9 @@ def stratified_folds(df: DataFrame, k: int = 7, seed: int = 42, class_col: str =
     if len(totals) > max_classes:
         raise ValueError(f"more than {max_classes} classes to stratify")
     if bucket_digits is None:
-        bucket_digits = auto_bucket_digits(max((r[1] for r in totals), default=0))
+        bucket_digits = auto_bucket_digits(max((r[1] for r in totals), default=0), len(totals))
+    if len(totals) * 16 ** bucket_digits > MAX_START_ROWS:
+        raise ValueError("start table too large to broadcast; use fewer bucket digits")
     class_off, acc = {}, 0
     for r in sorted(totals, key=lambda r: (r[0] is None, r[0])):
         class_off[r[0]] = acc

@@ -109,3 +109,6 @@ def test_auto_bucket_digits_bounds_group_size():
     d = fo.auto_bucket_digits(30_000_000_000)
     assert d == fo.MAX_BUCKET_DIGITS
     assert fo.auto_bucket_digits(50_000_000) == 2 and 50_000_000 / 16 ** 2 <= fo.TARGET_GROUP_ROWS
+    # Many classes: the broadcast start table stays under its cap.
+    d = fo.auto_bucket_digits(30_000_000_000, n_classes=256)
+    assert 256 * 16 ** d <= fo.MAX_START_ROWS
