@@ -62,16 +62,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def right_size(df: DataFrame, n_rows: int, row_bytes: int, target_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Partition count from the data size: ``ceil(rows × row bytes / target)``.
+    """At most ``ceil(rows × row bytes / target)`` partitions.
 
     Iterative ML fits launch one job per iteration, so a small training fold
-    in many partitions pays the task overhead many times over; a large one
-    gets as many partitions as its size needs.
+    in many partitions pays the task overhead many times over: it is coalesced
+    (no shuffle). A large fold keeps the splits its scan already has — they are
+    sized by ``spark.sql.files.maxPartitionBytes`` — rather than being
+    shuffled into new ones.
     """
     want = max(1, -(-n_rows * row_bytes // target_bytes))
-    have = df.rdd.getNumPartitions()
-    if want < have:
+    if want < df.rdd.getNumPartitions():
         return df.coalesce(want)
-    if want > have:
-        return df.repartition(want)
     return df
