@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
+from typing import Any
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ class FeatureAssets:
     polarity: DataFrame | None = None  # (token, polarity)
     doc_vectors: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)  # name → ((id, vector), dim)
     scorers: dict[str, tuple[Callable[[Column], Column], int]] = field(default_factory=dict)  # name → (fn, dim)
+    fitted: dict[str, Any] = field(default_factory=dict)  # U2: name → fitted ML model of a trainable feature
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,9 @@ class FeatureSpec:
     attach: Callable[[DataFrame, FeatureAssets, str], tuple[DataFrame, list[str]]] | None = None
     names: Callable[[FeatureAssets], list[str]] | None = None
     trainable: bool = False
+    # (assets, input column, output column) → a Spark ML Estimator fitted on
+    # the training text; its output column is a double, an ML vector or an array.
+    estimator: Callable[[FeatureAssets, str, str], Any] | None = None
 
     def feature_names(self, assets: FeatureAssets) -> list[str]:
         return self.names(assets) if self.names else [self.name] * self.dim(assets)
@@ -155,6 +161,37 @@ def _attach_token_lookups(df: DataFrame, a: FeatureAssets, id_col: str) -> DataF
     return df.join(agg, id_col, "left")
 
 
+def output_column(spec: FeatureSpec) -> str:
+    return f"{'f' if spec.kind == NUMERICAL else 'e'}_{spec.name}"
+
+
+def fit_feature(spec: FeatureSpec, rows: DataFrame, assets: FeatureAssets):
+    """Fit a trainable feature on the training text and keep the model in
+    ``assets.fitted`` (test rows and later batches reuse it)."""
+    if not spec.trainable or spec.estimator is None:
+        raise ValueError(f"{spec.name} is not trainable")
+    model = spec.estimator(assets, TEXT, output_column(spec)).fit(rows.select(TEXT))
+    assets.fitted[spec.name] = model
+    return model
+
+
+def _apply_fitted(df: DataFrame, spec: FeatureSpec, assets: FeatureAssets) -> tuple[DataFrame, list[str]]:
+    out = output_column(spec)
+    res = assets.fitted[spec.name].transform(df)
+    is_vec = isinstance(res.schema[out].dataType, VectorUDT)
+    col = vector_to_array(F.col(out)) if is_vec else F.col(out)
+    if spec.kind == NUMERICAL:
+        d = spec.dim(assets)
+        names = [out] if d == 1 else [f"{out}_{i}" for i in range(d)]
+        if is_vec or d > 1:
+            cols = [col[i].cast("double").alias(n) for i, n in enumerate(names)]
+        else:
+            cols = [col.cast("double").alias(out)]
+    else:
+        names, cols = [out], [col.cast("array<double>").alias(out)]
+    return res.select(*df.columns, *cols), names
+
+
 def register_feature(spec: FeatureSpec) -> None:
     """Add a user feature under its config name."""
     REGISTRY[spec.name] = spec
@@ -203,11 +240,14 @@ def feature_set_hash(names: Sequence[str], assets: FeatureAssets) -> str:
 
 
 def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets | None = None,
-                   id_col: str = COMMENT_ID, keep: Sequence[str] = (*LABELS, FOLD)) -> tuple[DataFrame, FeatureLayout]:
+                   id_col: str = COMMENT_ID, keep: Sequence[str] = (*LABELS, FOLD),
+                   fit_rows: DataFrame | None = None) -> tuple[DataFrame, FeatureLayout]:
     """One projection for row-local features, keyed joins for the rest.
 
     Returns the feature table (id, kept label/fold columns, numerical double
     columns in config order, embedding ``array<double>`` columns) and its layout.
+    Trainable features (U2) use their model in ``assets.fitted`` or are fitted
+    on ``fit_rows`` (the training text) first.
     """
     assets = assets or FeatureAssets()
     specs = resolve(names)
@@ -225,14 +265,21 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
         out = _attach_token_lookups(out, assets, id_col)
         col_of.update({n: [TOKEN_LOOKUP_FEATURES[n]] for n in fused})
     for s in specs:
-        if s.attach is not None and s.name not in col_of:
+        if s.trainable:
+            if s.name not in assets.fitted:
+                if fit_rows is None:
+                    raise ValueError(f"{s.name} is trainable and not fitted; pass the training rows")
+                fit_feature(s, fit_rows, assets)
+            out, cols = _apply_fitted(out, s, assets)
+            col_of[s.name] = cols
+        elif s.attach is not None and s.name not in col_of:
             out, cols = s.attach(out, assets, id_col)
             col_of[s.name] = cols
     # Column names per spec, in config order.
     num, emb = [], []
     row_names = [c for c in produced if c.startswith("f_") or c.startswith("issue_")]
     for s in specs:
-        if s.attach is not None:
+        if s.name in col_of:
             cols = col_of[s.name]
         elif s.name == "SpellingMistakes":
             cols = list(iss.ISSUE_COLUMNS)

@@ -53,11 +53,12 @@ def read_config(path: str, **overrides) -> RunConfig:
 
 
 def feature_table(spark: SparkSession, comments: DataFrame, cfg: RunConfig, assets: FeatureAssets,
-                  cache_tag: str | None = None, reuse: bool = False) -> tuple[DataFrame, FeatureLayout]:
+                  cache_tag: str | None = None, reuse: bool = False,
+                  fit_rows: DataFrame | None = None) -> tuple[DataFrame, FeatureLayout]:
     """Features computed once, stored in the shared folder (keyed by the
     feature-list hash) and read back; ``reuse`` loads an existing copy instead
     of recomputing (the inputs must then be unchanged)."""
-    df, layout = build_features(comments, cfg.features, assets)
+    df, layout = build_features(comments, cfg.features, assets, fit_rows=fit_rows)
     if cache_tag is None:
         return df, layout
     path = f"{shared_dir(spark)}/features-{cache_tag}-{feature_set_hash(cfg.features, assets)}"
@@ -149,7 +150,8 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig,
     test_rows = test.select(COMMENT_ID, TEXT, *[F.lit(None).cast("int").alias(c) for c in LABELS],
                             F.lit(None).cast("int").alias(FOLD))
     rows = folded.select(COMMENT_ID, TEXT, *LABELS, FOLD).unionByName(test_rows)
-    feats, layout = feature_table(spark, rows, cfg, assets, cache_tag or cfg.name)
+    feats, layout = feature_table(spark, rows, cfg, assets, cache_tag or cfg.name,
+                                  fit_rows=folded.select(TEXT))  # trainable features see the training text
     cv = cross_validate(spark, feats, layout, cfg, top_k=top_k, fold_parallelism=fold_parallelism, max_iter=max_iter)
     test_feats = feats.where(F.col(FOLD).isNull())
     return RunResult(cv, predict_ensemble(test_feats, layout, cv.models), layout)

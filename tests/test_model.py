@@ -93,3 +93,39 @@ def test_unknown_feature_raises():
 def test_feature_hash_changes_with_list():
     a = reg.feature_set_hash(["NumWords"], reg.FeatureAssets())
     assert a != reg.feature_set_hash(["NumWords", "NumCharacters"], reg.FeatureAssets())
+
+
+def test_trainable_feature_hook(spark):
+    """A user feature backed by a Spark ML estimator is fitted on the
+    training text only and its model is reused for other rows; fitting a
+    non-trainable feature raises."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+
+    from glosa.sources.comments import comments
+
+    from conftest import SF001
+
+    def est(assets, text_col, out):
+        return Pipeline(stages=[
+            SQLTransformer(statement=f"SELECT *, CAST(size(split({text_col}, ' ')) AS DOUBLE) AS _nw FROM __THIS__"),
+            VectorAssembler(inputCols=["_nw"], outputCol="_nwv"),
+            StandardScaler(withMean=True, withStd=False, inputCol="_nwv", outputCol=out)])
+
+    spec = reg.FeatureSpec("CentredWordCount", reg.NUMERICAL, lambda a: 1, trainable=True, estimator=est)
+    reg.register_feature(spec)
+    try:
+        c = comments(spark, SF001)
+        train, other = c.where("comment_id % 2 = 0"), c.where("comment_id % 2 = 1")
+        assets = reg.FeatureAssets()
+        with pytest.raises(ValueError, match="not fitted"):
+            reg.build_features(other, ["CentredWordCount"], assets)
+        f_train, layout = reg.build_features(train, ["NumWords", "CentredWordCount"], assets, fit_rows=train)
+        assert layout.numerical == ["f_NumWords", "f_CentredWordCount"]
+        assert abs(f_train.agg(F.avg("f_CentredWordCount")).first()[0]) < 1e-9  # centred on the fit rows
+        f_other, _ = reg.build_features(other, ["CentredWordCount"], assets)  # reuses the fitted model
+        assert f_other.count() == other.count()
+        with pytest.raises(ValueError, match="not trainable"):
+            reg.fit_feature(reg.REGISTRY["NumWords"], train, assets)
+    finally:
+        reg.REGISTRY.pop("CentredWordCount", None)
