@@ -75,3 +75,17 @@ def test_csv_ingest_round_trip(spark):
     src.ingest_csv(src.read_comments_csv(spark, path), out, partitions=2)
     back = {r[COMMENT_ID]: r[TEXT] for r in spark.read.parquet(out).collect()}
     assert back == {"7": "x\ny", "8": None}  # an empty field reads back as null
+
+
+def test_prefolded_csv_split(spark):
+    """A ``;``-separated corpus with a fold column; a null fold trains in every split."""
+    from glosa.operators import folds as fo
+    rows = [("1", "a; b", 1, 0, 0, 0), ("2", "c", 0, 1, 0, 1), ("3", "d", 0, 0, 1, None)]
+    df = spark.createDataFrame(rows, src.FOLDED_SCHEMA)
+    path = src.write_comments_csv(df, sep=";")
+    back = src.read_folded_csv(spark, path)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+    train, dev = fo.split_fold(back, 0)
+    assert FOLD not in train.columns and COMMENT_ID not in dev.columns
+    assert sorted(r[TEXT] for r in train.collect()) == ["c", "d"]
+    assert [r[TEXT] for r in dev.collect()] == ["a; b"]
