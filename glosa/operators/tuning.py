@@ -120,3 +120,12 @@ def tune_fold(train: DataFrame, valid: DataFrame | None, layout: FeatureLayout,
     model = FoldModel(shared, best.k, best.c, fitted[best.idx], cols)
     table = [(tr.idx, tr.k, tr.c, scores.get(tr.idx, 0.0)) for tr in trials]
     return FoldSearch(model, table, best)
+
+
+def fit_model(train: DataFrame, layout: FeatureLayout, k: int | None = None, c: float = 1.0,
+              labels: Sequence[str] = LABELS, prefix: str = "m_", max_iter: int = 300) -> FoldModel:
+    """M4 without a search: one fit with fixed parameters; ``k`` defaults to
+    every embedding component and ``C`` to 1.0."""
+    emb_dim = sum(d for _, d in layout.embeddings)
+    trial = Trial(0, max(1, k if k is not None else emb_dim), c)
+    return tune_fold(train, None, layout, [trial], labels, prefix=prefix, max_iter=max_iter).model

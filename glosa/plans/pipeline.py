@@ -42,6 +42,10 @@ class RunConfig:
 
     def __post_init__(self):
         resolve(self.features)  # unknown names raise here (Q8)
+        if self.num_splits < 2:
+            raise ValueError("num_splits must be at least 2")
+        if self.num_trials < 1:
+            raise ValueError("num_trials must be at least 1 (the best trial's parameters are refitted)")
 
 
 def read_config(path: str, **overrides) -> RunConfig:

@@ -129,3 +129,24 @@ def test_trainable_feature_hook(spark):
             reg.fit_feature(reg.REGISTRY["NumWords"], train, assets)
     finally:
         reg.REGISTRY.pop("CentredWordCount", None)
+
+
+def test_fixed_fit_defaults_to_all_components(spark):
+    """M4 defaults: k = every embedding component, C = 1.0; predictions are 0/1."""
+    from glosa.operators.tuning import fit_model
+    from glosa.plans.flagship import flagship_inputs
+    from glosa.plans.pipeline import RunConfig
+
+    from conftest import SF001
+
+    train, _, assets = flagship_inputs(spark, SF001)
+    feats, layout = reg.build_features(train, ["NumWords", "NumCharacters", "DocumentEmbeddingsBERT"], assets)
+    data = reg.assemble(feats, layout)
+    m = fit_model(data, layout)
+    emb_dim = sum(d for _, d in layout.embeddings)
+    assert m.k == emb_dim and m.c == 1.0 and len(m.regressions) == 3
+    assert all(len(c) == 2 + emb_dim for c in m.coefficients())
+    out = m.predict(data.select("comment_id", "num", "emb"))
+    assert out.where(" OR ".join(f"pred_{i} NOT IN (0, 1)" for i in range(3))).count() == 0
+    with pytest.raises(ValueError):
+        RunConfig(name="x", features=["NumWords"], num_trials=0)
