@@ -4,6 +4,9 @@ Real deployments pass their own tables (word vectors, polarity lexicon,
 vocabularies, document vectors). The derived tables below are built by Spark
 from the comment texts so that every lookup operator can be checked against
 an independent SQL query; their formulas are test definitions, not models.
+Each derived table is written once to the shared checkpoint folder: the
+broadcast size check and the join then read that copy instead of deriving the
+table from the whole corpus twice, and a lost executor does not recompute it.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
+from glosa.session import cut_lineage
 
 UNK = "<UNK>"
 
@@ -25,16 +29,18 @@ def distinct_tokens(comments: DataFrame, text_col: str = TEXT, lower: bool = Tru
 def derived_word_vectors(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
     """``(token, vector)`` for lower-cased tokens of 3+ characters:
     ``[length, length % 3, position of 'e']``."""
-    return (distinct_tokens(comments, text_col).where(F.length("token") >= 3)
-            .select("token", F.array(F.length("token").cast("double"), (F.length("token") % 3).cast("double"),
-                                     F.instr("token", "e").cast("double")).alias("vector")))
+    return cut_lineage(
+        distinct_tokens(comments, text_col).where(F.length("token") >= 3)
+        .select("token", F.array(F.length("token").cast("double"), (F.length("token") % 3).cast("double"),
+                                 F.instr("token", "e").cast("double")).alias("vector")))
 
 
 def derived_polarity(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
     """``(token, polarity)`` for lower-cased tokens of 4+ characters:
     ``(length % 5 - 2) / 2`` in [-1, 1]."""
-    return (distinct_tokens(comments, text_col).where(F.length("token") >= 4)
-            .select("token", ((F.length("token") % 5 - 2) / 2.0).alias("polarity")))
+    return cut_lineage(
+        distinct_tokens(comments, text_col).where(F.length("token") >= 4)
+        .select("token", ((F.length("token") % 5 - 2) / 2.0).alias("polarity")))
 
 
 def derived_word_vocab(comments: DataFrame, size: int = 200, text_col: str = TEXT) -> DataFrame:
@@ -46,7 +52,8 @@ def derived_word_vocab(comments: DataFrame, size: int = 200, text_col: str = TEX
     # Ids over at most ``size`` rows.
     ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))) + 1)
                         .cast("int").alias("id"))
-    return ranked.unionByName(comments.sparkSession.createDataFrame([(UNK, 1)], "token string, id int"))
+    return cut_lineage(
+        ranked.unionByName(comments.sparkSession.createDataFrame([(UNK, 1)], "token string, id int")))
 
 
 def derived_char_vocab(spark) -> DataFrame:
