@@ -34,6 +34,8 @@ REFERENCE_PATTERN = f"http*{NON_WS}+"
 CLEAN_URL_PATTERN = f"https*{NON_WS}+"
 CLEAN_MENTION_PATTERN = f"@{NON_WS}+"
 CLEAN_KEEP_CHARS = "[^A-Za-züöäÖÜÄß ]"
+# The same rule as runs of kept characters: joining them deletes everything else.
+CLEAN_KEEP_RUN = "[A-Za-züöäÖÜÄß ]+"
 
 # Digits are spelled out in German before cleaning, in this order.
 DIGIT_WORDS = [
@@ -171,7 +173,9 @@ def clean_text(text: Column) -> Column:
     t = F.regexp_replace(t, CLEAN_MENTION_PATTERN, "")
     for digit, word in DIGIT_WORDS:
         t = F.replace(t, F.lit(digit), F.lit(word))
-    t = F.regexp_replace(t, CLEAN_KEEP_CHARS, "")
+    # Keep-runs joined rather than a replace of the negated class: Java's regex
+    # pays a failed match attempt at every kept character with the latter.
+    t = F.array_join(F.regexp_extract_all(t, F.lit(CLEAN_KEEP_RUN), F.lit(0)), "")
     t = F.trim(F.regexp_replace(t, " +", " "))
     return F.lower(t)
 
