@@ -110,18 +110,18 @@ def word_length_std(text: Column) -> Column:
     return log_scale(F.try_divide(F.sqrt(var_n2.cast("double")), m["n"].cast("double")))
 
 
-def _stop_array(stopwords: Iterable[str] | None) -> Column:
-    words = list(DEFAULT_STOPWORDS if stopwords is None else stopwords)
-    if not words:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(w) for w in words])
-
-
 def stopword_ratio(text: Column, stopwords: Iterable[str] | None = None) -> Column:
-    """ln(stopword tokens / tokens) over lower-cased whitespace tokens."""
+    """ln(stopword tokens / tokens) over lower-cased whitespace tokens.
+
+    Membership is an ``isin`` over the literal list, which the optimizer turns
+    into a hash-set lookup (``InSet``) for lists over ten words — constant time
+    per token for a full stop-word list."""
     toks = tokens(F.lower(text))
-    stop = _stop_array(stopwords)
-    hits = F.size(F.filter(toks, lambda t: F.array_contains(stop, t)))
+    words = list(dict.fromkeys(DEFAULT_STOPWORDS if stopwords is None else stopwords))
+    if words:
+        hits = F.size(F.filter(toks, lambda t: t.isin(*words)))
+    else:
+        hits = F.lit(0)
     return log_scale(F.try_divide(hits.cast("double"), F.size(toks).cast("double")))
 
 
