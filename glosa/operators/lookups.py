@@ -108,10 +108,15 @@ def window_lengths(df: DataFrame, window: int, hop: int, max_windows: int | None
     return w.select(id_col, "window_idx", F.size("window_tokens").cast("int").alias("n_words"))
 
 
-def char_map(char_vocab: DataFrame, max_entries: int = 100_000):
+# Largest character vocabulary inlined as a map literal: a map lookup scans the
+# keys, so bigger alphabets go through the lookup join instead.
+CHAR_MAP_MAX = 256
+
+
+def char_map(char_vocab: DataFrame, max_entries: int = CHAR_MAP_MAX):
     """Character vocabulary as a map literal; bounded, because it is inlined."""
-    rows = char_vocab.select("token", "id").limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
+    rows = char_vocab.select("token", "id").limit(max_entries + 2).collect()
+    if len(rows) > max_entries + 1:
         raise ValueError("character vocabulary too large to inline")
     unk = next((int(r[1]) for r in rows if r[0] == UNK), None)
     if unk is None:
@@ -120,15 +125,34 @@ def char_map(char_vocab: DataFrame, max_entries: int = 100_000):
     return (F.create_map(*entries) if entries else F.create_map().cast("map<string,int>")), unk
 
 
+def _chars(token, max_chars: int):
+    return F.regexp_extract_all(F.substring(token, 1, max_chars), F.lit("(?s)."), F.lit(0))
+
+
 def char_ids(token, char_vocab_map, unk: int, max_chars: int):
     """First ``max_chars`` code points of a token → ids (``<UNK>`` otherwise)."""
-    chars = F.regexp_extract_all(F.substring(token, 1, max_chars), F.lit("(?s)."), F.lit(0))
-    return F.transform(chars, lambda c: F.coalesce(F.element_at(char_vocab_map, c), F.lit(unk)).cast("int"))
+    return F.transform(_chars(token, max_chars),
+                       lambda c: F.coalesce(F.element_at(char_vocab_map, c), F.lit(unk)).cast("int"))
 
 
 def char_encode(df: DataFrame, char_vocab: DataFrame, window: int, hop: int, max_windows: int | None,
-                max_chars: int, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    """``(id, window_idx, pos, char_ids array<int>)``."""
-    m, unk = char_map(char_vocab)
+                max_chars: int, text_col: str = TEXT, id_col: str = COMMENT_ID,
+                strategy: str = "auto") -> DataFrame:
+    """``(id, window_idx, pos, char_ids array<int>)``.
+
+    A small alphabet is an inlined map, looked up inside the row. A larger one
+    is joined: the characters of each token are exploded with their position,
+    looked up with the size-checked join, and re-collected in order per token —
+    a group holds at most ``max_chars`` rows."""
     rows = window_token_rows(df, window, hop, max_windows, text_col, id_col)
-    return rows.select(id_col, "window_idx", "pos", char_ids(F.col("token"), m, unk, max_chars).alias("char_ids"))
+    if char_vocab.limit(CHAR_MAP_MAX + 2).count() <= CHAR_MAP_MAX + 1:
+        m, unk = char_map(char_vocab)
+        return rows.select(id_col, "window_idx", "pos", char_ids(F.col("token"), m, unk, max_chars).alias("char_ids"))
+    unk = _unk_id(char_vocab)
+    keys = [id_col, "window_idx", "pos"]
+    chars = rows.select(*keys, F.posexplode(_chars(F.col("token"), max_chars)).alias("_ci", "token"))
+    hit = lookup_join(chars, char_vocab.where(F.col("token") != UNK).select("token", F.col("id").alias("_cid")),
+                      "token", "left", strategy=strategy, salt_cols=[*keys, "_ci"])
+    per_token = hit.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.struct("_ci", F.coalesce(F.col("_cid"), F.lit(unk)).cast("int").alias("_cid")))).alias("_c"))
+    return per_token.select(*keys, F.transform("_c", lambda x: x["_cid"]).alias("char_ids"))

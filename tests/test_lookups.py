@@ -149,3 +149,16 @@ def test_fused_token_lookups_equal_separate(docs):
     for k, r in both.items():
         assert np.allclose(r["pooled"], alone_v[k]["pooled"])
         assert math.isclose(r["polarity"], alone_p[k]["polarity"], abs_tol=1e-12)
+
+
+def test_char_encode_join_path_equals_map_path(spark, docs):
+    """A vocabulary too large to inline goes through the lookup join; the ids
+    agree with the inlined-map path where both vocabularies agree."""
+    small = lt.derived_char_vocab(spark)
+    extra = spark.createDataFrame([(chr(0x3400 + i), 1000 + i) for i in range(lk.CHAR_MAP_MAX + 10)],
+                                  "token string, id int")
+    big = small.unionByName(extra)
+    a = lk.char_encode(docs, small, 25, 20, 40, 15)
+    b = lk.char_encode(docs, big, 25, 20, 40, 15)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0
