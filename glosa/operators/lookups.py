@@ -118,6 +118,10 @@ def char_map(char_vocab: DataFrame, max_entries: int = CHAR_MAP_MAX):
     rows = char_vocab.select("token", "id").limit(max_entries + 2).collect()
     if len(rows) > max_entries + 1:
         raise ValueError("character vocabulary too large to inline")
+    return _map_of(rows)
+
+
+def _map_of(rows):
     unk = next((int(r[1]) for r in rows if r[0] == UNK), None)
     if unk is None:
         raise ValueError(f"character vocabulary has no {UNK} entry")
@@ -145,8 +149,9 @@ def char_encode(df: DataFrame, char_vocab: DataFrame, window: int, hop: int, max
     looked up with the size-checked join, and re-collected in order per token —
     a group holds at most ``max_chars`` rows."""
     rows = window_token_rows(df, window, hop, max_windows, text_col, id_col)
-    if char_vocab.limit(CHAR_MAP_MAX + 2).count() <= CHAR_MAP_MAX + 1:
-        m, unk = char_map(char_vocab)
+    small = char_vocab.select("token", "id").limit(CHAR_MAP_MAX + 2).collect()  # bounded probe
+    if len(small) <= CHAR_MAP_MAX + 1:
+        m, unk = _map_of(small)
         return rows.select(id_col, "window_idx", "pos", char_ids(F.col("token"), m, unk, max_chars).alias("char_ids"))
     unk = _unk_id(char_vocab)
     keys = [id_col, "window_idx", "pos"]
