@@ -14,11 +14,12 @@
    is missed with a probability of at most ``miss``.
 4. Buckets are verified on the full sets in rounds. A round picks a few pivots
    per bucket (1, 8, 64, ... by a priority fixed per class, so buckets with the
-   same members pick the same) and compares them with the bucket's members of
-   other components. A pivot that was compared leaves the bucket; a bucket
-   whose members share one component is done. All pairs that could still link
-   two components get compared, but pairs inside a component never are: a
-   bucket of n near copies costs about n comparisons, not n².
+   same members pick the same, and the class with the fewest shingles of its
+   own) and compares them with the bucket's members of other components. A
+   pivot that was compared leaves the bucket; a bucket whose members share one
+   component is done. All pairs that could still link two components get
+   compared, but pairs inside a component never are, nor are pairs which the
+   counts of their shingles rule out.
 5. Links are grouped by union-find: within each partition at first, then by
    large-star and small-star rounds over the remaining forest.
 
@@ -282,10 +283,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        for node, value in zip(part.column("node").to_pylist(), part.column("shingles"), strict=True):
+            shingles = np.frombuffer(value.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), node)), pa.array(shingles)],
+                                             names=["node", "shingle"])
+
+
+def _with_own(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with ``own``: how many of a class's shingles no other class among them has."""
+    nodes = members.select("node").distinct()
+    single = (sets.join(nodes, "node").mapInArrow(_shingles, "node long, shingle long").groupBy("shingle")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1"))
+    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return stored(members.drop("own").join(own, "node", "left").na.fill(0, ["own"]), "own")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, component) after all needed comparisons within the buckets."""
+    """(node, component) after all needed comparisons within the buckets.
+
+    Shingles that only one class has are in no intersection: a pair whose other
+    shingles cannot reach the threshold is not compared.
+    """
     sets = stored(_sets(docs, classes, members, k), "sets")
     links, labels, pivots = None, None, 1
+    members = members.withColumn("own", F.lit(0).cast("long"))
     # A class's place in [0, 1) by a hash of its number: the same in all buckets.
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     while True:
@@ -293,18 +316,23 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
             state = members.withColumn("component", F.col("node"))
         else:
             state = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_buckets = (state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"),
-                                                    F.min("component").alias("c0"), F.max("component").alias("c1"))
-                        .where("c0 < c1").select("bucket", "size", "least"))
+        open_buckets = (state.groupBy("bucket")
+                        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("own") / F.col("n"), "node")).alias("least"),
+                             F.min("component").alias("c0"), F.max("component").alias("c1"))
+                        .where("c0 < c1").select("bucket", "size", F.col("least.node").alias("least")))
         state = stored(state.join(open_buckets, "bucket").withColumn(
             "pivot", (F.col("node") == F.col("least")) | (place * F.col("size") < F.lit(float(pivots)))), "state")
         drop_stored(members)
         if state.isEmpty():
             break
+        if pivots == 8:
+            state, before = _with_own(state, sets), state
+            drop_stored(before)
         chosen = state.where("pivot").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"),
-                                             F.col("component").alias("pc"))
+                                             F.col("own").alias("po"), F.col("component").alias("pc"))
+        both = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("po"))
         pairs = (state.join(chosen, "bucket").where("component <> pc")
-                 .where(F.lit(den) * F.least("n", "pn") >= F.lit(num) * F.greatest("n", "pn"))
+                 .where(F.lit(den) * both >= F.lit(num) * (F.col("n") + F.col("pn") - both))
                  .where("not pivot or node < p")
                  .select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -314,7 +342,7 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
         if not found.isEmpty():
             links = found if links is None else links.unionAll(found)
             labels = components(links)
-        members = state.where("not pivot").select("bucket", "node", "n")
+        members = state.where("not pivot").select("bucket", "node", "n", "own")
         pivots *= 8
     drop_stored(sets)
     return labels if labels is not None else classes.select("node", F.col("node").alias("component")).limit(0)
