@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glosa.llm.common import table
 from glosa.llm.minhash import near_duplicates
+from glosa.llm.mixing import mix
+from glosa.llm.quality import BASE, quality_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +27,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+@query
+def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix takes."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and the cascade's verdict."""
+    scored = quality_cascade(table(spark, sf_dir, "documents"))
+    return scored.select("row.doc_id", *BASE, "base_failed", "kept")
