@@ -8,11 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glosa.llm.common import table
+from glosa.llm.decontaminate import contaminated
 from glosa.llm.minhash import near_duplicates
 from glosa.llm.mixing import mix
 from glosa.llm.quality import BASE, quality_cascade
+from glosa.llm.tokens import token_files
+
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +45,23 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document and the cascade's verdict."""
     scored = quality_cascade(table(spark, sf_dir, "documents"))
     return scored.select("row.doc_id", *BASE, "base_failed", "kept")
+
+
+@query
+def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's token ids, read back from the shards."""
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
