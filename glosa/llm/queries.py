@@ -15,6 +15,7 @@ from glosa.llm.decontaminate import contaminated
 from glosa.llm.minhash import near_duplicates
 from glosa.llm.mixing import mix
 from glosa.llm.quality import BASE, quality_cascade
+from glosa.llm.secrets import secrets
 from glosa.llm.tokens import token_files
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,3 +66,9 @@ def tokenizer_path() -> str:
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's token ids, read back from the shards."""
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets(table(spark, sf_dir, "documents"))
