@@ -17,6 +17,7 @@ from glosa.llm.mixing import mix
 from glosa.llm.quality import BASE, quality_cascade
 from glosa.llm.secrets import secrets
 from glosa.llm.tokens import token_files
+from glosa.llm.warc import archived
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -72,3 +73,9 @@ def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after a round trip through archives."""
+    return archived(table(spark, sf_dir, "pages"))
