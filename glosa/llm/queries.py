@@ -10,8 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosa.llm.chat import CLOSE, OPEN, UNKNOWN, format_chats
 from glosa.llm.common import table
 from glosa.llm.decontaminate import contaminated
+from glosa.llm.language import fit_text_model, identify, page_items
+from glosa.llm.line_dedup import site_lines
 from glosa.llm.minhash import near_duplicates
 from glosa.llm.mixing import mix
 from glosa.llm.quality import BASE, quality_cascade
@@ -30,6 +33,40 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal logged conversations, rendered."""
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every page without its site's boilerplate lines."""
+    return site_lines(table(spark, sf_dir, "pages"))
+
+
+LANGUAGE_SAMPLE_ROWS = 4000
+
+
+@query
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and page.
+
+    The text model is fitted on LANGUAGE_SAMPLE_ROWS labelled documents. A
+    document's host is its source; its label is not evidence. Pages bring
+    markup, suffix and host. Ids of the other table are null.
+    """
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit_text_model(docs, "text", "lang", LANGUAGE_SAMPLE_ROWS)
+    none = F.lit(None).cast("string")
+    items = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("markup"),
+                        none.alias("suffix"), F.concat(F.lit("source:"), "source").alias("host"), none.alias("parent"))
+    items = items.unionByName(page_items(pages).select(
+        F.lit(None).cast("long").alias("doc_id"), "page.page_id", "text", "markup", "suffix", "host", "parent"))
+    return identify(items, model).select("row.doc_id", "row.page_id", "language", F.round("probability", 6).alias("probability"),
+                                         "text_language")
+
+
 @query
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
