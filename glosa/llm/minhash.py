@@ -18,8 +18,8 @@
    own) and compares them with the bucket's members of other components. A
    pivot that was compared leaves the bucket; a bucket whose members share one
    component is done. All pairs that could still link two components get
-   compared, but pairs inside a component never are, nor are pairs which the
-   counts of their shingles rule out.
+   compared, but pairs inside a component never are, nor are pairs without a
+   rare shingle in common whose other shingles are too few.
 5. Links are grouped by union-find: within each partition at first, then by
    large-star and small-star rounds over the remaining forest.
 
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from glosa.llm.common import drop_stored, slices, stored
 
 SLICE_BYTES = 2_000_000
+RARE = 8
 UNFILLED = np.uint64(2**64 - 1)
 
 
@@ -291,20 +292,29 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["node", "shingle"])
 
 
-def _with_own(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with ``own``: how many of a class's shingles no other class among them has."""
-    nodes = members.select("node").distinct()
-    single = (sets.join(nodes, "node").mapInArrow(_shingles, "node long, shingle long").groupBy("shingle")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1"))
-    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    return stored(members.drop("own").join(own, "node", "left").na.fill(0, ["own"]), "own")
+def _rare_shingles(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """(shingle, node, df) of the shingles that at most RARE of the open buckets' classes have."""
+    rows = sets.join(state.select("node").distinct(), "node").mapInArrow(_shingles, "node long, shingle long")
+    few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
+    return stored(rows.join(few, "shingle"), "rare")
+
+
+def _sharing(rare: DataFrame, state: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes of different components and like sizes that share a rare shingle: RARE partners a shingle at most."""
+    nodes = state.select("node", "n", "component").distinct()
+    held = rare.where("df > 1").join(nodes, "node")
+    other = held.select("shingle", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+    return (held.join(other, "shingle").where("node < p and component <> pc")
+            .where(F.lit(den) * F.least("n", "pn") >= F.lit(num) * F.greatest("n", "pn"))
+            .select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
 
 
 def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) after all needed comparisons within the buckets.
 
-    Shingles that only one class has are in no intersection: a pair whose other
-    shingles cannot reach the threshold is not compared.
+    After the first round, pairs that share a rare shingle are compared through
+    an index of those. The others have no rare shingle in their intersection,
+    and are compared only if their other shingles could reach the threshold.
     """
     sets = stored(_sets(docs, classes, members, k), "sets")
     links, labels, pivots = None, None, 1
@@ -325,9 +335,12 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
         drop_stored(members)
         if state.isEmpty():
             break
+        sharing = None
         if pivots == 8:
-            state, before = _with_own(state, sets), state
-            drop_stored(before)
+            rare = _rare_shingles(state, sets)
+            sharing = _sharing(rare, state, num, den)
+            own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+            state = stored(state.drop("own").join(own, "node", "left").na.fill(0, ["own"]), "state")
         chosen = state.where("pivot").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"),
                                              F.col("own").alias("po"), F.col("component").alias("pc"))
         both = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("po"))
@@ -335,6 +348,7 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
                  .where(F.lit(den) * both >= F.lit(num) * (F.col("n") + F.col("pn") - both))
                  .where("not pivot or node < p")
                  .select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
+        pairs = pairs if sharing is None else pairs.unionAll(sharing).distinct()
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         found = stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
