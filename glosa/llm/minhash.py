@@ -13,7 +13,7 @@
    number of bands follows from the threshold so that a pair at the threshold
    is missed with a probability of at most ``miss``.
 4. Buckets are verified on the full sets in rounds. A round picks a few pivots
-   per bucket (1, 8, 64, ... by a priority fixed per class, so buckets with the
+   per bucket (1, 16, 256, ... by a priority fixed per class, so buckets with the
    same members pick the same, and the class with the fewest shingles of its
    own) and compares them with the bucket's members of other components. A
    pivot that was compared leaves the bucket; a bucket whose members share one
@@ -250,8 +250,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when ``den * |A ∩ B| >= num * |A ∪ B|`` over their
     ``shingle``-word sets. Returns one row per input row: the id column,
     ``n_shingles``, ``class_size`` (rows with the same set; null without
-    shingles), ``component_id`` (least id of the component) and ``kept`` (the id
-    equals it). An empty table gives no rows.
+    shingles), ``component_id`` (least id of the component), ``kept`` (the id
+    equals it), ``row_hash`` (of id and text) and ``stays`` (the row is its
+    component's first by id, nulls last, and row_hash). An empty table gives no
+    rows.
     """
     bands = bands_for(num / den, rows, miss)
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"),
@@ -261,27 +263,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     f"id {kind}, row_hash long, n_shingles long, set_key binary, bands array<long>"),
                     "signed")
     classes = stored(signed.where("set_key is not null").groupBy("set_key")
-                     .agg(F.min("id").alias("least_id"), F.min("row_hash").alias("row_hash"),
+                     .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_hash")).alias("first"),
                           F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("class_size"),
                           F.first("bands").alias("bands"))
+                     .withColumn("row_hash", F.col("first.row_hash"))
                      .withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "node", F.col("n").alias("n"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"), "members")
-    named = classes.select("node", "least_id", "set_key", "class_size")
+    named = classes.select("node", "first", "set_key", "class_size")
     if not members.isEmpty():
         labels = _verified(docs, classes, members, shingle, num, den)
         named = (named.join(labels, "node", "left")
                  .withColumn("component", F.coalesce("component", "node")))
-        least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        least = named.groupBy("component").agg(F.min("first").alias("name"))
         named = named.join(least, "component")
     else:
-        named = named.withColumn("component_id", F.col("least_id"))
-    out = signed.select("id", "n_shingles", "set_key").join(
-        named.select("set_key", "class_size", "component_id"), "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        named = named.withColumn("name", F.col("first"))
+    out = signed.select("id", "row_hash", "n_shingles", "set_key").join(
+        named.select("set_key", "class_size", "name"), "set_key", "left")
+    alone = F.col("set_key").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("name.id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "class_size", component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+                      F.col("id").eqNullSafe(component).alias("kept"), "row_hash",
+                      (alone | (F.col("row_hash") == F.col("name.row_hash"))).alias("stays"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input rows without their near duplicates: of each component the row that names it.
+
+    Of rows with that row's id and text one stays, the one with the least hash of
+    all columns. Rows without shingles stay, equal ones once.
+    """
+    stay = near_duplicates(docs, id_col, text_col, **options).where("stays").select(
+        F.col(id_col).alias("stay_id"), F.col("row_hash").alias("stay_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
+                       F.xxhash64(id_col, text_col).alias("row_hash"), F.xxhash64(*docs.columns).alias("order"))
+    rows = rows.join(stay, (F.col("row_hash") == F.col("stay_hash")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
+    return rows.groupBy("row_hash", "id").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,17 +355,22 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
         if state.isEmpty():
             break
         sharing = None
-        if pivots == 8:
+        if pivots == 16:
             rare = _rare_shingles(state, sets)
             sharing = _sharing(rare, state, num, den)
             own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
             state = stored(state.drop("own").join(own, "node", "left").na.fill(0, ["own"]), "state")
+        # A pair is compared in the first of the open buckets it shares.
+        open_of = state.groupBy("node").agg(F.collect_list("bucket").alias("open"))
+        state = stored(state.drop("open").join(open_of, "node"), "state")
         chosen = state.where("pivot").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"),
-                                             F.col("own").alias("po"), F.col("component").alias("pc"))
+                                             F.col("own").alias("po"), F.col("component").alias("pc"),
+                                             F.col("open").alias("popen"))
         both = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("po"))
         pairs = (state.join(chosen, "bucket").where("component <> pc")
                  .where(F.lit(den) * both >= F.lit(num) * (F.col("n") + F.col("pn") - both))
                  .where("not pivot or node < p")
+                 .where(F.col("bucket") == F.array_min(F.array_intersect("open", "popen")))
                  .select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
         pairs = pairs if sharing is None else pairs.unionAll(sharing).distinct()
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -357,6 +381,6 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
             links = found if links is None else links.unionAll(found)
             labels = components(links)
         members = state.where("not pivot").select("bucket", "node", "n", "own")
-        pivots *= 8
+        pivots *= 16
     drop_stored(sets)
     return labels if labels is not None else classes.select("node", F.col("node").alias("component")).limit(0)

@@ -70,7 +70,8 @@ def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+    groups = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept", "class_size")
 
 
 @query
