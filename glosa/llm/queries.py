@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosa.llm.chat import CLOSE, OPEN, UNKNOWN, format_chats
+from glosa.llm.chat import format_chats
 from glosa.llm.common import table
 from glosa.llm.decontaminate import contaminated
 from glosa.llm.language import fit_text_model, identify, page_items
 from glosa.llm.line_dedup import site_lines
 from glosa.llm.minhash import near_duplicates
 from glosa.llm.mixing import mix
+from glosa.llm.oracles import ORACLES  # noqa: F401 (read by the entry)
 from glosa.llm.quality import BASE, quality_cascade
 from glosa.llm.secrets import secrets
 from glosa.llm.tokens import token_files
@@ -25,7 +26,6 @@ from glosa.llm.warc import archived
 TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
