@@ -91,9 +91,12 @@ def _doc_vector(name: str):
     def attach(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
         out = f"e_{name}"
         if name in a.doc_vectors:
-            vecs, _ = a.doc_vectors[name]
+            # A comment without a vector keeps its row: zeros, and 0 in the presence column.
+            vecs, dim = a.doc_vectors[name]
             v = vecs.select(F.col(id_col), F.col("vector").cast("array<double>").alias(out))
-            return df.join(v, id_col, "left"), [out]
+            joined = df.join(v, id_col, "left").withColumn(
+                f"f_has_{name}", F.when(F.col(out).isNotNull(), 1.0).otherwise(0.0))
+            return joined.withColumn(out, F.coalesce(out, F.array_repeat(F.lit(0.0), dim))), [out]
         if name in a.scorers:
             fn, _ = a.scorers[name]
             return df.withColumn(out, fn(F.col(TEXT))), [out]
@@ -111,12 +114,17 @@ def _doc_dim(name: str, default: int):
     return dim
 
 
-def _sentiment_bert(t: Column, a: FeatureAssets) -> list[Column]:
+def _sentiment_bert(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
+    """Class scores of the whole cleaned text: the mean over its model-sized chunks."""
+    from glosa.operators.scoring import model_input_chunks
     if "SentimentBERT" not in a.scorers:
         raise ValueError("SentimentBERT needs a scorer (cleaned-text model)")
     fn, dim = a.scorers["SentimentBERT"]
-    scores = fn(tx.clean_text(t))
-    return [scores[i].alias(f"f_SentimentBERT_{i}") for i in range(dim)]
+    chunks = df.select(id_col, F.explode(model_input_chunks(tx.clean_text(F.col(TEXT)))).alias("chunk"))
+    scores = chunks.select(id_col, fn(F.col("chunk")).alias("s"))
+    cols = [f"f_SentimentBERT_{i}" for i in range(dim)]
+    means = scores.groupBy(id_col).agg(*[F.avg(F.col("s")[i]).alias(c) for i, c in enumerate(cols)])
+    return df.join(means, id_col, "left"), cols
 
 
 REGISTRY: dict[str, FeatureSpec] = {s.name: s for s in [
@@ -134,7 +142,7 @@ REGISTRY: dict[str, FeatureSpec] = {s.name: s for s in [
                 names=lambda a: list(iss.SLOT_NAMES)),
     FeatureSpec("SentimentTextBlob", NUMERICAL, lambda a: 1, attach=_polarity),
     FeatureSpec("SentimentBERT", NUMERICAL, lambda a: a.scorers.get("SentimentBERT", (None, 3))[1],
-                columns=_sentiment_bert),
+                attach=_sentiment_bert),
     FeatureSpec("DocumentEmbeddingsFastTextPool", EMBEDDING, lambda a: a.word_vector_dim, attach=_pooled),
     FeatureSpec("DocumentEmbeddingsBERT", EMBEDDING, _doc_dim("DocumentEmbeddingsBERT", 768),
                 attach=_doc_vector("DocumentEmbeddingsBERT")),
@@ -212,6 +220,7 @@ class FeatureLayout:
     embeddings: list[tuple[str, int]]
     names: list[str]
     kinds: list[str]
+    presence: list[str] = field(default_factory=list)  # the last columns of ``numerical``
 
     @property
     def width(self) -> int:
@@ -231,11 +240,21 @@ def layout_of(names: Sequence[str], assets: FeatureAssets) -> FeatureLayout:
     return FeatureLayout(num, emb, fnames, kinds)
 
 
-def feature_set_hash(names: Sequence[str], assets: FeatureAssets) -> str:
-    """Cache key of a feature list (S4, fixes path-only caching)."""
+def asset_tables(assets: FeatureAssets) -> dict[str, DataFrame]:
+    """The tables behind table-backed features."""
+    named = {"word_vectors": assets.word_vectors, "polarity": assets.polarity}
+    named |= {f"doc_vectors:{n}": df for n, (df, _) in assets.doc_vectors.items()}
+    return {n: df for n, df in named.items() if df is not None}
+
+
+def feature_set_hash(names: Sequence[str], assets: FeatureAssets, inputs: dict[str, str] | None = None) -> str:
+    """Cache key of a feature list (S4): the list, the parameters of its assets and
+    the fingerprints of the tables it reads (``inputs``)."""
     key = {"names": list(names), "stop": list(assets.stopwords or tx.DEFAULT_STOPWORDS),
            "rules": [(r.rule_id, r.category, r.pattern) for r in assets.issue_rules],
-           "wv_dim": assets.word_vector_dim}
+           "wv_dim": assets.word_vector_dim, "doc_dims": {n: d for n, (_, d) in assets.doc_vectors.items()},
+           "scorers": sorted(assets.scorers), "fitted": {n: getattr(m, "uid", "") for n, m in assets.fitted.items()},
+           "inputs": inputs or {}}
     return hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
 
 
@@ -253,13 +272,14 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
     specs = resolve(names)
     text = F.col(TEXT)
     kept = [c for c in keep if c in df.columns]
+    col_of: dict[str, list[str]] = {}
     row_cols: list[Column] = []
     for s in specs:
         if s.columns is not None:
-            row_cols += s.columns(text, assets)
+            made = s.columns(text, assets)
+            col_of[s.name] = df.select(*made).columns
+            row_cols += made
     out = df.select(id_col, TEXT, *kept, *row_cols)
-    col_of: dict[str, list[str]] = {}
-    produced = out.columns
     fused = [s.name for s in specs if s.name in TOKEN_LOOKUP_FEATURES]
     if len(fused) > 1:
         out = _attach_token_lookups(out, assets, id_col)
@@ -275,46 +295,57 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
         elif s.attach is not None and s.name not in col_of:
             out, cols = s.attach(out, assets, id_col)
             col_of[s.name] = cols
-    # Column names per spec, in config order.
-    num, emb = [], []
-    row_names = [c for c in produced if c.startswith("f_") or c.startswith("issue_")]
+    # Each spec's own columns, in config order; their number must be what the spec says.
+    layout = layout_of(names, assets)
     for s in specs:
-        if s.name in col_of:
-            cols = col_of[s.name]
-        elif s.name == "SpellingMistakes":
-            cols = list(iss.ISSUE_COLUMNS)
-        else:
-            cols = [c for c in row_names if c == f"f_{s.name}" or c.startswith(f"f_{s.name}_")]
+        cols, dim = col_of[s.name], s.dim(assets)
+        if len(cols) != (dim if s.kind == NUMERICAL else 1) or len(s.feature_names(assets)) != dim:
+            raise ValueError(f"{s.name} declares {dim} dimensions but gives columns {cols} and "
+                             f"{len(s.feature_names(assets))} names")
         if s.kind == NUMERICAL:
-            num += cols
+            layout.numerical += cols
         else:
-            emb += [(c, s.dim(assets)) for c in cols]
-    layout = layout_of(names, assets)
-    layout.numerical, layout.embeddings = num, emb
-    return out.drop(TEXT).select(id_col, *kept, *num, *[c for c, _ in emb]), layout
+            layout.embeddings.append((cols[0], dim))
+        if f"f_has_{s.name}" in out.columns:
+            layout.presence.append(f"f_has_{s.name}")
+    layout.numerical += layout.presence
+    layout.names += [c.removeprefix("f_") for c in layout.presence]
+    layout.kinds += [NUMERICAL] * len(layout.presence)
+    return out.drop(TEXT).select(id_col, *kept, *layout.numerical, *[c for c, _ in layout.embeddings]), layout
 
 
 def assemble(df: DataFrame, layout: FeatureLayout, num_out: str = "num", emb_out: str = "emb") -> DataFrame:
-    """P4/P5 inputs: the numerical block and the concatenated embedding block as
-    ML vectors. Rows with a missing feature are left out (count them with
-    ``incomplete_rows``)."""
-    complete = F.lit(True)
-    for c in layout.numerical:
-        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c))
-    for c, _ in layout.embeddings:
-        complete = complete & F.col(c).isNotNull()
-    out = df.where(complete)
+    """P4/P5 inputs: the numerical block and the concatenated embedding block as ML
+    vectors. Every row stays: a missing number becomes 0, a missing embedding
+    zeros (count such rows with ``incomplete_rows``). Both vectors carry the
+    features' names as ML attributes (P7)."""
+    out = df
     if layout.numerical:
-        out = VectorAssembler(inputCols=layout.numerical, outputCol=num_out).transform(out)
+        filled = df.select("*", *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_n_{i}")
+                                  for i, c in enumerate(layout.numerical)])
+        cols = [f"_n_{i}" for i in range(len(layout.numerical))]
+        out = VectorAssembler(inputCols=cols, outputCol=num_out).transform(filled).drop(*cols)
+        out = out.withMetadata(num_out, _attributes(layout.numerical_names))
     if layout.embeddings:
-        out = out.withColumn(emb_out, array_to_vector(F.concat(*[F.col(c) for c, _ in layout.embeddings])))
+        blocks = [F.transform(F.coalesce(F.col(c), F.array_repeat(F.lit(0.0), d)), lambda x: F.coalesce(x, F.lit(0.0)))
+                  for c, d in layout.embeddings]
+        out = out.withColumn(emb_out, array_to_vector(F.concat(*blocks)))
+        out = out.withMetadata(emb_out, _attributes([f"{c}_{i}" for c, d in layout.embeddings for i in range(d)]))
     return out
 
 
+def _attributes(names: Sequence[str]) -> dict:
+    return {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]},
+                        "num_attrs": len(names)}}
+
+
 def incomplete_rows(df: DataFrame, layout: FeatureLayout) -> int:
+    """Rows for which ``assemble`` fills something in, or whose vector was missing."""
     bad = F.lit(False)
     for c in layout.numerical:
         bad = bad | F.col(c).isNull() | F.isnan(F.col(c))
     for c, _ in layout.embeddings:
         bad = bad | F.col(c).isNull()
+    for c in layout.presence:
+        bad = bad | (F.col(c) == 0.0)
     return df.where(bad).count()

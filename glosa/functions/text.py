@@ -43,10 +43,16 @@ DIGIT_WORDS = [
     ("5", " fünf"), ("6", " sechs"), ("7", " sieben"), ("8", " acht"), ("9", " neun"),
 ]
 
-# Our emoji definition: single code points in these blocks (Misc Symbols,
-# Dingbats and the supplementary pictograph planes). Skin tones, VS16 and ZWJ
-# parts inside those blocks count as symbols of their own.
-EMOJI_CLASS = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
+# Unicode ranges of emoji. A symbol is a flag (two regional
+# letters), a keycap, or a base with what modifies it (variation selector, skin
+# tone, tags), joined to others by zero-width joiners; it counts as one.
+EMOJI_BASE = (r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{231A}\x{231B}\x{2328}\x{23CF}\x{23E9}-\x{23F3}"
+              r"\x{23F8}-\x{23FA}\x{24C2}\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}\x{2194}-\x{2199}"
+              r"\x{21A9}\x{21AA}\x{2934}\x{2935}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{203C}"
+              r"\x{2049}\x{2122}\x{2139}\x{3030}\x{303D}\x{3297}\x{3299}\x{A9}\x{AE}]")
+EMOJI_ELEMENT = rf"{EMOJI_BASE}\x{{FE0F}}?[\x{{1F3FB}}-\x{{1F3FF}}]?[\x{{E0020}}-\x{{E007F}}]*"
+EMOJI = (rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}}"
+         rf"|{EMOJI_ELEMENT}(?:\x{{200D}}{EMOJI_ELEMENT})*")
 
 # Address tokens counted after lower-casing.
 USER_TOKEN = "@user"
@@ -151,7 +157,7 @@ def num_medium_addressed(text: Column) -> Column:
 
 
 def emoji_list(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(EMOJI_CLASS), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(EMOJI), F.lit(0))
 
 
 def average_emoji_repetition(text: Column) -> Column:

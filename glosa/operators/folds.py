@@ -41,15 +41,15 @@ def label_code(labels: Sequence[str] = LABELS) -> Column:
 
 def _bounded_codes(df: DataFrame, code_col: str, bound: int) -> list[str]:
     """Distinct codes, collected only because their number is bounded."""
-    rows = df.select(code_col).distinct().limit(bound + 1).collect()
+    rows = df.where(F.col(code_col).isNotNull()).select(code_col).distinct().limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} distinct label codes; labels must be 0/1")
-    return sorted(r[0] for r in rows if r[0] is not None)
+    return sorted(r[0] for r in rows)
 
 
 def multilabel_to_multiclass(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Add ``label_code`` and ``class_id`` = rank of the code among the sorted
-    distinct codes (at most 2**len(labels) of them)."""
+    distinct codes (at most 2**len(labels) of them); null where a label is null."""
     coded = df.withColumn(CODE, label_code(labels))
     codes = _bounded_codes(coded, CODE, 2 ** len(labels))
     mapping = F.create_map(*[x for i, c in enumerate(codes) for x in (F.lit(c), F.lit(i))])
@@ -77,13 +77,16 @@ def auto_bucket_digits(largest_class: int, n_classes: int = 8, target: int = TAR
 def stratified_folds(df: DataFrame, k: int = 7, seed: int = 42, class_col: str = CODE,
                      id_col: str = COMMENT_ID, bucket_digits: int | None = None,
                      max_classes: int = 256) -> DataFrame:
-    """Add ``fold`` in ``[0, k)`` balanced per class and overall.
+    """Add ``fold`` in ``[0, k)`` balanced per class and overall. A row without
+    a class stays, with a null fold.
 
     ``bucket_digits=None`` sizes the hash ranges from the largest class; the
     folds do not depend on it."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    unlabelled = df.where(F.col(class_col).isNull()).withColumn(FOLD, F.lit(None).cast("int"))
+    df = df.where(F.col(class_col).isNotNull())
     # Class totals: classes are few (bounded), so this is a tiny collect.
     totals = (df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_t"))
               .limit(max_classes + 1).collect())
@@ -94,12 +97,14 @@ def stratified_folds(df: DataFrame, k: int = 7, seed: int = 42, class_col: str =
     if len(totals) * 16 ** bucket_digits > MAX_START_ROWS:
         raise ValueError("start table too large to broadcast; use fewer bucket digits")
     class_off, acc = {}, 0
-    for r in sorted(totals, key=lambda r: (r[0] is None, r[0])):
+    for r in sorted(totals, key=lambda r: r[0]):
         class_off[r[0]] = acc
         acc += r[1]
     keyed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, bucket_digits))
     per_bucket = keyed.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    off_map = F.create_map(*[x for c, o in class_off.items() if c is not None for x in (F.lit(c), F.lit(o))])
+    off_map = F.create_map(*[x for c, o in class_off.items() for x in (F.lit(c), F.lit(o))])
+    if not class_off:
+        return unlabelled
     # Range start positions inside each class: prefix sums over ≤ 16**digits rows per class.
     w_range = Window.partitionBy(class_col).orderBy("_b")
     starts = per_bucket.select(
@@ -108,7 +113,7 @@ def stratified_folds(df: DataFrame, k: int = 7, seed: int = 42, class_col: str =
     w_row = Window.partitionBy(class_col, "_b").orderBy("_h", id_col)
     return (keyed.join(F.broadcast(starts), [class_col, "_b"])
             .withColumn(FOLD, ((F.col("_start") + F.row_number().over(w_row) - 1) % k).cast("int"))
-            .drop("_h", "_b", "_start"))
+            .drop("_h", "_b", "_start").unionByName(unlabelled))
 
 
 def assign_folds(df: DataFrame, k: int = 7, seed: int = 42, labels: Sequence[str] = LABELS,

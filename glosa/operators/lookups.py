@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 from glosa.operators.joins import lookup_join
-from glosa.operators.windows import token_windows
+from glosa.operators.windows import token_windows, window_tokens
 from glosa.sources.lookups import UNK
 
 
@@ -89,7 +89,7 @@ def window_token_rows(df: DataFrame, window: int, hop: int, max_windows: int | N
     return w.select(id_col, "window_idx", F.posexplode("window_tokens").alias("pos", "token"))
 
 
-def vocab_encode(df: DataFrame, vocab: DataFrame, window: int, hop: int, max_windows: int | None,
+def vocab_encode(df: DataFrame, vocab: DataFrame, window: int, hop: int, max_windows: int | None = None,
                  text_col: str = TEXT, id_col: str = COMMENT_ID, strategy: str = "auto") -> DataFrame:
     """``(id, window_idx, pos, token, word_id)``; unknown tokens get ``<UNK>``'s id.
     Lookup is exact (case-sensitive), as for the style model."""
@@ -101,63 +101,42 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, window: int, hop: int, max_win
                       F.coalesce(F.col("word_id"), F.lit(unk)).cast("int").alias("word_id"))
 
 
-def window_lengths(df: DataFrame, window: int, hop: int, max_windows: int | None,
+def window_lengths(df: DataFrame, window: int, hop: int, max_windows: int | None = None,
                    text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    """Tokens per kept window (N_w) with the number of kept windows (N_s)."""
-    w = token_windows(df, window, hop, max_windows, text_col, id_col)
-    return w.select(id_col, "window_idx", F.size("window_tokens").cast("int").alias("n_words"))
-
-
-# Largest character vocabulary inlined as a map literal: a map lookup scans the
-# keys, so bigger alphabets go through the lookup join instead.
-CHAR_MAP_MAX = 256
-
-
-def char_map(char_vocab: DataFrame, max_entries: int = CHAR_MAP_MAX):
-    """Character vocabulary as a map literal; bounded, because it is inlined."""
-    rows = char_vocab.select("token", "id").limit(max_entries + 2).collect()
-    if len(rows) > max_entries + 1:
-        raise ValueError("character vocabulary too large to inline")
-    return _map_of(rows)
-
-
-def _map_of(rows):
-    unk = next((int(r[1]) for r in rows if r[0] == UNK), None)
-    if unk is None:
-        raise ValueError(f"character vocabulary has no {UNK} entry")
-    entries = [x for r in rows if r[0] != UNK for x in (F.lit(r[0]), F.lit(int(r[1])))]
-    return (F.create_map(*entries) if entries else F.create_map().cast("map<string,int>")), unk
-
-
-def _chars(token, max_chars: int):
-    return F.regexp_extract_all(F.substring(token, 1, max_chars), F.lit("(?s)."), F.lit(0))
-
-
-def char_ids(token, char_vocab_map, unk: int, max_chars: int):
-    """First ``max_chars`` code points of a token → ids (``<UNK>`` otherwise)."""
-    return F.transform(_chars(token, max_chars),
-                       lambda c: F.coalesce(F.element_at(char_vocab_map, c), F.lit(unk)).cast("int"))
+    """Tokens per window (N_w) with the number of windows of its text (N_s)."""
+    toks = df.select(id_col, tokens(F.col(text_col)).alias("_tok"))
+    sizes = F.transform(window_tokens(F.col("_tok"), window, hop, max_windows), lambda w: F.size(w))
+    sized = toks.select(id_col, sizes.alias("_w"))
+    return sized.select(id_col, F.size("_w").cast("int").alias("n_windows"),
+                        F.posexplode("_w").alias("window_idx", "n_words"))
+
+
+def token_char_ids(tokens_df: DataFrame, char_vocab: DataFrame, max_chars: int | None,
+                   strategy: str = "auto") -> DataFrame:
+    """``(token, char_ids)`` of distinct tokens: characters are exploded with their
+    place, looked up and put back in order; a group is one token."""
+    unk = _unk_id(char_vocab)
+    text = F.col("word") if max_chars is None else F.substring("word", 1, max_chars)
+    chars = tokens_df.select(F.col("token").alias("word")).distinct()
+    chars = chars.select("word", F.posexplode_outer(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+                         .alias("_ci", "token"))
+    hit = lookup_join(chars, char_vocab.where(F.col("token") != UNK).select("token", F.col("id").alias("_cid")),
+                      "token", "left", strategy=strategy, salt_cols=["word", "_ci"])
+    one = F.when(F.col("_ci").isNotNull(),
+                 F.struct("_ci", F.coalesce(F.col("_cid"), F.lit(unk)).cast("int").alias("_cid")))
+    ids = hit.groupBy("word").agg(F.sort_array(F.collect_list(one)).alias("_c"))
+    return ids.select(F.col("word").alias("token"), F.transform("_c", lambda x: x["_cid"]).alias("char_ids"))
 
 
-def char_encode(df: DataFrame, char_vocab: DataFrame, window: int, hop: int, max_windows: int | None,
-                max_chars: int, text_col: str = TEXT, id_col: str = COMMENT_ID,
+def char_encode(df: DataFrame, char_vocab: DataFrame, window: int, hop: int, max_windows: int | None = None,
+                max_chars: int | None = None, text_col: str = TEXT, id_col: str = COMMENT_ID,
                 strategy: str = "auto") -> DataFrame:
     """``(id, window_idx, pos, char_ids array<int>)``.
 
-    A small alphabet is an inlined map, looked up inside the row. A larger one
-    is joined: the characters of each token are exploded with their position,
-    looked up with the size-checked join, and re-collected in order per token —
-    a group holds at most ``max_chars`` rows."""
+    Each distinct token is encoded once and joined back to the window tokens, so
+    repeated ids and ``max_chars = 0`` need no care, whatever the alphabet's size.
+    ``max_windows`` and ``max_chars`` are the model's input shape, off by default."""
     rows = window_token_rows(df, window, hop, max_windows, text_col, id_col)
-    small = char_vocab.select("token", "id").limit(CHAR_MAP_MAX + 2).collect()  # bounded probe
-    if len(small) <= CHAR_MAP_MAX + 1:
-        m, unk = _map_of(small)
-        return rows.select(id_col, "window_idx", "pos", char_ids(F.col("token"), m, unk, max_chars).alias("char_ids"))
-    unk = _unk_id(char_vocab)
-    keys = [id_col, "window_idx", "pos"]
-    chars = rows.select(*keys, F.posexplode(_chars(F.col("token"), max_chars)).alias("_ci", "token"))
-    hit = lookup_join(chars, char_vocab.where(F.col("token") != UNK).select("token", F.col("id").alias("_cid")),
-                      "token", "left", strategy=strategy, salt_cols=[*keys, "_ci"])
-    per_token = hit.groupBy(*keys).agg(F.sort_array(F.collect_list(
-        F.struct("_ci", F.coalesce(F.col("_cid"), F.lit(unk)).cast("int").alias("_cid")))).alias("_c"))
-    return per_token.select(*keys, F.transform("_c", lambda x: x["_cid"]).alias("char_ids"))
+    ids = token_char_ids(rows.select("token"), char_vocab, max_chars, strategy)
+    hit = lookup_join(rows, ids, "token", "left", strategy=strategy, salt_cols=[id_col, "window_idx", "pos"])
+    return hit.select(id_col, "window_idx", "pos", "char_ids")

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -75,6 +76,33 @@ def fit_shared(train: DataFrame, layout: FeatureLayout, k_max: int, prefix: str
     return SharedStages(PipelineModel(stages=stages), prefix, n_num, k_max)
 
 
+def raw_affine(shared: SharedStages, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and shift that take a raw row (numerical block, then embedding block)
+    to the first ``width`` scaled columns: scaler, projection and scaler in one."""
+    stages, n_num = list(shared.model.stages), shared.n_num
+    project, shift = np.zeros((0, 0)), np.zeros(0)
+    if shared.k_max:
+        centre, scale, pca = stages[:3]
+        project = pca.pc.toArray().T * scale.getScalingVec().toArray()
+        shift = -project @ centre.mean.toArray()
+    centre, scale = stages[-2:]
+    matrix = np.zeros((n_num + project.shape[0], n_num + project.shape[1]))
+    matrix[:n_num, :n_num] = np.eye(n_num)
+    matrix[n_num:, n_num:] = project
+    by = scale.getScalingVec().toArray()
+    shift = (np.concatenate([np.zeros(n_num), shift]) - centre.mean.toArray()) * by
+    return (matrix.T * by).T[:width], shift[:width]
+
+
+def positive_margins(weights: np.ndarray, intercepts: np.ndarray):
+    """Batched column function: an array<double> row → 0/1 for each row of ``weights``."""
+    @F.pandas_udf("array<int>")
+    def margins(rows: pd.Series) -> pd.Series:
+        x = np.vstack(rows.to_numpy()) if len(rows) else np.zeros((0, weights.shape[1]))
+        return pd.Series(list((x @ weights.T + intercepts > 0).astype(np.int32)))
+    return margins
+
+
 def trial_features(shared: SharedStages, k: int) -> PipelineModel:
     """The first ``n_num + k`` scaled columns."""
     k = min(k, shared.k_max)
@@ -117,12 +145,21 @@ class FoldModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         if not self.regressions:
-            raise ValueError("No trained model found. Please run fit first.")
+            raise ValueError("this fold has no regressions yet: tune or fit it before predicting")
         out = self.pipeline().transform(df)
         p = self.shared.prefix
         preds = [F.col(f"{p}pred_{i}").cast("int").alias(c) for i, c in enumerate(self.pred_cols)]
         return out.select(*df.columns, *preds)
 
+    def affine(self) -> list[tuple[np.ndarray, float]]:
+        """Weights and intercept of each task on the raw blocks (numerical, then
+        embedding): all stages before the regressions are affine."""
+        if not self.regressions:
+            raise ValueError("this fold has no regressions yet: tune or fit it before predicting")
+        matrix, shift = raw_affine(self.shared, self.shared.n_num + min(self.k, self.shared.k_max))
+        return [(matrix.T @ c, float(m.intercept) + float(shift @ c))
+                for m, c in zip(self.regressions, self.coefficients())]
+
     def coefficients(self) -> list[np.ndarray]:
         return [m.coefficients.toArray() for m in self.regressions]
 

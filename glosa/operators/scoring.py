@@ -31,10 +31,22 @@ def batch_scorer(make_predict_fn: Callable, dim: int, batch_size: int = 256,
                              input_tensor_shapes=[input_shape] if input_shape else None)
 
 
-def model_input_tokens(cleaned: Column, max_tokens: int = 512) -> Column:
-    """The sentiment model reads at most ``max_tokens`` tokens of the cleaned
-    text (its fixed input window, as in the reference); the rest of the text is
-    still cleaned and counted."""
+MODEL_INPUT_TOKENS = 512
+
+
+def model_input_chunks(cleaned: Column, max_tokens: int = MODEL_INPUT_TOKENS) -> Column:
+    """The cleaned text cut into the model's input windows of ``max_tokens``
+    tokens, all of it; a text without tokens is one empty chunk."""
+    toks = F.filter(F.split(F.coalesce(cleaned, F.lit("")), " "), lambda x: x != F.lit(""))
+    # Bound to a lambda variable, so that the text is split once and not once a chunk.
+    return F.flatten(F.transform(F.array(toks), lambda t: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(t) - 1) / F.lit(max_tokens)), F.lit(0)).cast("int")),
+        lambda i: F.array_join(F.slice(t, i * max_tokens + 1, max_tokens), " "))))
+
+
+def model_input_tokens(cleaned: Column, max_tokens: int = MODEL_INPUT_TOKENS) -> Column:
+    """The first chunk's tokens only, for models that read a prefix; no registered
+    query and no feature uses it."""
     toks = F.filter(F.split(cleaned, " "), lambda x: x != F.lit(""))
     return F.slice(toks, 1, max_tokens)
 

@@ -10,13 +10,16 @@ are the refit (same data, same parameters, deterministic solver).
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,29 +50,34 @@ def search_space(num_trials: int, embedding_dim: int, seed: int) -> list[Trial]:
 
 def _score_trials(valid_x: DataFrame, shared: SharedStages, fitted: dict[int, list], trials: Sequence[Trial],
                   labels: Sequence[str]) -> dict[int, float]:
-    """M6 for every trial in one job: positive-class F1 per task, mean over tasks."""
-    p = shared.prefix
-    cur = valid_x
-    items = []
-    for tr in trials:
-        cur = trial_features(shared, tr.k).stages[0].copy().setOutputCol(f"{p}xk{tr.idx}").transform(cur)
+    """M6 for every trial in one job: positive-class F1 per task, mean over tasks.
+
+    The coefficients of all trials and tasks, padded with zeros, are one matrix;
+    each batch adds up its confusion counts."""
+    width = shared.n_num + shared.k_max
+    weights, intercepts = np.zeros((len(trials) * len(labels), width)), np.zeros(len(trials) * len(labels))
+    for i, tr in enumerate(trials):
         for t, m in enumerate(fitted[tr.idx]):
-            m = m.copy().setFeaturesCol(f"{p}xk{tr.idx}").setPredictionCol(f"{p}t{tr.idx}_{t}")
-            m = m.setRawPredictionCol("").setProbabilityCol("")
-            cur = m.transform(cur)
-            items.append(F.struct(F.lit(tr.idx).alias("trial"), F.lit(t).alias("task"),
-                                  F.col(labels[t]).cast("int").alias("label"),
-                                  F.col(f"{p}t{tr.idx}_{t}").cast("int").alias("pred")))
-    long = cur.select(F.explode(F.array(*items)).alias("r")).select("r.*")
-    y, q = F.col("label"), F.col("pred")
-    conf = long.groupBy("trial", "task").agg(
-        F.sum(((y == 1) & (q == 1)).cast("int")).alias("tp"),
-        F.sum(((y == 0) & (q == 1)).cast("int")).alias("fp"),
-        F.sum(((y == 1) & (q == 0)).cast("int")).alias("fn"))
-    f1 = F.coalesce(F.try_divide((2 * F.col("tp")).cast("double"), (2 * F.col("tp") + F.col("fp") + F.col("fn"))
-                                 .cast("double")), F.lit(0.0))
-    rows = conf.groupBy("trial").agg(F.avg(f1).alias("score")).collect()
-    return {int(r["trial"]): float(r["score"]) for r in rows}
+            c = m.coefficients.toArray()
+            weights[i * len(labels) + t, : len(c)] = c
+            intercepts[i * len(labels) + t] = m.intercept
+    names = list(labels)
+
+    def counts(batches):
+        for pdf in batches:
+            if len(pdf):
+                pred = (np.vstack(pdf["x"].to_numpy()) @ weights.T + intercepts > 0).reshape(len(pdf), -1, len(names))
+                y = (pdf[names].to_numpy() == 1)[:, None, :]
+                out = {n: v.sum(axis=0).ravel() for n, v in (("tp", y & pred), ("fp", ~y & pred), ("fn", y & ~pred))}
+                yield pd.DataFrame({"item": np.arange(weights.shape[0]), **out})
+
+    rows = valid_x.select(vector_to_array(shared.output).alias("x"), *names)
+    conf = (rows.mapInPandas(counts, "item long, tp long, fp long, fn long").groupBy("item")
+            .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).collect())
+    f1 = np.zeros(weights.shape[0])
+    for r in conf:
+        f1[r["item"]] = 2 * r["tp"] / d if (d := 2 * r["tp"] + r["fp"] + r["fn"]) else 0.0
+    return {tr.idx: float(v) for tr, v in zip(trials, f1.reshape(len(trials), -1).mean(axis=1))}
 
 
 @dataclass
@@ -81,8 +89,10 @@ class FoldSearch:
 
 def tune_fold(train: DataFrame, valid: DataFrame | None, layout: FeatureLayout, trials: Sequence[Trial],
               labels: Sequence[str] = LABELS, prefix: str = "m_", parallelism: int | None = None,
-              pred_cols: Sequence[str] | None = None, max_iter: int = 300) -> FoldSearch:
-    """Fit and score every trial on one fold, keep the best (ties: first trial)."""
+              pred_cols: Sequence[str] | None = None, max_iter: int = 300,
+              pool: ThreadPoolExecutor | None = None) -> FoldSearch:
+    """Fit and score every trial on one fold, keep the best (ties: first trial).
+    ``pool`` runs the fits; folds that are tuned side by side share one."""
     check_both_classes(train, labels)
     k_max = max(t.k for t in trials)
     row_bytes = 8 * (2 * layout.width + len(labels)) + 64
@@ -105,10 +115,10 @@ def tune_fold(train: DataFrame, valid: DataFrame | None, layout: FeatureLayout,
             return tr.idx, t, fit_task(sliced, f"{prefix}xk", labels[t], tr.c, n_train, prefix, t, max_iter=max_iter)
 
         jobs = [(tr, t) for tr in trials for t in range(len(labels))]
-        workers = parallelism or min(len(jobs), 2 * max(1, train.sparkSession.sparkContext.defaultParallelism))
+        workers = parallelism or min(len(jobs), 16, 2 * max(1, train.sparkSession.sparkContext.defaultParallelism))
         fitted: dict[int, list] = {tr.idx: [None] * len(labels) for tr in trials}
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            for idx, t, m in pool.map(fit_one, jobs):
+        with contextlib.ExitStack() as stack:
+            for idx, t, m in (pool or stack.enter_context(ThreadPoolExecutor(max_workers=workers))).map(fit_one, jobs):
                 fitted[idx][t] = m
         scores = _score_trials(valid_x if valid_x is not None else train_x, shared, fitted, trials, labels)
     finally:

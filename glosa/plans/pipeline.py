@@ -10,25 +10,31 @@ cut there, so a lost executor recomputes from Parquet, not from the texts.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 import yaml
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from glosa.columns import COMMENT_ID, FOLD, LABELS, TASKS, TEXT
-from glosa.functions.registry import (FeatureAssets, FeatureLayout, assemble, build_features, feature_set_hash,
-                                      resolve)
+from glosa.functions.registry import (FeatureAssets, FeatureLayout, assemble, asset_tables, build_features,
+                                      feature_set_hash, incomplete_rows, resolve)
 from glosa.operators import ensemble as ens
 from glosa.operators import evaluate as ev
 from glosa.operators import folds as fo
-from glosa.operators.model import FoldModel, feature_importance
+from glosa.operators.model import FoldModel, feature_importance, positive_margins
 from glosa.operators.tuning import search_space, tune_fold
-from glosa.session import shared_dir
+from glosa.session import path_exists, shared_dir
+from glosa.sources import sinks
 
 
 @dataclass
@@ -56,22 +62,48 @@ def read_config(path: str, **overrides) -> RunConfig:
                      num_trials=int(raw["num_trials"]), random_state=int(raw["random_state"]))
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Of a frame's input files and plan, without reading rows: their paths, and
+    the optimized plan without expression ids. Frames without files get a new
+    one each time, so nothing stored is taken for them."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return uuid.uuid4().hex
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    stats = []
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        st = path.getFileSystem(conf).getFileStatus(path)
+        stats.append((f, st.getLen(), st.getModificationTime()))
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    return hashlib.sha1(json.dumps([stats, plan]).encode()).hexdigest()
+
+
 def feature_table(spark: SparkSession, comments: DataFrame, cfg: RunConfig, assets: FeatureAssets,
-                  cache_tag: str | None = None, reuse: bool = False,
-                  fit_rows: DataFrame | None = None) -> tuple[DataFrame, FeatureLayout]:
-    """Features computed once, stored in the shared folder (keyed by the
-    feature-list hash) and read back; ``reuse`` loads an existing copy instead
-    of recomputing (the inputs must then be unchanged)."""
+                  cache_tag: str | None = None, reuse: bool = False, fit_rows: DataFrame | None = None,
+                  version: str | None = None) -> tuple[DataFrame, FeatureLayout]:
+    """Features computed once, stored in a new folder of the shared one and read back.
+
+    ``reuse`` takes an earlier copy whose manifest has the same key: feature
+    list, parameters, and the fingerprints of the comments and of the asset
+    tables, or the caller's ``version`` in their place."""
     df, layout = build_features(comments, cfg.features, assets, fit_rows=fit_rows)
     if cache_tag is None:
         return df, layout
-    path = f"{shared_dir(spark)}/features-{cache_tag}-{feature_set_hash(cfg.features, assets)}"
-    if reuse:
-        try:
-            return spark.read.parquet(path), layout
-        except AnalysisException:
-            pass
-    df.write.mode("overwrite").parquet(path)
+    tables = {"comments": comments, **asset_tables(assets)}
+    inputs = {"version": version} if version is not None else {n: fingerprint(t) for n, t in tables.items()}
+    key = feature_set_hash(cfg.features, assets, inputs)
+    base = f"{shared_dir(spark)}/features-{cache_tag}"
+    manifest = f"{base}/manifest"
+    if reuse and path_exists(spark, manifest):
+        known = spark.read.parquet(manifest).where(F.col("key") == key).orderBy(F.desc("stored")).first()
+        if known is not None:
+            return spark.read.parquet(known["path"]), layout
+    path = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    # The entry is added when the copy is whole.
+    (spark.createDataFrame([(key, path)], "key string, path string").withColumn("stored", F.current_timestamp())
+     .coalesce(1).write.mode("append").parquet(manifest))
     return spark.read.parquet(path), layout
 
 
@@ -83,7 +115,7 @@ class CVResult:
     metrics: DataFrame  # A1 per fold × task
     summary: DataFrame  # A2
     importance: DataFrame  # M9
-    skipped_rows: int = 0
+    incomplete_rows: int = 0  # labelled rows with a missing feature, filled in; none is left out
     best: dict[int, tuple[int, float]] = field(default_factory=dict)
 
 
@@ -94,32 +126,48 @@ def cross_validate(spark: SparkSession, feats: DataFrame, layout: FeatureLayout,
                    top_k: int = 25, fold_parallelism: int = 7, trial_parallelism: int | None = None,
                    max_iter: int = 300) -> CVResult:
     """Per fold, search on (train, valid) → keep best → predict valid."""
-    data = assemble(feats.where(F.col(FOLD).isNotNull()), layout).persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = feats.where(F.col(FOLD).isNotNull())
+    data = assemble(labelled, layout).persist(StorageLevel.MEMORY_AND_DISK)
     emb_dim = sum(d for _, d in layout.embeddings)
     trials = search_space(cfg.num_trials, emb_dim, cfg.random_state)
 
     def one(k: int):
         search = tune_fold(fo.train_rows(data, k), fo.valid_rows(data, k), layout, trials, LABELS,
-                           prefix=f"f{k}_", parallelism=trial_parallelism, pred_cols=PRED_COLS, max_iter=max_iter)
+                           prefix=f"f{k}_", pool=fits, pred_cols=PRED_COLS, max_iter=max_iter)
         return k, search
 
-    with ThreadPoolExecutor(max_workers=max(1, fold_parallelism)) as pool:
-        searches = dict(pool.map(one, range(cfg.num_splits)))
+    # One pool for the fits of all folds: each running fit keeps a copy of its input.
+    slots = trial_parallelism or max(4, min(16, 2 * spark.sparkContext.defaultParallelism))
+    try:
+        with ThreadPoolExecutor(max_workers=slots) as fits, ThreadPoolExecutor(max_workers=max(1, fold_parallelism)) as pool:
+            searches = dict(pool.map(one, range(cfg.num_splits)))
+    finally:
+        data.unpersist()
     models = {k: s.model for k, s in searches.items()}
     trial_rows = [(k, *row) for k, s in searches.items() for row in s.scores]
     trials_df = spark.createDataFrame(trial_rows, "fold int, trial int, k int, c double, macro_f1 double")
-    oof = None
-    for k, m in models.items():
-        part = m.predict(fo.valid_rows(data, k).select(COMMENT_ID, FOLD, *LABELS, *_model_inputs(layout)))
-        part = part.select(COMMENT_ID, FOLD, *LABELS, *PRED_COLS)
-        oof = part if oof is None else oof.unionByName(part)
+    # One projection scores every fold's model; a row takes its own fold's predictions.
+    scored = _affine_predictions(data.select(COMMENT_ID, FOLD, *LABELS, *_model_inputs(layout)), layout, models)
+    own = [F.coalesce(*[F.when(F.col(FOLD) == k, F.col(f"vote_f{k}_{t}")) for k in sorted(models)]).alias(c)
+           for t, c in enumerate(PRED_COLS)]
+    oof = scored.select(COMMENT_ID, FOLD, *LABELS, *own)
     metrics = ev.task_metrics(ev.to_long(oof, PRED_COLS))
     return CVResult(models=models, trials=trials_df, oof=oof, metrics=metrics,
                     summary=ev.metrics_summary(metrics),
                     importance=feature_importance(spark, models, layout, top_k),
+                    incomplete_rows=incomplete_rows(labelled, layout),
                     best={k: (s.best.k, s.best.c) for k, s in searches.items()})
 
 
+def _affine_predictions(rows: DataFrame, layout: FeatureLayout, models: dict[int, FoldModel]) -> DataFrame:
+    """All fold × task predictions as ``vote_f{fold}_{task}``: one matrix on the raw blocks."""
+    named = [(f"vote_f{k}_{t}", w, b) for k, m in sorted(models.items()) for t, (w, b) in enumerate(m.affine())]
+    margins = positive_margins(np.vstack([w for _, w, _ in named]), np.array([b for _, _, b in named]))
+    raw = F.concat(*[vector_to_array(c) for c in _model_inputs(layout)])
+    votes = rows.withColumn("_votes", margins(raw))
+    return votes.select(*rows.columns, *[F.col("_votes")[i].alias(n) for i, (n, _, _) in enumerate(named)])
+
+
 def _model_inputs(layout: FeatureLayout) -> list[str]:
     return (["num"] if layout.numerical else []) + (["emb"] if layout.embeddings else [])
 
@@ -129,13 +177,9 @@ def predict_ensemble(test_feats: DataFrame, layout: FeatureLayout, models: dict[
     """M10 with the fold models in one plan: each adds its prediction columns to
     the same rows, then an in-row vote — no shuffle."""
     cur = assemble(test_feats, layout).select(*keep, *_model_inputs(layout))
-    per_task: list[list] = [[] for _ in LABELS]
-    for k, m in sorted(models.items()):
-        cols = [f"vote_f{k}_{t}" for t in range(len(LABELS))]
-        cur = FoldModel(m.shared, m.k, m.c, m.regressions, cols).predict(cur)
-        for t, c in enumerate(cols):
-            per_task[t].append(F.col(c))
-    return cur.select(*keep, *[ens.vote(ps).alias(lab) for ps, lab in zip(per_task, LABELS)])
+    cur = _affine_predictions(cur, layout, models)
+    return cur.select(*keep, *[ens.vote([F.col(f"vote_f{k}_{t}") for k in sorted(models)]).alias(lab)
+                               for t, lab in enumerate(LABELS)])
 
 
 @dataclass
@@ -143,22 +187,39 @@ class RunResult:
     cv: CVResult
     predictions: DataFrame  # comment_id + three 0/1 columns
     layout: FeatureLayout
+    unlabelled_rows: int = 0  # training rows with a null label: in no fold and no fit
+
+
+def write_outputs(result: RunResult, test: DataFrame, out_dir: str, name: str) -> None:
+    """The run's files: both submissions, metric log, summary, importances and fold models."""
+    sinks.write_submission(sinks.attach_predictions(test, result.predictions), f"{out_dir}/submissions")
+    sinks.append_metrics(result.cv.metrics, f"{out_dir}/metrics", name)
+    result.cv.summary.write.mode("overwrite").parquet(f"{out_dir}/summary")
+    result.cv.importance.write.mode("overwrite").parquet(f"{out_dir}/importance")
+    for k, m in result.cv.models.items():
+        sinks.save_model(m.pipeline(), f"{out_dir}/models/fold={k}")
 
 
 def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig, assets: FeatureAssets,
         top_k: int = 25, cache_tag: str | None = None, fold_parallelism: int = 7, max_iter: int = 300,
-        bucket_digits: int | None = None) -> RunResult:
+        bucket_digits: int | None = None, out_dir: str | None = None) -> RunResult:
     """``train`` has ``comment_id, c_text`` and the three labels; ``test``
-    has ``comment_id, c_text``."""
+    has ``comment_id, c_text``. Every test row gets a prediction, every row
+    with labels a fold. ``out_dir`` takes the run's files."""
     folded = fo.assign_folds(train, k=cfg.num_splits, seed=cfg.random_state, bucket_digits=bucket_digits)
     test_rows = test.select(COMMENT_ID, TEXT, *[F.lit(None).cast("int").alias(c) for c in LABELS],
                             F.lit(None).cast("int").alias(FOLD))
+    unlabelled = folded.where(F.col(FOLD).isNull()).count()
+    folded = folded.where(F.col(FOLD).isNotNull())
     rows = folded.select(COMMENT_ID, TEXT, *LABELS, FOLD).unionByName(test_rows)
     feats, layout = feature_table(spark, rows, cfg, assets, cache_tag or cfg.name,
                                   fit_rows=folded.select(TEXT))  # trainable features see the training text
     cv = cross_validate(spark, feats, layout, cfg, top_k=top_k, fold_parallelism=fold_parallelism, max_iter=max_iter)
     test_feats = feats.where(F.col(FOLD).isNull())
-    return RunResult(cv, predict_ensemble(test_feats, layout, cv.models), layout)
+    result = RunResult(cv, predict_ensemble(test_feats, layout, cv.models), layout, unlabelled)
+    if out_dir is not None:
+        write_outputs(result, test, out_dir, cfg.name)
+    return result
 
 
 __all__ = ["RunConfig", "read_config", "run", "cross_validate", "predict_ensemble", "feature_table", "TASKS"]

@@ -55,6 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or d).rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     shared_dir(df.sparkSession)

@@ -43,15 +43,23 @@ def derived_polarity(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
         .select("token", ((F.length("token") % 5 - 2) / 2.0).alias("polarity")))
 
 
-def derived_word_vocab(comments: DataFrame, size: int = 200, text_col: str = TEXT) -> DataFrame:
-    """The ``size`` most frequent lower-cased tokens (ties by token), ids from 2;
-    ``<UNK>`` = 1 and 0 is padding. Vocabulary size is the top-k here."""
+def derived_word_vocab(comments: DataFrame, size: int | None = None, text_col: str = TEXT) -> DataFrame:
+    """Lower-cased tokens by frequency (ties by token), ids from 2; ``<UNK>`` = 1 and
+    0 is padding. All tokens, or the ``size`` most frequent.
+
+    Ranks come from a range-partitioned sort: rows are numbered within their
+    partition and shifted by the rows of the partitions before it (one row each)."""
     freq = (comments.select(F.explode(tokens(F.lower(F.col(text_col)))).alias("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = freq.orderBy(F.desc("n"), F.asc("token")).limit(size)
-    # Ids over at most ``size`` rows.
-    ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))) + 1)
-                        .cast("int").alias("id"))
+    order = [F.desc("n"), F.asc("token")]
+    top = freq.orderBy(*order).limit(size) if size is not None else freq.repartitionByRange(*order)
+    placed = cut_lineage(top.withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+             .select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("shift")))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    ranked = (placed.withColumn("inside", inside).join(F.broadcast(shift), "part")
+              .select("token", (F.col("shift") + F.col("inside") + 1).cast("int").alias("id")))
     return cut_lineage(
         ranked.unionByName(comments.sparkSession.createDataFrame([(UNK, 1)], "token string, id int")))
 
@@ -66,11 +74,3 @@ def doc_vectors_from_embeddings(embeddings: DataFrame) -> DataFrame:
     """``embeddings(vec_id, embedding)`` as ``(comment_id, vector array<double>)``."""
     return embeddings.select(F.col("vec_id").alias(COMMENT_ID),
                              F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-
-
-def load_stopwords(df: DataFrame, col: str = "token", max_rows: int = 100_000) -> list[str]:
-    """A stop-word table as a list (bounded: it becomes an expression literal)."""
-    rows = df.select(col).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("stop-word table too large to inline")
-    return [r[0] for r in rows if r[0] is not None]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, LABELS, TEXT
+from glosa.session import path_exists
 
 
 def submission_frame(rows: DataFrame, with_text: bool = True) -> DataFrame:
@@ -37,11 +38,13 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_or_fit(path: str, fit, loader):
-    """Load a stored model when present, otherwise fit and store it."""
-    try:
-        return loader.load(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable store → fit
-        model = fit()
-        save_model(model, path)
-        return model
+def load_or_fit(spark, path: str, key: str, fit, loader):
+    """Load the model stored under ``path`` if its manifest has this ``key``,
+    otherwise fit and store it. Errors while reading a stored model are raised."""
+    manifest = f"{path}/manifest"
+    if path_exists(spark, manifest) and spark.read.parquet(manifest).where(F.col("key") == key).count():
+        return loader.load(f"{path}/model")
+    model = fit()
+    save_model(model, f"{path}/model")
+    spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").parquet(manifest)
+    return model

@@ -13,7 +13,7 @@ from glosa.plans.pipeline import RunConfig, feature_table
 from glosa.sources import comments as src
 from glosa.sources import sinks
 
-from conftest import SF001
+from conftest import SF001, SF01
 
 
 def test_entry_runs_with_stable_schema(spark):
@@ -43,7 +43,7 @@ def test_empty_feature_set_raises(spark):
 
 def test_predict_without_fit_raises(spark):
     m = FoldModel(shared=None, k=1, c=1.0, regressions=[], pred_cols=["p"])
-    with pytest.raises(ValueError, match="run fit first"):
+    with pytest.raises(ValueError, match="before predicting"):
         m.predict(spark.createDataFrame([(1,)], "x int"))
 
 
@@ -56,15 +56,52 @@ def test_metrics_log_appends(spark):
     assert back.count() == 2 and {r["run"] for r in back.collect()} == {"a", "b"}
 
 
-def test_feature_cache_reuse(spark):
-    """The stored table is read back under the feature-list key."""
-    c = src.comments(spark, SF001).withColumn(FOLD, F.lit(0))
+def test_feature_store_keeps_inputs_apart(spark):
+    """Two tables under one config name stay readable, and reuse never crosses inputs."""
+    small, large = (src.comments(spark, d).withColumn(FOLD, F.lit(0)) for d in (SF001, SF01))
     cfg = RunConfig(name="cache", features=["NumWords", "NumCharacters"], num_trials=1)
-    a, la = feature_table(spark, c, cfg, FeatureAssets(), cache_tag="t")
-    b, lb = feature_table(spark, c.limit(0), cfg, FeatureAssets(), cache_tag="t", reuse=True)
-    assert la.numerical == lb.numerical
-    assert b.count() == a.count() == c.count()
-    assert a.exceptAll(b).count() == 0
+    a, la = feature_table(spark, small, cfg, FeatureAssets(), cache_tag="t")
+    b, _ = feature_table(spark, large, cfg, FeatureAssets(), cache_tag="t", reuse=True)
+    again, lb = feature_table(spark, small, cfg, FeatureAssets(), cache_tag="t", reuse=True)
+    assert (a.count(), b.count(), again.count()) == (small.count(), large.count(), small.count())
+    assert la.numerical == lb.numerical and again.inputFiles() == a.inputFiles() != b.inputFiles()
+    other, _ = feature_table(spark, small, cfg, FeatureAssets(stopwords=["x"]), cache_tag="t", reuse=True)
+    assert other.inputFiles() != a.inputFiles()
+    v1, _ = feature_table(spark, small.limit(5), cfg, FeatureAssets(), cache_tag="t", version="v1")
+    v2, _ = feature_table(spark, small.limit(5), cfg, FeatureAssets(), cache_tag="t", version="v1", reuse=True)
+    assert v1.inputFiles() == v2.inputFiles()
+
+
+def test_model_store_keys_and_errors(spark, tmp_path):
+    fits = []
+
+    class Model:
+        def __init__(self, n):
+            self.n = n
+
+        def write(self):
+            return self
+
+        def overwrite(self):
+            return self
+
+        def save(self, path):
+            spark.createDataFrame([(self.n,)], "n int").write.mode("overwrite").parquet(path)
+
+        @staticmethod
+        def load(path):
+            return Model(spark.read.parquet(path).first().n)
+
+    def fit():
+        fits.append(1)
+        return Model(len(fits))
+    got = [sinks.load_or_fit(spark, str(tmp_path / "m"), k, fit, Model).n for k in ("a", "a", "b", "b")]
+    assert got == [1, 1, 2, 2]
+    for f in (tmp_path / "m" / "model").iterdir():
+        f.unlink()
+    with pytest.raises(Exception, match="(?i)schema|parquet"):
+        sinks.load_or_fit(spark, str(tmp_path / "m"), "b", fit, Model)
+    assert len(fits) == 2
 
 
 def test_csv_ingest_round_trip(spark):

@@ -151,14 +151,30 @@ def test_fused_token_lookups_equal_separate(docs):
         assert math.isclose(r["polarity"], alone_p[k]["polarity"], abs_tol=1e-12)
 
 
-def test_char_encode_join_path_equals_map_path(spark, docs):
-    """A vocabulary too large to inline goes through the lookup join; the ids
-    agree with the inlined-map path where both vocabularies agree."""
+def test_char_encode_matches_python(spark):
+    """Any alphabet size, repeated ids, whole or cut tokens: one plan, one result."""
+    df = spark.createDataFrame([(1, "abz Ab\tä"), (1, "abz c"), (2, "😀a"), (3, None), (4, "")],
+                               "comment_id long, c_text string")
     small = lt.derived_char_vocab(spark)
-    extra = spark.createDataFrame([(chr(0x3400 + i), 1000 + i) for i in range(lk.CHAR_MAP_MAX + 10)],
-                                  "token string, id int")
-    big = small.unionByName(extra)
-    a = lk.char_encode(docs, small, 25, 20, 40, 15)
-    b = lk.char_encode(docs, big, 25, 20, 40, 15)
-    assert a.count() == b.count() > 0
-    assert a.exceptAll(b).count() == 0
+    big = small.unionByName(spark.createDataFrame([(chr(0x3400 + i), 1000 + i) for i in range(400)],
+                                                  "token string, id int"))
+    for vocab in (small, big):
+        for cut in (None, 0, 2):
+            got = sorted((r.comment_id, r.pos, r.char_ids) for r in lk.char_encode(df, vocab, 5, 5, max_chars=cut).collect())
+            want = sorted((i, p, [ord(c) - 95 if "a" <= c <= "z" else 1 for c in t[:cut]])
+                          for i, x in ((1, "abz Ab ä"), (1, "abz c"), (2, "😀a")) for p, t in enumerate(x.split()))
+            assert got == want
+
+
+def test_full_vocabulary_ranks(spark):
+    df = spark.createDataFrame([(i, "b a a c") for i in range(3)] + [(9, "d b")], "comment_id long, c_text string")
+    ids = {r.token: r.id for r in lt.derived_word_vocab(df.repartition(3)).collect()}
+    assert ids == {"<UNK>": 1, "a": 2, "b": 3, "c": 4, "d": 5}
+    assert {r.token for r in lt.derived_word_vocab(df, 2).collect()} == {"<UNK>", "a", "b"}
+
+
+def test_windows_cap_is_an_option(spark):
+    df = spark.createDataFrame([(1, " ".join(["w"] * 95)), (2, ""), (3, None)], "comment_id long, c_text string")
+    rows = lk.window_lengths(df, 25, 20).orderBy("window_idx").collect()
+    assert [(r.window_idx, r.n_words, r.n_windows) for r in rows] == [(0, 25, 5), (1, 25, 5), (2, 25, 5), (3, 25, 5), (4, 15, 5)]
+    assert lk.window_lengths(df, 25, 20, max_windows=2).count() == 2
