@@ -602,6 +602,18 @@ def q_svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", F.posexplode(vector_to_array("p")).alias("component", "value"))
 
 
+@register("svd_row_norms", f"""WITH {_STD_CTE}
+SELECT vec_id, round(sum(z * z), 6) AS value FROM z GROUP BY vec_id""")
+def q_svd_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free of signs: on all components, a row's squared norm is that of the standardised row."""
+    e = load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    z = la.fit_population_scaler(e, "v", "z").transform(e)
+    dim = len(z.select("z").first()[0])
+    p = la.fit_svd(z, "z", "p", dim).transform(z).select("vec_id", vector_to_array("p").alias("p"))
+    return p.select("vec_id", r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)).alias("value"))
+
+
 # ---------------------------------------------------------------------------
 # Feature-set projection, block assembly and block selection
 # ---------------------------------------------------------------------------
@@ -618,6 +630,17 @@ def q_feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.select(COMMENT_ID, *[r6(F.col(c)).alias(c) for c in layout.numerical])
 
 
+@register("feature_store", f"""WITH {S.COMMENTS_CTE}
+SELECT comment_id, """ + ", ".join(f"round(CAST({FEATURE_SQL[_SET_SQL[n]]} AS DOUBLE), 6) AS f_{n}" for n in _SET)
+          + " FROM comments")
+def q_feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table after a round trip through the store."""
+    from glosa.plans.pipeline import RunConfig, feature_table
+    cfg = RunConfig(name="feature-store", features=_SET, num_trials=1)
+    feats, layout = feature_table(spark, _comments(spark, sf_dir), cfg, reg.FeatureAssets(), cache_tag="query")
+    return feats.select(COMMENT_ID, *[r6(F.col(c)).alias(c) for c in layout.numerical])
+
+
 _ASM = ["NumWords", "NumCharacters", "DocumentEmbeddingsBERT"]
 
 
@@ -696,6 +719,60 @@ def q_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value", r6(F.col("value")))
 
 
+ENSEMBLE_FOLDS, ENSEMBLE_SEED = 7, 11
+
+
+def _ensemble_weights():
+    """Seeded weights and intercepts of fold × task models on the embeddings."""
+    import numpy as np
+    rng = np.random.default_rng(ENSEMBLE_SEED)
+    n = ENSEMBLE_FOLDS * len(LABELS)
+    return rng.standard_normal((n, SCORE_IN)).round(6), rng.standard_normal(n).round(6)
+
+
+def _ensemble_sql() -> tuple[str, str]:
+    w, b = _ensemble_weights()
+    rows = ", ".join(f"({m}, {i}, {float(w[m, i])!r})" for m in range(len(w)) for i in range(SCORE_IN))
+    return rows, ", ".join(f"({m}, {float(b[m])!r})" for m in range(len(b)))
+
+
+_ENS_W, _ENS_B = _ensemble_sql()
+
+
+@register("ensemble_score", f"""WITH w(m, i, wv) AS (VALUES {_ENS_W}),
+b(m, bv) AS (VALUES {_ENS_B}),
+e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+s AS (SELECT vec_id, w.m, sum(x * wv) AS dot FROM e JOIN w USING (i) GROUP BY vec_id, w.m),
+v AS (SELECT vec_id, m % {len(LABELS)} AS task, sum(CASE WHEN dot + bv > 0 THEN 1 ELSE 0 END) AS yes, count(*) AS n
+      FROM s JOIN b USING (m) GROUP BY vec_id, m % {len(LABELS)})
+SELECT vec_id, CAST(task AS INT) AS task, CAST(yes AS INT) AS yes, CASE WHEN 2 * yes >= n THEN 1 ELSE 0 END AS vote FROM v""")
+def q_ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold × task models as one matrix over the raw vector, then the vote."""
+    from glosa.operators.model import positive_margins
+    w, b = _ensemble_weights()
+    e = load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", positive_margins(w, b)(F.col("embedding").cast("array<double>")).alias("p"))
+    per_task = [[F.col("p")[k * len(LABELS) + t] for k in range(ENSEMBLE_FOLDS)] for t in range(len(LABELS))]
+    items = [F.struct(F.lit(t).alias("task"), sum(ps[1:], ps[0]).cast("int").alias("yes"), ens.vote(ps).alias("vote"))
+             for t, ps in enumerate(per_task)]
+    return e.select("vec_id", F.explode(F.array(*items)).alias("r")).select("vec_id", "r.*")
+
+
+@register("importance_topk", """WITH x AS (
+  SELECT label AS fold, unnest(range(0, len(embedding))) AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings
+),
+c AS (SELECT fold, idx, round(abs(avg(v)), 6) AS importance FROM x GROUP BY fold, idx),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY importance DESC, idx) AS rank FROM c)
+SELECT CAST(fold AS INT) AS fold, CAST(idx AS INT) AS idx, importance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+def q_importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 on a coefficient table from the vectors: mean of each dimension by label."""
+    from glosa.operators.model import top_k_importance
+    e = load_table(spark, sf_dir, "embeddings")
+    x = e.select(F.col("label").cast("int").alias("fold"), F.posexplode(F.col("embedding").cast("array<double>")).alias("idx", "v"))
+    c = x.groupBy("fold", "idx").agg(r6(F.abs(F.avg("v"))).alias("importance")).withColumn("task", F.lit("Toxic"))
+    return top_k_importance(c, 10).select("fold", "idx", "importance", "rank")
+
+
 @register("score_input_truncate", f"""WITH {S.COMMENTS_CTE},
 c AS (SELECT comment_id, list_filter(string_split({_CLEAN_SQL}, ' '), lambda x: x <> '') AS tk FROM comments),
 k AS (SELECT comment_id, tk, unnest(range(0, greatest(len(tk), 1), {sc.MODEL_INPUT_TOKENS})) AS first FROM c)
