@@ -27,6 +27,7 @@ read.
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 import uuid
 import zlib
@@ -43,7 +44,7 @@ from glosa.llm.common import scratch, slices, stored
 
 MAGIC, VERSION, CHUNK_BITS, BLOCK = b"DACT", 1, 8, 512
 SLICE_BYTES = 4_000_000
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 
 
 # ---- codes ----------------------------------------------------------------
@@ -157,6 +158,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         first = [(self.tokenizer.id_to_token(i) or "").startswith("Ġ")
@@ -164,14 +166,16 @@ class Encoder:
         self.opens = np.array(first)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 500):
-            some = new[k: k + 500]
-            ids = self._ids(" " + " ".join(some))
+        groups = [new[k: k + 100] for k in range(0, len(new), 100)]
+        texts = [" " + " ".join(some) for some in groups]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(some):
                 raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
@@ -182,28 +186,54 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > MEMO_WORDS:
             self.young, self.old = {}, self.young
-        split = [t.split(" ") for t in texts]
-        young, old = self.young, self.old
-        seen = set().union(*(words[1:] for words in split)).difference(young) if split else set()
-        new, whole = [], set()
-        for w in seen:
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-            elif not w or w[0].isspace() or w[-1].isspace():
-                whole.add(w)
-            else:
-                new.append(w)
-        self._learn(new)
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            head = words[0]
-            plain = head and not head[-1].isspace() and not (whole and not whole.isdisjoint(words[1:]))
-            if len(words) == 1 or not plain:
-                out.append(self._ids(text).tobytes() if text else b"")
-            else:
-                out.append(self._ids(head).tobytes() + b"".join([young[w] for w in words[1:]]))
-        return out
+        get, old, young = self.young.get, self.old.get, self.young
+        held, gaps, new = [], [], {}
+        for text in texts:
+            words = text.split(" ")
+            if len(words) == 1 or not words[0] or words[0][-1].isspace():
+                held.append(None)
+                continue
+            head, words[0] = words[0], ""
+            ids = [*map(get, words)]
+            ids[0] = b""
+            missing, i = [], 0
+            while True:
+                try:
+                    i = ids.index(None, i)
+                except ValueError:
+                    break
+                w = words[i]
+                known = old(w)
+                if known is not None:
+                    ids[i] = young[w] = known
+                elif w in new:
+                    missing.append((i, w))
+                elif not w or w[0].isspace() or w[-1].isspace():
+                    ids = None
+                    break
+                else:
+                    new[w] = None
+                    missing.append((i, w))
+                i += 1
+            held.append(ids)
+            if ids is not None:
+                ids[0] = self._head(head)
+                gaps.append((ids, missing))
+        self._learn([*new])
+        for ids, missing in gaps:
+            for i, w in missing:
+                ids[i] = young[w]
+        return [b"".join(ids) if ids is not None else self._ids(text).tobytes() if text else b""
+                for text, ids in zip(texts, held, strict=True)]
+
+    def _head(self, word: str) -> bytes:
+        """Ids of a text's first word, which stands behind no space."""
+        ids = self.heads.get(word)
+        if ids is None:
+            if len(self.heads) > MEMO_WORDS // 10:
+                self.heads.clear()
+            ids = self.heads[word] = self._ids(word).tobytes()
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
