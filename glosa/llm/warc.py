@@ -196,18 +196,23 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_digest, payload (null for revisits) and complete of every record."""
     lines = spark.read.option("lineSep", VERSION + CRLF).text(folder).where("value <> ''")
-    parsed = lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(
-        _parse, "origin string, segment long, total long, type string, page_id long, refers_to long, digest string, "
-                "block binary")
+    head = F.lower(F.substring_index("value", 2 * CRLF, 1))
+    fields = "origin string, segment long, total long, type string, page_id long, refers_to long, digest string, block binary"
+
+    def parsed(some: DataFrame) -> DataFrame:
+        return some.select(F.col("value").cast("binary").alias("value")).mapInArrow(_parse, fields)
 
     def of_first(c: str) -> Column:
         return F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c)
-    # A group is one record: its segments are no more than one payload.
-    records = parsed.groupBy("origin").agg(
-        *[of_first(c) for c in ("type", "page_id", "refers_to", "digest")],
-        F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
-    return records.mapInArrow(_assemble, "page_id long, record_type string, refers_to long, payload_digest string, "
-                                         "payload binary, complete boolean")
+    one = F.struct("segment", "total", "block")
+    named = ["type", "page_id", "refers_to", "digest"]
+    # Records of one segment stay where they are read. A group is one record: its
+    # segments are no more than one payload.
+    whole = parsed(lines.where(~head.contains("warc-segment-number:"))).select(*named, F.array(one).alias("segments"))
+    cut = parsed(lines.where(head.contains("warc-segment-number:"))).groupBy("origin").agg(
+        *[of_first(c) for c in named], F.collect_list(one).alias("segments")).drop("origin")
+    return whole.unionAll(cut).mapInArrow(
+        _assemble, "page_id long, record_type string, refers_to long, payload_digest string, payload binary, complete boolean")
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
