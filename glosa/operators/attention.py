@@ -23,7 +23,7 @@ def softmax_pool(items: DataFrame, group: str, score: str, vector: str, out: str
     """``items(group, score double, vector array<double>)`` → ``(group, pooled)``."""
     gmax = items.groupBy(group).agg(F.max(score).alias("_max"))
     scored = lookup_join(items.select(group, score, vector), gmax, group, "inner", strategy=strategy,
-                         salt_cols=salt_cols or [score])
+                         salt_cols=salt_cols)
     weighted = scored.select(group, F.exp(F.col(score) - F.col("_max")).alias("_w"),
                              array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     sums = weighted.groupBy(group).agg(F.sum("_w").alias("_z"), Summarizer.sum(F.col("_v"), F.col("_w")).alias("_s"))

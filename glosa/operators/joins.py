@@ -9,9 +9,10 @@ large share of all token rows. Two plans, picked by a measured size:
   are found with a grouped count (partial aggregation collapses them
   map-side); a key is hot when it holds more rows than an average shuffle
   partition, so there are fewer hot keys than partitions — a proven bound for
-  the broadcast of the hot-key list. Fact rows of a hot key spread over
-  ``salt_buckets`` salts taken from a hash of their own columns (stable under
-  task retries); only the hot lookup rows are replicated, once per salt.
+  the broadcast of the hot-key list. Fact rows of a hot key spread over as
+  many salts as its count asks for, taken from a hash of their own columns
+  (stable under task retries); only the hot lookup rows are replicated, once
+  per salt. Rows without a key bypass the join.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> b
 
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "inner", *,
                 strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                salt_buckets: int = 32, salt_cols: Sequence[str] | None = None) -> DataFrame:
+                salt_buckets: int | None = None, salt_cols: Sequence[str] | None = None) -> DataFrame:
     """Join ``facts`` (many rows per key) to ``table`` (one row per key).
 
     ``strategy``: ``auto`` (size check), ``broadcast`` or ``salted``.
@@ -71,24 +72,34 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "inner"
 
 def hot_keys(facts: DataFrame, key: str) -> DataFrame:
     """Keys holding more rows than an average shuffle partition (fewer keys than
-    partitions, hence safe to broadcast)."""
+    partitions, hence safe to broadcast), with the number of salts that cuts each
+    into parts of about that size."""
     parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     freq = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = freq.agg(F.sum("_n")).first()[0] or 0
-    return freq.where(F.col("_n") > F.lit(max(total // max(parts, 1), 1))).select(key)
+    share = max(total // max(parts, 1), 1)
+    return freq.where(F.col("_n") > F.lit(share)).select(
+        key, F.ceil(F.col("_n") / F.lit(float(share))).cast("int").alias("_salts"))
 
 
 def salted_join(facts: DataFrame, table: DataFrame, key: str, how: str = "inner", *,
-                salt_buckets: int = 32, salt_cols: Sequence[str] | None = None,
+                salt_buckets: int | None = None, salt_cols: Sequence[str] | None = None,
                 hot: DataFrame | None = None) -> DataFrame:
-    hot = (hot if hot is not None else hot_keys(facts, key)).withColumn("_hot", F.lit(True))
+    """Shuffle join with hot keys cut into salts: by their counts, or ``salt_buckets``
+    for each. Rows without a key match nothing and stay out of the join."""
+    hot = hot if hot is not None else hot_keys(facts, key)
+    if salt_buckets is not None or "_salts" not in hot.columns:
+        hot = hot.select(key, F.lit(salt_buckets or 32).alias("_salts"))
     cols = list(salt_cols or [c for c in facts.columns if c != key])
     salt_src = F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0)
-    f2 = (facts.join(F.broadcast(hot), key, "left")
-          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(salt_src, F.lit(salt_buckets))).otherwise(F.lit(0)))
-          .drop("_hot"))
+    f2 = (facts.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left")
+          .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(salt_src, F.col("_salts"))).otherwise(F.lit(0)))
+          .drop("_salts"))
     t2 = (table.join(F.broadcast(hot), key, "left")
-          .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                         .otherwise(F.array(F.lit(0)))))
-          .drop("_hot"))
-    return f2.join(t2, [key, "_salt"], how).drop("_salt")
+          .withColumn("_salt", F.explode(F.when(F.col("_salts").isNotNull(),
+                                                F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))))
+          .drop("_salts"))
+    joined = f2.join(t2, [key, "_salt"], how).drop("_salt")
+    if how == "inner":
+        return joined
+    return joined.unionByName(facts.where(F.col(key).isNull()), allowMissingColumns=True)

@@ -59,19 +59,14 @@ def prefix_slicer(input_col: str, output_col: str, k: int) -> VectorSlicer:
     return VectorSlicer(inputCol=input_col, outputCol=output_col, indices=list(range(k)))
 
 
-def gram(df: DataFrame, array_col: str, dim: int, max_partials: int | None = None) -> DataFrame:
+def gram(df: DataFrame, array_col: str, dim: int, fan_in: int = 64) -> DataFrame:
     """``(i, j, value)`` of ``XᵀX / n`` over an ``array<double>`` column.
 
-    Each task adds its rows into one d×d partial with NumPy. The input is
-    coalesced (no shuffle) to at most ``max_partials`` tasks — one per core by
-    default — so the shuffle holds ``partials × d²`` numbers however many
-    files the table has; a partial travels as ``d`` rows of ``d`` values and
-    the rows of one ``i`` are summed element-wise."""
-    sc = df.sparkSession.sparkContext
-    cap = max(1, max_partials or sc.defaultParallelism)
+    Each task adds its rows into one d×d partial with NumPy, which travels as
+    ``d`` rows of ``d`` values. Partials are added up in two steps, by ``i`` and
+    one of ``fan_in`` parts at first, so that no sum reads the rows of all tasks;
+    a lost task redoes its own input only."""
     src = df.select(array_col)
-    if src.rdd.getNumPartitions() > cap:
-        src = src.coalesce(cap)
 
     def partial(batches):
         acc = np.zeros((dim, dim))
@@ -85,7 +80,8 @@ def gram(df: DataFrame, array_col: str, dim: int, max_partials: int | None = Non
                             "n": np.full(dim, n, dtype=np.int64)})
 
     parts = src.mapInPandas(partial, "i int, row array<double>, n long")
-    summed = parts.groupBy("i").agg(F.array(*[F.sum(F.col("row")[j]) for j in range(dim)]).alias("row"),
-                                    F.sum("n").alias("n"))
+    total = [F.array(*[F.sum(F.col("row")[j]) for j in range(dim)]).alias("row"), F.sum("n").alias("n")]
+    summed = (parts.groupBy("i", F.pmod(F.spark_partition_id(), F.lit(fan_in)).alias("part")).agg(*total)
+              .groupBy("i").agg(*total))
     return summed.select("i", F.posexplode("row").alias("j", "s"), "n").select(
         "i", "j", (F.col("s") / F.col("n")).alias("value"))

@@ -526,7 +526,7 @@ def q_softmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load_table(spark, sf_dir, "embeddings")
     items = e.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"),
                      F.col("embedding").cast("array<double>").alias("vector"))
-    pooled = att.softmax_pool(items, "label", "score", "vector", salt_cols=["score"])
+    pooled = att.softmax_pool(items, "label", "score", "vector")
     return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).withColumn("value", r6(F.col("value")))
 
 

@@ -21,7 +21,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         if master.startswith("local"):
             b = (b.config("spark.driver.host", "127.0.0.1")
                  .config("spark.driver.bindAddress", "127.0.0.1")
-                 .config("spark.driver.memory", os.environ.get("GLOSA_DRIVER_MEMORY", "16g")))
+                 .config("spark.driver.memory", os.environ.get("GLOSA_DRIVER_MEMORY", f"{_half_memory_gb()}g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (b.config("spark.ui.enabled", "false")
@@ -35,6 +35,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _half_memory_gb() -> int:
+    """Half of the machine's memory, 16 GB at most: Python workers need the rest."""
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 2**30
+    return max(1, min(16, total // 2))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir`` (shared storage on a cluster).
 
