@@ -145,7 +145,9 @@ def test_fixed_fit_defaults_to_all_components(spark):
     m = fit_model(data, layout)
     emb_dim = sum(d for _, d in layout.embeddings)
     assert m.k == emb_dim and m.c == 1.0 and len(m.regressions) == 3
-    assert all(len(c) == 2 + emb_dim for c in m.coefficients())
+    # Two numbers, the presence column of the vectors, and the vectors.
+    assert layout.numerical[2:] == ["f_has_DocumentEmbeddingsBERT"]
+    assert all(len(c) == 3 + emb_dim for c in m.coefficients())
     out = m.predict(data.select("comment_id", "num", "emb"))
     assert out.where(" OR ".join(f"pred_{i} NOT IN (0, 1)" for i in range(3))).count() == 0
     with pytest.raises(ValueError):
