@@ -12,12 +12,12 @@
 3. Bands of ``rows`` slots put classes into buckets. ``rows`` is fixed and the
    number of bands follows from the threshold so that a pair at the threshold
    is missed with a probability of at most ``miss``.
-4. Buckets are verified on the full sets in rounds. A round picks a few pivots
-   per bucket (1, 16, 256, ... by a priority fixed per class, so buckets with the
-   same members pick the same, and the class with the fewest shingles of its
-   own) and compares them with the bucket's members of other components. A
-   pivot that was compared leaves the bucket; a bucket whose members share one
-   component is done. All pairs that could still link two components get
+4. Buckets are verified on the full sets in three rounds. A round picks pivots
+   in each bucket (1, about 16 by a priority fixed per class, so buckets with the
+   same members pick the same, and then all that are left; the class with the
+   fewest shingles of its own is one) and compares them with the bucket's members
+   of other components. A pivot that was compared leaves the bucket; a bucket
+   whose members share one component is done. All pairs that could still link two components get
    compared, but pairs inside a component never are, nor are pairs without a
    rare shingle in common whose other shingles are too few.
 5. Links are grouped by union-find: within each partition at first, then by
@@ -43,6 +43,7 @@ from glosa.llm.common import drop_stored, slices, stored
 
 SLICE_BYTES = 2_000_000
 RARE = 8
+PIVOTS = (1, 16, None)  # pivots a bucket in each round; None: all that are left
 UNFILLED = np.uint64(2**64 - 1)
 
 
@@ -336,11 +337,11 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
     and are compared only if their other shingles could reach the threshold.
     """
     sets = stored(_sets(docs, classes, members, k), "sets")
-    links, labels, pivots = None, None, 1
+    labels = None
     members = members.withColumn("own", F.lit(0).cast("long"))
     # A class's place in [0, 1) by a hash of its number: the same in all buckets.
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    while True:
+    for i, pivots in enumerate(PIVOTS):
         if labels is None:
             state = members.withColumn("component", F.col("node"))
         else:
@@ -349,38 +350,37 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
                         .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("own") / F.col("n"), "node")).alias("least"),
                              F.min("component").alias("c0"), F.max("component").alias("c1"))
                         .where("c0 < c1").select("bucket", "size", F.col("least.node").alias("least")))
-        state = stored(state.join(open_buckets, "bucket").withColumn(
-            "pivot", (F.col("node") == F.col("least")) | (place * F.col("size") < F.lit(float(pivots)))), "state")
+        chosen = F.lit(True) if pivots is None else (
+            (F.col("node") == F.col("least")) | (place * F.col("size") < F.lit(float(pivots))))
+        state = stored(state.join(open_buckets, "bucket").withColumn("pivot", chosen), "state")
         drop_stored(members)
         if state.isEmpty():
             break
         sharing = None
-        if pivots == 16:
+        if i == 1:
             rare = _rare_shingles(state, sets)
             sharing = _sharing(rare, state, num, den)
             own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-            state = stored(state.drop("own").join(own, "node", "left").na.fill(0, ["own"]), "state")
-        # A pair is compared in the first of the open buckets it shares.
-        open_of = state.groupBy("node").agg(F.collect_list("bucket").alias("open"))
-        state = stored(state.drop("open").join(open_of, "node"), "state")
-        chosen = state.where("pivot").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"),
-                                             F.col("own").alias("po"), F.col("component").alias("pc"),
-                                             F.col("open").alias("popen"))
+            open_of = state.groupBy("node").agg(F.collect_list("bucket").alias("open"))
+            state = stored(state.drop("own").join(open_of.join(own, "node", "left"), "node").na.fill(0, ["own"]), "state")
+        pivot = state.where("pivot").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"),
+                                            F.col("own").alias("po"), F.col("component").alias("pc"),
+                                            *[F.col("open").alias("popen") for c in state.columns if c == "open"])
         both = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("po"))
-        pairs = (state.join(chosen, "bucket").where("component <> pc")
+        pairs = (state.join(pivot, "bucket").where("component <> pc")
                  .where(F.lit(den) * both >= F.lit(num) * (F.col("n") + F.col("pn") - both))
-                 .where("not pivot or node < p")
-                 .where(F.col("bucket") == F.array_min(F.array_intersect("open", "popen")))
-                 .select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
-        pairs = pairs if sharing is None else pairs.unionAll(sharing).distinct()
+                 .where("not pivot or node < p"))
+        if "open" in state.columns:  # a pair is compared in the first bucket it shares
+            pairs = pairs.where(F.col("bucket") == F.array_min(F.array_intersect("open", "popen")))
+        pairs = pairs.select(F.col("p").alias("a"), F.col("node").alias("b"))
+        pairs = (pairs if sharing is None else pairs.unionAll(sharing)).distinct()
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         found = stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
                        .mapInArrow(_confirm(num, den), "a long, b long"), "links")
         if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = components(links)
-        members = state.where("not pivot").select("bucket", "node", "n", "own")
-        pivots *= 16
+            known = found if labels is None else found.unionAll(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            labels = components(known)
+        members = state.where("not pivot").drop("component", "size", "least", "pivot")
     drop_stored(sets)
     return labels if labels is not None else classes.select("node", F.col("node").alias("component")).limit(0)
