@@ -22,6 +22,21 @@ FLAGSHIP_FEATURES = [
 ]
 FLAGSHIP_TRIALS = 4
 
+# The feature lists of the three run configs (7 folds, 100 trials
+# a fold, random state 42).
+RUN_FEATURES = {
+    "all-features": [
+        "DocumentEmbeddingsBERT", "WritingStyleEmbeddings", "SentimentBERT", "SpellingMistakes",
+        "WordLengthStandardDeviation", "AverageWordLength", "NumWords", "NumCharacters", "StopwordRatio",
+        "ExclamationMarkRatio", "NumReferences", "NumMediumAdressed", "NumUserAdressed", "AverageEmojiRepetition"],
+    "baseline-bert": ["DocumentEmbeddingsBERT"],
+    "baseline-fasttext": ["DocumentEmbeddingsFastTextPool"],
+}
+
+
+def run_config(name: str, num_trials: int = 100) -> RunConfig:
+    return RunConfig(name=name, features=RUN_FEATURES[name], num_splits=7, num_trials=num_trials, random_state=42)
+
 _RUNS: dict[tuple[str, str, int], RunResult] = {}
 
 

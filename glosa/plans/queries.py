@@ -614,6 +614,32 @@ def q_svd_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)).alias("value"))
 
 
+L1_REG, L1_TOL = 0.01, 1e-4
+
+
+@register("l1_optimality", """SELECT CAST(i AS INT) AS idx, true AS satisfied
+FROM (SELECT unnest(range(0, len(embedding))) AS i FROM (SELECT embedding FROM embeddings LIMIT 1))""")
+def q_l1_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: the optimality conditions of an L1 logistic regression, by coefficient.
+
+    At the optimum the mean gradient of a non-zero coefficient is -λ times its
+    sign, and that of a zero one is within [-λ, λ]."""
+    from pyspark.ml.classification import LogisticRegression
+    e = load_table(spark, sf_dir, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).cast("double").alias("y"))
+    data = e.withColumn("features", array_to_vector("x"))
+    m = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=L1_REG, standardization=False, maxIter=1000,
+                           tol=1e-12).fit(data)
+    w, b = m.coefficients.toArray().tolist(), float(m.intercept)
+    coefs = spark.createDataFrame([(i, v) for i, v in enumerate(w)], "idx int, w double")
+    dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in w]), lambda a, c: a * c), F.lit(b), lambda a, v: a + v)
+    off = e.select((1 / (1 + F.exp(-dot)) - F.col("y")).alias("r"), F.posexplode("x").alias("idx", "v"))
+    grad = off.groupBy("idx").agg(F.avg(F.col("r") * F.col("v")).alias("g")).join(F.broadcast(coefs), "idx")
+    ok = F.when(F.col("w") != 0, F.abs(F.col("g") + L1_REG * F.signum("w")) < L1_TOL).otherwise(
+        F.abs("g") <= L1_REG + L1_TOL)
+    return grad.select("idx", ok.alias("satisfied"))
+
+
 # ---------------------------------------------------------------------------
 # Feature-set projection, block assembly and block selection
 # ---------------------------------------------------------------------------

@@ -145,3 +145,18 @@ def test_constants_of_text_features():
     assert "".join(w for _, w in tx.DIGIT_WORDS) == " null eins zwei drei vier fünf sechs sieben acht neun"
     assert [d for d, _ in tx.DIGIT_WORDS] == list("0123456789")
     assert lt.UNK == "<UNK>"
+
+
+def test_run_configs():
+    from glosa.plans.flagship import RUN_FEATURES, run_config
+    widths = {n: reg.layout_of(run_config(n).features, reg.FeatureAssets()) for n in RUN_FEATURES}
+    assert {n: len(v.names) for n, v in widths.items()} == {"all-features": 898, "baseline-bert": 768, "baseline-fasttext": 300}
+
+
+def test_embedding_only_model(spark):
+    """A baseline run: no numerical block but the presence column's, every row predicted."""
+    train, test, assets = flagship_inputs(spark, SF001)
+    cfg = RunConfig(name="baseline", features=["DocumentEmbeddingsFastTextPool"], num_splits=2, num_trials=1, random_state=1)
+    r = run(spark, train, test, cfg, assets)
+    assert r.layout.numerical == [] and r.predictions.count() == test.count()
+    assert r.cv.oof.count() == train.count()
