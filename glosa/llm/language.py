@@ -141,12 +141,13 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
     hosts = rows.where("host is not null").groupBy("host").agg(
         F.max("parent").alias("of"),
         F.array(*[F.sum(F.when(F.col("vote") == k, 1).otherwise(0)).cast("double") for k in range(n)]).alias("host_votes"))
-    hosts = hosts.join(parents, "of", "left").select(
-        "host", "host_votes", F.coalesce("parent_prior", overall).alias("parent_prior"))
+    # Stored, like the values below, so that the joins read plain exchanges and can split a hot key.
+    hosts = stored(hosts.join(parents, "of", "left").select(
+        "host", "host_votes", F.coalesce("parent_prior", overall).alias("parent_prior")), "hosts")
     known = F.array(*[F.lit(v + 0.0) for v in everything])
     given = {}
     for key in ("markup", "suffix"):
-        values = _votes(rows, key, n, "votes")
+        values = stored(_votes(rows, key, n, "votes"), key)
         size = values.count()
         given[key] = values.select(key, F.zip_with("votes", known, lambda v, t: F.log(
             (v + alpha) / (t + alpha * (size + 1)))).alias(f"{key}_given"))

@@ -62,6 +62,8 @@ def site_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                  .agg(F.count(F.lit(1)).alias("with_line")).where(F.col("with_line") > max_ratio * min_pages))
     frequent = (with_line.join(totals, "host").where(F.col("with_line") > max_ratio * F.col("pages"))
                 .groupBy("host").agg(F.collect_list("key").alias("frequent")))
+    # Stored, so that the join reads two plain exchanges and can split a hot host.
+    frequent = stored(frequent, "frequent")
     out = rows.join(frequent, "host", "left")
     left = F.when(F.col("frequent").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("frequent"), _key(x))))

@@ -227,5 +227,6 @@ def archived(pages: DataFrame, **options) -> DataFrame:
     rows = read_archives(spark, folder).withColumn("bytes", F.octet_length("payload").cast("long")).drop("payload")
     rows = stored(rows, "records")
     sizes = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("bytes").alias("payload_bytes"))
+    sizes = stored(sizes, "sizes")  # so that the join reads plain exchanges and can split a hot digest
     return rows.join(sizes, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type",
                                                              "refers_to", "complete")
