@@ -24,26 +24,35 @@ from glosa.llm.common import WORD, drop_stored, stored
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+# Scripts written without spaces between words: there, a run without white space is a sentence or a paragraph.
+UNSPACED = (r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+            r"\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}")
+GIANT = rf"[^\x20\x09-\x0D{UNSPACED}]{{1000,}}"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over ``text`` (never null), ``n_lines`` and the base measures."""
+    """``rejects`` is SQL over ``text`` (never null), the base measures, ``n_lines``, ``n_giant`` and ``giant_chars``."""
     name: str
     rejects: str
 
 
 # Limits for prose: symbols a word, repeated and bulleted lines, word lengths,
-# words with a letter, and words in capitals.
+# words with a letter, words in capitals, and characters in giant words. A length
+# of words says something only if most letters are of a script with spaces, and
+# shares of lines only if there are several; giant words (a data URI) have no
+# length that counts, and a text goes for them only if they are most of it.
+MIN_LINES = 5
 RULES = [
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
-    Rule("word_length", "word_chars < 3 * n_words or word_chars > 10 * n_words"),
+    Rule("word_length", "(word_chars - giant_chars < 3 * (n_words - n_giant) or word_chars - giant_chars > 10 * (n_words - n_giant))"
+         rf" and 2 * regexp_count(text, r'[{UNSPACED}&&\p{{L}}]') <= regexp_count(text, r'\p{{L}}')"),
     Rule("few_letters", r"10 * regexp_count(text, '[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*') < 7 * n_words"),
     Rule("capitals", r"2 * regexp_count(text, '(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D\\p{Ll}]*\\p{Lu}{2}[^\\x20\\x09-\\x0D\\p{Ll}]*(?![^\\x20\\x09-\\x0D])') > n_words"),
-    Rule("bullets", r"10 * regexp_count(text, '(?m)^[\\x20\\x09]*[-*•]') > 9 * n_lines"),
-    Rule("ellipses", r"10 * regexp_count(text, '(?m)(\\.\\.\\.|…)[\\x20\\x09]*$') > 3 * n_lines"),
-    Rule("giant_word", r"text rlike '[^\\x20\\x09-\\x0D]{1000}'"),
+    Rule("bullets", rf"n_lines >= {MIN_LINES} and 10 * regexp_count(text, '(?m)^[\\x20\\x09]*[-*•]') > 9 * n_lines"),
+    Rule("ellipses", rf"n_lines >= {MIN_LINES} and 10 * regexp_count(text, '(?m)(\\.\\.\\.|…)[\\x20\\x09]*$') > 3 * n_lines"),
+    Rule("giant_word", "2 * giant_chars > word_chars"),
 ]
 
 
@@ -53,12 +62,16 @@ def measured(docs: DataFrame) -> DataFrame:
     Three-word windows are compared by 64-bit hashes of their words. Only a
     document that has a repeated window sorts them: neighbours with equal
     hashes repeat, and each repeated window covers up to three words more than
-    the one before it.
+    the one before it. Giant words are those with a run of 1,000 or more characters
+    of no unspaced script; ``giant_chars`` is the length of these runs.
     """
     columns = docs.columns
     docs = docs.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     docs = docs.withColumn("n_words", F.size("words").cast("long")).withColumn(
         "word_chars", F.length(F.array_join("words", "")).cast("long"))
+    docs = docs.withColumn("giant", F.filter("words", lambda w: (F.length(w) >= 1000) & w.rlike(GIANT)))
+    docs = docs.withColumn("n_giant", F.size("giant").cast("long")).withColumn("giant_chars", F.aggregate(
+        "giant", F.lit(0).cast("long"), lambda a, w: a + F.length(w) - F.length(F.regexp_replace(w, GIANT, ""))))
     docs = docs.withColumn("n_symbols", F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long"))
     docs = docs.withColumn("lines", F.split("text", "\n", -1))
     docs = docs.withColumn("n_lines", F.size("lines").cast("long"))
@@ -79,7 +92,7 @@ def measured(docs: DataFrame) -> DataFrame:
         " (a, i) -> struct(i as last, a.n + least(3, i - a.last) as n), a -> a.n)"))
     # A filter on what a generator makes stays above it; below, the optimizer would
     # replace each measure by its definition, and those in it by theirs.
-    return docs.select(*columns, F.inline(F.array(F.struct(*BASE, "n_lines"))))
+    return docs.select(*columns, F.inline(F.array(F.struct(*BASE, "n_lines", "n_giant", "giant_chars"))))
 
 
 def base_failed() -> Column:

@@ -74,3 +74,32 @@ def test_windows_overlap_and_touch(spark):
 
 def test_empty_table(spark):
     assert quality_cascade(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_clean_documents_stay(spark):
+    """One line, a data URI and scripts without spaces are no reason to reject; junk of the same kinds goes."""
+    line = prose(11, 200).replace("\n", " ")
+    uri = "data:image/png;base64," + "iVBORw0KGgoAAAANSUhEUgAA" * 500
+    chinese, more = ("\n".join(f"第{i}段说明了这个方法在实际数据上的效果以及它的限制条件和适用范围。" for i in r)
+                     for r in (range(60), range(60, 900)))
+    japanese = "\n".join(f"第{i}章ではこの手法の効果とその限界について、データを用いて詳しく説明します。" for i in range(60))
+    thai = "\n".join(f"บทที่{i}อธิบายวิธีการนี้และผลลัพธ์ที่ได้จากข้อมูลจริงอย่างละเอียด" for i in range(60))
+    stay = {"line ...": line + " ...", "line …": line + "…\n", "line -": "- " + line,
+            "two lines": f"- {line}\n* " + prose(17, 90).replace("\n", " ") + "...",
+            "uri": prose(12, 4000) + f"\n{uri}\n" + prose(13, 60), "longest uri": prose(12, 6000) + "\n" + uri * 2,
+            "chinese": chinese, "japanese": japanese, "thai": thai,
+            **{f"{k} paragraph": f"{t}\n{''.join(t.split()) * 2}" for k, t in
+               (("chinese", chinese), ("japanese", japanese), ("thai", thai))},
+            "chinese uri": more + "如图" + uri}
+    words = prose(14, 60).split()
+    go = {"bullets": "\n".join("- " + " ".join(words[i: i + 6]) for i in range(0, 60, 6)),
+          "ellipses": "\n".join(" ".join(words[i: i + 6]) + "..." for i in range(0, 60, 6)),
+          "word_length": " ".join(w * 4 for w in words),
+          "short words": " ".join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(600)) + " "
+                         + uri[:1000],
+          "giant_word": prose(15, 60) + " " + uri, "giant_word in chinese": chinese + uri}
+    docs = spark.createDataFrame([*stay.items(), *go.items()], "name string, text string")
+    got = {r.name: (r.base_failed, r.rejected_by) for r in
+           quality_cascade(docs).select("row.name", "base_failed", "rejected_by").collect()}
+    assert {k: got[k] for k in stay} == {k: (False, None) for k in stay}
+    assert all(got[k][1] not in (None, "base") for k in go), got
