@@ -4,9 +4,12 @@ For each language l of the model,
 
     log P(l | all) = T log P(text | l) + log P(markup | l) + log P(suffix | l) + log P(l | host) + const
 
-* text: a multinomial model of byte trigrams in 65,536 hash classes, fitted on
-  ``sample_rows`` labelled texts (a documented bound; the rows with the least
-  hash). T < 1 (``temper``) allows for trigrams not being independent, so that
+* text: a multinomial model of byte trigrams in 65,536 hash classes, for every
+  language that has a labelled text of three bytes or more, fitted on a bounded
+  sample. Copies of a (text, label) count once there. A language's quota is
+  ``sample_rows`` divided by the languages, LEAST_ROWS at least, and what smaller
+  languages leave of ``sample_rows`` is shared out among the larger ones: one with
+  no more texts than its quota gives them all, another those of least hash. T < 1 (``temper``) allows for trigrams not being independent, so that
   short texts lean on the other evidence and long ones decide for themselves;
 * markup and suffix: how often rows whose text speaks for l declare this
   language or have this address suffix, smoothed by ``alpha``; a row without
@@ -31,13 +34,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosa.llm.common import slices, stored
 
 CLASSES = 1 << 16
 SLICE_BYTES = 4_000_000
+LEAST_ROWS = 100
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -61,11 +65,40 @@ def _count(langs: list[str]) -> Callable:
     return run
 
 
+def quotas(sizes: dict[str, int], sample_rows: int) -> dict[str, int]:
+    """Rows to take of each language: the least languages whole, the rest in equal parts."""
+    out, left = {}, sample_rows
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(left // (len(sizes) - k), LEAST_ROWS))
+        left = max(left - out[lang], 0)
+    return out
+
+
+def _sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """Distinct (text, lang) rows of least hash, by the languages' quotas.
+
+    Distinct rows are counted by their hashes. The texts that are drawn from lie
+    in the share of the hash range where a quota's rows are expected, and some
+    more; so the ranking within a language sees little more than its quota.
+    """
+    keyed = rows.select("text", "lang", F.xxhash64("text", "lang").alias("a"), F.xxhash64(F.lit(1), "text", "lang").alias("b"))
+    sizes = keyed.select("lang", "a", "b").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
+    if not sizes:
+        return rows.limit(0)
+    wanted = [(k, n, 1.0 if n == sizes[k] else (n + 10 * n ** 0.5 + 20) / sizes[k]) for k, n in quotas(sizes, sample_rows).items()]
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(wanted, "lang string, quota long, share double"))
+    near = keyed.join(wanted, "lang").where(F.shiftrightunsigned("a", 11) < F.col("share") * float(1 << 53))
+    near = near.groupBy("lang", "a", "b").agg(F.first("text").alias("text"), F.first("quota").alias("quota"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("a", "b"))
+    return near.withColumn("place", place).where("place <= quota").select("text", "lang")
+
+
 def fit_text_model(labelled: DataFrame, text_col: str, lang_col: str, sample_rows: int) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by language and class) from a bounded sample."""
+    """(languages, log probabilities by language and class) of all labels, from a bounded sample of each."""
     rows = labelled.select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text is not null and lang is not null and octet_length(text) >= 3")
-    sample = stored(rows.orderBy(F.xxhash64("text", "lang")).limit(sample_rows), "sample")
+    sample = stored(_sampled(rows, sample_rows), "sample")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:
         raise ValueError("no labelled text to fit a language model on")

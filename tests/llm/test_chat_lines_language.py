@@ -136,3 +136,25 @@ def test_page_items(spark):
            for r in page_items(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("Bonjour", "fr", "com", "m.blog.example.com", "example.com"), 2: (None, None, None, None, None),
                    3: ("x", None, None, "localhost", None)}
+
+
+def test_rare_languages_and_copies(spark):
+    """Each labelled language is in the model, however large the others or their groups of copies are."""
+    rows = [(f"common text number {i}", "aa") for i in range(3000)] + [(f"другой текст {i}", "zz") for i in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    langs, table = fit_text_model(df, "text", "lang", 40)
+    assert langs == ["aa", "zz"]
+    text = "другой текст".encode()
+    assert table[1][_classes(text)].sum() > table[0][_classes(text)].sum()
+    # Thousands of copies of the text whose hash is the least.
+    hashed = df.orderBy(F.xxhash64(F.col("text").cast("binary"), "lang")).first()
+    copies = spark.createDataFrame([tuple(hashed)] * 3000, df.schema)
+    again = fit_text_model(df.unionByName(copies), "text", "lang", 40)
+    assert again[0] == langs and np.array_equal(again[1], table)
+
+
+def test_quotas():
+    from glosa.llm.language import quotas
+    assert quotas({"a": 10**7, "b": 1000, "c": 5}, 4000) == {"c": 5, "b": 1000, "a": 2995}
+    assert quotas({"a": 900, "b": 100}, 4000) == {"a": 900, "b": 100}
+    assert set(quotas({f"l{i}": 10**6 for i in range(200)}, 4000).values()) == {100}
