@@ -28,13 +28,15 @@ from glosa.llm.common import stored
 SPACE = r"[\x20\x09-\x0D]+"
 BLOCK = (r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|nav|article|section|header|footer|main|aside|title|body|head|html"
          r"|blockquote|pre|form|option|dt|dd|td|th)\b[^>]*>")
+# A bare "<" is text: a tag begins with a letter, "!" or "?" and has another "<" within quotes only.
+TAG = r"""<(?:/\s*)?[A-Za-z!?](?:(?:[^<>"']++|"[^">]*+"|'[^'>]*+')*+>|[^<>]*+>)"""
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 
 
 def lines_of(html: Column) -> Column:
     """Text lines of a page, in order, without empty ones."""
     text = F.regexp_replace(html, HIDDEN, "\n")
-    text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), "<[^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
     return F.filter(lines, lambda x: x != "")
 

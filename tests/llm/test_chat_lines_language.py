@@ -158,3 +158,15 @@ def test_quotas():
     assert quotas({"a": 10**7, "b": 1000, "c": 5}, 4000) == {"c": 5, "b": 1000, "a": 2995}
     assert quotas({"a": 900, "b": 100}, 4000) == {"a": 900, "b": 100}
     assert set(quotas({f"l{i}": 10**6 for i in range(200)}, 4000).values()) == {100}
+
+
+def test_bare_angle_brackets_are_text(spark):
+    from glosa.llm.line_dedup import lines_of
+    pages = {"<p>if a < b then</p><p>a second paragraph</p><p>a third <b>bold</b> one</p>":
+             ["if a < b then", "a second paragraph", "a third bold one"],
+             "<p>x <5 and 6> y <i>z</i></p>": ["x <5 and 6> y z"],
+             "a <a title='p < q' href=\"/x\">link</a> <img alt=it's> <!DOCTYPE x><br/>b</ i><?x y?>": ["a link", "b"],
+             "<p>" + "<img src=x " + "a='1' " * 20_000 + "data-x='" + "y" * 300_000 + "'>end": ["end"]}
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    got = {r.k: r.l for r in df.select("k", lines_of(F.col("html")).alias("l")).collect()}
+    assert got == dict(enumerate(pages.values()))
