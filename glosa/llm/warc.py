@@ -89,8 +89,11 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> str:
 
 
 def _uri(url: str | None) -> str | None:
-    return None if url is None else "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode())
-                                            for c in url)
+    if url is None:
+        return None
+    out = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+    # At the end of its line the version would be the reader's record separator.
+    return out.replace(VERSION, f"%{ord(VERSION[0]):02X}{VERSION[1:]}")
 
 
 def _records(date: str, segment_bytes: int, chunk_bytes: int) -> Callable:

@@ -97,3 +97,11 @@ def test_foreign_framing():
 
 def test_empty_table(spark):
     assert archived(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_a_url_that_ends_in_the_version(spark):
+    rows = [(1, "http://a.example/WARC/1.1", "<p>one</p>"), (2, "WARC/1.1", "<p>two</p>"), (3, "http://a.example/", "<p>one</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = archived(df).select("page_id", "record_type", "complete").collect()
+    assert sorted((r.page_id, r.record_type, r.complete) for r in got) == [
+        (1, "response", True), (2, "response", True), (3, "revisit", True)]
