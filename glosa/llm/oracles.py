@@ -223,5 +223,38 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hi
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+OP11 = r"""WITH h AS (
+  SELECT page_id, coalesce(url, '') AS url, contains(coalesce(url, ''), '://') AS is_url,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
+         list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+                   lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS params
+  FROM pages
+),
+c AS (
+  SELECT page_id, host, path, CASE WHEN is_url THEN CASE WHEN scheme IN ('http', 'https') THEN '' ELSE scheme || '://' END
+         || regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':(80|443)?$', ''), '\.+$', ''), '^www\.', '')
+         || regexp_replace(path, '/+$', '')
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
+  FROM h
+),
+rules AS (
+  SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+                        ('allow', 'org', '/fr/')) AS r(rule_verdict, rule_host, rule_path)
+),
+fits AS (
+  SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM (SELECT DISTINCT page_id, host, path FROM c)
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY ALL
+),
+listed AS (SELECT DISTINCT canonical AS key FROM c WHERE regexp_matches(host, '(^|[.-])(casino|bets|pills|spam)([.-]|$)'))
+SELECT page_id, host, path, rule, canonical,
+       coalesce(rule_verdict, CASE WHEN key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fits USING (page_id, host, path) LEFT JOIN listed ON key = canonical"""
+
 ORACLES = {"op1_snapshot_chats": OP1, "op2_site_lines": OP2, "op4_superminhash": OP4, "op5_warc_segments": OP5,
-           "op8_pareto_mix": OP8, "op9_quality_cascade": OP9, "op10_wu_manber": OP10}
+           "op8_pareto_mix": OP8, "op9_quality_cascade": OP9, "op10_wu_manber": OP10,
+           "op11_url_filter": OP11}

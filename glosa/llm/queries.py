@@ -21,6 +21,7 @@ from glosa.llm.oracles import ORACLES  # noqa: F401 (read by the entry)
 from glosa.llm.quality import BASE, quality_cascade
 from glosa.llm.secrets import secrets
 from glosa.llm.tokens import token_files
+from glosa.llm.url_filter import UrlRule, host_and_path, url_verdicts
 from glosa.llm.warc import archived
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -117,3 +118,18 @@ def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record after a round trip through archives."""
     return archived(table(spark, sf_dir, "pages"))
+
+
+# Fixed values of the contract.
+URL_RULES = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"),
+             UrlRule("allow", "org", "/fr/")]
+LISTED_HOSTS = r"(^|[.-])(casino|bets|pills|spam)([.-]|$)"
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url. The list has the urls of all pages on hosts with a listed word in their name."""
+    pages = table(spark, sf_dir, "pages")
+    host, _ = host_and_path(F.col("url"))
+    judged = url_verdicts(pages, pages.where(host.rlike(LISTED_HOSTS)), URL_RULES, carry=["page_id"])
+    return judged.select("row.page_id", "host", "path", "rule", "canonical", "verdict")
