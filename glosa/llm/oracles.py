@@ -255,6 +255,29 @@ SELECT page_id, host, path, rule, canonical,
        coalesce(rule_verdict, CASE WHEN key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN fits USING (page_id, host, path) LEFT JOIN listed ON key = canonical"""
 
+OP12 = """WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.k AS ak, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.k <> b.k
+),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, id) AS place FROM s WHERE same)
+  WHERE place <= 5
+),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ak, p.place ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.ak = p.ak AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
 ORACLES = {"op1_snapshot_chats": OP1, "op2_site_lines": OP2, "op4_superminhash": OP4, "op5_warc_segments": OP5,
            "op8_pareto_mix": OP8, "op9_quality_cascade": OP9, "op10_wu_manber": OP10,
-           "op11_url_filter": OP11}
+           "op11_url_filter": OP11, "op12_hard_negatives": OP12}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glosa.llm.chat import format_chats
 from glosa.llm.common import table
 from glosa.llm.decontaminate import contaminated
+from glosa.llm.hard_negatives import hard_negatives
 from glosa.llm.language import fit_text_model, identify, page_items
 from glosa.llm.line_dedup import site_lines
 from glosa.llm.minhash import near_duplicates
@@ -133,3 +134,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, _ = host_and_path(F.col("url"))
     judged = url_verdicts(pages, pages.where(host.rlike(LISTED_HOSTS)), URL_RULES, carry=["page_id"])
     return judged.select("row.page_id", "host", "path", "rule", "canonical", "verdict")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has the next label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
