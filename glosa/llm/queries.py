@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosa.llm.chat import format_chats
-from glosa.llm.common import table
+from glosa.llm.common import WORD, table
 from glosa.llm.decontaminate import contaminated
 from glosa.llm.hard_negatives import hard_negatives
 from glosa.llm.language import fit_text_model, identify, page_items
@@ -20,6 +20,7 @@ from glosa.llm.minhash import near_duplicates
 from glosa.llm.mixing import mix
 from glosa.llm.oracles import ORACLES  # noqa: F401 (read by the entry)
 from glosa.llm.quality import BASE, quality_cascade
+from glosa.llm.runs import periodic_runs
 from glosa.llm.secrets import secrets
 from glosa.llm.tokens import token_files
 from glosa.llm.url_filter import UrlRule, host_and_path, url_verdicts
@@ -142,3 +143,26 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
         F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of a tenth of the documents, chosen by their id's crc32, the words repeat from some place on."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("n", F.coalesce(F.size("words"), F.lit(0))).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)"))
+    rows = rows.withColumn("p", F.expr("1 + cast(floor((n - a) / (3 + g % 8)) as int)"))
+    tail = "slice(flatten(array_repeat(slice(words, a + 1, p), 12)), 1, n - a)"  # p is over a twelfth of n - a
+    return rows.select("doc_id", F.expr(f"if(n > 0, array_join(concat(slice(words, 1, a), {tail}), ' '), text)").alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, and its text without their repetitions."""
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")), carry=["doc_id"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit(""))
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
