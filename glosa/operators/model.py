@@ -1,13 +1,12 @@
-"""Two-branch model (M1–M4, M8, M9, P4, P5) on Spark ML.
+"""Two-branch model.
 
 Data flow per fold, as in the reference pipeline: numerical block ∥
 (embedding block → population scaler → truncated SVD) → union → population
-scaler → one L1 logistic regression per task. Stages that do not depend on
-the trial (both scalers and an SVD with the largest k any trial asks for) are
-fitted once per fold; a trial only slices the first ``n_num + k`` columns of
-the scaled union — column-wise scaling commutes with slicing — and fits its
-three regressions. Everything is stock Spark ML and persists as a
-``PipelineModel``.
+scaler → one L1 logistic regression per task. All stages before the regressions
+follow from the moments of the training rows (``operators.moments``) and are one
+affine map; an SVD with the largest k any trial asks for serves all trials: a trial
+slices the first ``n_num + k`` columns of the scaled union — column-wise scaling
+commutes with slicing. A fold's model persists as a ``PipelineModel``.
 """
 
 from __future__ import annotations
@@ -19,13 +18,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosa.columns import LABELS, TASKS
 from glosa.functions.registry import FeatureLayout
-from glosa.operators.linalg import fit_population_scaler, fit_svd, prefix_slicer
+from glosa.operators.affine import AffineModel, LinearTaskModel
+from glosa.operators.linalg import prefix_slicer
+from glosa.operators.moments import Space, fold_sums, scaled_union
 
 EMBEDDING_FEATURE = "EmbeddingFeature"
 
@@ -48,50 +49,34 @@ class SharedStages:
         return f"{self.prefix}x"
 
 
+def raw_block(layout: FeatureLayout, num_col: str = "num", emb_col: str = "emb") -> tuple[list[str], Column, int, int]:
+    """The input columns of a layout, their values as one array, and the widths of the two blocks."""
+    n_num, emb_dim = len(layout.numerical), sum(d for _, d in layout.embeddings)
+    if not n_num and not emb_dim:
+        raise ValueError("the feature set has neither numerical nor embedding features")
+    cols = ([num_col] if n_num else []) + ([emb_col] if emb_dim else [])
+    return cols, F.concat(*[vector_to_array(c) for c in cols]), n_num, emb_dim
+
+
+def shared_stages(space: Space, input_cols: list[str], prefix: str, n_num: int) -> SharedStages:
+    """The stages as a pipeline of one affine map."""
+    stage = AffineModel.of(input_cols, f"{prefix}x", space.matrix, space.shift)
+    return SharedStages(PipelineModel(stages=[stage]), prefix, n_num, len(space.shift) - n_num)
+
+
 def fit_shared(train: DataFrame, layout: FeatureLayout, k_max: int, prefix: str = "m_",
                num_col: str = "num", emb_col: str = "emb") -> SharedStages:
-    """M4 minus the classifiers: numerical ∥ (scale → SVD(k_max)) → union → scale."""
-    n_num = len(layout.numerical)
-    has_emb = bool(layout.embeddings)
-    if not n_num and not has_emb:
-        raise ValueError("the feature set has neither numerical nor embedding features")
-    stages, cur, union_in = [], train, []
-    if n_num:
-        union_in.append(num_col)
-    if has_emb:
-        emb_dim = sum(d for _, d in layout.embeddings)
-        k_max = max(1, min(k_max, emb_dim))
-        scaler = fit_population_scaler(cur, emb_col, f"{prefix}emb_z")
-        cur = scaler.transform(cur)
-        svd = fit_svd(cur, f"{prefix}emb_z", f"{prefix}emb_svd", k_max)
-        cur = svd.transform(cur)
-        stages += list(scaler.stages) + list(svd.stages)
-        union_in.append(f"{prefix}emb_svd")
-    else:
-        k_max = 0
-    assembler = VectorAssembler(inputCols=union_in, outputCol=f"{prefix}union")
-    cur = assembler.transform(cur)
-    union_scaler = fit_population_scaler(cur, f"{prefix}union", f"{prefix}x")
-    stages += [assembler] + list(union_scaler.stages)
-    return SharedStages(PipelineModel(stages=stages), prefix, n_num, k_max)
+    """M4 minus the classifiers: numerical ∥ (scale → SVD(k_max)) → union → scale, from one scan of ``train``."""
+    cols, raw, n_num, emb_dim = raw_block(layout, num_col, emb_col)
+    k = max(1, min(k_max, emb_dim)) if emb_dim else 0
+    return shared_stages(scaled_union(fold_sums(train, raw).total(), n_num, k), cols, prefix, n_num)
 
 
 def raw_affine(shared: SharedStages, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Matrix and shift that take a raw row (numerical block, then embedding block)
     to the first ``width`` scaled columns: scaler, projection and scaler in one."""
-    stages, n_num = list(shared.model.stages), shared.n_num
-    project, shift = np.zeros((0, 0)), np.zeros(0)
-    if shared.k_max:
-        centre, scale, pca = stages[:3]
-        project = pca.pc.toArray().T * scale.getScalingVec().toArray()
-        shift = -project @ centre.mean.toArray()
-    centre, scale = stages[-2:]
-    matrix = np.zeros((n_num + project.shape[0], n_num + project.shape[1]))
-    matrix[:n_num, :n_num] = np.eye(n_num)
-    matrix[n_num:, n_num:] = project
-    by = scale.getScalingVec().toArray()
-    shift = (np.concatenate([np.zeros(n_num), shift]) - centre.mean.toArray()) * by
-    return (matrix.T * by).T[:width], shift[:width]
+    matrix, shift = shared.model.stages[0].numbers()
+    return matrix[:width], shift[:width]
 
 
 def positive_margins(weights: np.ndarray, intercepts: np.ndarray):
@@ -119,8 +104,8 @@ def check_both_classes(train: DataFrame, labels: Sequence[str] = LABELS) -> None
 
 def fit_task(train_x: DataFrame, features_col: str, label: str, c: float, n_train: int,
              prefix: str, task_idx: int, max_iter: int = 300, tol: float = 1e-3) -> LogisticRegressionModel:
-    """M3: one L1 logistic regression (intercept unpenalised, Q11). ``tol`` is on the
-    relative loss change; the reference's solver stops on a loose gradient test (0.1)."""
+    """M3, a single L1 logistic regression by Spark ML (intercept unpenalised, Q11); a search
+    fits its trials together (``operators.paths``). ``tol`` is on the relative loss change."""
     lr = LogisticRegression(featuresCol=features_col, labelCol=label, family="binomial",
                             elasticNetParam=1.0, regParam=c_to_reg_param(c, n_train), standardization=False,
                             maxIter=max_iter, tol=tol,
@@ -136,7 +121,7 @@ class FoldModel:
     shared: SharedStages
     k: int
     c: float
-    regressions: list[LogisticRegressionModel]
+    regressions: list[LogisticRegressionModel | LinearTaskModel]
     pred_cols: list[str]
 
     def pipeline(self) -> PipelineModel:

@@ -1,35 +1,38 @@
-"""Hyper-parameter search per fold (M5–M7).
+"""Hyper-parameter search over all folds (M5–M7).
 
 Trials are drawn up front from a seeded generator — ``k`` uniform on
-``[1, max(D−1, 1)]``, ``C`` log-uniform on ``[0.1, 1e4]`` — and run
-concurrently from a thread pool (Spark schedules the concurrent jobs across
-the cluster). All trials share the fold's scalers and SVD; all of them are
-scored on the validation rows in one job, and the best trial's regressions
-are the refit (same data, same parameters, deterministic solver).
+``[1, max(D−1, 1)]``, ``C`` log-uniform on ``[0.1, 1e4]``. The scaled unions of all
+folds come from one scan (``operators.moments``); then all trials of all folds and
+tasks are fitted together, a pass over the shared standardised block bringing the
+gradients of all that are still open (``operators.paths``), and scored in one job.
+The best trial's regressions are the refit (same data, same parameters, deterministic
+solver).
 """
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosa.columns import LABELS
-from glosa.session import right_size
+from glosa.columns import FOLD, LABELS
 from glosa.functions.registry import FeatureLayout
-from glosa.operators.model import (FoldModel, SharedStages, check_both_classes, fit_shared, fit_task,
-                                   trial_features)
+from glosa.operators.affine import LinearTaskModel
+from glosa.operators.model import FoldModel, SharedStages, c_to_reg_param, raw_block, shared_stages
+from glosa.operators.moments import fold_sums, scaled_union
+from glosa.operators.paths import Block, Problems, solve
+from glosa.session import right_size
 
 C_LOW, C_HIGH = 0.1, 1e4
+# Times the rarer class's share: how much of the optimality gap at zero a fit may leave (the reference's solver stops there too).
+TOL = 0.1
 
 
 @dataclass(frozen=True)
@@ -85,57 +88,90 @@ class FoldSearch:
     model: FoldModel
     scores: list[tuple[int, int, float, float]]  # (trial, k, C, score)
     best: Trial
+    passes: int = 0  # over the data, for all folds and trials together
+
+
+def standardised(raw: Column, centre: np.ndarray, scale: np.ndarray) -> Column:
+    """(raw - centre) * scale of an ``array<double>`` column."""
+    @F.pandas_udf("array<double>")
+    def apply(rows: pd.Series) -> pd.Series:
+        return pd.Series(list((np.vstack(rows.to_numpy()) - centre) * scale)) if len(rows) else pd.Series([], dtype=object)
+    return apply(raw)
+
+
+def _check_classes(data: DataFrame, folds: Sequence[int], labels: Sequence[str]) -> tuple[dict[int, int], dict[int, list[float]]]:
+    """Rows of each fold, and the rarer class's share by task of each training fold.
+
+    Q15: a task with one class in a training fold cannot be fitted."""
+    sums = [F.sum(F.when(F.col(c) == 1, 1).otherwise(0)).alias(c) for c in labels]
+    found = {r[FOLD]: r for r in data.groupBy(FOLD).agg(F.count(F.lit(1)).alias("_n"), *sums).collect()}
+    shares = {}
+    for f in folds:
+        n = sum(r["_n"] for k, r in found.items() if k != f)
+        ones = [sum(r[c] for k, r in found.items() if k != f) for c in labels]
+        single = [c for c, x in zip(labels, ones) if x == 0 or x == n]
+        if single:
+            raise ValueError(f"single class in the training fold for {single}; use fewer folds or more data")
+        shares[f] = [min(x, n - x) / n for x in ones]
+    return {k: r["_n"] for k, r in found.items()}, shares
+
+
+def search_folds(data: DataFrame, layout: FeatureLayout, trials: Sequence[Trial], folds: Sequence[int],
+                 labels: Sequence[str] = LABELS, prefix: str = "f{}_", pred_cols: Sequence[str] | None = None,
+                 max_iter: int = 300, tol: float = TOL, waves: int = 1) -> dict[int, FoldSearch]:
+    """Fit and score every trial on every fold, keep each fold's best (ties: first trial).
+
+    ``data`` has the assembled blocks, the labels and ``fold`` (not null); a fold is
+    fitted on the rows outside it and scored on its own, or on the others if it has none."""
+    cols, raw, n_num, emb_dim = raw_block(layout)
+    sizes, shares = _check_classes(data, folds, labels)
+    total = sum(sizes.values())
+    width = n_num + emb_dim
+    sums = fold_sums(data, raw, F.col(FOLD))
+    k_max = min(max(t.k for t in trials), emb_dim)
+    spaces = {f: scaled_union(sums.training(f), n_num, k_max) for f in folds}
+    every = sums.total()
+    problems = [(f, t, n_num + min(tr.k, k_max), c_to_reg_param(tr.c, spaces[f].n), tol * shares[f][t]) for f in folds for tr in trials
+                for t in range(len(labels))]
+    p = Problems(*(np.array(v) for v in zip(*problems)))
+    rows = data.select(F.col(FOLD).cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y"),
+                       standardised(raw, every.mean, every.scale()).alias("z"))
+    rows = right_size(rows, total, 8 * (width + len(labels) + 4), work=4 * width * len(p)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        block = Block(rows, every.mean, every.scale(), spaces)
+        solved = solve(block, p, n_num, max_iter=max_iter, waves=waves)
+        f1 = block.f1(p, solved, np.array([not sizes.get(f) for f in p.fold.tolist()]))
+    finally:
+        rows.unpersist()
+    scores = f1.reshape(len(folds), len(trials), len(labels)).mean(axis=2)
+    out, names = {}, list(pred_cols or [f"pred_{t}" for t in range(len(labels))])
+    for i, f in enumerate(folds):
+        at = int(np.argmax(scores[i]))
+        best, name = trials[at], prefix.format(f)
+        shared = shared_stages(spaces[f], cols, name, n_num)
+        first, wide = (i * len(trials) + at) * len(labels), n_num + min(best.k, k_max)
+        regressions = [LinearTaskModel.of(f"{name}xk", f"{name}pred_{t}", solved.weights[first + t, :wide], solved.intercepts[first + t])
+                       for t in range(len(labels))]
+        table = [(tr.idx, tr.k, tr.c, float(v)) for tr, v in zip(trials, scores[i])]
+        out[f] = FoldSearch(FoldModel(shared, best.k, best.c, regressions, names), table, best, solved.passes)
+    return out
 
 
 def tune_fold(train: DataFrame, valid: DataFrame | None, layout: FeatureLayout, trials: Sequence[Trial],
-              labels: Sequence[str] = LABELS, prefix: str = "m_", parallelism: int | None = None,
-              pred_cols: Sequence[str] | None = None, max_iter: int = 300,
-              pool: ThreadPoolExecutor | None = None) -> FoldSearch:
-    """Fit and score every trial on one fold, keep the best (ties: first trial).
-    ``pool`` runs the fits; folds that are tuned side by side share one."""
-    check_both_classes(train, labels)
-    k_max = max(t.k for t in trials)
-    row_bytes = 8 * (2 * layout.width + len(labels)) + 64
-    train = right_size(train, train.count(), row_bytes)
+              labels: Sequence[str] = LABELS, prefix: str = "m_", pred_cols: Sequence[str] | None = None,
+              max_iter: int = 300, tol: float = TOL, waves: int = 1) -> FoldSearch:
+    """The search on one given split; without validation rows, scored on the training rows."""
+    cols, _, _, _ = raw_block(layout)
+    data = train.select(*cols, *labels, F.lit(1).alias(FOLD))
     if valid is not None:
-        valid = right_size(valid, valid.count(), row_bytes)
-    shared = fit_shared(train, layout, k_max, prefix)
-    train_x = shared.model.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    n_train = train_x.count()
-    valid_x = None
-    if valid is not None:
-        valid_x = shared.model.transform(valid).persist(StorageLevel.MEMORY_AND_DISK)
-        if valid_x.count() == 0:
-            valid_x.unpersist()
-            valid_x = None
-    try:
-        def fit_one(job):
-            tr, t = job
-            sliced = trial_features(shared, tr.k).stages[0].copy().setOutputCol(f"{prefix}xk").transform(train_x)
-            return tr.idx, t, fit_task(sliced, f"{prefix}xk", labels[t], tr.c, n_train, prefix, t, max_iter=max_iter)
-
-        jobs = [(tr, t) for tr in trials for t in range(len(labels))]
-        workers = parallelism or min(len(jobs), 16, 2 * max(1, train.sparkSession.sparkContext.defaultParallelism))
-        fitted: dict[int, list] = {tr.idx: [None] * len(labels) for tr in trials}
-        with contextlib.ExitStack() as stack:
-            for idx, t, m in (pool or stack.enter_context(ThreadPoolExecutor(max_workers=workers))).map(fit_one, jobs):
-                fitted[idx][t] = m
-        scores = _score_trials(valid_x if valid_x is not None else train_x, shared, fitted, trials, labels)
-    finally:
-        train_x.unpersist()
-        if valid_x is not None:
-            valid_x.unpersist()
-    best = max(trials, key=lambda tr: (scores.get(tr.idx, 0.0), -tr.idx))
-    cols = list(pred_cols or [f"pred_{i}" for i in range(len(labels))])
-    model = FoldModel(shared, best.k, best.c, fitted[best.idx], cols)
-    table = [(tr.idx, tr.k, tr.c, scores.get(tr.idx, 0.0)) for tr in trials]
-    return FoldSearch(model, table, best)
+        data = data.unionByName(valid.select(*cols, *labels, F.lit(0).alias(FOLD)))
+    return search_folds(data, layout, trials, [0], labels, prefix, pred_cols, max_iter, tol, waves)[0]
 
 
 def fit_model(train: DataFrame, layout: FeatureLayout, k: int | None = None, c: float = 1.0,
-              labels: Sequence[str] = LABELS, prefix: str = "m_", max_iter: int = 300) -> FoldModel:
+              labels: Sequence[str] = LABELS, prefix: str = "m_", max_iter: int = 300, tol: float = TOL) -> FoldModel:
     """M4 without a search: one fit with fixed parameters; ``k`` defaults to
     every embedding component and ``C`` to 1.0."""
     emb_dim = sum(d for _, d in layout.embeddings)
     trial = Trial(0, max(1, k if k is not None else emb_dim), c)
-    return tune_fold(train, None, layout, [trial], labels, prefix=prefix, max_iter=max_iter).model
+    return tune_fold(train, None, layout, [trial], labels, prefix=prefix, max_iter=max_iter, tol=tol).model

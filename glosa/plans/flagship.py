@@ -20,7 +20,7 @@ FLAGSHIP_FEATURES = [
     "WordLengthStandardDeviation", "AverageWordLength", "NumWords", "NumCharacters", "StopwordRatio",
     "ExclamationMarkRatio", "NumReferences", "NumMediumAdressed", "NumUserAdressed", "AverageEmojiRepetition",
 ]
-FLAGSHIP_TRIALS = 4
+FLAGSHIP_TRIALS = 100
 
 # The feature lists of the three run configs (7 folds, 100 trials
 # a fold, random state 42).

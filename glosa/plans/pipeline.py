@@ -15,12 +15,10 @@ import json
 import re
 import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import yaml
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +30,7 @@ from glosa.operators import ensemble as ens
 from glosa.operators import evaluate as ev
 from glosa.operators import folds as fo
 from glosa.operators.model import FoldModel, feature_importance, positive_margins
-from glosa.operators.tuning import search_space, tune_fold
+from glosa.operators.tuning import search_folds, search_space
 from glosa.session import path_exists, shared_dir
 from glosa.sources import sinks
 
@@ -123,26 +121,13 @@ PRED_COLS = [f"pred_{i}" for i in range(len(LABELS))]
 
 
 def cross_validate(spark: SparkSession, feats: DataFrame, layout: FeatureLayout, cfg: RunConfig,
-                   top_k: int = 25, fold_parallelism: int = 7, trial_parallelism: int | None = None,
-                   max_iter: int = 300) -> CVResult:
-    """Per fold, search on (train, valid) → keep best → predict valid."""
+                   top_k: int = 25, max_iter: int = 300) -> CVResult:
+    """Search all folds together → keep each fold's best → predict its rows."""
     labelled = feats.where(F.col(FOLD).isNotNull())
-    data = assemble(labelled, layout).persist(StorageLevel.MEMORY_AND_DISK)
+    data = assemble(labelled, layout)
     emb_dim = sum(d for _, d in layout.embeddings)
     trials = search_space(cfg.num_trials, emb_dim, cfg.random_state)
-
-    def one(k: int):
-        search = tune_fold(fo.train_rows(data, k), fo.valid_rows(data, k), layout, trials, LABELS,
-                           prefix=f"f{k}_", pool=fits, pred_cols=PRED_COLS, max_iter=max_iter)
-        return k, search
-
-    # One pool for the fits of all folds: each running fit keeps a copy of its input.
-    slots = trial_parallelism or max(4, min(16, 2 * spark.sparkContext.defaultParallelism))
-    try:
-        with ThreadPoolExecutor(max_workers=slots) as fits, ThreadPoolExecutor(max_workers=max(1, fold_parallelism)) as pool:
-            searches = dict(pool.map(one, range(cfg.num_splits)))
-    finally:
-        data.unpersist()
+    searches = search_folds(data, layout, trials, range(cfg.num_splits), LABELS, pred_cols=PRED_COLS, max_iter=max_iter)
     models = {k: s.model for k, s in searches.items()}
     trial_rows = [(k, *row) for k, s in searches.items() for row in s.scores]
     trials_df = spark.createDataFrame(trial_rows, "fold int, trial int, k int, c double, macro_f1 double")
@@ -201,7 +186,7 @@ def write_outputs(result: RunResult, test: DataFrame, out_dir: str, name: str) -
 
 
 def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig, assets: FeatureAssets,
-        top_k: int = 25, cache_tag: str | None = None, fold_parallelism: int = 7, max_iter: int = 300,
+        top_k: int = 25, cache_tag: str | None = None, max_iter: int = 300,
         bucket_digits: int | None = None, out_dir: str | None = None) -> RunResult:
     """``train`` has ``comment_id, c_text`` and the three labels; ``test``
     has ``comment_id, c_text``. Every test row gets a prediction, every row
@@ -214,7 +199,7 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig,
     rows = folded.select(COMMENT_ID, TEXT, *LABELS, FOLD).unionByName(test_rows)
     feats, layout = feature_table(spark, rows, cfg, assets, cache_tag or cfg.name,
                                   fit_rows=folded.select(TEXT))  # trainable features see the training text
-    cv = cross_validate(spark, feats, layout, cfg, top_k=top_k, fold_parallelism=fold_parallelism, max_iter=max_iter)
+    cv = cross_validate(spark, feats, layout, cfg, top_k=top_k, max_iter=max_iter)
     test_feats = feats.where(F.col(FOLD).isNull())
     result = RunResult(cv, predict_ensemble(test_feats, layout, cv.models), layout, unlabelled)
     if out_dir is not None:

@@ -614,30 +614,60 @@ def q_svd_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)).alias("value"))
 
 
-L1_REG, L1_TOL = 0.01, 1e-4
-
-
-@register("l1_optimality", """SELECT CAST(i AS INT) AS idx, true AS satisfied
-FROM (SELECT unnest(range(0, len(embedding))) AS i FROM (SELECT embedding FROM embeddings LIMIT 1))""")
+@register("fold_statistics", """WITH x AS (
+  SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings
+),
+f AS (SELECT DISTINCT label AS fold FROM embeddings WHERE label IS NOT NULL),
+m AS (SELECT fold, i, avg(v) AS mean, count(*) AS n FROM f JOIN x ON x.label <> f.fold GROUP BY fold, i)
+SELECT CAST(f.fold AS INT) AS fold, m.n, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(m.mean, 6) AS mean,
+       round(covar_pop(a.v, b.v), 6) AS value
+FROM f JOIN x a ON a.label <> f.fold JOIN x b ON b.vec_id = a.vec_id JOIN m ON m.fold = f.fold AND m.i = a.i
+GROUP BY f.fold, m.n, a.i, b.i, m.mean""")
+def q_fold_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1/M2: means and covariances of every training fold (a label's rows left out) from one scan."""
+    from glosa.operators.moments import fold_sums, moment_table
+    e = load_table(spark, sf_dir, "embeddings").where("label is not null")
+    sums = fold_sums(e, F.col("embedding").cast("array<double>"), F.col("label"))
+    out = moment_table(sums, sorted(sums.sums), spark)
+    return out.withColumn("mean", r6(F.col("mean"))).withColumn("value", r6(F.col("value")))
+
+
+L1_C, L1_K, L1_SLACK = (0.2, 5.0), 24, 1e-3
+
+
+@register("l1_optimality", f"""SELECT CAST(t AS INT) AS task, CAST(c AS DOUBLE) AS c, CAST(i AS INT) AS idx, true AS satisfied
+FROM (SELECT unnest(range(0, 2)) AS t), (SELECT unnest({list(L1_C)}) AS c), (SELECT unnest(range(0, {L1_K} + 1)) AS i)""")
 def q_l1_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: the optimality conditions of an L1 logistic regression, by coefficient.
-
-    At the optimum the mean gradient of a non-zero coefficient is -λ times its
-    sign, and that of a zero one is within [-λ, λ]."""
-    from pyspark.ml.classification import LogisticRegression
-    e = load_table(spark, sf_dir, "embeddings").select(
-        F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).cast("double").alias("y"))
-    data = e.withColumn("features", array_to_vector("x"))
-    m = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=L1_REG, standardization=False, maxIter=1000,
-                           tol=1e-12).fit(data)
-    w, b = m.coefficients.toArray().tolist(), float(m.intercept)
-    coefs = spark.createDataFrame([(i, v) for i, v in enumerate(w)], "idx int, w double")
-    dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in w]), lambda a, c: a * c), F.lit(b), lambda a, v: a + v)
-    off = e.select((1 / (1 + F.exp(-dot)) - F.col("y")).alias("r"), F.posexplode("x").alias("idx", "v"))
-    grad = off.groupBy("idx").agg(F.avg(F.col("r") * F.col("v")).alias("g")).join(F.broadcast(coefs), "idx")
-    ok = F.when(F.col("w") != 0, F.abs(F.col("g") + L1_REG * F.signum("w")) < L1_TOL).otherwise(
-        F.abs("g") <= L1_REG + L1_TOL)
-    return grad.select("idx", ok.alias("satisfied"))
+    """M3 on the search's own path: scaled components, both penalties and both tasks in one search.
+
+    By the definition of C, C · Σ loss + |w|₁ is least where C times the summed gradient is
+    minus the sign of a non-zero coefficient, within [-1, 1] for a zero one and 0 for the
+    intercept (the last index). The gradients are summed by Spark over the scaled rows."""
+    from glosa.functions.registry import FeatureLayout
+    from glosa.operators.tuning import fit_model
+    e = load_table(spark, sf_dir, "embeddings").where("label is not null")
+    e = e.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("emb"), (F.col("label") % 2).alias("y0"),
+                 (F.col("label") > 4).cast("int").alias("y1"))
+    dim = len(e.select(vector_to_array("emb")).first()[0])
+    layout = FeatureLayout([], [("emb", dim)], [f"e{i}" for i in range(dim)], ["embedding"] * dim)
+    out = None
+    for c in L1_C:
+        m = fit_model(e, layout, L1_K, c, ["y0", "y1"], max_iter=5000, tol=1e-9)
+        x = m.shared.model.transform(e).select(F.slice(vector_to_array(m.shared.output), 1, L1_K).alias("x"), "y0", "y1")
+        for t, r in enumerate(m.regressions):
+            w = r.coefficients.toArray().tolist()
+            dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in w]), lambda a, v: a * v), F.lit(float(r.intercept)),
+                              lambda a, v: a + v)
+            off = x.select((1 / (1 + F.exp(-dot)) - F.col(f"y{t}")).alias("r"),
+                           F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("idx", "v"))
+            grad = off.groupBy("idx").agg((c * F.sum(F.col("r") * F.col("v"))).alias("g"))
+            own = F.element_at(F.array(*[F.lit(v) for v in [*w, 0.0]]), F.col("idx") + 1)
+            ok = F.when(F.col("idx") == len(w), F.abs("g") < L1_SLACK).when(
+                own != 0, F.abs(F.col("g") + F.signum(own)) < L1_SLACK).otherwise(
+                    F.abs("g") <= 1 + L1_SLACK)
+            part = grad.select(F.lit(t).alias("task"), F.lit(float(c)).alias("c"), "idx", ok.alias("satisfied"))
+            out = part if out is None else out.unionAll(part)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -824,7 +854,7 @@ def q_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glosa.operators.model import FoldModel, fit_shared, fit_task, trial_features
     train, _, assets = fl.flagship_inputs(spark, sf_dir)
     feats, layout = reg.build_features(train, fl.FLAGSHIP_FEATURES, assets)
-    data = reg.assemble(feats, layout).cache()
+    data = reg.assemble(feats, layout)
     shared = fit_shared(data, layout, 8)
     x = trial_features(shared, 8).transform(shared.model.transform(data))
     n = x.count()

@@ -72,16 +72,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def right_size(df: DataFrame, n_rows: int, row_bytes: int, target_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """At most ``ceil(rows × row bytes / target)`` partitions.
-
-    Iterative ML fits launch one job per iteration, so a small training fold
-    in many partitions pays the task overhead many times over: it is coalesced
-    (no shuffle). A large fold keeps the splits its scan already has — they are
+def right_size(df: DataFrame, n_rows: int, row_bytes: int, target_bytes: int = 64 * 1024 * 1024,
+               work: int = 0, target_work: int = 200_000_000) -> DataFrame:
+    """At most ``ceil(rows × row bytes / target)`` partitions, or as many cores as the
+    work of a pass (operations a row × rows) keeps busy.
+
+    Iterative fits launch one job per iteration, so a small training set in many
+    partitions pays the task overhead many times over: it is coalesced (no
+    shuffle). A large one keeps the splits its scan already has — they are
     sized by ``spark.sql.files.maxPartitionBytes`` — rather than being
     shuffled into new ones.
     """
-    want = max(1, -(-n_rows * row_bytes // target_bytes))
-    if want < df.rdd.getNumPartitions():
-        return df.coalesce(want)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, -(-n_rows * row_bytes // target_bytes), min(cores, -(-n_rows * work // target_work))))
