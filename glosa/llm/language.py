@@ -25,7 +25,9 @@ host is hot.
 
 A null or empty text has no say and no vote. Null markup, suffix or host mean
 no such evidence (a null host takes the prior of all rows). Repeated rows vote
-each. Without any labelled text there is no model, which is an error.
+each. Without any labelled text no language is known: every row comes out with a null
+language, probability and text language. More than MAX_LANGUAGES labels are an error
+(the sample and the model are bounded by that number).
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from glosa.llm.common import slices, stored
 CLASSES = 1 << 16
 SLICE_BYTES = 4_000_000
 LEAST_ROWS = 100
+MAX_LANGUAGES = 500
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -83,7 +86,9 @@ def _sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
     """
     keyed = rows.select("text", "lang", F.xxhash64("text", "lang").alias("a"), F.xxhash64(F.lit(1), "text", "lang").alias("b"))
     sizes = keyed.select("lang", "a", "b").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
+    sizes = {r["lang"]: r["n"] for r in sizes.limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} language labels")
     if not sizes:
         return rows.limit(0)
     wanted = [(k, n, 1.0 if n == sizes[k] else (n + 10 * n ** 0.5 + 20) / sizes[k]) for k, n in quotas(sizes, sample_rows).items()]
@@ -101,12 +106,12 @@ def fit_text_model(labelled: DataFrame, text_col: str, lang_col: str, sample_row
     sample = stored(_sampled(rows, sample_rows), "sample")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:
-        raise ValueError("no labelled text to fit a language model on")
+        return [], np.zeros((0, CLASSES), np.float32)
     # As many rows as languages times classes, whatever the input's size.
     counts = np.zeros((len(langs), CLASSES))
     partial = sample.mapInArrow(_count(langs), "lang long, class long, n long")
-    for r in partial.groupBy("lang", "class").agg(F.sum("n").alias("n")).collect():
-        counts[r["lang"], r["class"]] = r["n"]
+    found = partial.groupBy("lang", "class").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["lang"].to_numpy(), found["class"].to_numpy()] = found["n"].to_numpy()
     return langs, np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -155,6 +160,10 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
     """
     langs, table = model
     n = len(langs)
+    if not n:
+        none = F.lit(None)
+        return items.select(F.struct(*[c for c in items.columns if c != text_col]).alias("row"), none.cast("string").alias("language"),
+                            none.cast("double").alias("probability"), none.cast("string").alias("text_language"))
     held = items.sparkSession.sparkContext.broadcast(table)  # languages x 65,536 numbers
     rows = items.select(F.struct(*[c for c in items.columns if c != text_col]).alias("row"),
                         F.col(text_col).cast("binary").alias("text"))
@@ -204,7 +213,7 @@ def page_items(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """Pages with text, markup, suffix, host and parent, as ``identify`` takes them."""
     from glosa.llm.line_dedup import host_of, lines_of
     host = F.nullif(host_of(F.col(url_col)), F.lit(""))
-    markup = F.lower(F.regexp_extract(F.col(html_col), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", 1))
+    markup = F.lower(F.regexp_extract(F.col(html_col), r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", 1))
     named = pages.select(F.struct("*").alias("page"), F.array_join(lines_of(F.col(html_col)), "\n").alias("text"),
                          F.nullif(markup, F.lit("")).alias("markup"), host.alias("host"))
     labels = F.split("host", r"\.", -1)

@@ -24,10 +24,10 @@ FROM whole WHERE NOT EXISTS (SELECT 1 FROM inner_prefix i WHERE i.p = whole.l)""
 OP2 = r"""WITH h AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
          regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-           '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', chr(10), 'g'),
+           '(?is)<!--.*?(?:-->|\z)|<script\b[^>]*(?:>.*?(?:</script\s*>|\z)|\z)|<style\b[^>]*(?:>.*?(?:</style\s*>|\z)|\z)', chr(10), 'g'),
            '(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|nav|article|section|header|footer|main|aside|title|body|head|html'
-           || '|blockquote|pre|form|option|dt|dd|td|th)\b[^>]*>', chr(10), 'g'),
-           '<[^>]*>', '', 'g') AS text
+           || '|blockquote|pre|form|option|dt|dd|td|th)\b[^<>]*>', chr(10), 'g'),
+           '<(?:/\s*)?[A-Za-z!?](?:(?:[^<>"'']+|"[^">]*"|''[^''>]*'')*>|[^<>]*>)', '', 'g') AS text
   FROM pages
 ),
 p AS (
@@ -36,10 +36,10 @@ p AS (
                      lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM h
 ),
-total AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 10),
+total AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 frequent AS (
   SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN total USING (host)
-  GROUP BY host, line, pages HAVING count(*) > 0.2 * pages
+  GROUP BY host, line, pages HAVING count(*) >= 3 AND count(*) > 0.2 * pages
 ),
 per_host AS (SELECT host, list(line) AS bad FROM frequent GROUP BY host),
 l AS (
@@ -167,6 +167,9 @@ SELECT r.doc_id, r.size, s.source_size, s.target,
 FROM ranked r JOIN sources s ON s.source IS NOT DISTINCT FROM r.source
 LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM r.source"""
 
+# Scripts written without spaces between words.
+UNSPACED = "".join(rf"\p{{{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan",
+                                          "Javanese", "Balinese", "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Tai_Viet"))
 OP9 = f"""WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents
 ),
@@ -189,15 +192,22 @@ b AS (
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM m LEFT JOIN covered USING (doc_id)
 ),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+g AS (
+  SELECT *, CAST(coalesce(list_sum(list_transform(runs, lambda x: length(x))), 0) AS BIGINT) AS giant_chars,
+         len(list_filter(w, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D{UNSPACED}]{{1000,}}'))) AS n_giant, len(all_lines) AS n_lines
+  FROM (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D{UNSPACED}]{{1000,}}') AS runs FROM b)
+),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > len(all_lines)
-            OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+            OR ((word_chars - giant_chars < 3 * (n_words - n_giant) OR word_chars - giant_chars > 10 * (n_words - n_giant))
+                AND 2 * len(list_filter(regexp_extract_all(text, '[{UNSPACED}]'), lambda x: regexp_matches(x, '\\p{{L}}')))
+                    <= len(regexp_extract_all(text, '\\p{{L}}')))
             OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 7 * n_words
             OR 2 * len(list_filter(w, lambda x: regexp_full_match(x, '[^\\p{{Ll}}]*\\p{{Lu}}{{2}}[^\\p{{Ll}}]*'))) > n_words
-            OR 10 * len(list_filter(all_lines, lambda x: regexp_matches(x, '^[ \\t]*[-*•]'))) > 9 * len(all_lines)
-            OR 10 * len(list_filter(all_lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t]*$'))) > 3 * len(all_lines)
-            OR len(list_filter(w, lambda x: length(x) >= 1000)) > 0) AS kept
+            OR (n_lines >= 5 AND 10 * len(list_filter(all_lines, lambda x: regexp_matches(x, '^[ \\t]*[-*•]'))) > 9 * n_lines)
+            OR (n_lines >= 5 AND 10 * len(list_filter(all_lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t]*$'))) > 3 * n_lines)
+            OR 2 * giant_chars > word_chars) AS kept
 FROM f"""
 
 OP10 = f"""WITH d AS (

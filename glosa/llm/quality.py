@@ -27,7 +27,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 # Scripts written without spaces between words: there, a run without white space is a sentence or a paragraph.
 UNSPACED = (r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
             r"\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}")
-GIANT = rf"[^\x20\x09-\x0D{UNSPACED}]{{1000,}}"
+# Patterns start where a word or a run begins and never give back, so that a long word is read once.
+GIANT = rf"(?<![^\x20\x09-\x0D{UNSPACED}])[^\x20\x09-\x0D{UNSPACED}]{{1000,}}+"
+BEGIN = r"(?<![^\x20\x09-\x0D])"
+WITH_LETTER = BEGIN + r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+"
+IN_CAPITALS = BEGIN + r"(?=[^\x20\x09-\x0D\p{Ll}]*+(?![^\x20\x09-\x0D]))[^\x20\x09-\x0D]*?\p{Lu}{2}[^\x20\x09-\x0D]*+"
 
 
 @dataclass(frozen=True)
@@ -48,10 +52,10 @@ RULES = [
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "(word_chars - giant_chars < 3 * (n_words - n_giant) or word_chars - giant_chars > 10 * (n_words - n_giant))"
          rf" and 2 * regexp_count(text, r'[{UNSPACED}&&\p{{L}}]') <= regexp_count(text, r'\p{{L}}')"),
-    Rule("few_letters", r"10 * regexp_count(text, '[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*') < 7 * n_words"),
-    Rule("capitals", r"2 * regexp_count(text, '(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D\\p{Ll}]*\\p{Lu}{2}[^\\x20\\x09-\\x0D\\p{Ll}]*(?![^\\x20\\x09-\\x0D])') > n_words"),
-    Rule("bullets", rf"n_lines >= {MIN_LINES} and 10 * regexp_count(text, '(?m)^[\\x20\\x09]*[-*•]') > 9 * n_lines"),
-    Rule("ellipses", rf"n_lines >= {MIN_LINES} and 10 * regexp_count(text, '(?m)(\\.\\.\\.|…)[\\x20\\x09]*$') > 3 * n_lines"),
+    Rule("few_letters", f"10 * regexp_count(text, r'{WITH_LETTER}') < 7 * n_words"),
+    Rule("capitals", f"2 * regexp_count(text, r'{IN_CAPITALS}') > n_words"),
+    Rule("bullets", rf"n_lines >= {MIN_LINES} and 10 * regexp_count(text, r'(?md)^[\x20\x09]*[-*•]') > 9 * n_lines"),
+    Rule("ellipses", rf"n_lines >= {MIN_LINES} and 10 * regexp_count(text, r'(?md)(\.\.\.|…)[\x20\x09]*$') > 3 * n_lines"),
     Rule("giant_word", "2 * giant_chars > word_chars"),
 ]
 

@@ -59,6 +59,7 @@ def test_site_lines(spark):
     rows = [(i, f"https://User@A.example:80/{i}", f"<html>{nav}<!-- x\n --><p>own {i}</p><script>var a='<p>no</p>'</script>"
              f"<div>{'shared' if i < 2 else 'mine ' + str(i)}</div>x <b>bold</b> y</html>") for i in range(10)]
     rows += [(50 + i, "http://small.example/", nav) for i in range(9)]
+    rows += [(80 + i, "http://two.example/", nav) for i in range(2)]
     rows += [(70, None, nav), (71, "no host", None), (72, "http://a.example/", "plain\n\n text "), (None, "", "")]
     rows += [rows[0]] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit("clash"))
@@ -66,7 +67,8 @@ def test_site_lines(spark):
     # a.example: 13 pages; nav lines on 12 of them, "shared" on 4 (two of them the repeated row).
     assert (0, "a.example", 5, 4, "own 0") in got or (0, "a.example", 5, 5, "") in got
     assert (5, "a.example", 5, 3, "own 5\nmine 5") in got
-    assert (50, "small.example", 2, 0, "Home\nAbout us") in got
+    # A small host is judged alike: 9 of 9 pages; two pages of another say nothing.
+    assert (50, "small.example", 2, 2, "") in got and (80, "two.example", 2, 0, "Home\nAbout us") in got
     assert {(70, "", 2, 0, "Home\nAbout us"), (71, "", 0, 0, ""), (None, "", 0, 0, ""),
             (72, "a.example", 2, 0, "plain\ntext")} <= got
     assert site_lines(df).count() == len(rows)
