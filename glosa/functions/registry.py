@@ -37,6 +37,7 @@ class FeatureAssets:
     polarity: DataFrame | None = None  # (token, polarity)
     doc_vectors: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)  # name → ((id, vector), dim)
     scorers: dict[str, tuple[Callable[[Column], Column], int]] = field(default_factory=dict)  # name → (fn, dim)
+    style: Any = None  # operators.style.StyleModel of WritingStyleEmbeddings
     fitted: dict[str, Any] = field(default_factory=dict)  # U2: name → fitted ML model of a trainable feature
 
 
@@ -71,20 +72,21 @@ def _issues(t: Column, a: FeatureAssets) -> list[Column]:
 
 
 def _polarity(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
-    from glosa.operators.lookups import lexicon_polarity
+    from glosa.operators.lookups import join_by_text, token_lookup_results
     if a.polarity is None:
         raise ValueError("SentimentTextBlob needs a polarity table (token, polarity)")
-    pol = lexicon_polarity(df.select(id_col, TEXT), a.polarity, id_col=id_col, out="f_SentimentTextBlob")
-    return df.join(pol, id_col, "left"), ["f_SentimentTextBlob"]
+    pol = token_lookup_results(df.select(id_col, TEXT), lexicon=a.polarity, id_col=id_col, polarity_out="f_SentimentTextBlob")
+    return join_by_text(df, pol, TEXT, id_col), ["f_SentimentTextBlob"]
 
 
 def _pooled(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
-    from glosa.operators.lookups import pooled_word_vectors
+    from glosa.operators.lookups import join_by_text, token_lookup_results
     if a.word_vectors is None:
         raise ValueError("DocumentEmbeddingsFastTextPool needs a word-vector table (token, vector)")
     out = "e_DocumentEmbeddingsFastTextPool"
-    pooled = pooled_word_vectors(df.select(id_col, TEXT), a.word_vectors, a.word_vector_dim, id_col=id_col, out=out)
-    return df.join(pooled, id_col, "left"), [out]
+    pooled = token_lookup_results(df.select(id_col, TEXT), word_vectors=a.word_vectors, dim=a.word_vector_dim, id_col=id_col,
+                                  pooled_out=out)
+    return join_by_text(df, pooled, TEXT, id_col), [out]
 
 
 def _doc_vector(name: str):
@@ -115,16 +117,30 @@ def _doc_dim(name: str, default: int):
 
 
 def _sentiment_bert(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
-    """Class scores of the whole cleaned text: the mean over its model-sized chunks."""
-    from glosa.operators.scoring import model_input_chunks
+    """Class scores of the whole cleaned text: those of its model-sized chunks, weighted by their tokens."""
+    from glosa.operators.lookups import join_by_text
+    from glosa.operators.scoring import chunk_scores
     if "SentimentBERT" not in a.scorers:
         raise ValueError("SentimentBERT needs a scorer (cleaned-text model)")
     fn, dim = a.scorers["SentimentBERT"]
-    chunks = df.select(id_col, F.explode(model_input_chunks(tx.clean_text(F.col(TEXT)))).alias("chunk"))
-    scores = chunks.select(id_col, fn(F.col("chunk")).alias("s"))
     cols = [f"f_SentimentBERT_{i}" for i in range(dim)]
-    means = scores.groupBy(id_col).agg(*[F.avg(F.col("s")[i]).alias(c) for i, c in enumerate(cols)])
-    return df.join(means, id_col, "left"), cols
+    scores = chunk_scores(df.select(id_col, TEXT), fn, dim, id_col=id_col)
+    scores = scores.select(*[c for c in scores.columns if c != "scores"], *[F.col("scores")[i].alias(c) for i, c in enumerate(cols)])
+    return join_by_text(df, scores, TEXT, id_col), cols
+
+
+def _writing_style(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
+    """Document vectors of a style model over all windows of the text, or a table or text scorer as for other vectors."""
+    from glosa.operators.lookups import join_by_text
+    from glosa.operators.style import style_vectors
+    if a.style is None:
+        return _doc_vector("WritingStyleEmbeddings")(df, a, id_col)
+    out = "e_WritingStyleEmbeddings"
+    return join_by_text(df, style_vectors(df.select(id_col, TEXT), a.style, out=out, id_col=id_col), TEXT, id_col), [out]
+
+
+def _style_dim(a: FeatureAssets) -> int:
+    return a.style.dim if a.style is not None else _doc_dim("WritingStyleEmbeddings", 100)(a)
 
 
 REGISTRY: dict[str, FeatureSpec] = {s.name: s for s in [
@@ -146,27 +162,26 @@ REGISTRY: dict[str, FeatureSpec] = {s.name: s for s in [
     FeatureSpec("DocumentEmbeddingsFastTextPool", EMBEDDING, lambda a: a.word_vector_dim, attach=_pooled),
     FeatureSpec("DocumentEmbeddingsBERT", EMBEDDING, _doc_dim("DocumentEmbeddingsBERT", 768),
                 attach=_doc_vector("DocumentEmbeddingsBERT")),
-    FeatureSpec("WritingStyleEmbeddings", EMBEDDING, _doc_dim("WritingStyleEmbeddings", 100),
-                attach=_doc_vector("WritingStyleEmbeddings")),
+    FeatureSpec("WritingStyleEmbeddings", EMBEDDING, _style_dim, attach=_writing_style),
 ]}
 
 
 # Table-backed features that aggregate over the comment's tokens; requested
-# together, they share one token pass (see ``token_lookup_features``).
+# together, they share one token pass (see ``token_lookup_results``).
 TOKEN_LOOKUP_FEATURES = {"SentimentTextBlob": "f_SentimentTextBlob",
                          "DocumentEmbeddingsFastTextPool": "e_DocumentEmbeddingsFastTextPool"}
 
 
 def _attach_token_lookups(df: DataFrame, a: FeatureAssets, id_col: str) -> DataFrame:
-    from glosa.operators.lookups import token_lookup_features
+    from glosa.operators.lookups import join_by_text, token_lookup_results
     if a.polarity is None or a.word_vectors is None:
         raise ValueError("SentimentTextBlob and DocumentEmbeddingsFastTextPool need a polarity table and a "
                          "word-vector table")
-    agg = token_lookup_features(df.select(id_col, TEXT), word_vectors=a.word_vectors, dim=a.word_vector_dim,
-                                lexicon=a.polarity, id_col=id_col,
-                                pooled_out=TOKEN_LOOKUP_FEATURES["DocumentEmbeddingsFastTextPool"],
-                                polarity_out=TOKEN_LOOKUP_FEATURES["SentimentTextBlob"])
-    return df.join(agg, id_col, "left")
+    found = token_lookup_results(df.select(id_col, TEXT), word_vectors=a.word_vectors, dim=a.word_vector_dim,
+                                 lexicon=a.polarity, id_col=id_col,
+                                 pooled_out=TOKEN_LOOKUP_FEATURES["DocumentEmbeddingsFastTextPool"],
+                                 polarity_out=TOKEN_LOOKUP_FEATURES["SentimentTextBlob"])
+    return join_by_text(df, found, TEXT, id_col)
 
 
 def output_column(spec: FeatureSpec) -> str:
@@ -253,7 +268,7 @@ def feature_set_hash(names: Sequence[str], assets: FeatureAssets, inputs: dict[s
     key = {"names": list(names), "stop": list(assets.stopwords or tx.DEFAULT_STOPWORDS),
            "rules": [(r.rule_id, r.category, r.pattern) for r in assets.issue_rules],
            "wv_dim": assets.word_vector_dim, "doc_dims": {n: d for n, (_, d) in assets.doc_vectors.items()},
-           "scorers": sorted(assets.scorers), "fitted": {n: getattr(m, "uid", "") for n, m in assets.fitted.items()},
+           "scorers": sorted(assets.scorers), "style": assets.style.key() if assets.style is not None else None, "fitted": {n: getattr(m, "uid", "") for n, m in assets.fitted.items()},
            "inputs": inputs or {}}
     return hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
 

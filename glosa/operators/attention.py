@@ -22,9 +22,27 @@ def softmax_pool(items: DataFrame, group: str, score: str, vector: str, out: str
                  strategy: str = "auto", salt_cols: list[str] | None = None) -> DataFrame:
     """``items(group, score double, vector array<double>)`` → ``(group, pooled)``."""
     gmax = items.groupBy(group).agg(F.max(score).alias("_max"))
-    scored = lookup_join(items.select(group, score, vector), gmax, group, "inner", strategy=strategy,
+    rest = [c for c in salt_cols or [] if c not in (group, score, vector)]
+    scored = lookup_join(items.select(group, score, vector, *rest), gmax, group, "inner", strategy=strategy,
                          salt_cols=salt_cols)
     weighted = scored.select(group, F.exp(F.col(score) - F.col("_max")).alias("_w"),
                              array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     sums = weighted.groupBy(group).agg(F.sum("_w").alias("_z"), Summarizer.sum(F.col("_v"), F.col("_w")).alias("_s"))
     return sums.select(group, F.transform(vector_to_array("_s"), lambda x: x / F.col("_z")).alias(out))
+
+
+def attention_two_level(items: DataFrame, doc: str, window: str, score: str, vector: str, context: list[float],
+                        out: str = "pooled", strategy: str = "auto") -> DataFrame:
+    """Words → window vector → document vector: ``(doc, pooled)``.
+
+    ``items(doc, window, score, vector)`` has a row for each word that is not masked; a
+    window or document without rows is absent. Words are pooled by their scores within
+    their window, windows by the product of their vectors with ``context`` within their
+    document. A document is dealt out by its windows on the first level; on the second a
+    row is a window, and sums of a long document combine where its windows lie."""
+    keyed = items.select(F.struct(F.col(doc).alias("doc"), F.col(window).alias("window")).alias("_key"), F.col(score).alias("_score"),
+                         F.col(vector).alias("_vector"))
+    windows = softmax_pool(keyed, "_key", "_score", "_vector", out="_w", strategy=strategy)
+    weight = F.aggregate(F.zip_with("_w", F.array(*[F.lit(float(c)) for c in context]), lambda a, c: a * c), F.lit(0.0), lambda a, x: a + x)
+    scored = windows.select(F.col("_key.doc").alias(doc), F.col("_key.window").alias(window), weight.alias("_score"), "_w")
+    return softmax_pool(scored, doc, "_score", "_w", out=out, strategy=strategy, salt_cols=[window])

@@ -1,58 +1,122 @@
 """Token lookups (G2, G5, G7, G8): explode tokens, join a keyed table, fold back.
 
-Per-document results use aggregations with bounded state (per-dimension
-``sum``, ``avg``) so a long document never has its token rows collected. The
-token side keeps every row with ``posexplode_outer`` and a left join, so
-documents without hits (or without tokens) still come out, with zeros.
+A text's tokens are counted first, so that a row stands for all its occurrences of a
+token; word vectors and lexicon are merged into one lookup table and joined once.
+Vectors travel and add up in blocks of ``BLOCK_DIMS`` dimensions: a grouped sum of a
+few columns whatever the width, with map-side combining and bounded state, so that a
+long document never has its token rows collected.
+
+Rows are told apart by id and text (a 128-bit hash of it): repeated and null ids keep
+their own results, and rows that are equal in both have equal ones. Documents without
+hits (or without tokens) still come out, with zeros.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 from glosa.operators.joins import lookup_join
 from glosa.operators.windows import token_windows, window_tokens
+from glosa.session import cut_lineage
 from glosa.sources.lookups import UNK
 
+BLOCK_DIMS = 32
+TEXT_KEY = ["_h1", "_h2"]
 
-def _token_rows(df: DataFrame, text_col: str, id_col: str, lower: bool = True) -> DataFrame:
+
+def text_key(text: Column) -> list[Column]:
+    """Two hashes that stand for a text (null has its own)."""
+    return [F.xxhash64(text, F.lit(seed)).alias(name) for seed, name in enumerate(TEXT_KEY)]
+
+
+def join_by_text(df: DataFrame, results: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Every row of ``df`` with the results of its (id, text); ids may be null."""
+    right = results.withColumnRenamed(id_col, "_id")
+    for name in TEXT_KEY:
+        right = right.withColumnRenamed(name, f"{name}_r")
+    left = df.select("*", *text_key(F.col(text_col)))
+    on = F.col(id_col).eqNullSafe(F.col("_id"))
+    for name in TEXT_KEY:
+        on = on & (F.col(name) == F.col(f"{name}_r"))
+    return left.join(right, on, "left").drop("_id", *TEXT_KEY, *[f"{n}_r" for n in TEXT_KEY])
+
+
+def token_counts(df: DataFrame, text_col: str, id_col: str, lower: bool = True) -> DataFrame:
+    """(id, text key, token, _c): occurrences of each token; a text without tokens has one row with a null token and 0."""
     t = F.lower(F.col(text_col)) if lower else F.col(text_col)
-    return (df.select(id_col, tokens(t).alias("_tok"))
-            .select(id_col, F.size("_tok").alias("_n"), F.posexplode_outer("_tok").alias("_pos", "token")))
+    rows = df.select(id_col, *text_key(F.col(text_col)), F.explode_outer(tokens(t)).alias("token"))
+    return rows.groupBy(id_col, *TEXT_KEY, "token").agg(F.count("token").alias("_c"))
+
+
+def merged_lookup(word_vectors: DataFrame | None, dim: int, lexicon: DataFrame | None) -> DataFrame:
+    """One row a token: its vector in blocks of BLOCK_DIMS, its polarity."""
+    merged = None
+    if word_vectors is not None:
+        v = F.col("vector").cast("array<double>")
+        blocks = F.array(*[F.slice(v, a + 1, min(BLOCK_DIMS, dim - a)) for a in range(0, dim, BLOCK_DIMS)])
+        merged = word_vectors.select("token", blocks.alias("_blocks"))
+    if lexicon is not None:
+        polarity = lexicon.select("token", F.col("polarity").cast("double").alias("polarity"))
+        merged = polarity if merged is None else merged.join(polarity, "token", "full")
+    return merged
 
 
 def token_lookup_features(df: DataFrame, *, word_vectors: DataFrame | None = None, dim: int = 0,
                           lexicon: DataFrame | None = None, text_col: str = TEXT, id_col: str = COMMENT_ID,
                           pooled_out: str = "pooled", polarity_out: str = "polarity",
                           strategy: str = "auto") -> DataFrame:
-    """G2 and G5 over one token pass: the lower-cased tokens are exploded once,
-    left-joined to each given table and folded back in a single grouped
-    aggregate (partial aggregation collapses a document's tokens map-side).
+    """G2 and G5 over one token pass and one join, for every row: id and results.
 
     * pooled (G2): mean over all tokens of their word vector, a miss counting as
       zeros; ``word_vectors`` is ``(token, vector array<double>)``;
     * polarity (G5): mean polarity of the tokens found in ``lexicon(token,
       polarity)``; 0 when none is found.
     """
+    rows = df.select(id_col, text_col)
+    found = token_lookup_results(rows, word_vectors=word_vectors, dim=dim, lexicon=lexicon, text_col=text_col, id_col=id_col,
+                                 pooled_out=pooled_out, polarity_out=polarity_out, strategy=strategy)
+    return join_by_text(rows, found, text_col, id_col).drop(text_col)
+
+
+def token_lookup_results(df: DataFrame, *, word_vectors: DataFrame | None = None, dim: int = 0,
+                         lexicon: DataFrame | None = None, text_col: str = TEXT, id_col: str = COMMENT_ID,
+                         pooled_out: str = "pooled", polarity_out: str = "polarity", strategy: str = "auto") -> DataFrame:
+    """The results of each distinct (id, text): id, text key and the outputs."""
     if word_vectors is None and lexicon is None:
         raise ValueError("give a word-vector table, a lexicon, or both")
-    rows = _token_rows(df, text_col, id_col)
-    aggs, outs = [], []
-    if word_vectors is not None:
-        rows = lookup_join(rows, word_vectors.select("token", "vector"), "token", "left", strategy=strategy,
-                           salt_cols=[id_col, "_pos"])
-        aggs += [array_sum(F.col("vector").cast("array<double>"), dim).alias("_sum"), F.max("_n").alias("_n")]
-        outs.append(F.transform("_sum", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)))
-                    .alias(pooled_out))
+    table = merged_lookup(word_vectors, dim, lexicon)
+    if word_vectors is not None and lexicon is not None:
+        table = cut_lineage(table)  # measured and joined: merge once
+    rows = lookup_join(token_counts(df, text_col, id_col), table, "token", "left", strategy=strategy,
+                       salt_cols=[id_col, *TEXT_KEY])
+    keys, sums, outs = [id_col, *TEXT_KEY], [F.sum("_c").alias("_n")], []
     if lexicon is not None:
-        rows = lookup_join(rows, lexicon.select("token", "polarity"), "token", "left", strategy=strategy,
-                           salt_cols=[id_col, "_pos"])
-        aggs.append(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias(polarity_out))
-        outs.append(F.col(polarity_out))
-    return rows.groupBy(id_col).agg(*aggs).select(id_col, *outs)
+        hit = F.when(F.col("polarity").isNotNull(), F.col("_c"))
+        sums += [F.sum(F.col("polarity") * F.col("_c")).alias("_p"), F.sum(hit).alias("_hits")]
+        outs.append(F.coalesce(F.try_divide("_p", "_hits"), F.lit(0.0)).alias(polarity_out))
+    if word_vectors is None:
+        return rows.groupBy(*keys).agg(*sums).select(*keys, *outs)
+    # Counts and polarities belong to a token's first block.
+    rows = rows.select(*keys, "_c", *(["polarity"] if lexicon is not None else []), F.posexplode_outer("_blocks").alias("_b", "_v"))
+    first = F.coalesce("_b", F.lit(0)) == 0
+    rows = rows.withColumn("_b", F.coalesce("_b", F.lit(0)))
+    wide = min(dim, BLOCK_DIMS)
+    block = [F.coalesce(F.sum(F.get("_v", F.lit(j)) * F.col("_c")), F.lit(0.0)) for j in range(wide)]
+    once = [F.sum(F.when(first, F.col("_c"))).alias("_n")]
+    if lexicon is not None:
+        hit = F.when(first & F.col("polarity").isNotNull(), F.col("_c"))
+        once += [F.sum(F.when(first, F.col("polarity") * F.col("_c"))).alias("_p"), F.sum(hit).alias("_hits")]
+    blocks = rows.groupBy(*keys, "_b").agg(F.array(*block).alias("_v"), *once)
+    # As many rows a text as blocks.
+    texts = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_v"))).alias("_s"), F.max("_n").alias("_n"),
+                                      *([F.max("_p").alias("_p"), F.max("_hits").alias("_hits")] if lexicon is not None else []))
+    total = F.slice(F.flatten(F.transform("_s", lambda x: x["_v"])), 1, dim)
+    total = F.when(F.size(total) == dim, total).otherwise(F.array_repeat(F.lit(0.0), dim))  # no hit: the first block only
+    pooled = F.transform(total, lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)))
+    return texts.select(*keys, pooled.alias(pooled_out), *outs)
 
 
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, dim: int, text_col: str = TEXT,
@@ -62,13 +126,6 @@ def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, dim: int, text_c
                                  pooled_out=out, strategy=strategy)
 
 
-def array_sum(vec, dim: int):
-    """Element-wise sum of fixed-length arrays as ``dim`` plain ``sum`` aggregates:
-    exact order-independent partial sums in the codegen'd hash aggregate (the ML
-    ``Summarizer`` derives sums from a running mean and drifts by an ulp)."""
-    return F.array(*[F.coalesce(F.sum(vec[i]), F.lit(0.0)) for i in range(dim)])
-
-
 def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text_col: str = TEXT, id_col: str = COMMENT_ID,
                      out: str = "polarity", strategy: str = "auto") -> DataFrame:
     """G5 alone."""
@@ -133,10 +190,12 @@ def char_encode(df: DataFrame, char_vocab: DataFrame, window: int, hop: int, max
                 strategy: str = "auto") -> DataFrame:
     """``(id, window_idx, pos, char_ids array<int>)``.
 
-    Each distinct token is encoded once and joined back to the window tokens, so
-    repeated ids and ``max_chars = 0`` need no care, whatever the alphabet's size.
+    Each distinct token of the texts (before they are cut into overlapping windows) is
+    encoded once, stored, and joined back to the window tokens, so repeated ids and
+    ``max_chars = 0`` need no care, whatever the alphabet's size.
     ``max_windows`` and ``max_chars`` are the model's input shape, off by default."""
     rows = window_token_rows(df, window, hop, max_windows, text_col, id_col)
-    ids = token_char_ids(rows.select("token"), char_vocab, max_chars, strategy)
+    words = df.select(F.explode(tokens(F.col(text_col))).alias("token"))
+    ids = cut_lineage(token_char_ids(words, char_vocab, max_chars, strategy))
     hit = lookup_join(rows, ids, "token", "left", strategy=strategy, salt_cols=[id_col, "window_idx", "pos"])
     return hit.select(id_col, "window_idx", "pos", "char_ids")

@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glosa.columns import COMMENT_ID
 from glosa.functions.registry import FeatureAssets
+from glosa.operators.scoring import batch_scorer, seeded_text_classifier
+from glosa.operators.style import StyleModel, seeded_style_model
 from glosa.plans.pipeline import RunConfig, RunResult, run
 from glosa.sources import lookups as lt
 from glosa.sources.comments import comments_view, labelled_view, load_table, spread
 
-# The reference's all-features list, with the transformer document vectors
-# taken from the ``embeddings`` table and no sentiment-model scorer (no model
-# weights ship with the data).
+# The all-features list with pooled vectors and lexicon polarity in addition. No weights
+# ship with the data: document vectors come from the ``embeddings`` table, the sentiment and
+# style models are seeded stand-ins with the real ones' inputs and widths.
 FLAGSHIP_FEATURES = [
-    "DocumentEmbeddingsBERT", "DocumentEmbeddingsFastTextPool", "SentimentTextBlob", "SpellingMistakes",
-    "WordLengthStandardDeviation", "AverageWordLength", "NumWords", "NumCharacters", "StopwordRatio",
+    "DocumentEmbeddingsBERT", "WritingStyleEmbeddings", "DocumentEmbeddingsFastTextPool", "SentimentBERT", "SentimentTextBlob",
+    "SpellingMistakes", "WordLengthStandardDeviation", "AverageWordLength", "NumWords", "NumCharacters", "StopwordRatio",
     "ExclamationMarkRatio", "NumReferences", "NumMediumAdressed", "NumUserAdressed", "AverageEmojiRepetition",
 ]
+STYLE_DIM = 100
 FLAGSHIP_TRIALS = 100
 
 # The feature lists of the three run configs (7 folds, 100 trials
@@ -40,6 +43,10 @@ def run_config(name: str, num_trials: int = 100) -> RunConfig:
 _RUNS: dict[tuple[str, str, int], RunResult] = {}
 
 
+def stand_in_style(spark: SparkSession, comments: DataFrame, dim: int = STYLE_DIM) -> StyleModel:
+    return StyleModel(seeded_style_model(dim), dim, lt.derived_word_vocab(comments), lt.derived_char_vocab(spark), name="seeded")
+
+
 def flagship_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, FeatureAssets]:
     docs = load_table(spark, sf_dir, "documents")
     labels = load_table(spark, sf_dir, "labels")
@@ -49,7 +56,8 @@ def flagship_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     vectors = lt.doc_vectors_from_embeddings(load_table(spark, sf_dir, "embeddings"))
     dim = len(vectors.select("vector").first()[0])
     assets = FeatureAssets(word_vectors=lt.derived_word_vectors(comments), word_vector_dim=3,
-                           polarity=lt.derived_polarity(comments),
+                           polarity=lt.derived_polarity(comments), style=stand_in_style(spark, comments),
+                           scorers={"SentimentBERT": (batch_scorer(seeded_text_classifier(3), 3), 3)},
                            doc_vectors={"DocumentEmbeddingsBERT": (vectors, dim)})
     return train, test, assets
 

@@ -412,19 +412,23 @@ toks AS (SELECT comment_id, unnest({_TOK_LOWER}) AS token FROM comments),
 ntok AS (SELECT comment_id, len({_TOK_LOWER}) AS n FROM comments)"""
 
 
+WORD_VECTOR_DIM = 300
+
+
 @register("pooled_word_vectors", f"""WITH {_LTOKS_CTE},
-wv AS (SELECT DISTINCT token FROM toks WHERE length(token) >= 3),
+kinds AS (
+  SELECT comment_id, length(token) AS l, instr(token, 'e') AS e, count(*) AS n FROM toks WHERE length(token) >= 3 GROUP BY ALL
+),
 sums AS (
-  SELECT t.comment_id, sum(length(w.token)) AS s0, sum(length(w.token) % 3) AS s1, sum(instr(w.token, 'e')) AS s2
-  FROM toks t JOIN wv w ON w.token = t.token GROUP BY t.comment_id
+  SELECT comment_id, dim, sum(((l * (dim + 1) + e) % 13 - 6) * n) AS s
+  FROM kinds, (SELECT unnest(range(0, {WORD_VECTOR_DIM})) AS dim) GROUP BY comment_id, dim
 )
-SELECT n.comment_id, d.dim,
-       round(coalesce(CAST(CASE d.dim WHEN 0 THEN s.s0 WHEN 1 THEN s.s1 ELSE s.s2 END AS DOUBLE) / nullif(n.n, 0), 0), 6)
-         AS value
-FROM ntok n LEFT JOIN sums s ON s.comment_id = n.comment_id, (SELECT unnest([0, 1, 2]) AS dim) d""")
+SELECT n.comment_id, CAST(d.dim AS INT) AS dim, round(coalesce(CAST(s.s AS DOUBLE) / nullif(n.n, 0), 0), 6) AS value
+FROM ntok n CROSS JOIN (SELECT unnest(range(0, {WORD_VECTOR_DIM})) AS dim) d
+LEFT JOIN sums s ON s.comment_id = n.comment_id AND s.dim = d.dim""")
 def q_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _comments(spark, sf_dir)
-    pooled = lk.pooled_word_vectors(c, lt.derived_word_vectors(c), dim=3)
+    pooled = lk.pooled_word_vectors(c, lt.derived_wide_vectors(c, WORD_VECTOR_DIM), dim=WORD_VECTOR_DIM)
     return pooled.select(COMMENT_ID, F.posexplode("pooled").alias("dim", "value")).withColumn("value", r6(F.col("value")))
 
 
@@ -530,6 +534,37 @@ def q_softmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).withColumn("value", r6(F.col("value")))
 
 
+ATTENTION_CONTEXT = [0.05, -0.1, 0.2]
+
+
+@register("attention_two_level", f"""WITH {_WIN_TOK_CTE},
+x AS (
+  SELECT comment_id, window_idx, (length(token) % 7) / 2.0 AS s, length(token) AS v0, length(token) % 3 AS v1, instr(token, 'e') AS v2 FROM wtok
+),
+m AS (SELECT comment_id, window_idx, max(s) AS mx FROM x GROUP BY ALL),
+pw AS (
+  SELECT comment_id, window_idx, sum(exp(s - mx) * v0) / sum(exp(s - mx)) AS v0, sum(exp(s - mx) * v1) / sum(exp(s - mx)) AS v1,
+         sum(exp(s - mx) * v2) / sum(exp(s - mx)) AS v2
+  FROM x JOIN m USING (comment_id, window_idx) GROUP BY ALL
+),
+ws AS (SELECT *, {ATTENTION_CONTEXT[0]} * v0 + ({ATTENTION_CONTEXT[1]}) * v1 + {ATTENTION_CONTEXT[2]} * v2 AS s FROM pw),
+wm AS (SELECT comment_id, max(s) AS mx FROM ws GROUP BY comment_id),
+d AS (
+  SELECT comment_id, sum(exp(s - mx)) AS z, sum(exp(s - mx) * v0) AS v0, sum(exp(s - mx) * v1) AS v1, sum(exp(s - mx) * v2) AS v2
+  FROM ws JOIN wm USING (comment_id) GROUP BY comment_id
+)
+SELECT comment_id, CAST(dim AS INT) AS dim, round(CASE dim WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END / z, 6) AS value
+FROM d, (SELECT unnest([0, 1, 2]) AS dim)""")
+def q_attention_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to window vectors to document vectors; scores and vectors are derived from the words."""
+    rows = lk.window_token_rows(_comments(spark, sf_dir), WINDOW_TOKENS, HOP, None)
+    n = F.length("token")
+    items = rows.select(COMMENT_ID, "window_idx", ((n % 7) / 2.0).alias("score"),
+                        F.array(n.cast("double"), (n % 3).cast("double"), F.instr("token", "e").cast("double")).alias("vector"))
+    pooled = att.attention_two_level(items, COMMENT_ID, "window_idx", "score", "vector", ATTENTION_CONTEXT)
+    return pooled.select(COMMENT_ID, F.posexplode("pooled").alias("dim", "value")).withColumn("value", r6(F.col("value")))
+
+
 @register("attach_embeddings", f"""WITH {S.COMMENTS_CTE},
 hit AS (
   SELECT c.comment_id, unnest(range(0, len(e.embedding))) AS dim, unnest(e.embedding) AS v
@@ -747,6 +782,7 @@ def q_feature_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 # G3(b), G4: batch scoring hook and the sentiment model's input
 # ---------------------------------------------------------------------------
 from glosa.operators import scoring as sc  # noqa: E402
+from glosa.operators import style as st  # noqa: E402
 
 SCORE_DIM = 4
 
@@ -829,7 +865,7 @@ def q_importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_importance(c, 10).select("fold", "idx", "importance", "rank")
 
 
-@register("score_input_truncate", f"""WITH {S.COMMENTS_CTE},
+@register("score_input_chunks", f"""WITH {S.COMMENTS_CTE},
 c AS (SELECT comment_id, list_filter(string_split({_CLEAN_SQL}, ' '), lambda x: x <> '') AS tk FROM comments),
 k AS (SELECT comment_id, tk, unnest(range(0, greatest(len(tk), 1), {sc.MODEL_INPUT_TOKENS})) AS first FROM c)
 SELECT comment_id, CAST(first // {sc.MODEL_INPUT_TOKENS} AS INT) AS chunk, CAST(len(tk) AS INT) AS n_words,
@@ -842,6 +878,63 @@ def q_score_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(COMMENT_ID, "n_words", F.posexplode("chunks").alias("chunk", "model_input"))
 
 
+def _weight_rows(w) -> str:
+    return ", ".join(f"({i}, {j}, {float(w[i, j])!r})" for i in range(w.shape[0]) for j in range(w.shape[1]))
+
+
+@register("sentiment_scores", f"""WITH {S.COMMENTS_CTE},
+c AS (SELECT comment_id, list_filter(string_split({_CLEAN_SQL}, ' '), lambda x: x <> '') AS tk FROM comments),
+k AS (
+  SELECT comment_id, tk[first + 1:first + {sc.MODEL_INPUT_TOKENS}] AS part
+  FROM (SELECT comment_id, tk, unnest(range(0, greatest(len(tk), 1), {sc.MODEL_INPUT_TOKENS})) AS first FROM c)
+),
+t AS (SELECT comment_id, greatest(len(part), 1) AS n, array_to_string(part, ' ') AS t FROM k),
+x AS (
+  SELECT comment_id, n, unnest([length(t), length(t) - length(replace(t, ' ', '')), length(t) - length(replace(t, 'e', '')),
+                                length(t) - length(replace(t, 'n', ''))]) / 100.0 AS v, unnest([0, 1, 2, 3]) AS i FROM t
+),
+w(i, j, wv) AS (VALUES {_weight_rows(sc.class_weights())})
+SELECT comment_id, CAST(j AS INT) AS class, round(sum(v * wv * n) / (sum(n) / 4), 6) AS score FROM x JOIN w USING (i) GROUP BY comment_id, j""")
+def q_sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 through the registry: a stand-in classifier over all chunks of every text, averaged by their tokens."""
+    scorer = sc.batch_scorer(sc.seeded_text_classifier(3), 3)
+    feats, layout = reg.build_features(_comments(spark, sf_dir), ["SentimentBERT"], reg.FeatureAssets(scorers={"SentimentBERT": (scorer, 3)}))
+    scores = F.array(*[F.col(c) for c in layout.numerical])
+    return feats.select(COMMENT_ID, F.posexplode(scores).alias("class", "score")).withColumn("score", r6(F.col("score")))
+
+
+STYLE_DIM = 100
+
+
+@register("writing_style", f"""WITH {_WIN_TOK_CTE},
+freq AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK_LOWER}) AS token FROM comments) GROUP BY token),
+vocab AS (SELECT token, CAST(rn + 1 AS INT) AS id FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rn FROM freq)),
+x AS (
+  SELECT comment_id, window_idx, sum(coalesce(v.id, 1)) / 10000.0 AS a,
+         sum(list_sum(list_transform(regexp_extract_all(t.token, '(?s).'), lambda ch: CASE WHEN ch >= 'a' AND ch <= 'z' THEN ascii(ch) - 95 ELSE 1 END)))
+           / 10000.0 AS b, sum(length(t.token)) / 10000.0 AS c, count(*) / 10000.0 AS d
+  FROM wtok t LEFT JOIN vocab v ON v.token = t.token GROUP BY ALL
+),
+wts(i, j, wv) AS (VALUES {_weight_rows(st.style_weights(STYLE_DIM))}),
+p AS (SELECT j, max(wv) FILTER (i = 0) AS wa, max(wv) FILTER (i = 1) AS wb, max(wv) FILTER (i = 2) AS wc, max(wv) FILTER (i = 3) AS wd FROM wts GROUP BY j),
+s AS (SELECT x.*, a * wa + b * wb + c * wc + d * wd AS s FROM x JOIN p ON j = 0),
+m AS (SELECT comment_id, max(s) AS mx FROM s GROUP BY comment_id),
+z AS (
+  SELECT comment_id, sum(exp(s - mx)) AS z, sum(exp(s - mx) * a) AS a, sum(exp(s - mx) * b) AS b, sum(exp(s - mx) * c) AS c, sum(exp(s - mx) * d) AS d
+  FROM s JOIN m USING (comment_id) GROUP BY comment_id
+),
+q AS (SELECT comment_id, j - 1 AS dim, (a * wa + b * wb + c * wc + d * wd) / z AS value FROM z JOIN p ON j > 0)
+SELECT comments.comment_id, CAST(k.dim AS INT) AS dim, round(coalesce(q.value, 0), 6) AS value
+FROM comments CROSS JOIN (SELECT unnest(range(0, {STYLE_DIM})) AS dim) k
+LEFT JOIN q ON q.comment_id = comments.comment_id AND q.dim = k.dim""")
+def q_writing_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4 → G3: every window through padded tensors and a stand-in model, pooled by its attention scores."""
+    c = _comments(spark, sf_dir)
+    assets = reg.FeatureAssets(style=fl.stand_in_style(spark, c, STYLE_DIM))
+    feats, layout = reg.build_features(c, ["WritingStyleEmbeddings"], assets)
+    return feats.select(COMMENT_ID, F.posexplode(layout.embeddings[0][0]).alias("dim", "value")).withColumn("value", r6(F.col("value")))
+
+
 # ---------------------------------------------------------------------------
 # M3–M11, A1/A2 on real fits: the cross-validated run (rows-only checks)
 # ---------------------------------------------------------------------------
@@ -889,6 +982,22 @@ def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flagship_run(spark, sf_dir).cv.importance
 
 
+@register("submission_rows", """SELECT CAST(doc_id AS VARCHAR) AS comment_id, 3 AS n_labels, true AS binary
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def q_submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission written from the run's predictions, read back: a row for each unlabelled comment, 0/1 labels."""
+    from glosa.session import shared_dir
+    from glosa.sources import sinks
+    import uuid
+    _, test, _ = fl.flagship_inputs(spark, sf_dir)
+    out = f"{shared_dir(spark)}/submission-{uuid.uuid4().hex}"
+    sinks.write_submission(sinks.attach_predictions(test, fl.flagship_run(spark, sf_dir).predictions), out)
+    rows = spark.read.csv(f"{out}/submission", header=True)
+    given = [F.col(c).isin("0", "1") for c in LABELS]
+    return rows.select(COMMENT_ID, sum((g.cast("int") for g in given[1:]), given[0].cast("int")).alias("n_labels"),
+                       (given[0] & given[1] & given[2]).alias("binary"))
+
+
 @register("test_predictions")
 def q_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flagship_run(spark, sf_dir).predictions

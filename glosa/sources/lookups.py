@@ -35,6 +35,14 @@ def derived_word_vectors(comments: DataFrame, text_col: str = TEXT) -> DataFrame
                                  F.instr("token", "e").cast("double")).alias("vector")))
 
 
+def derived_wide_vectors(comments: DataFrame, dim: int = 300, text_col: str = TEXT) -> DataFrame:
+    """``(token, vector)`` for lower-cased tokens of 3+ characters: at place d (from 0)
+    ``(length * (d + 1) + position of 'e') % 13 - 6``."""
+    place = F.sequence(F.lit(1), F.lit(dim))
+    value = F.transform(place, lambda d: ((F.length("token") * d + F.instr("token", "e")) % 13 - 6).cast("double"))
+    return cut_lineage(distinct_tokens(comments, text_col).where(F.length("token") >= 3).select("token", value.alias("vector")))
+
+
 def derived_polarity(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
     """``(token, polarity)`` for lower-cased tokens of 4+ characters:
     ``(length % 5 - 2) / 2`` in [-1, 1]."""
