@@ -12,9 +12,12 @@ string. Strings of equal length are sought together:
   block;
 * a direct comparison of the words confirms an occurrence.
 
-The benchmark is cut into blocks of bounded bytes, each sent to all tasks and
-sought in all documents; documents are not shuffled. An item longer than the
-bound is a block of its own.
+Words are numbers: the benchmark's distinct words, numbered from 1; any other word is
+0 and in no string. The tables are sorted arrays of 64-bit keys, some bytes a window,
+built once per worker process and block. The benchmark is cut into blocks of bounded
+bytes, each sent to all tasks; documents are not shuffled, and one pass over them seeks
+all blocks: a batch is cut into words once. An item longer than the bound is a block
+of its own.
 
 A null text has no words. An item without words is never found. A null item_id
 marks words as hit like others but is not listed. Repeated rows and ids of
@@ -23,8 +26,11 @@ documents are searched like others; rows of one item_id are one item.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from glosa.llm.common import slices
 
 SLICE_BYTES = 4_000_000
+MATCHERS_KEPT = 2
+SEPARATOR = (b"",)  # no word
 # Each byte of a text: lower case for letters, itself for digits and non-ASCII, else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -40,75 +48,155 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-class Matcher:
-    """Wu-Manber tables over strings of ``m`` words; ``strings`` maps each to the items that have it."""
+class Strings:
+    """Wu-Manber tables over strings of ``m`` words: ``words`` (numbers) from each of ``starts`` on, with the item of each.
+
+    Strings are kept as places in ``words``; tables hold each distinct one once."""
 
-    def __init__(self, strings: dict[tuple[bytes, ...], set], m: int):
-        self.m, self.block, self.strings = m, min(2, m), strings
+    def __init__(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray, m: int, width: int):
+        self.m, self.width, self.words = m, width, words
+        self.block = min(2, m)
         self.most = m - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.ends: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[tuple[bytes, ...]]]] = {}
-        for s in strings:
-            for end in range(self.block, m + 1):
-                b = s[end - self.block: end]
-                self.shift[b] = min(self.shift.get(b, self.most), m - end)
-            self.ends.setdefault(s[m - self.block:], {}).setdefault(s[: self.block], []).append(s)
-
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
+        at = np.lexsort((items, *[words[starts + c] for c in range(m - 1, -1, -1)]))
+        starts, items = starts[at], items[at]
+        new = np.zeros(len(starts), bool)
+        new[:1] = True
+        for c in range(m):
+            column = words[starts + c]
+            new[1:] |= column[1:] != column[:-1]
+        self.starts = starts[new]
+        # The items of string i are items[first[i]: first[i + 1]].
+        self.items, self.first = items, np.concatenate((np.flatnonzero(new), [len(items)]))
+        self.keys, self.shifts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for end in range(m, self.block - 1, -1):  # from the least shift up: a block keeps its first
+            keys = np.setdiff1d(self._block_at(end - self.block), self.keys)
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.shifts = np.insert(self.keys, at, keys), np.insert(self.shifts, at, m - end)
+        # Strings by their last block, then their first.
+        suffix, prefix = self._block_at(m - self.block), self._block_at(0)
+        self.by = np.lexsort((prefix, suffix))
+        self.suffix, self.prefix = suffix[self.by], prefix[self.by]
+
+    def _block_at(self, offset: int) -> np.ndarray:
+        """Keys of the strings' blocks that begin at their word ``offset``."""
+        first = self.words[self.starts + offset].astype(np.int64)
+        return first if self.block == 1 else first * self.width + self.words[self.starts + offset + 1]
+
+    def _key(self, block: np.ndarray) -> np.ndarray:
+        return block[:, 0] if block.shape[1] == 1 else block[:, 0] * self.width + block[:, 1]
+
+    def jumps(self, words: np.ndarray) -> np.ndarray:
+        """For each place, how far a search that has read the block ending there may move on."""
+        blocks = words if self.block == 1 else np.concatenate(([0], words[:-1] * self.width + words[1:]))
+        at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
+        out = np.where(self.keys[at] == blocks, self.shifts[at], self.most)
+        return out
+
+    def occurrences(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(first word, items) of each occurrence, from left to right."""
-        shift, most, block, m, end, n = self.shift.get, self.most, self.block, self.m, self.m, len(words)
-        while end <= n:
-            last = tuple(words[end - block: end])
-            step = shift(last, most)
+        n, m = len(words), self.m
+        if n < m:
+            return
+        jumps = self.jumps(words)
+        if not len(stops := np.flatnonzero(jumps[m - 1:] == 0)):
+            return  # no place ends a string's last block
+        jumps, end, last = jumps.tolist(), m, int(stops[-1]) + m
+        while end <= last:
+            step = jumps[end - 1]
             if step:
                 end += step
                 continue
-            start = end - m
-            for s in self.ends[last].get(tuple(words[start: start + block]), ()):
-                if tuple(words[start:end]) == s:
-                    yield start, self.strings[s]
+            here = words[end - m: end]
+            s, p = self._key(here[None, m - self.block:])[0], self._key(here[None, : self.block])[0]
+            a, b = np.searchsorted(self.suffix, s), np.searchsorted(self.suffix, s, side="right")
+            a, b = a + np.searchsorted(self.prefix[a:b], p), a + np.searchsorted(self.prefix[a:b], p, side="right")
+            for i in self.by[a:b].tolist():
+                if np.array_equal(self.words[self.starts[i]: self.starts[i] + m], here):
+                    yield end - m, self.items[self.first[i]: self.first[i + 1]]
             end += 1
 
 
-def matchers(items: list[tuple], window: int) -> list[Matcher]:
-    by_length: dict[int, dict[tuple[bytes, ...], set]] = {}
-    for item, text in items:
-        words = words_of(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(words[i: i + m]), set()).add(item)
-    return [Matcher(strings, m) for m, strings in sorted(by_length.items())]
-
-
-def _search(items, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Add one block's occurrences to the columns starts, ends (of merged runs of hit words) and items."""
+class Matcher:
+    """All strings of a block: ``names`` of its items, its words' numbers and the tables by length."""
+
+    def __init__(self, items: list[tuple], window: int):
+        self.names: list = []
+        names: dict = {}
+        self.number: dict[bytes, int] = {}
+        texts = []
+        for name, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            if words:
+                if name not in names:
+                    names[name] = len(self.names)
+                    self.names.append(name)
+                texts.append((names[name], np.array(words, np.int32)))
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, words in texts:
+            by_length.setdefault(min(window, len(words)), []).append((k, words))
+        self.tables = []
+        for m, parts in sorted(by_length.items()):
+            sizes = np.array([len(words) for _, words in parts])
+            counts, begin = sizes - m + 1, np.cumsum(sizes) - sizes
+            starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            self.tables.append(Strings(np.concatenate([words for _, words in parts]), starts,
+                                       np.repeat(np.array([k for k, _ in parts], np.int32), counts), m, len(self.number) + 1))
+
+    def search(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, list]]:
+        """(text, first word, end, items) of all occurrences. The texts are searched as one, a 0 after each:
+        no string has it."""
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        every = chain.from_iterable(chain(t, SEPARATOR) for t in texts)
+        numbers = np.fromiter(map(self.number.get, every, repeat(0)), np.int64, int(sizes.sum()))
+        for table in self.tables:
+            for start, of in table.occurrences(numbers):
+                k = int(np.searchsorted(ends, start, side="right"))
+                first = start - int(ends[k] - sizes[k])
+                yield k, first, first + table.m, [self.names[i] for i in of.tolist()]
+
+
+# The matchers of this worker process, by the broadcast they are made from.
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def _matcher(held, window: int) -> Matcher:
+    key, items = held.value
+    if (key, window) not in _MATCHERS:
+        _MATCHERS[key, window] = Matcher(items, window)
+        while len(_MATCHERS) > MATCHERS_KEPT:
+            _MATCHERS.pop(next(iter(_MATCHERS)))
+    return _MATCHERS[key, window]
+
+
+def _search(blocks: list, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Occurrences in one pass: n_words, starts and ends (of merged runs of hit words) and items of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_by = matchers(items.value, window)
+        kind = None
         for part in slices(batches, "text", SLICE_BYTES):
-            n_words, starts, ends, listed = [], [], [], []
-            for text, s0, e0, i0 in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "ends", "items")),
-                                        strict=True):
-                words = words_of(text)
-                spans, items_here = list(zip(s0, e0, strict=True)), set(i0)
-                for matcher in found_by:
-                    for start, of in matcher.occurrences(words):
-                        spans.append((start, start + matcher.m))
-                        items_here |= of
+            kind = kind or part.schema.field("items").type
+            texts = [words_of(t) for t in part.column("text").to_pylist()]
+            spans: list[list] = [[] for _ in texts]
+            items: list[set] = [set() for _ in texts]
+            for held in blocks:  # the outer loop, so that few tables are in use at a time
+                for k, first, end, of in _matcher(held, window).search(texts):
+                    spans[k].append((first, end))
+                    items[k].update(of)
+            starts, ends = [], []
+            for found in spans:
                 merged: list[list[int]] = []
-                for a, b in sorted(spans):
+                for a, b in sorted(found):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
-                n_words.append(len(words))
                 starts.append([a for a, _ in merged])
                 ends.append([b for _, b in merged])
-                listed.append([i for i in items_here if i is not None])
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("text"), pa.array(n_words, pa.int64()),
+                [part.column("row"), pa.array([len(t) for t in texts], pa.int64()),
                  pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
-                 pa.array(listed, part.schema.field("items").type)],
-                names=["row", "text", "n_words", "starts", "ends", "items"])
+                 pa.array([[i for i in of if i is not None] for of in items], kind)],
+                names=["row", "n_words", "starts", "ends", "items"])
     return run
 
 
@@ -130,16 +218,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
     items = items.where("text is not null").distinct()
     kind = items.schema["item"].dataType.simpleString()
-    out = docs.select(F.struct(*(carry if carry is not None else docs.columns)).alias("row"),
-                      F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.expr("cast(array() as array<int>)").alias("starts"),
-                      F.expr("cast(array() as array<int>)").alias("ends"),
-                      F.expr(f"cast(array() as array<{kind}>)").alias("items"))
-    n = _blocks(items, block_bytes)
+    rows = docs.select(F.struct(*(carry if carry is not None else docs.columns)).alias("row"),
+                       F.col(text_col).cast("binary").alias("text"), F.expr(f"cast(array() as array<{kind}>)").alias("items"))
+    n, held = _blocks(items, block_bytes), []
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        held = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in block.collect()])
-        out = out.mapInArrow(_search(held, window), out.schema)
+        held.append(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], bytes(r["text"])) for r in block.collect()])))
+    out = rows.mapInArrow(_search(held, window), f"row {rows.schema['row'].dataType.simpleString()}, n_words bigint,"
+                                                 f" starts array<int>, ends array<int>, items array<{kind}>")
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select("row", "n_words", "starts", "ends", "items", hit.alias("n_hit")).withColumn(
         "contaminated", F.col("n_hit") > 0)

@@ -2,14 +2,17 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from conftest import SF01
 from fixtures import DOCS, LOWER, hostile, prose
 
-from glosa.llm.decontaminate import Matcher, contaminated
+from glosa.llm import decontaminate
+from glosa.llm.decontaminate import Matcher, contaminated, words_of
 from glosa.llm.queries import QUERIES
 
 BENCH = "item_id long, text string"
@@ -77,16 +80,49 @@ def test_matcher_finds_overlapping_occurrences_and_skips():
     rng = random.Random(3)
     for _ in range(200):
         m = rng.randint(1, 5)
-        text = [rng.choice([b"a", b"b", b"c"]) for _ in range(60)]
-        strings = {tuple(rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(m)): {k} for k in range(6)}
-        got = sorted((at, *of) for at, of in Matcher(strings, m).occurrences(text))
-        want = sorted((i, *strings[tuple(text[i:i + m])]) for i in range(61 - m) if tuple(text[i:i + m]) in strings)
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))] for _ in range(3)]
+        strings = {tuple(rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(m)): k for k in range(6)}
+        found = Matcher([(k, b" ".join(s)) for s, k in strings.items()], 10).search(texts)
+        got = sorted((k, a, b, *of) for k, a, b, of in found)
+        want = sorted((k, i, i + m, strings[tuple(t[i:i + m])]) for k, t in enumerate(texts) for i in range(len(t) - m + 1)
+                      if tuple(t[i:i + m]) in strings)
         assert got == want
-    class Counted(list):
-        reads = 0
-
-        def __getitem__(self, at):
-            Counted.reads += 1
-            return super().__getitem__(at)
-    list(Matcher({tuple(b"%d" % i for i in range(10)): {1}}, 10).occurrences(Counted([b"x"] * 9000)))
-    assert Counted.reads <= 1001
+    table = Matcher([(1, b" ".join(b"%d" % i for i in range(10)))], 10).tables[0]
+    jumps = table.jumps(np.zeros(9000, np.int64))
+    assert (jumps == 9).all()  # unknown blocks are jumped over whole
+    assert table.jumps(np.arange(1, 11)).tolist() == [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]
+
+
+def test_a_full_block_is_small_and_quick():
+    """A block of 16 MB: under 1 GB, and documents are searched at speed."""
+    rng = random.Random(5)
+    vocabulary = [b"w%d" % i for i in range(60_000)]
+    items, size = [], 0
+    while size < 16_000_000:
+        items.append((len(items), b" ".join(rng.choices(vocabulary, k=20_000))))
+        size += len(items[-1][1])
+    tracemalloc.start()
+    matcher = Matcher(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000_000
+    planted = words_of(items[77][1])[500:520]
+    texts = [rng.choices(vocabulary, k=500) for _ in range(200)]
+    texts[9][100:100] = planted
+    found = list(matcher.search(texts))
+    assert {(k, tuple(of)) for k, _, _, of in found} == {(9, (77,))} and len(found) == 11
+
+
+def test_matchers_are_kept_per_process(monkeypatch):
+    made = []
+    monkeypatch.setattr(decontaminate, "Matcher", lambda items, window: made.append(items) or object())
+    monkeypatch.setattr(decontaminate, "_MATCHERS", {})
+
+    class Held:
+        def __init__(self, key):
+            self.value = (key, [])
+    for key in "aabbab":
+        decontaminate._matcher(Held(key), 10)
+    assert len(made) == 2
+    decontaminate._matcher(Held("c"), 10)
+    assert len(made) == 3 and len(decontaminate._MATCHERS) == decontaminate.MATCHERS_KEPT
