@@ -155,7 +155,7 @@ def _soft(x: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def proximal_step(gram: np.ndarray, n_num: int, y: np.ndarray, g: np.ndarray, penalty: np.ndarray, width: np.ndarray,
-                  sweeps: int = 50, tol: float = 1e-3) -> np.ndarray:
+                  sweeps: int = 20, tol: float = 0.01) -> np.ndarray:
     """argmin over u of g·(u-y) + CURVE/2 (u-y)ᵀ gram (u-y) + penalty |u|₁, columns of ``y`` and ``g`` being problems.
 
     Sweeps end when the last one moved each problem by ``tol`` of its whole step at most:
