@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = _verified(docs, classes, members, shingle, num, den)
         named = (named.join(labels, "node", "left")
                  .withColumn("component", F.coalesce("component", "node")))
-        least = named.groupBy("component").agg(F.min("first").alias("name"))
+        # Stored, so that the join reads two plain exchanges and can split a hot component.
+        least = stored(named.groupBy("component").agg(F.min("first").alias("name")), "least")
         named = named.join(least, "component")
     else:
         named = named.withColumn("name", F.col("first"))
@@ -346,14 +347,17 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
             state = members.withColumn("component", F.col("node"))
         else:
             state = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # Stored, like the names above: a hot bucket's rows are split.
         open_buckets = (state.groupBy("bucket")
                         .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("own") / F.col("n"), "node")).alias("least"),
                              F.min("component").alias("c0"), F.max("component").alias("c1"))
                         .where("c0 < c1").select("bucket", "size", F.col("least.node").alias("least")))
+        open_buckets = stored(open_buckets, "open")
         chosen = F.lit(True) if pivots is None else (
             (F.col("node") == F.col("least")) | (place * F.col("size") < F.lit(float(pivots))))
         state = stored(state.join(open_buckets, "bucket").withColumn("pivot", chosen), "state")
         drop_stored(members)
+        drop_stored(open_buckets)
         if state.isEmpty():
             break
         sharing = None
