@@ -13,8 +13,9 @@ string. Strings of equal length are sought together:
 * a direct comparison of the words confirms an occurrence.
 
 Words are numbers: the benchmark's distinct words, numbered from 1; any other word is
-0 and in no string. The tables are sorted arrays of 64-bit keys, some bytes a window,
-built once per worker process and block. The benchmark is cut into blocks of bounded
+in no string. Strings are places in one array of numbers, their suffix table sorted
+arrays of 64-bit keys and the shift table a dictionary of them, all built once per
+worker process and block. The benchmark is cut into blocks of bounded
 bytes, each sent to all tasks; documents are not shuffled, and one pass over them seeks
 all blocks: a batch is cut into words once. An item longer than the bound is a block
 of its own.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ from glosa.llm.common import slices
 
 SLICE_BYTES = 4_000_000
 MATCHERS_KEPT = 2
-SEPARATOR = (b"",)  # no word
 # Each byte of a text: lower case for letters, itself for digits and non-ASCII, else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -67,11 +67,9 @@ class Strings:
         self.starts = starts[new]
         # The items of string i are items[first[i]: first[i + 1]].
         self.items, self.first = items, np.concatenate((np.flatnonzero(new), [len(items)]))
-        self.keys, self.shifts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for end in range(m, self.block - 1, -1):  # from the least shift up: a block keeps its first
-            keys = np.setdiff1d(self._block_at(end - self.block), self.keys)
-            at = np.searchsorted(self.keys, keys)
-            self.keys, self.shifts = np.insert(self.keys, at, keys), np.insert(self.shifts, at, m - end)
+        self.shift: dict[int, int] = {}
+        for end in range(self.block, m + 1):  # from the greatest shift down: a block keeps its last
+            self.shift.update(zip(np.unique(self._block_at(end - self.block)).tolist(), repeat(m - end)))
         # Strings by their last block, then their first.
         suffix, prefix = self._block_at(m - self.block), self._block_at(0)
         self.by = np.lexsort((prefix, suffix))
@@ -85,31 +83,23 @@ class Strings:
     def _key(self, block: np.ndarray) -> np.ndarray:
         return block[:, 0] if block.shape[1] == 1 else block[:, 0] * self.width + block[:, 1]
 
-    def jumps(self, words: np.ndarray) -> np.ndarray:
-        """For each place, how far a search that has read the block ending there may move on."""
-        blocks = words if self.block == 1 else np.concatenate(([0], words[:-1] * self.width + words[1:]))
-        at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
-        out = np.where(self.keys[at] == blocks, self.shifts[at], self.most)
-        return out
-
-    def occurrences(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(first word, items) of each occurrence, from left to right."""
-        n, m = len(words), self.m
-        if n < m:
-            return
-        jumps = self.jumps(words)
-        if not len(stops := np.flatnonzero(jumps[m - 1:] == 0)):
-            return  # no place ends a string's last block
-        jumps, end, last = jumps.tolist(), m, int(stops[-1]) + m
-        while end <= last:
-            step = jumps[end - 1]
+    def occurrences(self, words: list[bytes], number: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, items) of each occurrence, from left to right. Words that are jumped over are not looked up."""
+        shift, most, width, m, end, n = self.shift.get, self.most, self.width, self.m, self.m, len(words)
+        number, two = number.get, self.block == 2
+        while end <= n:
+            key = number(words[end - 1])
+            if key is not None and two:
+                first = number(words[end - 2])
+                key = None if first is None else first * width + key
+            step = most if key is None else shift(key, most)
             if step:
                 end += step
                 continue
-            here = words[end - m: end]
-            s, p = self._key(here[None, m - self.block:])[0], self._key(here[None, : self.block])[0]
-            a, b = np.searchsorted(self.suffix, s), np.searchsorted(self.suffix, s, side="right")
-            a, b = a + np.searchsorted(self.prefix[a:b], p), a + np.searchsorted(self.prefix[a:b], p, side="right")
+            here = np.array([number(w, 0) for w in words[end - m: end]], np.int32)
+            prefix = int(here[0]) * width + int(here[1]) if two else int(here[0])
+            a, b = np.searchsorted(self.suffix, key), np.searchsorted(self.suffix, key, side="right")
+            a, b = a + np.searchsorted(self.prefix[a:b], prefix), a + np.searchsorted(self.prefix[a:b], prefix, side="right")
             for i in self.by[a:b].tolist():
                 if np.array_equal(self.words[self.starts[i]: self.starts[i] + m], here):
                     yield end - m, self.items[self.first[i]: self.first[i + 1]]
@@ -142,18 +132,11 @@ class Matcher:
             self.tables.append(Strings(np.concatenate([words for _, words in parts]), starts,
                                        np.repeat(np.array([k for k, _ in parts], np.int32), counts), m, len(self.number) + 1))
 
-    def search(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, list]]:
-        """(text, first word, end, items) of all occurrences. The texts are searched as one, a 0 after each:
-        no string has it."""
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        every = chain.from_iterable(chain(t, SEPARATOR) for t in texts)
-        numbers = np.fromiter(map(self.number.get, every, repeat(0)), np.int64, int(sizes.sum()))
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int, list]]:
+        """(first word, end, items) of all occurrences in a text."""
         for table in self.tables:
-            for start, of in table.occurrences(numbers):
-                k = int(np.searchsorted(ends, start, side="right"))
-                first = start - int(ends[k] - sizes[k])
-                yield k, first, first + table.m, [self.names[i] for i in of.tolist()]
+            for first, of in table.occurrences(words, self.number):
+                yield first, first + table.m, [self.names[i] for i in of.tolist()]
 
 
 # The matchers of this worker process, by the broadcast they are made from.
@@ -179,9 +162,11 @@ def _search(blocks: list, window: int) -> Callable[[Iterator[pa.RecordBatch]], I
             spans: list[list] = [[] for _ in texts]
             items: list[set] = [set() for _ in texts]
             for held in blocks:  # the outer loop, so that few tables are in use at a time
-                for k, first, end, of in _matcher(held, window).search(texts):
-                    spans[k].append((first, end))
-                    items[k].update(of)
+                matcher = _matcher(held, window)
+                for k, words in enumerate(texts):
+                    for first, end, of in matcher.search(words):
+                        spans[k].append((first, end))
+                        items[k].update(of)
             starts, ends = [], []
             for found in spans:
                 merged: list[list[int]] = []
