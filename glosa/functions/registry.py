@@ -14,9 +14,14 @@ from collections.abc import Callable, Sequence
 from typing import Any
 from dataclasses import dataclass, field
 
+from pyspark import keyword_only
+from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -364,3 +369,33 @@ def incomplete_rows(df: DataFrame, layout: FeatureLayout) -> int:
     for c in layout.presence:
         bad = bad | (F.col(c) == 0.0)
     return df.where(bad).count()
+
+
+class TextFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The row-local features of a list of names as one vector column, in list order.
+
+    A pipeline that begins with it takes texts; it saves and loads like any other. A
+    missing number becomes 0, as in ``assemble``."""
+
+    features = Param(Params._dummy(), "features", "feature names", TypeConverters.toListString)
+    stopwords = Param(Params._dummy(), "stopwords", "words of StopwordRatio", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, features=None, stopwords=None):
+        super().__init__()
+        self._setDefault(inputCol=TEXT, outputCol="num")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        specs = resolve(self.getOrDefault(self.features))
+        foreign = [s.name for s in specs if s.columns is None or s.kind != NUMERICAL]
+        if foreign:
+            raise ValueError(f"not numbers of the text alone: {foreign}")
+        stop = self.getOrDefault(self.stopwords) if self.isSet(self.stopwords) else None
+        assets = FeatureAssets(stopwords=stop)
+        cols = [c for s in specs for c in s.columns(F.col(self.getInputCol()), assets)]
+        names = df.select(*cols).columns
+        # The features are columns before they are an array: each is evaluated once.
+        wide = df.select("*", *[c.alias(f"_t_{i}") for i, c in enumerate(cols)])
+        numbers = [F.coalesce(F.nanvl(F.col(f"_t_{i}").cast("double"), F.lit(0.0)), F.lit(0.0)) for i in range(len(names))]
+        return wide.withColumn(self.getOutputCol(), array_to_vector(F.array(*numbers))).drop(*[f"_t_{i}" for i in range(len(names))])

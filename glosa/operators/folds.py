@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, FOLD, LABELS
@@ -140,8 +140,14 @@ def split_fold(df: DataFrame, k: int, drop: Sequence[str] = (COMMENT_ID,)) -> tu
 
 
 def write_folded(df: DataFrame, path: str) -> None:
-    """S2 without k copies: one dataset partitioned by ``fold``; readers prune."""
-    df.write.mode("overwrite").partitionBy(FOLD).parquet(path)
+    """S2 without k copies: each row once, in its fold's partition. Folds that ``df`` has
+    replace those of an earlier write, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLD).parquet(path)
+
+
+def read_folded(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table that ``write_folded`` made of ``like``; ``train_rows`` and ``valid_rows`` read their partitions only."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
 
 def class_distribution(df: DataFrame, class_col: str = CODE) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import yaml
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from glosa.functions.registry import (FeatureAssets, FeatureLayout, assemble, as
 from glosa.operators import ensemble as ens
 from glosa.operators import evaluate as ev
 from glosa.operators import folds as fo
-from glosa.operators.model import FoldModel, feature_importance, positive_margins
-from glosa.operators.tuning import search_folds, search_space
+from glosa.operators.model import FoldModel, SharedStages, feature_importance, positive_margins
+from glosa.operators.tuning import FoldSearch, Trial, search_folds, search_space
 from glosa.session import path_exists, shared_dir
 from glosa.sources import sinks
 
@@ -96,13 +97,20 @@ def feature_table(spark: SparkSession, comments: DataFrame, cfg: RunConfig, asse
     if reuse and path_exists(spark, manifest):
         known = spark.read.parquet(manifest).where(F.col("key") == key).orderBy(F.desc("stored")).first()
         if known is not None:
-            return spark.read.parquet(known["path"]), layout
+            return _read_features(spark, known["path"], df), layout
     path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if FOLD in df.columns:
+        fo.write_folded(df, path)  # S2: folds and test rows are read by partition
+    else:
+        df.write.parquet(path)
     # The entry is added when the copy is whole.
     (spark.createDataFrame([(key, path)], "key string, path string").withColumn("stored", F.current_timestamp())
      .coalesce(1).write.mode("append").parquet(manifest))
-    return spark.read.parquet(path), layout
+    return _read_features(spark, path, df), layout
+
+
+def _read_features(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return fo.read_folded(spark, path, like) if FOLD in like.columns else spark.read.parquet(path)
 
 
 @dataclass
@@ -120,14 +128,60 @@ class CVResult:
 PRED_COLS = [f"pred_{i}" for i in range(len(LABELS))]
 
 
+def _fold_key(cfg: RunConfig, feats: DataFrame, layout: FeatureLayout) -> str:
+    """Of a run's models: configuration, layout and the feature table's files."""
+    parts = [cfg.features, cfg.num_splits, cfg.num_trials, cfg.random_state, layout.names, fingerprint(feats)]
+    return hashlib.sha1(json.dumps(parts).encode()).hexdigest()
+
+
+def save_fold(spark: SparkSession, folder: str, key: str, search: FoldSearch) -> None:
+    """A fold's pipeline and trials, then the manifest that makes them count."""
+    sinks.save_model(search.model.pipeline(), f"{folder}/model")
+    trials = spark.createDataFrame(search.scores, "trial int, k int, c double, score double")
+    trials.coalesce(1).write.mode("overwrite").parquet(f"{folder}/trials")
+    spark.createDataFrame([(key, search.best.idx)], "key string, best int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+
+
+def load_fold(spark: SparkSession, folder: str, key: str, fold: int, layout: FeatureLayout) -> FoldSearch | None:
+    """A fold saved under this key, or None. A damaged copy raises."""
+    if not path_exists(spark, f"{folder}/manifest"):
+        return None
+    known = spark.read.parquet(f"{folder}/manifest").where(F.col("key") == key).first()
+    if known is None:
+        return None
+    shared, slicer, *regressions = PipelineModel.load(f"{folder}/model").stages
+    scores = [tuple(r) for r in spark.read.parquet(f"{folder}/trials").orderBy("trial").collect()]
+    best = next(Trial(i, k, c) for i, k, c, _ in scores if i == known["best"])
+    n_num = len(layout.numerical)
+    stages = SharedStages(PipelineModel(stages=[shared]), f"f{fold}_", n_num, len(shared.numbers()[1]) - n_num)
+    return FoldSearch(FoldModel(stages, len(slicer.getIndices()) - n_num, best.c, regressions, PRED_COLS), scores, best)
+
+
 def cross_validate(spark: SparkSession, feats: DataFrame, layout: FeatureLayout, cfg: RunConfig,
-                   top_k: int = 25, max_iter: int = 300) -> CVResult:
-    """Search all folds together → keep each fold's best → predict its rows."""
+                   top_k: int = 25, max_iter: int = 300, models_dir: str | None = None,
+                   folds_at_once: int | None = None) -> CVResult:
+    """Search the folds together → keep each fold's best → predict its rows.
+
+    With ``models_dir`` (S5), folds saved there for the same configuration and feature
+    table are loaded, and only the others searched, ``folds_at_once`` (None: all) before
+    they are saved: what a lost driver has finished is not fitted again."""
     labelled = feats.where(F.col(FOLD).isNotNull())
     data = assemble(labelled, layout)
     emb_dim = sum(d for _, d in layout.embeddings)
     trials = search_space(cfg.num_trials, emb_dim, cfg.random_state)
-    searches = search_folds(data, layout, trials, range(cfg.num_splits), LABELS, pred_cols=PRED_COLS, max_iter=max_iter)
+    searches, key = {}, _fold_key(cfg, feats, layout) if models_dir else ""
+    for k in range(cfg.num_splits if models_dir else 0):
+        if (found := load_fold(spark, f"{models_dir}/fold={k}", key, k, layout)) is not None:
+            searches[k] = found
+    todo = [k for k in range(cfg.num_splits) if k not in searches]
+    step = max(1, folds_at_once or len(todo) or 1)
+    for i in range(0, len(todo), step):
+        new = search_folds(data, layout, trials, todo[i: i + step], LABELS, pred_cols=PRED_COLS, max_iter=max_iter)
+        for k, s in new.items():
+            if models_dir:
+                save_fold(spark, f"{models_dir}/fold={k}", key, s)
+            searches[k] = s
+    searches = dict(sorted(searches.items()))
     models = {k: s.model for k, s in searches.items()}
     trial_rows = [(k, *row) for k, s in searches.items() for row in s.scores]
     trials_df = spark.createDataFrame(trial_rows, "fold int, trial int, k int, c double, macro_f1 double")
@@ -187,10 +241,13 @@ def write_outputs(result: RunResult, test: DataFrame, out_dir: str, name: str) -
 
 def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig, assets: FeatureAssets,
         top_k: int = 25, cache_tag: str | None = None, max_iter: int = 300,
-        bucket_digits: int | None = None, out_dir: str | None = None) -> RunResult:
+        bucket_digits: int | None = None, out_dir: str | None = None, models_dir: str | None = None,
+        folds_at_once: int | None = None, version: str | None = None) -> RunResult:
     """``train`` has ``comment_id, c_text`` and the three labels; ``test``
     has ``comment_id, c_text``. Every test row gets a prediction, every row
-    with labels a fold. ``out_dir`` takes the run's files."""
+    with labels a fold. ``out_dir`` takes the run's files. ``models_dir`` makes the run
+    resumable: stored features of the same inputs (or ``version``) and fold models saved
+    there are taken."""
     folded = fo.assign_folds(train, k=cfg.num_splits, seed=cfg.random_state, bucket_digits=bucket_digits)
     test_rows = test.select(COMMENT_ID, TEXT, *[F.lit(None).cast("int").alias(c) for c in LABELS],
                             F.lit(None).cast("int").alias(FOLD))
@@ -198,8 +255,10 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: RunConfig,
     folded = folded.where(F.col(FOLD).isNotNull())
     rows = folded.select(COMMENT_ID, TEXT, *LABELS, FOLD).unionByName(test_rows)
     feats, layout = feature_table(spark, rows, cfg, assets, cache_tag or cfg.name,
+                                  reuse=models_dir is not None, version=version,
                                   fit_rows=folded.select(TEXT))  # trainable features see the training text
-    cv = cross_validate(spark, feats, layout, cfg, top_k=top_k, max_iter=max_iter)
+    cv = cross_validate(spark, feats, layout, cfg, top_k=top_k, max_iter=max_iter, models_dir=models_dir,
+                        folds_at_once=folds_at_once)
     test_feats = feats.where(F.col(FOLD).isNull())
     result = RunResult(cv, predict_ensemble(test_feats, layout, cv.models), layout, unlabelled)
     if out_dir is not None:

@@ -159,6 +159,21 @@ def q_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir).select(COMMENT_ID, fo.CODE, FOLD)
 
 
+@register("fold_table", f"WITH {_FOLDS_CTE}\nSELECT comment_id, label_code, fold FROM folded")
+def q_fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pre-folded corpus as a table by fold, each fold read back from its own partition."""
+    import uuid
+    from glosa.session import shared_dir
+    folded = _folded(spark, sf_dir)
+    path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
+    fo.write_folded(folded, path)
+    table = fo.read_folded(spark, path, folded)
+    out = fo.valid_rows(table, 0)
+    for k in range(1, 7):
+        out = out.unionAll(fo.valid_rows(table, k))
+    return out.select(COMMENT_ID, fo.CODE, FOLD)
+
+
 @register("class_distribution", f"""WITH {S.LABELLED_CTE}
 SELECT {_CODE_SQL} AS label_code, count(*) AS n_rows FROM labelled GROUP BY 1""")
 def q_class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -721,6 +736,20 @@ def q_feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.select(COMMENT_ID, *[r6(F.col(c)).alias(c) for c in layout.numerical])
 
 
+@register("text_pipeline", f"""WITH {S.COMMENTS_CTE},
+f AS (SELECT comment_id, """ + ", ".join(f"CAST({FEATURE_SQL[_SET_SQL[n]]} AS DOUBLE) AS v{i}" for i, n in enumerate(_SET)) + """ FROM comments)
+""" + " UNION ALL ".join(f"SELECT comment_id, {i} AS idx, round(coalesce(v{i}, 0), 6) AS value FROM f" for i in range(len(_SET))))
+def q_text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through a saved and loaded pipeline that begins with our own transformer."""
+    import uuid
+    from pyspark.ml import PipelineModel
+    from glosa.session import shared_dir
+    path = f"{shared_dir(spark)}/text-pipeline-{uuid.uuid4().hex}"
+    PipelineModel(stages=[reg.TextFeatures(features=_SET)]).write().save(path)
+    out = PipelineModel.load(path).transform(_comments(spark, sf_dir))
+    return out.select(COMMENT_ID, F.posexplode(vector_to_array("num")).alias("idx", "value")).withColumn("value", r6(F.col("value")))
+
+
 @register("feature_store", f"""WITH {S.COMMENTS_CTE}
 SELECT comment_id, """ + ", ".join(f"round(CAST({FEATURE_SQL[_SET_SQL[n]]} AS DOUBLE), 6) AS f_{n}" for n in _SET)
           + " FROM comments")
