@@ -664,6 +664,26 @@ def q_svd_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)).alias("value"))
 
 
+@register("svd_components", """WITH d AS (SELECT len(embedding) AS n FROM embeddings LIMIT 1)
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, true AS holds
+FROM (SELECT unnest(range(0, n)) AS i FROM d), (SELECT unnest(range(0, n)) AS j FROM d)""")
+def q_svd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What only the singular vectors in order give: components are uncorrelated, their energies do not rise,
+    and together they have the energy of the standardised block (the last one's row)."""
+    e = load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    z = la.fit_population_scaler(e, "v", "z").transform(e)
+    dim = len(z.select(vector_to_array("z")).first()[0])
+    p = la.fit_svd(z, "z", "p", dim).transform(z).select(vector_to_array("p").alias("p"))
+    g = la.gram(p, "p", dim)
+    energies = [r.value for r in g.where("i = j").orderBy("i").select("value").collect()]  # as many as dimensions
+    before = F.get(F.array(*[F.lit(float(v)) for v in energies]), F.col("i") - 1)
+    order = (F.col("i") == 0) | (before >= F.col("value") - 1e-9)
+    whole = (F.col("i") < dim - 1) | F.lit(abs(sum(energies) - dim) < 1e-6)
+    return g.select("i", "j", F.when(F.col("i") == F.col("j"), order & whole).otherwise(
+        F.abs("value") < 1e-8).alias("holds"))
+
+
 @register("fold_statistics", """WITH x AS (
   SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings
 ),

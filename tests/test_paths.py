@@ -148,3 +148,14 @@ def test_model_stages_persist(data, layout, tmp_path):
     assert got == want and len({*want.values()}) > 1
     assert not AffineModel.of(["num"], "o", np.ones((1, 3)), np.zeros(1)).transform(rows.limit(0)).count()
     assert LinearTaskModel.of("num", "o", np.ones(3), 0.5).intercept == 0.5 and TEXT not in rows.columns
+
+
+def test_optimality_check_sees_another_penalty(spark, monkeypatch):
+    """The registered check of M3 runs the code that ships: half the penalty, and it fails."""
+    import glosa.operators.tuning as tuning
+    from glosa.plans.queries import QUERIES
+
+    from conftest import SF001
+    monkeypatch.setattr(tuning, "c_to_reg_param", lambda c, n: 0.5 / (c * n))
+    rows = QUERIES["l1_optimality"](spark, SF001).collect()
+    assert sum(not r.satisfied for r in rows) > 20
