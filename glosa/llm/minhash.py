@@ -14,12 +14,15 @@
    is missed with a probability of at most ``miss``.
 4. Buckets are verified on the full sets in three rounds. A round picks pivots
    in each bucket (1, about 16 by a priority fixed per class, so buckets with the
-   same members pick the same, and then all that are left; the class with the
-   fewest shingles of its own is one) and compares them with the bucket's members
-   of other components. A pivot that was compared leaves the bucket; a bucket
-   whose members share one component is done. All pairs that could still link two components get
-   compared, but pairs inside a component never are, nor are pairs without a
-   rare shingle in common whose other shingles are too few.
+   same members pick the same, and then all that could link with any that is left;
+   the class with the fewest shingles of its own is one) and compares them with the
+   bucket's members of other components. A pivot that was compared leaves the
+   bucket; a bucket whose members share one component is done. All pairs that could
+   still link two components get compared, but pairs inside a component never are,
+   nor are pairs without a rare shingle in common whose other shingles are too few.
+   Of two such classes that link at least one has few rare shingles (``_light``), so
+   the last round's pivots are those, and look-alike pages with much of their own
+   never meet. A large bucket's members are dealt over several tasks.
 5. Links are grouped by union-find: within each partition at first, then by
    large-star and small-star rounds over the remaining forest.
 
@@ -36,14 +39,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosa.llm.common import drop_stored, slices, stored
 
 SLICE_BYTES = 2_000_000
 RARE = 8
-PIVOTS = (1, 16, None)  # pivots a bucket in each round; None: all that are left
+PIVOTS = (1, 16, None)  # pivots a bucket in each round; None: all light ones that are left
+SALT_ROWS = 1024  # members of a bucket that one task compares with its pivots
 UNFILLED = np.uint64(2**64 - 1)
 
 
@@ -330,6 +334,17 @@ def _sharing(rare: DataFrame, state: DataFrame, num: int, den: int) -> DataFrame
             .select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
 
 
+def _light(num: int, den: int) -> Column:
+    """Classes with few rare shingles of their own.
+
+    Two classes without a rare shingle in common share m = min(n - own, pn - po)
+    at most, and link only if (den + num) * m >= num * (n + pn). As
+    2 * m <= n - own + pn - po, that needs
+    (den + num) * (own + po) <= (den - num) * (n + pn): not both exceed their part.
+    """
+    return F.lit(den + num) * F.col("own") <= F.lit(den - num) * F.col("n")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) after all needed comparisons within the buckets.
 
@@ -353,7 +368,7 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
                              F.min("component").alias("c0"), F.max("component").alias("c1"))
                         .where("c0 < c1").select("bucket", "size", F.col("least.node").alias("least")))
         open_buckets = stored(open_buckets, "open")
-        chosen = F.lit(True) if pivots is None else (
+        chosen = _light(num, den) if pivots is None else (
             (F.col("node") == F.col("least")) | (place * F.col("size") < F.lit(float(pivots))))
         state = stored(state.join(open_buckets, "bucket").withColumn("pivot", chosen), "state")
         drop_stored(members)
@@ -367,11 +382,15 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, n
             own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
             open_of = state.groupBy("node").agg(F.collect_list("bucket").alias("open"))
             state = stored(state.drop("own").join(open_of.join(own, "node", "left"), "node").na.fill(0, ["own"]), "state")
-        pivot = state.where("pivot").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"),
+        # A bucket's members are dealt over ``parts`` tasks, each with all of its pivots.
+        parts = F.ceil(F.col("size") / F.lit(float(SALT_ROWS))).cast("int")
+        pivot = state.where("pivot").select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+                                            F.col("node").alias("p"), F.col("n").alias("pn"),
                                             F.col("own").alias("po"), F.col("component").alias("pc"),
                                             *[F.col("open").alias("popen") for c in state.columns if c == "open"])
         both = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("po"))
-        pairs = (state.join(pivot, "bucket").where("component <> pc")
+        dealt = state.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        pairs = (dealt.join(pivot, ["bucket", "part"]).where("component <> pc")
                  .where(F.lit(den) * both >= F.lit(num) * (F.col("n") + F.col("pn") - both))
                  .where("not pivot or node < p"))
         if "open" in state.columns:  # a pair is compared in the first bucket it shares

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF01
 from fixtures import DOCS, LOWER, hostile, prose, words
 
+from glosa.llm import minhash
 from glosa.llm.minhash import bands_for, components, near_duplicates, superminhash
 
 
@@ -72,6 +73,31 @@ def test_large_group_of_near_copies(spark):
     assert got(near_duplicates(docs, shingle=3, num=85)) == brute([r[:2] for r in rows], 3, 85)
 
 
+def test_large_buckets_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SALT_ROWS", 16)
+    test_large_group_of_near_copies(spark)
+
+
+def test_look_alike_pages_that_do_not_link(spark):
+    # One template; a part of each page's own just too large for a link (98 of 128 shingles in common).
+    rows = [(i, prose(9, 100) + " " + prose(100 + i, 15), "en", "s", 0) for i in range(5000)]
+    rows += [(9000 + i, prose(9, 100) + " " + prose(77, 3) + " " + prose(20000 + i, 1), "en", "s", 0) for i in range(40)]
+    out = near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, num=85).collect()
+    assert len(out) == 5040
+    assert all(r.kept == (r.doc_id <= 9000) for r in out)
+    assert {r.component_id for r in out if r.doc_id >= 9000} == {9000}
+
+
+def test_blends_of_common_passages(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SALT_ROWS", 64)
+    rng = np.random.default_rng(3)
+    pool = [prose(300 + i, 6) for i in range(40)]
+    # No passage is rare; some blends link, most do not.
+    rows = [(i, " ".join(pool[j] for j in sorted(rng.choice(40, 36, replace=False))), "en", "s", 0) for i in range(250)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert got(near_duplicates(docs, shingle=3, num=85)) == brute([r[:2] for r in rows], 3, 85)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 1500, dtype=np.uint64)
