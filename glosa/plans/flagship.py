@@ -23,6 +23,7 @@ FLAGSHIP_FEATURES = [
     "ExclamationMarkRatio", "NumReferences", "NumMediumAdressed", "NumUserAdressed", "AverageEmojiRepetition",
 ]
 STYLE_DIM = 100
+WORD_DIM = 300
 FLAGSHIP_TRIALS = 100
 
 # The feature lists of the three run configs (7 folds, 100 trials
@@ -40,14 +41,15 @@ RUN_FEATURES = {
 def run_config(name: str, num_trials: int = 100) -> RunConfig:
     return RunConfig(name=name, features=RUN_FEATURES[name], num_splits=7, num_trials=num_trials, random_state=42)
 
-_RUNS: dict[tuple[str, str, int], RunResult] = {}
+
+_RUNS: dict[tuple, RunResult] = {}
 
 
 def stand_in_style(spark: SparkSession, comments: DataFrame, dim: int = STYLE_DIM) -> StyleModel:
     return StyleModel(seeded_style_model(dim), dim, lt.derived_word_vocab(comments), lt.derived_char_vocab(spark), name="seeded")
 
 
-def flagship_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, FeatureAssets]:
+def flagship_inputs(spark: SparkSession, sf_dir: str, word_dim: int = 3) -> tuple[DataFrame, DataFrame, FeatureAssets]:
     docs = load_table(spark, sf_dir, "documents")
     labels = load_table(spark, sf_dir, "labels")
     comments = spread(comments_view(docs))
@@ -55,7 +57,8 @@ def flagship_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     test = comments.join(labels.select(labels.doc_id.alias(COMMENT_ID)), COMMENT_ID, "left_anti")
     vectors = lt.doc_vectors_from_embeddings(load_table(spark, sf_dir, "embeddings"))
     dim = len(vectors.select("vector").first()[0])
-    assets = FeatureAssets(word_vectors=lt.derived_word_vectors(comments), word_vector_dim=3,
+    words = lt.derived_word_vectors(comments) if word_dim == 3 else lt.derived_wide_vectors(comments, word_dim)
+    assets = FeatureAssets(word_vectors=words, word_vector_dim=word_dim,
                            polarity=lt.derived_polarity(comments), style=stand_in_style(spark, comments),
                            scorers={"SentimentBERT": (batch_scorer(seeded_text_classifier(3), 3), 3)},
                            doc_vectors={"DocumentEmbeddingsBERT": (vectors, dim)})
@@ -72,6 +75,15 @@ def flagship_run(spark: SparkSession, sf_dir: str, num_trials: int = FLAGSHIP_TR
     return _RUNS[key]
 
 
+def config_run(spark: SparkSession, sf_dir: str, name: str, num_trials: int = FLAGSHIP_TRIALS) -> RunResult:
+    """One of the run configs as it stands, with word vectors of their full width."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, num_trials)
+    if key not in _RUNS:
+        train, test, assets = flagship_inputs(spark, sf_dir, WORD_DIM)
+        _RUNS[key] = run(spark, train, test, run_config(name, num_trials), assets)
+    return _RUNS[key]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-fold, per-task validation metrics of the cross-validated run."""
     return flagship_run(spark, sf_dir).cv.metrics

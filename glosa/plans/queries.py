@@ -1031,22 +1031,42 @@ def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flagship_run(spark, sf_dir).cv.importance
 
 
-@register("submission_rows", """SELECT CAST(doc_id AS VARCHAR) AS comment_id, 3 AS n_labels, true AS binary
-FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
-def q_submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The submission written from the run's predictions, read back: a row for each unlabelled comment, 0/1 labels."""
+_SUBMISSION_SQL = """SELECT CAST(doc_id AS VARCHAR) AS comment_id, 3 AS n_labels, true AS binary
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+
+def _submission_rows(spark: SparkSession, sf_dir: str, predictions: DataFrame) -> DataFrame:
+    """The submission written from a run's predictions, read back: a row for each unlabelled comment, 0/1 labels."""
     from glosa.session import shared_dir
     from glosa.sources import sinks
     import uuid
-    _, test, _ = fl.flagship_inputs(spark, sf_dir)
+    test = _comments(spark, sf_dir).join(load_table(spark, sf_dir, "labels").select(F.col("doc_id").alias(COMMENT_ID)),
+                                         COMMENT_ID, "left_anti")
     out = f"{shared_dir(spark)}/submission-{uuid.uuid4().hex}"
-    sinks.write_submission(sinks.attach_predictions(test, fl.flagship_run(spark, sf_dir).predictions), out)
+    sinks.write_submission(sinks.attach_predictions(test, predictions), out)
     rows = spark.read.csv(f"{out}/submission", header=True)
     given = [F.col(c).isin("0", "1") for c in LABELS]
     return rows.select(COMMENT_ID, sum((g.cast("int") for g in given[1:]), given[0].cast("int")).alias("n_labels"),
                        (given[0] & given[1] & given[2]).alias("binary"))
 
 
+@register("submission_rows", _SUBMISSION_SQL)
+def q_submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _submission_rows(spark, sf_dir, fl.flagship_run(spark, sf_dir).predictions)
+
+
+@register("submission_baseline_bert", _SUBMISSION_SQL)
+def q_submission_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document-vector baseline at its configured folds and trials."""
+    return _submission_rows(spark, sf_dir, fl.config_run(spark, sf_dir, "baseline-bert").predictions)
+
+
+@register("submission_baseline_fasttext", _SUBMISSION_SQL)
+def q_submission_fasttext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled-vector baseline at its configured folds, trials and width."""
+    return _submission_rows(spark, sf_dir, fl.config_run(spark, sf_dir, "baseline-fasttext").predictions)
+
+
 @register("test_predictions")
 def q_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flagship_run(spark, sf_dir).predictions
