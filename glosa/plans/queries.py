@@ -343,9 +343,64 @@ def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 from glosa.operators import issues as iss  # noqa: E402
 
-_RULE_ROWS = " UNION ALL ".join(
-    f"SELECT comment_id, '{r.category}' AS category, '{r.rule_id}' AS rule_id, "
-    f"len(regexp_extract_all(c_text, '{r.pattern}')) AS n FROM comments" for r in iss.DEFAULT_RULES)
+# Written out, not taken from the operator's rule table.
+_RULE_ROWS = r"""
+    SELECT comment_id, 'MISC' AS category, 'ELLIPSE_ZU_LANG' AS rule_id,
+           len(regexp_extract_all(c_text, '[.][.][.][.]')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'EMPFOHLENE_RECHTSCHREIBUNG' AS category, 'ALTE_SCHREIBWEISE' AS rule_id,
+           len(regexp_extract_all(c_text, '[Pp]hoto|[Tt]elephon|[Dd]elphin')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'TYPOGRAPHY' AS category, 'LEERZEICHEN_VOR_SATZZEICHEN' AS rule_id,
+           len(regexp_extract_all(c_text, ' [,.!?;:]')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'TYPOGRAPHY' AS category, 'MEHRFACHE_LEERZEICHEN' AS rule_id,
+           len(regexp_extract_all(c_text, '  +')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'TYPOGRAPHY' AS category, 'TYPOGRAFISCHE_ANFUEHRUNGSZEICHEN' AS rule_id,
+           len(regexp_extract_all(c_text, '"')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'TYPOGRAPHY' AS category, 'FALSCHE_VERWENDUNG_DES_BINDESTRICHS' AS rule_id,
+           len(regexp_extract_all(c_text, ' - ')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'PUNCTUATION' AS category, 'DOPPELTES_AUSRUFEZEICHEN' AS rule_id,
+           len(regexp_extract_all(c_text, '!!')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'PUNCTUATION' AS category, 'DE_DOUBLE_PUNCTUATION' AS rule_id,
+           len(regexp_extract_all(c_text, '[,;:][.,;:]|[.][,;:]')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'PUNCTUATION' AS category, 'EINHEIT_LEERZEICHEN' AS rule_id,
+           len(regexp_extract_all(c_text, '[0-9](km|kg|cm|mm)')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'PUNCTUATION' AS category, 'FRAGEZEICHEN_HAEUFUNG' AS rule_id,
+           len(regexp_extract_all(c_text, '[?][?]')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'GRAMMAR' AS category, 'ARTIKEL_DOPPELT' AS rule_id,
+           len(regexp_extract_all(c_text, '(der|die|das) (der|die|das) ')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'CASING' AS category, 'KLEIN_NACH_SATZENDE' AS rule_id,
+           len(regexp_extract_all(c_text, '[.!?] [a-zäöü]')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'HILFESTELLUNG_KOMMASETZUNG' AS category, 'KOMMA_VOR_DASS' AS rule_id,
+           len(regexp_extract_all(c_text, '[A-Za-zäöüß] dass ')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'COLLOQUIALISMS' AS category, 'UMGANGSSPRACHE' AS rule_id,
+           len(regexp_extract_all(c_text, ' (nen|nich|halt|mal) ')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'COMPOUNDING' AS category, 'BINDESTRICH_LUECKE' AS rule_id,
+           len(regexp_extract_all(c_text, '[a-zäöüß]- [a-zäöüß]')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'CONFUSED_WORDS' AS category, 'SEIT_SEID' AS rule_id,
+           len(regexp_extract_all(c_text, 'ihr seit |seid langem|seid gestern')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'REDUNDANCY' AS category, 'DOPPELT_GEMOPPELT' AS rule_id,
+           len(regexp_extract_all(c_text, 'bereits schon|schon bereits|runter fallen')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'TYPOS' AS category, 'GEDEHNTE_VOKALE' AS rule_id,
+           len(regexp_extract_all(c_text, 'aaa|eee|iii|ooo|uuu')) AS n FROM comments
+    UNION ALL
+    SELECT comment_id, 'STYLE' AS category, 'GROSSBUCHSTABEN' AS rule_id,
+           len(regexp_extract_all(c_text, '[A-ZÄÖÜ][A-ZÄÖÜ][A-ZÄÖÜ][A-ZÄÖÜ][A-ZÄÖÜ]')) AS n FROM comments"""
 _SLOT_CASE = """CASE
   WHEN category = 'MISC' THEN 0
   WHEN category = 'EMPFOHLENE_RECHTSCHREIBUNG' THEN 1
