@@ -1,7 +1,7 @@
 """Lookup joins of exploded facts (tokens, windows, groups) to keyed tables.
 
 Token streams are the skew case: a handful of function words can make up a
-large share of all token rows. Two plans, picked by a measured size:
+large share of all token rows. Three plans, picked by measured sizes:
 
 * the lookup table is broadcast when its measured size is under a cap
   (no shuffle of the token rows at all);
@@ -12,7 +12,11 @@ large share of all token rows. Two plans, picked by a measured size:
   the broadcast of the hot-key list. Fact rows of a hot key spread over as
   many salts as its count asks for, taken from a hash of their own columns
   (stable under task retries); only the hot lookup rows are replicated, once
-  per salt. Rows without a key bypass the join.
+  per salt. Rows without a key bypass the join;
+* where table rows are wide (word vectors), ``layered``: the table's rows of the
+  most frequent keys, as many as the cap holds, are broadcast, and only the facts of
+  rarer keys meet the table in a shuffle. Of n occurrences a rarer key has about
+  n / (keys broadcast) at most, so the shuffle has no hot key.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glosa.session import cut_lineage
+
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -37,12 +43,17 @@ def _field_bytes(f: T.StructField) -> Column:
     return F.lit(8)
 
 
-def measured_size(df: DataFrame) -> tuple[int, int]:
-    """(rows, approximate bytes) of a lookup table in one aggregate pass."""
+def _row_bytes(df: DataFrame) -> Column:
     width = None
     for f in df.schema.fields:
         b = _field_bytes(f)
         width = b if width is None else width + b
+    return width
+
+
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, approximate bytes) of a lookup table in one aggregate pass."""
+    width = _row_bytes(df)
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b")).first()
     return int(r["n"] or 0), int(r["b"] or 0)
 
@@ -70,6 +81,34 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "inner"
     return salted_join(facts, table, key, how, salt_buckets=salt_buckets, salt_cols=salt_cols)
 
 
+def frequent_keys(keys: DataFrame, key: str, most: int) -> DataFrame:
+    """The most frequent values of ``keys``, ``most`` at most, stored.
+
+    Found without a sort: keys are counted by level, a level being a quarter of a
+    power of two, and all levels taken from the top on that fit together."""
+    freq = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    freq = cut_lineage(freq.select(key, F.floor(4 * F.log2("_n")).cast("int").alias("_level")))
+    taken, least = 0, 4 * 64
+    for level, n in sorted(freq.groupBy("_level").agg(F.count(F.lit(1))).collect(), reverse=True):  # 256 levels at most
+        if taken + n > most:
+            break
+        taken, least = taken + n, level
+    return freq.where(F.col("_level") >= least).select(key)
+
+
+def layered_join(facts: DataFrame, table: DataFrame, key: str, keys: DataFrame, *,
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Left join: rows of frequent keys meet a broadcast part of the table, the others the table.
+
+    ``keys`` has the key of each occurrence (at least one for each row of ``facts``)."""
+    widest = table.agg(F.max(_row_bytes(table))).first()[0] or 1
+    hot = frequent_keys(keys, key, max_broadcast_bytes // int(widest))
+    part = hot.join(table.join(F.broadcast(hot), key), key, "left").withColumn("_hot", F.lit(True))
+    near = facts.join(F.broadcast(part), key, "left").where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    far = facts.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
+    return near.unionByName(far)
+
+
 def hot_keys(facts: DataFrame, key: str) -> DataFrame:
     """Keys holding more rows than an average shuffle partition (fewer keys than
     partitions, hence safe to broadcast), with the number of salts that cuts each

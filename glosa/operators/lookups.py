@@ -1,7 +1,9 @@
 """Token lookups (G2, G5, G7, G8): explode tokens, join a keyed table, fold back.
 
 A text's tokens are counted first, so that a row stands for all its occurrences of a
-token; word vectors and lexicon are merged into one lookup table and joined once.
+token; word vectors and lexicon are merged into one lookup table and joined once. Where
+that is too large to broadcast, its rows of the most frequent tokens are, so that vectors
+are shuffled for the occurrences of rarer tokens only.
 Vectors travel and add up in blocks of ``BLOCK_DIMS`` dimensions: a grouped sum of a
 few columns whatever the width, with map-side combining and bounded state, so that a
 long document never has its token rows collected.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
-from glosa.operators.joins import lookup_join
+from glosa.operators.joins import fits_broadcast, layered_join, lookup_join
 from glosa.operators.windows import token_windows, window_tokens
 from glosa.session import cut_lineage
 from glosa.sources.lookups import UNK
@@ -45,9 +47,13 @@ def join_by_text(df: DataFrame, results: DataFrame, text_col: str, id_col: str)
 
 
 def token_counts(df: DataFrame, text_col: str, id_col: str, lower: bool = True) -> DataFrame:
-    """(id, text key, token, _c): occurrences of each token; a text without tokens has one row with a null token and 0."""
-    t = F.lower(F.col(text_col)) if lower else F.col(text_col)
-    rows = df.select(id_col, *text_key(F.col(text_col)), F.explode_outer(tokens(t)).alias("token"))
+    """(id, text key, token, _c): occurrences of each token; a text without tokens has one row with a null token and 0.
+
+    Equal rows become one before their text moves. Texts move once, by id and key, and all
+    later sums of a text find its rows where they are."""
+    texts = df.select(id_col, *text_key(F.col(text_col)), F.col(text_col).alias("_text")).dropDuplicates([id_col, *TEXT_KEY])
+    t = F.lower(F.col("_text")) if lower else F.col("_text")
+    rows = texts.select(id_col, *TEXT_KEY, F.explode_outer(tokens(t)).alias("token"))
     return rows.groupBy(id_col, *TEXT_KEY, "token").agg(F.count("token").alias("_c"))
 
 
@@ -90,8 +96,13 @@ def token_lookup_results(df: DataFrame, *, word_vectors: DataFrame | None = None
     table = merged_lookup(word_vectors, dim, lexicon)
     if word_vectors is not None and lexicon is not None:
         table = cut_lineage(table)  # measured and joined: merge once
-    rows = lookup_join(token_counts(df, text_col, id_col), table, "token", "left", strategy=strategy,
-                       salt_cols=[id_col, *TEXT_KEY])
+    rows = token_counts(df, text_col, id_col)
+    if strategy == "auto" and word_vectors is not None:
+        strategy = "broadcast" if fits_broadcast(table) else "layered"
+    if strategy == "layered":
+        rows = layered_join(rows, table, "token", df.select(F.explode(tokens(F.lower(F.col(text_col)))).alias("token")))
+    else:
+        rows = lookup_join(rows, table, "token", "left", strategy=strategy, salt_cols=[id_col, *TEXT_KEY])
     keys, sums, outs = [id_col, *TEXT_KEY], [F.sum("_c").alias("_n")], []
     if lexicon is not None:
         hit = F.when(F.col("polarity").isNotNull(), F.col("_c"))

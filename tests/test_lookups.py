@@ -38,6 +38,25 @@ def test_salted_join_equals_broadcast(docs):
     assert all(math.isclose(pa[k]["polarity"], pb[k]["polarity"], abs_tol=1e-12) for k in pa)
 
 
+@pytest.mark.parametrize("keys_held", [0, 1, 5, 1000])
+def test_layered_join_is_a_left_join(spark, keys_held):
+    """Whatever part of the table is broadcast: a hot key, a hot miss, rare keys, null keys, an empty table."""
+    tokens = ["a"] * 200 + ["miss"] * 90 + ["b"] * 40 + ["c"] * 40 + ["d", "e", "rare miss"] + [None] * 60
+    facts = spark.createDataFrame(list(enumerate(tokens)), "id long, token string")
+    table = spark.createDataFrame([(t, float(i)) for i, t in enumerate("abcdef")], "token string, v double")
+    for t in (table, table.limit(0)):
+        want = facts.join(t, "token", "left").select("id", "token", "v")
+        got = jn.layered_join(facts, t, "token", facts, max_broadcast_bytes=17 * keys_held).select("id", "token", "v")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_frequent_keys_stay_within_their_number(spark):
+    tokens = ["a"] * 200 + ["b"] * 90 + ["c"] * 40 + ["d"] * 40 + ["e"]
+    keys = spark.createDataFrame([(t,) for t in [*tokens, None]], "token string")
+    held = {n: sorted(r.token for r in jn.frequent_keys(keys, "token", n).collect()) for n in range(6)}
+    assert held == {0: [], 1: ["a"], 2: ["a", "b"], 3: ["a", "b"], 4: ["a", "b", "c", "d"], 5: ["a", "b", "c", "d", "e"]}
+
+
 def test_hot_key_with_a_third_of_rows_is_salted(spark):
     n = 3000
     facts = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(n)], "id long, token string")

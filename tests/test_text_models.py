@@ -23,7 +23,7 @@ def rows(spark):
     return spark.createDataFrame(ROWS, f"{COMMENT_ID} long, {TEXT} string")
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "salted"])
+@pytest.mark.parametrize("strategy", ["broadcast", "salted", "layered"])
 @pytest.mark.parametrize("dim", [1, 31, 32, 33, 300])
 def test_pooled_vectors_of_repeated_and_null_ids(spark, rows, dim, strategy):
     table = {"aa": 1.0, "bb": 3.0, "cc": -2.0}
@@ -40,6 +40,14 @@ def test_pooled_vectors_of_repeated_and_null_ids(spark, rows, dim, strategy):
     assert got == sorted((str(i), *want(t)) for i, t in ROWS)
 
 
+def test_texts_move_once(spark, rows):
+    """Token counts and block sums find a text's rows where its one shuffle put them."""
+    wv = spark.createDataFrame([("aa", [1.0] * 40)], "token string, vector array<double>")
+    found = lk.token_lookup_results(rows, word_vectors=wv, dim=40, strategy="broadcast")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_no_wide_aggregate(spark, rows):
     """300 dimensions: a few sums of a block, not 300."""
     wv = spark.createDataFrame([("aa", [1.0] * 300)], "token string, vector array<double>")
