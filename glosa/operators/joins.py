@@ -32,21 +32,21 @@ from glosa.session import cut_lineage
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _field_bytes(f: T.StructField) -> Column:
-    t = f.dataType
-    c = F.col(f"`{f.name}`")
+def _value_bytes(t: T.DataType, c: Column) -> Column:
     if isinstance(t, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 8
     if isinstance(t, T.ArrayType):
-        inner = 8 if not isinstance(t.elementType, (T.StringType, T.ArrayType)) else 24
-        return F.coalesce(F.size(c), F.lit(0)) * inner + 16
-    return F.lit(8)
+        if not isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 16
+        total = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _value_bytes(t.elementType, x))
+        return F.coalesce(total, F.lit(0).cast("long")) + 16
+    return F.lit(8).cast("long")
 
 
 def _row_bytes(df: DataFrame) -> Column:
     width = None
     for f in df.schema.fields:
-        b = _field_bytes(f)
+        b = _value_bytes(f.dataType, F.col(f"`{f.name}`"))
         width = b if width is None else width + b
     return width
 

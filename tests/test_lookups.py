@@ -50,6 +50,13 @@ def test_layered_join_is_a_left_join(spark, keys_held):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_measured_size_counts_nested_vectors(spark):
+    blocks = spark.createDataFrame([("ab", [[1.0] * 32] * 10), ("c", None)], "token string, v array<array<double>>")
+    words = spark.createDataFrame([(["abc", None, "de"],)], "w array<string>")
+    assert jn.measured_size(blocks) == (2, 10 + 16 + 10 * (16 + 32 * 8) + 9 + 16)
+    assert jn.measured_size(words) == (1, 16 + 11 + 8 + 10)
+
+
 def test_frequent_keys_stay_within_their_number(spark):
     tokens = ["a"] * 200 + ["b"] * 90 + ["c"] * 40 + ["d"] * 40 + ["e"]
     keys = spark.createDataFrame([(t,) for t in [*tokens, None]], "token string")
