@@ -15,13 +15,16 @@ hits (or without tokens) still come out, with zeros.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 from glosa.operators.joins import fits_broadcast, layered_join, lookup_join
-from glosa.operators.windows import token_windows, window_tokens
+from glosa.operators.windows import check_window
 from glosa.session import cut_lineage
 from glosa.sources.lookups import UNK
 
@@ -97,7 +100,7 @@ def token_lookup_results(df: DataFrame, *, word_vectors: DataFrame | None = None
     if word_vectors is not None and lexicon is not None:
         table = cut_lineage(table)  # measured and joined: merge once
     rows = token_counts(df, text_col, id_col)
-    if strategy == "auto" and word_vectors is not None:
+    if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(table) else "layered"
     if strategy == "layered":
         rows = layered_join(rows, table, "token", df.select(F.explode(tokens(F.lower(F.col(text_col)))).alias("token")))
@@ -153,8 +156,16 @@ def _unk_id(vocab: DataFrame) -> int:
 
 def window_token_rows(df: DataFrame, window: int, hop: int, max_windows: int | None,
                       text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    w = token_windows(df, window, hop, max_windows, text_col, id_col)
-    return w.select(id_col, "window_idx", F.posexplode("window_tokens").alias("pos", "token"))
+    """``(id, window_idx, pos, token)``: a text's tokens are taken out once, each goes to the windows that hold it."""
+    check_window(window, hop)
+    rows = df.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("_at", "token"))
+    first = F.greatest(F.floor((F.col("_at") - (window - 1) + (hop - 1)) / F.lit(hop)), F.lit(0)).cast("int")
+    last = F.floor(F.col("_at") / F.lit(hop)).cast("int")
+    if max_windows is not None:
+        last = F.least(last, F.lit(max_windows - 1))
+    held = F.when(first <= last, F.sequence(first, last, F.lit(1)))  # a hop wider than the window leaves tokens out
+    rows = rows.select(id_col, "_at", "token", F.explode(held).alias("window_idx"))
+    return rows.select(id_col, "window_idx", (F.col("_at") - F.col("window_idx") * hop).alias("pos"), "token")
 
 
 def vocab_encode(df: DataFrame, vocab: DataFrame, window: int, hop: int, max_windows: int | None = None,
@@ -163,50 +174,77 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, window: int, hop: int, max_win
     Lookup is exact (case-sensitive), as for the style model."""
     unk = _unk_id(vocab)
     rows = window_token_rows(df, window, hop, max_windows, text_col, id_col)
-    hit = lookup_join(rows, vocab.select("token", F.col("id").alias("word_id")), "token", "left",
-                      strategy=strategy, salt_cols=[id_col, "window_idx", "pos"])
+    ids = vocab.select("token", F.col("id").alias("word_id"))
+    if strategy == "auto":
+        strategy = "broadcast" if fits_broadcast(ids) else "layered"
+    if strategy == "layered":
+        hit = layered_join(rows, ids, "token", df.select(F.explode(tokens(F.col(text_col))).alias("token")))
+    else:
+        hit = lookup_join(rows, ids, "token", "left", strategy=strategy, salt_cols=[id_col, "window_idx", "pos"])
     return hit.select(id_col, "window_idx", "pos", "token",
                       F.coalesce(F.col("word_id"), F.lit(unk)).cast("int").alias("word_id"))
 
 
 def window_lengths(df: DataFrame, window: int, hop: int, max_windows: int | None = None,
                    text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    """Tokens per window (N_w) with the number of windows of its text (N_s)."""
-    toks = df.select(id_col, tokens(F.col(text_col)).alias("_tok"))
-    sizes = F.transform(window_tokens(F.col("_tok"), window, hop, max_windows), lambda w: F.size(w))
-    sized = toks.select(id_col, sizes.alias("_w"))
-    return sized.select(id_col, F.size("_w").cast("int").alias("n_windows"),
-                        F.posexplode("_w").alias("window_idx", "n_words"))
-
-
-def token_char_ids(tokens_df: DataFrame, char_vocab: DataFrame, max_chars: int | None,
-                   strategy: str = "auto") -> DataFrame:
-    """``(token, char_ids)`` of distinct tokens: characters are exploded with their
-    place, looked up and put back in order; a group is one token."""
-    unk = _unk_id(char_vocab)
-    text = F.col("word") if max_chars is None else F.substring("word", 1, max_chars)
-    chars = tokens_df.select(F.col("token").alias("word")).distinct()
-    chars = chars.select("word", F.posexplode_outer(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
-                         .alias("_ci", "token"))
-    hit = lookup_join(chars, char_vocab.where(F.col("token") != UNK).select("token", F.col("id").alias("_cid")),
-                      "token", "left", strategy=strategy, salt_cols=["word", "_ci"])
-    one = F.when(F.col("_ci").isNotNull(),
-                 F.struct("_ci", F.coalesce(F.col("_cid"), F.lit(unk)).cast("int").alias("_cid")))
-    ids = hit.groupBy("word").agg(F.sort_array(F.collect_list(one)).alias("_c"))
-    return ids.select(F.col("word").alias("token"), F.transform("_c", lambda x: x["_cid"]).alias("char_ids"))
+    """Tokens per window (N_w) with the number of windows of its text (N_s). Both follow
+    from the number of tokens."""
+    check_window(window, hop)
+    sized = df.select(id_col, F.size(tokens(F.col(text_col))).alias("_n"))
+    n = F.ceil(F.col("_n") / F.lit(hop)).cast("int")
+    if max_windows is not None:
+        n = F.when(n > max_windows, F.lit(max_windows)).otherwise(n)  # null for a null text
+    rows = sized.select(id_col, "_n", n.alias("n_windows"))
+    held = F.when(F.col("n_windows") > 0, F.sequence(F.lit(0), F.col("n_windows") - 1))
+    rows = rows.select(id_col, "_n", "n_windows", F.explode(held).alias("window_idx"))
+    return rows.select(id_col, "n_windows", "window_idx",
+                       F.least(F.lit(window), F.col("_n") - F.col("window_idx") * hop).cast("int").alias("n_words"))
+
+
+class Alphabet:
+    """Code points to ids: a character table of one row a character (Unicode bounds them)."""
+
+    def __init__(self, char_vocab: DataFrame):
+        self.unk = _unk_id(char_vocab)
+        one = char_vocab.where((F.char_length("token") == 1) & F.col("id").isNotNull()).groupBy("token").agg(F.min("id").alias("id"))
+        self.ids = {ord(r["token"]): int(r["id"]) for r in one.collect()}
+
+    def table(self) -> np.ndarray:
+        """Ids by code point; beyond its end is no known character."""
+        out = np.full(max(self.ids, default=0) + 2, self.unk, np.int32)
+        for c, i in self.ids.items():
+            out[c] = i
+        return out
+
+
+def char_ids(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all characters of the words, one after the other, and the words' lengths."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    return table[np.minimum(points, len(table) - 1)], np.fromiter(map(len, words), np.int64, len(words))
+
+
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
 
 def char_encode(df: DataFrame, char_vocab: DataFrame, window: int, hop: int, max_windows: int | None = None,
-                max_chars: int | None = None, text_col: str = TEXT, id_col: str = COMMENT_ID,
-                strategy: str = "auto") -> DataFrame:
+                max_chars: int | None = None, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
     """``(id, window_idx, pos, char_ids array<int>)``.
 
-    Each distinct token of the texts (before they are cut into overlapping windows) is
-    encoded once, stored, and joined back to the window tokens, so repeated ids and
-    ``max_chars = 0`` need no care, whatever the alphabet's size.
+    The character table goes to the tasks whole (Unicode bounds it), so tokens are encoded
+    where they are, in Arrow batches, and none is shuffled.
     ``max_windows`` and ``max_chars`` are the model's input shape, off by default."""
+    alphabet = Alphabet(char_vocab)
     rows = window_token_rows(df, window, hop, max_windows, text_col, id_col)
-    words = df.select(F.explode(tokens(F.col(text_col))).alias("token"))
-    ids = cut_lineage(token_char_ids(words, char_vocab, max_chars, strategy))
-    hit = lookup_join(rows, ids, "token", "left", strategy=strategy, salt_cols=[id_col, "window_idx", "pos"])
-    return hit.select(id_col, "window_idx", "pos", "char_ids")
+
+    def encode(batches):
+        table = alphabet.table()
+        for batch in batches:
+            words = [w.decode("utf-8", "replace")[:max_chars] for w in batch.column("token").cast(pa.binary()).to_pylist()]
+            ids, sizes = char_ids(words, table)
+            lists = pa.ListArray.from_arrays(pa.array(offsets(sizes)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "window_idx", "pos")), lists],
+                                             names=[id_col, "window_idx", "pos", "char_ids"])
+    kept = rows.select(id_col, "window_idx", "pos", "token")
+    schema = T.StructType([*kept.schema.fields[:3], T.StructField("char_ids", T.ArrayType(T.IntegerType()))])
+    return kept.mapInArrow(encode, schema)

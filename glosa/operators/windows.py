@@ -15,9 +15,14 @@ from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 
 
-def window_starts(toks: Column, hop: int, max_windows: int | None = None) -> Column:
+def check_window(window: int, hop: int) -> None:
     if hop < 1:
         raise ValueError("hop must be at least 1")  # 0 would never end, < 0 is meaningless
+    if window < 1:
+        raise ValueError("window must be at least 1")
+
+
+def window_starts(toks: Column, hop: int, max_windows: int | None = None) -> Column:
     n = F.size(toks)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(hop))).otherwise(F.array().cast("array<int>"))
     if max_windows is not None:
@@ -27,9 +32,11 @@ def window_starts(toks: Column, hop: int, max_windows: int | None = None) -> Col
 
 def window_tokens(toks: Column, window: int, hop: int, max_windows: int | None = None) -> Column:
     """``array<array<string>>`` of windows."""
-    if window < 1:
-        raise ValueError("window must be at least 1")
-    return F.transform(window_starts(toks, hop, max_windows), lambda i: F.slice(toks, i + 1, window))
+    check_window(window, hop)
+    last = F.size(toks) - 1
+    # Tokens are taken one by one: ``slice`` reads the whole array for each window.
+    return F.transform(window_starts(toks, hop, max_windows),
+                       lambda i: F.transform(F.sequence(i, F.least(i + (window - 1), last)), lambda j: F.get(toks, j)))
 
 
 def token_windows(df: DataFrame, window: int, hop: int, max_windows: int | None = None,

@@ -571,7 +571,7 @@ FROM wtok""")
 def q_char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = lk.char_encode(_comments(spark, sf_dir), lt.derived_char_vocab(spark), WINDOW_TOKENS, HOP)
     return enc.select(COMMENT_ID, "window_idx", "pos",
-                      F.array_join(F.transform("char_ids", lambda x: x.cast("string")), ",").alias("char_ids"))
+                      F.concat_ws(",", F.col("char_ids").cast("array<string>")).alias("char_ids"))
 
 
 @register("join_tokens", f"""WITH {S.COMMENTS_CTE}
