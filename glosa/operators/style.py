@@ -2,10 +2,10 @@
 
 A style model reads windows of a text as numbers: words ``[T_w]``, characters
 ``[T_w, T_c]``, the window's and each word's length. Windows are ragged, the model's
-tensors are not: they are dealt into buckets by their number of words and longest
-word, each bucket padded to its own bounds only, and each goes through
-``predict_batch_udf`` with four tensors a row. Padding is therefore at most fourfold on
-each side beyond the smallest bucket, a bound that holds whatever the texts.
+tensors are not: the windows of an Arrow batch are dealt into buckets by their number of
+words and longest word, each bucket is padded to its own bounds only, and goes through
+the model with four tensors a row. Padding is therefore at most fourfold on each side
+beyond the smallest bucket, a bound that holds whatever the texts.
 
 Every window is scored: it comes back as a score and a vector, and the document vector
 is their softmax pooling over the windows. A text without tokens has zeros. Words beyond
@@ -18,21 +18,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 from glosa.operators.attention import softmax_pool
-from glosa.operators.joins import lookup_join
-from glosa.operators.lookups import TEXT_KEY, text_key, token_char_ids, _unk_id
-from glosa.operators.windows import token_windows
-from glosa.session import cut_lineage
+from glosa.operators.joins import frequent_keys
+from glosa.operators.lookups import TEXT_KEY, Alphabet, _unk_id, char_ids, offsets, text_key
 
 BATCH = 256
 STEP = 4  # from one bucket's bound to the next
 LEAST_CHARS = 8
+CELLS = 4_000_000  # of a call's character tensor
+SLICE_CHARS = 1_000_000  # of the texts whose windows leave a task together
+FREQUENT_WORDS = 200_000  # sent to all tasks: some 40 MB as a dictionary
 
 
 @dataclass
@@ -51,66 +54,152 @@ class StyleModel:
         return f"{self.name}:{self.dim}:{self.window}:{self.hop}"
 
 
-def _padded(values: Column, size: int, fill: Column) -> Column:
-    return F.slice(F.concat(values, F.array_repeat(fill, size)), 1, size)
+def _texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(key, text) of each distinct (id, text)."""
+    texts = df.select(F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key"), F.col(text_col).alias("_text"))
+    return texts.dropDuplicates(["key"])
 
 
-def word_table(df: DataFrame, model: StyleModel, text_col: str = TEXT) -> DataFrame:
-    """``(token, word_id, char_ids)`` of the distinct tokens of the texts, stored once."""
-    words = df.select(F.explode(tokens(F.col(text_col))).alias("token")).distinct()
-    chars = token_char_ids(words, model.char_vocab, None)
-    ids = model.word_vocab.select("token", F.col("id").alias("word_id"))
-    found = chars.join(ids, "token", "left")
-    return cut_lineage(found.select("token", F.coalesce("word_id", F.lit(_unk_id(model.word_vocab))).cast("int").alias("word_id"),
-                                    "char_ids"))
-
-
-def encoded_windows(df: DataFrame, words: DataFrame, model: StyleModel, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    """One row a window: id, text key, window_idx and ``items``, its words in order with ids, as many as it has.
-
-    A window holds ``model.window`` words at most, so putting it back together is bounded."""
-    texts = df.select(F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key"), text_col)
-    rows = token_windows(texts, model.window, model.hop, None, text_col, "key")
-    rows = rows.select("key", "window_idx", F.posexplode("window_tokens").alias("pos", "token"))
-    rows = rows.dropDuplicates(["key", "window_idx", "pos"])  # repeated rows are equal
-    hit = lookup_join(rows, words, "token", "left", salt_cols=["key", "window_idx", "pos"])
-    return hit.groupBy("key", "window_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "word_id", "char_ids"))).alias("items"))
-
-
-def _bound(size: Column, least: int) -> Column:
-    """The smallest of least, least * STEP, … that is not smaller."""
-    return (F.lit(least) * F.pow(F.lit(STEP), F.ceil(F.greatest(F.log(float(STEP), size / F.lit(float(least))) - 1e-9, F.lit(0.0))))).cast("int")
+@dataclass
+class WordTable:
+    """Ids of words: the most frequent words' go to every task, others are looked up for the texts that have them."""
+    frequent: dict[str, int]  # FREQUENT_WORDS at most, the unknown among them with the id of <UNK>
+    tokens: DataFrame  # (token): the same words
+    vocab: DataFrame  # (token, word_id): all
+    unk: int
+    alphabet: Alphabet
+
+
+def word_table(df: DataFrame, model: StyleModel, text_col: str = TEXT) -> WordTable:
+    """The ids of the words of the texts."""
+    unk = _unk_id(model.word_vocab)
+    ids = model.word_vocab.where(F.col("token").isNotNull() & F.col("id").isNotNull())
+    ids = ids.select("token", F.col("id").cast("int").alias("word_id"))
+    hot = frequent_keys(df.select(F.explode(tokens(F.col(text_col))).alias("token")), "token", FREQUENT_WORDS)
+    found = hot.join(ids.join(F.broadcast(hot), "token", "left_semi").groupBy("token").agg(F.min("word_id").alias("word_id")), "token", "left")
+    held = found.toArrow()  # FREQUENT_WORDS rows at most
+    frequent = {t: unk if i is None else i for t, i in zip(held.column("token").to_pylist(), held.column("word_id").to_pylist())}
+    return WordTable(frequent, hot, ids, unk, Alphabet(model.char_vocab))
+
+
+def encoded_windows(df: DataFrame, words: WordTable, model: StyleModel, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
+    """One row a window: key (id, text key), window_idx, its words' ids, the ids of all their characters and the words' lengths.
+
+    A text moves once. Of its words only the rarer ones do, once a text, and come back to
+    it as a map; windows are cut and encoded where the text lies, in Arrow batches."""
+    texts = _texts(df, text_col, id_col)
+    rare = texts.select("key", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("token"))
+    rare = rare.join(F.broadcast(words.tokens), "token", "left_anti").join(words.vocab, "token")
+    rare = rare.groupBy("key", "token").agg(F.min("word_id").alias("word_id"))
+    rare = rare.groupBy("key").agg(F.collect_list("token").alias("rare"), F.collect_list("word_id").alias("rare_ids"))
+    rows = texts.join(rare, "key", "left").select("key", "_text", "rare", "rare_ids")
+    held = df.sparkSession.sparkContext.broadcast(words.frequent)
+    unk, alphabet, window, hop = words.unk, words.alphabet, model.window, model.hop
+
+    def lists(values: list[np.ndarray], sizes: list[np.ndarray]):
+        return pa.ListArray.from_arrays(pa.array(offsets(np.concatenate(sizes))), pa.array(np.concatenate(values).astype(np.int32)))
+
+    def window_parts(text: str, own: dict[str, int], frequent: dict[str, int], table: np.ndarray):
+        """Windows' numbers, and of each its word ids, their number, characters, their number and word lengths."""
+        toks = text.split()
+        word_ids = np.array([i if (i := frequent.get(t)) is not None else own.get(t, unk) for t in toks], np.int32)
+        chars, sizes = char_ids(toks, table)
+        starts = np.arange(0, len(toks), hop)
+        n = np.minimum(window, len(toks) - starts)
+        of_words, ends = _ranges(starts, n), offsets(sizes)
+        n_chars = ends[starts + n] - ends[starts]
+        return np.arange(len(starts), dtype=np.int32), word_ids[of_words], n, chars[_ranges(ends[starts], n_chars)], n_chars, sizes[of_words]
+
+    def whole(keys: pa.Array, places: list[int], parts: list[tuple]) -> pa.RecordBatch:
+        number, word_ids, n, chars, n_chars, sizes = ([*x] for x in zip(*parts))
+        of = np.repeat(places, [len(x) for x in number])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(np.concatenate(number)), lists(word_ids, n), lists(chars, n_chars),
+                                           lists(sizes, n)], names=["key", "window_idx", "word_ids", "char_ids", "lengths"])
+
+    def encode(batches):
+        frequent, table = held.value, alphabet.table()
+        for batch in batches:
+            keys, texts, places, parts, size = batch.column("key"), batch.column("_text").cast(pa.binary()), [], [], 0
+            for at in range(batch.num_rows):
+                text = (texts[at].as_py() or b"").decode("utf-8", "replace")
+                if not text or text.isspace():
+                    continue
+                own = dict(zip(batch.column("rare")[at].as_py() or [], batch.column("rare_ids")[at].as_py() or []))
+                places.append(at)
+                parts.append(window_parts(text, own, frequent, table))
+                size += len(text)
+                if size >= SLICE_CHARS:
+                    yield whole(keys, places, parts)
+                    places, parts, size = [], [], 0
+            if places:
+                yield whole(keys, places, parts)
+    schema = T.StructType([rows.schema["key"], T.StructField("window_idx", T.IntegerType()),
+                           *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("word_ids", "char_ids", "lengths")]])
+    return rows.mapInArrow(encode, schema)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, …, start + size - 1 of each, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(before, sizes) + np.repeat(starts, sizes)
+
+
+def _bounds(sizes: np.ndarray, least: int) -> np.ndarray:
+    """For each the smallest of least, least * STEP, … that is not smaller."""
+    out = np.full(len(sizes), least, np.int64)
+    while (short := out < sizes).any():
+        out[short] *= STEP
+    return out
 
 
 def window_outputs(windows: DataFrame, model: StyleModel) -> DataFrame:
-    """``(key, window_idx, score, vector)`` of all windows, bucket by bucket."""
-    from pyspark.ml.functions import predict_batch_udf
-    longest = F.array_max(F.transform("items", lambda x: F.size(x["char_ids"])))
-    small = -(-model.window // STEP)
-    rows = windows.select("*", F.size("items").alias("n_words"), _bound(longest, LEAST_CHARS).alias("t_c")).withColumn(
-        "t_w", F.when(F.col("n_words") <= small, small).otherwise(model.window))
-    rows = cut_lineage(rows)
-    out = None
-    # Two numbers of words, and a word limit for each power of STEP up to the longest word.
-    for t_w, t_c in sorted(tuple(r) for r in rows.select("t_w", "t_c").distinct().collect()):
-        score = predict_batch_udf(model.make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=BATCH,
-                                  input_tensor_shapes={0: [t_w], 1: [t_w * t_c], 2: [t_w]})
-        zero = F.lit(0)
-        chars = F.flatten(F.transform("items", lambda x: _padded(x["char_ids"], t_c, zero)))
-        inputs = [_padded(F.transform("items", lambda x: x["word_id"]), t_w, zero), _padded(chars, t_w * t_c, zero),
-                  _padded(F.transform("items", lambda x: F.size(x["char_ids"])), t_w, zero), F.col("n_words")]
-        scored = rows.where((F.col("t_w") == t_w) & (F.col("t_c") == t_c)).select("key", "window_idx", score(*inputs).alias("o"))
-        out = scored if out is None else out.unionAll(scored)
-    if out is None:
-        return rows.select("key", "window_idx", F.lit(0.0).alias("score"), F.array().cast("array<double>").alias("vector"))
-    return out.select("key", "window_idx", F.col("o")[0].alias("score"), F.slice("o", 2, model.dim).alias("vector"))
+    """``(key, window_idx, score, vector)`` of all windows: each Arrow batch is dealt into buckets, padded and scored."""
+    make, dim, window = model.make_predict_fn, model.dim, model.window
+    small = -(-window // STEP)
+
+    def score(batches):
+        predict = make()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, chars, lengths = (batch.column(c) for c in ("word_ids", "char_ids", "lengths"))
+            values = [c.flatten().to_numpy(zero_copy_only=False) for c in (words, chars, lengths)]
+            n = np.diff(words.offsets.to_numpy())
+            first, first_char = offsets(n)[:-1], offsets(np.diff(chars.offsets.to_numpy()))[:-1]
+            longest = np.maximum.reduceat(values[2], first)
+            t_w, t_c = np.where(n <= small, small, window), _bounds(longest, LEAST_CHARS)
+            out = np.empty((batch.num_rows, 1 + dim))
+            for w, c in sorted({*zip(t_w.tolist(), t_c.tolist())}):
+                bucket, step = np.flatnonzero((t_w == w) & (t_c == c)), max(1, min(BATCH, CELLS // (w * c)))
+                for a in range(0, len(bucket), step):
+                    at = bucket[a: a + step]
+                    out[at] = predict(*_padded(values, first[at], first_char[at], n[at], w, c))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("window_idx"), pa.array(out[:, 0]),
+                                              pa.FixedSizeListArray.from_arrays(pa.array(out[:, 1:].ravel()), dim).cast(pa.list_(pa.float64()))],
+                                             names=["key", "window_idx", "score", "vector"])
+    schema = T.StructType([*(windows.schema[c] for c in ("key", "window_idx")), T.StructField("score", T.DoubleType()),
+                           T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return windows.mapInArrow(score, schema)
+
+
+def _padded(values: list[np.ndarray], first: np.ndarray, first_char: np.ndarray, n: np.ndarray, t_w: int, t_c: int) -> list[np.ndarray]:
+    """The four tensors of some windows: words, characters, word lengths, window lengths."""
+    words, chars, lengths = values
+    rows, places, own = np.repeat(np.arange(len(n)), n), _ranges(np.zeros_like(n), n), _ranges(first, n)
+    ids, sizes = np.zeros((len(n), t_w), np.int64), np.zeros((len(n), t_w), np.int64)
+    ids[rows, places], sizes[rows, places] = words[own], lengths[own]
+    size = lengths[own].astype(np.int64)
+    n_chars = sizes.sum(axis=1)
+    letters = np.zeros((len(n), t_w * t_c), np.int32)
+    letters[np.repeat(rows, size), _ranges(places * t_c, size)] = chars[_ranges(first_char, n_chars)]
+    return [ids, letters, sizes, n.astype(np.int64)]
 
 
 def style_vectors(df: DataFrame, model: StyleModel, out: str = "style", text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
     """The document vector of each distinct (id, text): id, text key and ``out``."""
     words = word_table(df, model, text_col)
     scored = window_outputs(encoded_windows(df, words, model, text_col, id_col), model)
-    pooled = softmax_pool(scored, "key", "score", "vector", out=out, salt_cols=["window_idx"])
+    pooled = softmax_pool(scored, "key", "score", "vector", out=out, dim=model.dim)
     keys = df.select(F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key")).distinct()
     both = keys.join(pooled, "key", "left")
     return both.select(F.col("key.id").alias(id_col), *[f"key.{c}" for c in TEXT_KEY],
@@ -118,14 +207,12 @@ def style_vectors(df: DataFrame, model: StyleModel, out: str = "style", text_col
 
 
 def _style_numbers(weights, words, chars, lengths, n_words):
-    import numpy as np
     x = np.stack([words.sum(axis=1), chars.sum(axis=1), lengths.sum(axis=1), n_words], axis=1).astype(float) / 10_000.0
     return x @ weights
 
 
 def style_weights(dim: int, seed: int = 5):
     """Seeded weights of the stand-in model on its four sums: the score's first."""
-    import numpy as np
     return np.random.default_rng(seed).standard_normal((4, 1 + dim))
 
 
