@@ -49,7 +49,9 @@ def stand_in_style(spark: SparkSession, comments: DataFrame, dim: int = STYLE_DI
     return StyleModel(seeded_style_model(dim), dim, lt.derived_word_vocab(comments), lt.derived_char_vocab(spark), name="seeded")
 
 
-def flagship_inputs(spark: SparkSession, sf_dir: str, word_dim: int = 3) -> tuple[DataFrame, DataFrame, FeatureAssets]:
+def flagship_inputs(spark: SparkSession, sf_dir: str, word_dim: int = 3,
+                    features: list[str] = FLAGSHIP_FEATURES) -> tuple[DataFrame, DataFrame, FeatureAssets]:
+    """Train and test comments, and the tables that ``features`` read; others are not derived."""
     docs = load_table(spark, sf_dir, "documents")
     labels = load_table(spark, sf_dir, "labels")
     comments = spread(comments_view(docs))
@@ -57,11 +59,14 @@ def flagship_inputs(spark: SparkSession, sf_dir: str, word_dim: int = 3) -> tupl
     test = comments.join(labels.select(labels.doc_id.alias(COMMENT_ID)), COMMENT_ID, "left_anti")
     vectors = lt.doc_vectors_from_embeddings(load_table(spark, sf_dir, "embeddings"))
     dim = len(vectors.select("vector").first()[0])
-    words = lt.derived_word_vectors(comments) if word_dim == 3 else lt.derived_wide_vectors(comments, word_dim)
-    assets = FeatureAssets(word_vectors=words, word_vector_dim=word_dim,
-                           polarity=lt.derived_polarity(comments), style=stand_in_style(spark, comments),
-                           scorers={"SentimentBERT": (batch_scorer(seeded_text_classifier(3), 3), 3)},
+    assets = FeatureAssets(word_vector_dim=word_dim, scorers={"SentimentBERT": (batch_scorer(seeded_text_classifier(3), 3), 3)},
                            doc_vectors={"DocumentEmbeddingsBERT": (vectors, dim)})
+    if "DocumentEmbeddingsFastTextPool" in features:
+        assets.word_vectors = lt.derived_word_vectors(comments) if word_dim == 3 else lt.derived_wide_vectors(comments, word_dim)
+    if "SentimentTextBlob" in features:
+        assets.polarity = lt.derived_polarity(comments)
+    if "WritingStyleEmbeddings" in features:
+        assets.style = stand_in_style(spark, comments)
     return train, test, assets
 
 
@@ -79,7 +84,7 @@ def config_run(spark: SparkSession, sf_dir: str, name: str, num_trials: int = FL
     """One of the run configs as it stands, with word vectors of their full width."""
     key = (spark.sparkContext.applicationId, sf_dir, name, num_trials)
     if key not in _RUNS:
-        train, test, assets = flagship_inputs(spark, sf_dir, WORD_DIM)
+        train, test, assets = flagship_inputs(spark, sf_dir, WORD_DIM, RUN_FEATURES[name])
         _RUNS[key] = run(spark, train, test, run_config(name, num_trials), assets)
     return _RUNS[key]
 
