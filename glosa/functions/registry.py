@@ -55,6 +55,8 @@ class FeatureSpec:
     columns: Callable[[Column, FeatureAssets], list[Column]] | None = None
     attach: Callable[[DataFrame, FeatureAssets, str], tuple[DataFrame, list[str]]] | None = None
     names: Callable[[FeatureAssets], list[str]] | None = None
+    # Table-backed by the text alone: (id and text rows, assets, id column) → (results by id and text key, new column names).
+    by_text: Callable[[DataFrame, FeatureAssets, str], tuple[DataFrame, list[str]]] | None = None
     trainable: bool = False
     # (assets, input column, output column) → a Spark ML Estimator fitted on
     # the training text; its output column is a double, an ML vector or an array.
@@ -77,21 +79,18 @@ def _issues(t: Column, a: FeatureAssets) -> list[Column]:
 
 
 def _polarity(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
-    from glosa.operators.lookups import join_by_text, token_lookup_results
+    from glosa.operators.lookups import token_lookup_results
     if a.polarity is None:
         raise ValueError("SentimentTextBlob needs a polarity table (token, polarity)")
-    pol = token_lookup_results(df.select(id_col, TEXT), lexicon=a.polarity, id_col=id_col, polarity_out="f_SentimentTextBlob")
-    return join_by_text(df, pol, TEXT, id_col), ["f_SentimentTextBlob"]
+    return token_lookup_results(df, lexicon=a.polarity, id_col=id_col, polarity_out="f_SentimentTextBlob"), ["f_SentimentTextBlob"]
 
 
 def _pooled(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
-    from glosa.operators.lookups import join_by_text, token_lookup_results
+    from glosa.operators.lookups import token_lookup_results
     if a.word_vectors is None:
         raise ValueError("DocumentEmbeddingsFastTextPool needs a word-vector table (token, vector)")
     out = "e_DocumentEmbeddingsFastTextPool"
-    pooled = token_lookup_results(df.select(id_col, TEXT), word_vectors=a.word_vectors, dim=a.word_vector_dim, id_col=id_col,
-                                  pooled_out=out)
-    return join_by_text(df, pooled, TEXT, id_col), [out]
+    return token_lookup_results(df, word_vectors=a.word_vectors, dim=a.word_vector_dim, id_col=id_col, pooled_out=out), [out]
 
 
 def _doc_vector(name: str):
@@ -123,25 +122,20 @@ def _doc_dim(name: str, default: int):
 
 def _sentiment_bert(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
     """Class scores of the whole cleaned text: those of its model-sized chunks, weighted by their tokens."""
-    from glosa.operators.lookups import join_by_text
     from glosa.operators.scoring import chunk_scores
     if "SentimentBERT" not in a.scorers:
         raise ValueError("SentimentBERT needs a scorer (cleaned-text model)")
     fn, dim = a.scorers["SentimentBERT"]
     cols = [f"f_SentimentBERT_{i}" for i in range(dim)]
-    scores = chunk_scores(df.select(id_col, TEXT), fn, dim, id_col=id_col)
-    scores = scores.select(*[c for c in scores.columns if c != "scores"], *[F.col("scores")[i].alias(c) for i, c in enumerate(cols)])
-    return join_by_text(df, scores, TEXT, id_col), cols
+    scores = chunk_scores(df, fn, dim, id_col=id_col)
+    return scores.select(*[c for c in scores.columns if c != "scores"], *[F.col("scores")[i].alias(c) for i, c in enumerate(cols)]), cols
 
 
 def _writing_style(df: DataFrame, a: FeatureAssets, id_col: str) -> tuple[DataFrame, list[str]]:
-    """Document vectors of a style model over all windows of the text, or a table or text scorer as for other vectors."""
-    from glosa.operators.lookups import join_by_text
+    """Document vectors of a style model over all windows of the text."""
     from glosa.operators.style import style_vectors
-    if a.style is None:
-        return _doc_vector("WritingStyleEmbeddings")(df, a, id_col)
     out = "e_WritingStyleEmbeddings"
-    return join_by_text(df, style_vectors(df.select(id_col, TEXT), a.style, out=out, id_col=id_col), TEXT, id_col), [out]
+    return style_vectors(df, a.style, out=out, id_col=id_col), [out]
 
 
 def _style_dim(a: FeatureAssets) -> int:
@@ -161,32 +155,38 @@ REGISTRY: dict[str, FeatureSpec] = {s.name: s for s in [
     _scalar("AverageEmojiRepetition", tx.average_emoji_repetition),
     FeatureSpec("SpellingMistakes", NUMERICAL, lambda a: len(iss.SLOT_NAMES), columns=_issues,
                 names=lambda a: list(iss.SLOT_NAMES)),
-    FeatureSpec("SentimentTextBlob", NUMERICAL, lambda a: 1, attach=_polarity),
+    FeatureSpec("SentimentTextBlob", NUMERICAL, lambda a: 1, by_text=_polarity),
     FeatureSpec("SentimentBERT", NUMERICAL, lambda a: a.scorers.get("SentimentBERT", (None, 3))[1],
-                attach=_sentiment_bert),
-    FeatureSpec("DocumentEmbeddingsFastTextPool", EMBEDDING, lambda a: a.word_vector_dim, attach=_pooled),
+                by_text=_sentiment_bert),
+    FeatureSpec("DocumentEmbeddingsFastTextPool", EMBEDDING, lambda a: a.word_vector_dim, by_text=_pooled),
     FeatureSpec("DocumentEmbeddingsBERT", EMBEDDING, _doc_dim("DocumentEmbeddingsBERT", 768),
                 attach=_doc_vector("DocumentEmbeddingsBERT")),
-    FeatureSpec("WritingStyleEmbeddings", EMBEDDING, _style_dim, attach=_writing_style),
+    # Without a style model a table or text scorer, as for other vectors.
+    FeatureSpec("WritingStyleEmbeddings", EMBEDDING, _style_dim, attach=_doc_vector("WritingStyleEmbeddings"), by_text=_writing_style),
 ]}
 
 
+_BUILT_IN = dict(REGISTRY)
+
+
+def _by_text(s: FeatureSpec, a: FeatureAssets) -> bool:
+    return s.by_text is not None and (s.attach is None or a.style is not None)
+
+
 # Table-backed features that aggregate over the comment's tokens; requested
 # together, they share one token pass (see ``token_lookup_results``).
 TOKEN_LOOKUP_FEATURES = {"SentimentTextBlob": "f_SentimentTextBlob",
                          "DocumentEmbeddingsFastTextPool": "e_DocumentEmbeddingsFastTextPool"}
 
 
-def _attach_token_lookups(df: DataFrame, a: FeatureAssets, id_col: str) -> DataFrame:
-    from glosa.operators.lookups import join_by_text, token_lookup_results
+def _token_lookups(df: DataFrame, a: FeatureAssets, id_col: str) -> DataFrame:
+    from glosa.operators.lookups import token_lookup_results
     if a.polarity is None or a.word_vectors is None:
         raise ValueError("SentimentTextBlob and DocumentEmbeddingsFastTextPool need a polarity table and a "
                          "word-vector table")
-    found = token_lookup_results(df.select(id_col, TEXT), word_vectors=a.word_vectors, dim=a.word_vector_dim,
-                                 lexicon=a.polarity, id_col=id_col,
-                                 pooled_out=TOKEN_LOOKUP_FEATURES["DocumentEmbeddingsFastTextPool"],
-                                 polarity_out=TOKEN_LOOKUP_FEATURES["SentimentTextBlob"])
-    return join_by_text(df, found, TEXT, id_col)
+    return token_lookup_results(df, word_vectors=a.word_vectors, dim=a.word_vector_dim, lexicon=a.polarity, id_col=id_col,
+                                pooled_out=TOKEN_LOOKUP_FEATURES["DocumentEmbeddingsFastTextPool"],
+                                polarity_out=TOKEN_LOOKUP_FEATURES["SentimentTextBlob"])
 
 
 def output_column(spec: FeatureSpec) -> str:
@@ -283,6 +283,9 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
                    fit_rows: DataFrame | None = None) -> tuple[DataFrame, FeatureLayout]:
     """One projection for row-local features, keyed joins for the rest.
 
+    What follows from the text alone is computed from ``df`` and joined by id and text key,
+    so that no feature's plan holds another's; the text itself moves only where a feature
+    of its own needs it in the joined row.
     Returns the feature table (id, kept label/fold columns, numerical double
     columns in config order, embedding ``array<double>`` columns) and its layout.
     Trainable features (U2) use their model in ``assets.fitted`` or are fitted
@@ -294,15 +297,29 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
     kept = [c for c in keep if c in df.columns]
     col_of: dict[str, list[str]] = {}
     row_cols: list[Column] = []
+    # A text is split once for all features of its words.
+    numbers = F.col("_words")
+    words = tx.from_word_numbers(numbers) if any(s is _BUILT_IN.get(s.name) for s in specs) else {}
     for s in specs:
         if s.columns is not None:
-            made = s.columns(text, assets)
+            made, own = s.columns(text, assets), s is _BUILT_IN.get(s.name)
             col_of[s.name] = df.select(*made).columns
+            if own and s.name in words:
+                made = [words[s.name].alias(f"f_{s.name}")]
+            elif own and s.name == "SpellingMistakes":
+                made = iss.issue_columns(text, assets.issue_rules, words=numbers["n"])
             row_cols += made
-    out = df.select(id_col, TEXT, *kept, *row_cols)
-    fused = [s.name for s in specs if s.name in TOKEN_LOOKUP_FEATURES]
+    from glosa.operators.lookups import TEXT_KEY, join_by_key, text_key
+    base = df.select(id_col, TEXT, *kept, *text_key(text))
+    if any(s is _BUILT_IN.get(s.name) and s.name in (*words, "SpellingMistakes") for s in specs):
+        from glosa.operators.words import word_numbers
+        stop = tx.DEFAULT_STOPWORDS if assets.stopwords is None else assets.stopwords
+        base = base.withColumn("_words", word_numbers(text, stop, tx.USER_TOKEN, tx.MEDIUM_TOKEN))
+    reads_text = any(s.trainable or (s.attach is not None and not _by_text(s, assets) and s.name not in assets.doc_vectors) for s in specs)
+    out = base.select(id_col, *([TEXT] if reads_text else []), *kept, *TEXT_KEY, *row_cols)
+    fused = [s.name for s in specs if s.name in TOKEN_LOOKUP_FEATURES and s is _BUILT_IN[s.name]]
     if len(fused) > 1:
-        out = _attach_token_lookups(out, assets, id_col)
+        out = join_by_key(out, _token_lookups(df.select(id_col, TEXT), assets, id_col), id_col)
         col_of.update({n: [TOKEN_LOOKUP_FEATURES[n]] for n in fused})
     for s in specs:
         if s.trainable:
@@ -312,6 +329,10 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
                 fit_feature(s, fit_rows, assets)
             out, cols = _apply_fitted(out, s, assets)
             col_of[s.name] = cols
+        elif _by_text(s, assets) and s.name not in col_of:
+            found, cols = s.by_text(df.select(id_col, TEXT), assets, id_col)
+            out = join_by_key(out, found, id_col)
+            col_of[s.name] = cols
         elif s.attach is not None and s.name not in col_of:
             out, cols = s.attach(out, assets, id_col)
             col_of[s.name] = cols
@@ -331,7 +352,7 @@ def build_features(df: DataFrame, names: Sequence[str], assets: FeatureAssets |
     layout.numerical += layout.presence
     layout.names += [c.removeprefix("f_") for c in layout.presence]
     layout.kinds += [NUMERICAL] * len(layout.presence)
-    return out.drop(TEXT).select(id_col, *kept, *layout.numerical, *[c for c, _ in layout.embeddings]), layout
+    return out.select(id_col, *kept, *layout.numerical, *[c for c, _ in layout.embeddings]), layout
 
 
 def assemble(df: DataFrame, layout: FeatureLayout, num_out: str = "num", emb_out: str = "emb") -> DataFrame:

@@ -13,6 +13,8 @@ left join on the unique id gives clean comments zeros.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -64,28 +66,30 @@ class IssueRule:
     rule_id: str
     category: str
     pattern: str  # Java/RE2-compatible: no look-around, back-references or \b
+    # Each match holds one of these: a text without them is not searched. Empty: any text is.
+    holds: tuple[str, ...] = ()
 
 
 # Our default checker: simple surface rules that Java regex and RE2 agree on.
 DEFAULT_RULES = [
-    IssueRule("ELLIPSE_ZU_LANG", "MISC", r"[.][.][.][.]"),
-    IssueRule("ALTE_SCHREIBWEISE", "EMPFOHLENE_RECHTSCHREIBUNG", r"[Pp]hoto|[Tt]elephon|[Dd]elphin"),
+    IssueRule("ELLIPSE_ZU_LANG", "MISC", r"[.][.][.][.]", ("....",)),
+    IssueRule("ALTE_SCHREIBWEISE", "EMPFOHLENE_RECHTSCHREIBUNG", r"[Pp]hoto|[Tt]elephon|[Dd]elphin", ("hoto", "elephon", "elphin")),
     IssueRule("LEERZEICHEN_VOR_SATZZEICHEN", "TYPOGRAPHY", r" [,.!?;:]"),
-    IssueRule("MEHRFACHE_LEERZEICHEN", "TYPOGRAPHY", r"  +"),
-    IssueRule("TYPOGRAFISCHE_ANFUEHRUNGSZEICHEN", "TYPOGRAPHY", "\""),
-    IssueRule("FALSCHE_VERWENDUNG_DES_BINDESTRICHS", "TYPOGRAPHY", r" - "),
-    IssueRule("DOPPELTES_AUSRUFEZEICHEN", "PUNCTUATION", r"!!"),
-    IssueRule("DE_DOUBLE_PUNCTUATION", "PUNCTUATION", r"[,;:][.,;:]|[.][,;:]"),
+    IssueRule("MEHRFACHE_LEERZEICHEN", "TYPOGRAPHY", r"  +", ("  ",)),
+    IssueRule("TYPOGRAFISCHE_ANFUEHRUNGSZEICHEN", "TYPOGRAPHY", "\"", ('"',)),
+    IssueRule("FALSCHE_VERWENDUNG_DES_BINDESTRICHS", "TYPOGRAPHY", r" - ", (" - ",)),
+    IssueRule("DOPPELTES_AUSRUFEZEICHEN", "PUNCTUATION", r"!!", ("!!",)),
+    IssueRule("DE_DOUBLE_PUNCTUATION", "PUNCTUATION", r"[,;:][.,;:]|[.][,;:]", tuple(a + b for a in ",;:." for b in ".,;:" if a + b != "..")),
     IssueRule("EINHEIT_LEERZEICHEN", "PUNCTUATION", r"[0-9](km|kg|cm|mm)"),
-    IssueRule("FRAGEZEICHEN_HAEUFUNG", "PUNCTUATION", r"[?][?]"),
-    IssueRule("ARTIKEL_DOPPELT", "GRAMMAR", r"(der|die|das) (der|die|das) "),
+    IssueRule("FRAGEZEICHEN_HAEUFUNG", "PUNCTUATION", r"[?][?]", ("??",)),
+    IssueRule("ARTIKEL_DOPPELT", "GRAMMAR", r"(der|die|das) (der|die|das) ", tuple(f"{a} {b} " for a in ("der", "die", "das") for b in ("der", "die", "das"))),
     IssueRule("KLEIN_NACH_SATZENDE", "CASING", r"[.!?] [a-zäöü]"),
-    IssueRule("KOMMA_VOR_DASS", "HILFESTELLUNG_KOMMASETZUNG", r"[A-Za-zäöüß] dass "),
-    IssueRule("UMGANGSSPRACHE", "COLLOQUIALISMS", r" (nen|nich|halt|mal) "),
-    IssueRule("BINDESTRICH_LUECKE", "COMPOUNDING", r"[a-zäöüß]- [a-zäöüß]"),
-    IssueRule("SEIT_SEID", "CONFUSED_WORDS", r"ihr seit |seid langem|seid gestern"),
-    IssueRule("DOPPELT_GEMOPPELT", "REDUNDANCY", r"bereits schon|schon bereits|runter fallen"),
-    IssueRule("GEDEHNTE_VOKALE", "TYPOS", r"aaa|eee|iii|ooo|uuu"),
+    IssueRule("KOMMA_VOR_DASS", "HILFESTELLUNG_KOMMASETZUNG", r"[A-Za-zäöüß] dass ", (" dass ",)),
+    IssueRule("UMGANGSSPRACHE", "COLLOQUIALISMS", r" (nen|nich|halt|mal) ", (" nen ", " nich ", " halt ", " mal ")),
+    IssueRule("BINDESTRICH_LUECKE", "COMPOUNDING", r"[a-zäöüß]- [a-zäöüß]", ("- ",)),
+    IssueRule("SEIT_SEID", "CONFUSED_WORDS", r"ihr seit |seid langem|seid gestern", ("ihr seit ", "seid langem", "seid gestern")),
+    IssueRule("DOPPELT_GEMOPPELT", "REDUNDANCY", r"bereits schon|schon bereits|runter fallen", ("bereits schon", "schon bereits", "runter fallen")),
+    IssueRule("GEDEHNTE_VOKALE", "TYPOS", r"aaa|eee|iii|ooo|uuu", ("aaa", "eee", "iii", "ooo", "uuu")),
     IssueRule("GROSSBUCHSTABEN", "STYLE", r"[A-ZÄÖÜ][A-ZÄÖÜ][A-ZÄÖÜ][A-ZÄÖÜ][A-ZÄÖÜ]"),
 ]
 
@@ -128,19 +132,27 @@ def _scale(count: Column, words: Column) -> Column:
 
 
 def rule_counts(text: Column, rules: Sequence[IssueRule] = DEFAULT_RULES) -> list[Column]:
-    return [F.regexp_count(text, F.lit(r.pattern)) for r in rules]
+    return [_counted(text, r) for r in rules]
+
+
+def _counted(text: Column, rule: IssueRule) -> Column:
+    found = F.regexp_count(text, F.lit(rule.pattern))
+    if not rule.holds:
+        return found
+    held = functools.reduce(operator.or_, [F.contains(text, F.lit(h)) for h in rule.holds])
+    return F.when(held, found).when(text.isNotNull(), F.lit(0))
 
 
 def issue_columns(text: Column, rules: Sequence[IssueRule] = DEFAULT_RULES,
-                  specific_first: bool = False) -> list[Column]:
-    """17 feature columns for one text column, from regex rules."""
+                  specific_first: bool = False, words: Column | None = None) -> list[Column]:
+    """17 feature columns for one text column, from regex rules; ``words`` is its number of words, where it is known."""
     counts = rule_counts(text, rules)
     per_slot: dict[int, Column] = {}
     for rule, c in zip(rules, counts):
         s = slot_of(rule.category, rule.rule_id, specific_first)
         if s is not None:
             per_slot[s] = c if s not in per_slot else per_slot[s] + c
-    words = raw_token_count(text)
+    words = raw_token_count(text) if words is None else words
     return [_scale(per_slot.get(i, F.lit(0)), words).alias(name) for i, name in enumerate(ISSUE_COLUMNS)]
 
 

@@ -82,11 +82,14 @@ def lookup_join(facts: DataFrame, table: DataFrame, key: str, how: str = "inner"
 
 
 def frequent_keys(keys: DataFrame, key: str, most: int) -> DataFrame:
-    """The most frequent values of ``keys``, ``most`` at most, stored.
+    """The most frequent values of ``keys``, ``most`` at most, stored. ``keys`` has a row for
+    each occurrence, or one for each value and their number as ``_n``.
 
     Found without a sort: keys are counted by level, a level being a quarter of a
     power of two, and all levels taken from the top on that fit together."""
-    freq = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    freq = keys.where(F.col(key).isNotNull())
+    if "_n" not in keys.columns:
+        freq = freq.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     freq = cut_lineage(freq.select(key, F.floor(4 * F.log2("_n")).cast("int").alias("_level")))
     taken, least = 0, 4 * 64
     for level, n in sorted(freq.groupBy("_level").agg(F.count(F.lit(1))).collect(), reverse=True):  # 256 levels at most
@@ -100,7 +103,7 @@ def layered_join(facts: DataFrame, table: DataFrame, key: str, keys: DataFrame,
                  max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Left join: rows of frequent keys meet a broadcast part of the table, the others the table.
 
-    ``keys`` has the key of each occurrence (at least one for each row of ``facts``)."""
+    ``keys`` has the key of each occurrence (at least one for each row of ``facts``), or the counted keys (``frequent_keys``)."""
     widest = table.agg(F.max(_row_bytes(table))).first()[0] or 1
     hot = frequent_keys(keys, key, max_broadcast_bytes // int(widest))
     part = hot.join(table.join(F.broadcast(hot), key), key, "left").withColumn("_hot", F.lit(True))

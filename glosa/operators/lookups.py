@@ -25,6 +25,7 @@ from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 from glosa.operators.joins import fits_broadcast, layered_join, lookup_join
 from glosa.operators.windows import check_window
+from glosa.operators.words import word_counts, word_frequencies
 from glosa.session import cut_lineage
 from glosa.sources.lookups import UNK
 
@@ -39,25 +40,28 @@ def text_key(text: Column) -> list[Column]:
 
 def join_by_text(df: DataFrame, results: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Every row of ``df`` with the results of its (id, text); ids may be null."""
+    return join_by_key(df.select("*", *text_key(F.col(text_col))), results, id_col).drop(*TEXT_KEY)
+
+
+def join_by_key(left: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
+    """Every row of ``left``, which has its text's key, with the results of its (id, text key); ids may be null."""
     right = results.withColumnRenamed(id_col, "_id")
     for name in TEXT_KEY:
         right = right.withColumnRenamed(name, f"{name}_r")
-    left = df.select("*", *text_key(F.col(text_col)))
     on = F.col(id_col).eqNullSafe(F.col("_id"))
     for name in TEXT_KEY:
         on = on & (F.col(name) == F.col(f"{name}_r"))
-    return left.join(right, on, "left").drop("_id", *TEXT_KEY, *[f"{n}_r" for n in TEXT_KEY])
+    return left.join(right, on, "left").drop("_id", *[f"{n}_r" for n in TEXT_KEY])
 
 
 def token_counts(df: DataFrame, text_col: str, id_col: str, lower: bool = True) -> DataFrame:
-    """(id, text key, token, _c): occurrences of each token; a text without tokens has one row with a null token and 0.
+    """(id, text key, token, _c): occurrences of each token in each row; a text without tokens has one row with a null token and 0.
 
-    Equal rows become one before their text moves. Texts move once, by id and key, and all
-    later sums of a text find its rows where they are."""
-    texts = df.select(id_col, *text_key(F.col(text_col)), F.col(text_col).alias("_text")).dropDuplicates([id_col, *TEXT_KEY])
-    t = F.lower(F.col("_text")) if lower else F.col("_text")
-    rows = texts.select(id_col, *TEXT_KEY, F.explode_outer(tokens(t)).alias("token"))
-    return rows.groupBy(id_col, *TEXT_KEY, "token").agg(F.count("token").alias("_c"))
+    No text moves: its tokens are counted where it lies, and sums of a text by id and key are
+    combined there. Rows that are equal in both add up to the same means."""
+    text = F.col(text_col)
+    rows = df.select(id_col, *text_key(text), (F.lower(text) if lower else text).alias("_words"))
+    return word_counts(rows, [id_col, *TEXT_KEY], F.col("_words"))
 
 
 def merged_lookup(word_vectors: DataFrame | None, dim: int, lexicon: DataFrame | None) -> DataFrame:
@@ -103,7 +107,7 @@ def token_lookup_results(df: DataFrame, *, word_vectors: DataFrame | None = None
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(table) else "layered"
     if strategy == "layered":
-        rows = layered_join(rows, table, "token", df.select(F.explode(tokens(F.lower(F.col(text_col)))).alias("token")))
+        rows = layered_join(rows, table, "token", word_frequencies(df, F.lower(F.col(text_col))))
     else:
         rows = lookup_join(rows, table, "token", "left", strategy=strategy, salt_cols=[id_col, *TEXT_KEY])
     keys, sums, outs = [id_col, *TEXT_KEY], [F.sum("_c").alias("_n")], []
@@ -178,7 +182,7 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, window: int, hop: int, max_win
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(ids) else "layered"
     if strategy == "layered":
-        hit = layered_join(rows, ids, "token", df.select(F.explode(tokens(F.col(text_col))).alias("token")))
+        hit = layered_join(rows, ids, "token", word_frequencies(df, F.col(text_col)))
     else:
         hit = lookup_join(rows, ids, "token", "left", strategy=strategy, salt_cols=[id_col, "window_idx", "pos"])
     return hit.select(id_col, "window_idx", "pos", "token",

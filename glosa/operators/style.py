@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosa.columns import COMMENT_ID, TEXT
-from glosa.functions.text import tokens
 from glosa.operators.attention import softmax_pool
 from glosa.operators.joins import frequent_keys
 from glosa.operators.lookups import TEXT_KEY, Alphabet, _unk_id, char_ids, offsets, text_key
+from glosa.operators.words import word_frequencies, words_of
 
 BATCH = 256
 STEP = 4  # from one bucket's bound to the next
@@ -75,7 +75,7 @@ def word_table(df: DataFrame, model: StyleModel, text_col: str = TEXT) -> WordTa
     unk = _unk_id(model.word_vocab)
     ids = model.word_vocab.where(F.col("token").isNotNull() & F.col("id").isNotNull())
     ids = ids.select("token", F.col("id").cast("int").alias("word_id"))
-    hot = frequent_keys(df.select(F.explode(tokens(F.col(text_col))).alias("token")), "token", FREQUENT_WORDS)
+    hot = frequent_keys(word_frequencies(df, F.col(text_col)), "token", FREQUENT_WORDS)
     found = hot.join(ids.join(F.broadcast(hot), "token", "left_semi").groupBy("token").agg(F.min("word_id").alias("word_id")), "token", "left")
     held = found.toArrow()  # FREQUENT_WORDS rows at most
     frequent = {t: unk if i is None else i for t, i in zip(held.column("token").to_pylist(), held.column("word_id").to_pylist())}
@@ -83,17 +83,28 @@ def word_table(df: DataFrame, model: StyleModel, text_col: str = TEXT) -> WordTa
 
 
 def encoded_windows(df: DataFrame, words: WordTable, model: StyleModel, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
-    """One row a window: key (id, text key), window_idx, its words' ids, the ids of all their characters and the words' lengths.
+    """One row a window: key (id, text key), window_idx, its words' ids, the ids of all their characters and the words' lengths."""
+    rows, encode, schema = _window_encoder(df, words, model, text_col, id_col)
+    return rows.mapInArrow(encode, schema)
+
+
+def _window_encoder(df: DataFrame, words: WordTable, model: StyleModel, text_col: str, id_col: str) -> tuple[DataFrame, Callable, T.StructType]:
+    """Texts with the ids of their rarer words, the function of batches that makes windows of them, and its schema.
 
     A text moves once. Of its words only the rarer ones do, once a text, and come back to
     it as a map; windows are cut and encoded where the text lies, in Arrow batches."""
     texts = _texts(df, text_col, id_col)
-    rare = texts.select("key", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("token"))
-    rare = rare.join(F.broadcast(words.tokens), "token", "left_anti").join(words.vocab, "token")
+    held = df.sparkSession.sparkContext.broadcast(words.frequent)
+
+    @F.arrow_udf("array<string>")
+    def rarer(column: pa.Array) -> pa.Array:
+        frequent = held.value
+        return pa.array([[w for w in set(own or ()) if w not in frequent] for own in words_of(column)], pa.list_(pa.string()))
+    key = F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key")
+    rare = df.select(key, F.explode(rarer(F.col(text_col))).alias("token")).join(words.vocab, "token")
     rare = rare.groupBy("key", "token").agg(F.min("word_id").alias("word_id"))
     rare = rare.groupBy("key").agg(F.collect_list("token").alias("rare"), F.collect_list("word_id").alias("rare_ids"))
     rows = texts.join(rare, "key", "left").select("key", "_text", "rare", "rare_ids")
-    held = df.sparkSession.sparkContext.broadcast(words.frequent)
     unk, alphabet, window, hop = words.unk, words.alphabet, model.window, model.hop
 
     def lists(values: list[np.ndarray], sizes: list[np.ndarray]):
@@ -135,7 +146,7 @@ def encoded_windows(df: DataFrame, words: WordTable, model: StyleModel, text_col
                 yield whole(keys, places, parts)
     schema = T.StructType([rows.schema["key"], T.StructField("window_idx", T.IntegerType()),
                            *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("word_ids", "char_ids", "lengths")]])
-    return rows.mapInArrow(encode, schema)
+    return rows, encode, schema
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -152,8 +163,8 @@ def _bounds(sizes: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def window_outputs(windows: DataFrame, model: StyleModel) -> DataFrame:
-    """``(key, window_idx, score, vector)`` of all windows: each Arrow batch is dealt into buckets, padded and scored."""
+def window_scorer(model: StyleModel) -> Callable:
+    """Of batches of encoded windows the batches of ``(key, window_idx, score, vector)``: each is dealt into buckets, padded and scored."""
     make, dim, window = model.make_predict_fn, model.dim, model.window
     small = -(-window // STEP)
 
@@ -177,9 +188,24 @@ def window_outputs(windows: DataFrame, model: StyleModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("window_idx"), pa.array(out[:, 0]),
                                               pa.FixedSizeListArray.from_arrays(pa.array(out[:, 1:].ravel()), dim).cast(pa.list_(pa.float64()))],
                                              names=["key", "window_idx", "score", "vector"])
-    schema = T.StructType([*(windows.schema[c] for c in ("key", "window_idx")), T.StructField("score", T.DoubleType()),
-                           T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    return windows.mapInArrow(score, schema)
+    return score
+
+
+def _scored(key: T.StructField) -> T.StructType:
+    return T.StructType([key, T.StructField("window_idx", T.IntegerType()), T.StructField("score", T.DoubleType()),
+                         T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+
+def window_outputs(windows: DataFrame, model: StyleModel) -> DataFrame:
+    """``(key, window_idx, score, vector)`` of all encoded windows."""
+    return windows.mapInArrow(window_scorer(model), _scored(windows.schema["key"]))
+
+
+def scored_windows(df: DataFrame, words: WordTable, model: StyleModel, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
+    """``window_outputs`` of ``encoded_windows``; windows are scored by the task that encodes them."""
+    rows, encode, schema = _window_encoder(df, words, model, text_col, id_col)
+    score = window_scorer(model)
+    return rows.mapInArrow(lambda batches: score(encode(batches)), _scored(schema["key"]))
 
 
 def _padded(values: list[np.ndarray], first: np.ndarray, first_char: np.ndarray, n: np.ndarray, t_w: int, t_c: int) -> list[np.ndarray]:
@@ -198,7 +224,7 @@ def _padded(values: list[np.ndarray], first: np.ndarray, first_char: np.ndarray,
 def style_vectors(df: DataFrame, model: StyleModel, out: str = "style", text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
     """The document vector of each distinct (id, text): id, text key and ``out``."""
     words = word_table(df, model, text_col)
-    scored = window_outputs(encoded_windows(df, words, model, text_col, id_col), model)
+    scored = scored_windows(df, words, model, text_col, id_col)
     pooled = softmax_pool(scored, "key", "score", "vector", out=out, dim=model.dim)
     keys = df.select(F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key")).distinct()
     both = keys.join(pooled, "key", "left")

@@ -61,6 +61,8 @@ def flagship_inputs(spark: SparkSession, sf_dir: str, word_dim: int = 3,
     dim = len(vectors.select("vector").first()[0])
     assets = FeatureAssets(word_vector_dim=word_dim, scorers={"SentimentBERT": (batch_scorer(seeded_text_classifier(3), 3), 3)},
                            doc_vectors={"DocumentEmbeddingsBERT": (vectors, dim)})
+    if {"DocumentEmbeddingsFastTextPool", "SentimentTextBlob", "WritingStyleEmbeddings"} & {*features}:
+        comments = lt.stored_words(comments)  # the tables below read no more of the texts
     if "DocumentEmbeddingsFastTextPool" in features:
         assets.word_vectors = lt.derived_word_vectors(comments) if word_dim == 3 else lt.derived_wide_vectors(comments, word_dim)
     if "SentimentTextBlob" in features:

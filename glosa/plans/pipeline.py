@@ -32,7 +32,7 @@ from glosa.operators import evaluate as ev
 from glosa.operators import folds as fo
 from glosa.operators.model import FoldModel, SharedStages, feature_importance, positive_margins
 from glosa.operators.tuning import FoldSearch, Trial, search_folds, search_space
-from glosa.session import path_exists, shared_dir
+from glosa.session import cut_lineage, path_exists, shared_dir
 from glosa.sources import sinks
 
 
@@ -86,9 +86,11 @@ def feature_table(spark: SparkSession, comments: DataFrame, cfg: RunConfig, asse
     ``reuse`` takes an earlier copy whose manifest has the same key: feature
     list, parameters, and the fingerprints of the comments and of the asset
     tables, or the caller's ``version`` in their place."""
-    df, layout = build_features(comments, cfg.features, assets, fit_rows=fit_rows)
     if cache_tag is None:
-        return df, layout
+        return build_features(comments, cfg.features, assets, fit_rows=fit_rows)
+    df = layout = None
+    if reuse:
+        df, layout = build_features(comments, cfg.features, assets, fit_rows=fit_rows)
     tables = {"comments": comments, **asset_tables(assets)}
     inputs = {"version": version} if version is not None else {n: fingerprint(t) for n, t in tables.items()}
     key = feature_set_hash(cfg.features, assets, inputs)
@@ -98,6 +100,9 @@ def feature_table(spark: SparkSession, comments: DataFrame, cfg: RunConfig, asse
         known = spark.read.parquet(manifest).where(F.col("key") == key).orderBy(F.desc("stored")).first()
         if known is not None:
             return _read_features(spark, known["path"], df), layout
+    # Folds are ranked once, not once for each feature that reads the rows.
+    df, layout = build_features(cut_lineage(comments), cfg.features, assets, fit_rows=fit_rows)
+    key = feature_set_hash(cfg.features, assets, inputs)
     path = f"{base}/{uuid.uuid4().hex}"
     if FOLD in df.columns:
         fo.write_folded(df, path)  # S2: folds and test rows are read by partition

@@ -15,15 +15,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, TEXT
-from glosa.functions.text import tokens
+from glosa.operators.words import word_frequencies
 from glosa.session import cut_lineage
 
 UNK = "<UNK>"
+WORDS = {"token", "_n"}
 
 
 def distinct_tokens(comments: DataFrame, text_col: str = TEXT, lower: bool = True) -> DataFrame:
-    t = F.lower(F.col(text_col)) if lower else F.col(text_col)
-    return comments.select(F.explode(tokens(t)).alias("token")).distinct()
+    """(token): from the texts, or from ``stored_words`` of them."""
+    if WORDS <= set(comments.columns):
+        return comments.select("token")
+    return word_frequencies(comments, F.lower(F.col(text_col)) if lower else F.col(text_col)).select("token")
+
+
+def stored_words(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
+    """(token, _n): lower-cased tokens and their occurrences, stored; all derived tables take it in place of the comments."""
+    return cut_lineage(word_frequencies(comments, F.lower(F.col(text_col))))
 
 
 def derived_word_vectors(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
@@ -57,8 +65,8 @@ def derived_word_vocab(comments: DataFrame, size: int | None = None, text_col: s
 
     Ranks come from a range-partitioned sort: rows are numbered within their
     partition and shifted by the rows of the partitions before it (one row each)."""
-    freq = (comments.select(F.explode(tokens(F.lower(F.col(text_col)))).alias("token"))
-            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    counted = comments if WORDS <= set(comments.columns) else word_frequencies(comments, F.lower(F.col(text_col)))
+    freq = counted.select("token", F.col("_n").alias("n"))
     order = [F.desc("n"), F.asc("token")]
     top = freq.orderBy(*order).limit(size) if size is not None else freq.repartitionByRange(*order)
     placed = cut_lineage(top.withColumn("part", F.spark_partition_id()))
