@@ -1049,9 +1049,10 @@ from glosa.plans import flagship as fl  # noqa: E402
 def q_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fixed model (k = 8, C = 1) on every labelled row; predictions."""
     from glosa.operators.model import FoldModel, fit_shared, fit_task, trial_features
+    from glosa.session import cut_lineage
     train, _, assets = fl.flagship_inputs(spark, sf_dir)
-    feats, layout = reg.build_features(train, fl.FLAGSHIP_FEATURES, assets)
-    data = reg.assemble(feats, layout)
+    feats, layout = reg.build_features(cut_lineage(train), fl.FLAGSHIP_FEATURES, assets)
+    data = reg.assemble(cut_lineage(feats), layout)  # the fits read the features again and again
     shared = fit_shared(data, layout, 8)
     x = trial_features(shared, 8).transform(shared.model.transform(data))
     n = x.count()
