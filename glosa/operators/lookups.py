@@ -25,7 +25,7 @@ from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
 from glosa.operators.joins import fits_broadcast, layered_join, lookup_join
 from glosa.operators.windows import check_window
-from glosa.operators.words import word_counts, word_frequencies
+from glosa.operators.words import counted_words, word_frequencies
 from glosa.session import cut_lineage
 from glosa.sources.lookups import UNK
 
@@ -55,13 +55,14 @@ def join_by_key(left: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
 
 
 def token_counts(df: DataFrame, text_col: str, id_col: str, lower: bool = True) -> DataFrame:
-    """(id, text key, token, _c): occurrences of each token in each row; a text without tokens has one row with a null token and 0.
-
-    No text moves: its tokens are counted where it lies, and sums of a text by id and key are
-    combined there. Rows that are equal in both add up to the same means."""
-    text = F.col(text_col)
-    rows = df.select(id_col, *text_key(text), (F.lower(text) if lower else text).alias("_words"))
-    return word_counts(rows, [id_col, *TEXT_KEY], F.col("_words"))
+    """(id, text key, token, _c): occurrences of each token; a text without tokens has one row with a null token and 0.
+
+    Equal rows become one. Words are counted where a text lies; the counts move once, by id and
+    key, and all later sums of a text find its rows where they are."""
+    text = F.lower(F.col(text_col)) if lower else F.col(text_col)
+    keys = [id_col, *TEXT_KEY]
+    texts = df.select(id_col, *text_key(F.col(text_col)), counted_words(text).alias("_w")).dropDuplicates(keys)
+    return texts.select(*keys, F.explode("_w").alias("_w")).select(*keys, "_w.token", "_w._c")
 
 
 def merged_lookup(word_vectors: DataFrame | None, dim: int, lexicon: DataFrame | None) -> DataFrame:

@@ -10,15 +10,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HELD_WORDS = 200_000  # of a task's different words, before their counts leave it
-SLICE_ROWS = 100_000  # that leave a task together
 
+_COUNTS = pa.list_(pa.struct([("token", pa.string()), ("_c", pa.int64())]))
 _NUMBERS = pa.struct([(n, pa.int64()) for n in ("n", "s", "ss", "stop", "user", "medium")])
 NUMBERS = "struct<n:bigint,s:bigint,ss:bigint,stop:bigint,user:bigint,medium:bigint>"
 
@@ -49,30 +47,18 @@ def word_frequencies(df: DataFrame, text: Column) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("_n").alias("_n"))
 
 
-def word_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """(keys, token, _c): each different word of each row and its occurrences; a row without words has one with a null token and 0."""
-    rows = df.select(*keys, text.alias("_text"))
+def counted_words(text: Column) -> Column:
+    """Of a text its different words and their occurrences, an array of (token, _c); without words one null token and 0."""
+    @F.arrow_udf("array<struct<token:string,_c:bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        own = (Counter(words or ()) or {None: 0} for words in words_of(texts))
+        return pa.array([[{"token": t, "_c": c} for t, c in held.items()] for held in own], _COUNTS)
+    return counted(text)
 
-    def count(batches):
-        for batch in batches:
-            at, tokens, counts = [], [], []
-
-            def whole(batch=batch):
-                of = pa.array(np.repeat(*map(np.array, zip(*at))) if at else [], pa.int64())
-                return pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), pa.array(tokens, pa.string()),
-                                                   pa.array(counts, pa.int64())], names=[*keys, "token", "_c"])
-            for i, words in enumerate(words_of(batch.column("_text"))):
-                own = Counter(words or ()) or {None: 0}
-                at.append((i, len(own)))
-                tokens += own
-                counts += own.values()
-                if len(tokens) >= SLICE_ROWS:
-                    yield whole()
-                    at, tokens, counts = [], [], []
-            if at:
-                yield whole()
-    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("token", T.StringType()), T.StructField("_c", T.LongType())])
-    return rows.mapInArrow(count, schema)
+
+def word_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    """(keys, token, _c): the counted words of each row."""
+    return df.select(*keys, F.explode(counted_words(text)).alias("_w")).select(*keys, "_w.token", "_w._c")
 
 
 def word_numbers(text: Column, stopwords: Sequence[str], user: str, medium: str) -> Column:
