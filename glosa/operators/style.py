@@ -8,7 +8,8 @@ the model with four tensors a row. Padding is therefore at most fourfold on each
 beyond the smallest bucket, a bound that holds whatever the texts.
 
 Every window is scored: it comes back as a score and a vector, and the document vector
-is their softmax pooling over the windows. A text without tokens has zeros. Words beyond
+is their softmax pooling over the windows, taken where they are scored, so that a row a
+text leaves the task. A text without tokens has zeros. Words beyond
 the vocabulary, and characters beyond the alphabet, get the id of ``<UNK>``; 0 is
 padding.
 """
@@ -29,6 +30,7 @@ from glosa.operators.attention import softmax_pool
 from glosa.operators.joins import frequent_keys
 from glosa.operators.lookups import TEXT_KEY, Alphabet, _unk_id, char_ids, offsets, text_key
 from glosa.operators.words import word_frequencies, words_of
+from glosa.session import cut_lineage
 
 BATCH = 256
 STEP = 4  # from one bucket's bound to the next
@@ -101,8 +103,9 @@ def _window_encoder(df: DataFrame, words: WordTable, model: StyleModel, text_col
         frequent = held.value
         return pa.array([[w for w in set(own or ()) if w not in frequent] for own in words_of(column)], pa.list_(pa.string()))
     key = F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key")
-    rare = df.select(key, F.explode(rarer(F.col(text_col))).alias("token")).join(words.vocab, "token")
-    rare = rare.groupBy("key", "token").agg(F.min("word_id").alias("word_id"))
+    rare = df.select(key, F.explode(rarer(F.col(text_col))).alias("token"))
+    # Words are made one in the vocabulary, which is small, and not in the texts' pairs: a copy in a text's map says the same.
+    rare = rare.join(words.vocab.groupBy("token").agg(F.min("word_id").alias("word_id")), "token")
     rare = rare.groupBy("key").agg(F.collect_list("token").alias("rare"), F.collect_list("word_id").alias("rare_ids"))
     rows = texts.join(rare, "key", "left").select("key", "_text", "rare", "rare_ids")
     unk, alphabet, window, hop = words.unk, words.alphabet, model.window, model.hop
@@ -127,13 +130,15 @@ def _window_encoder(df: DataFrame, words: WordTable, model: StyleModel, text_col
         return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(np.concatenate(number)), lists(word_ids, n), lists(chars, n_chars),
                                            lists(sizes, n)], names=["key", "window_idx", "word_ids", "char_ids", "lengths"])
 
-    def encode(batches):
+    def encode(batches, blank: list[pa.Array] | None = None):
+        """Windows of the texts; the keys of texts without words go to ``blank``."""
         frequent, table = held.value, alphabet.table()
         for batch in batches:
-            keys, texts, places, parts, size = batch.column("key"), batch.column("_text").cast(pa.binary()), [], [], 0
+            keys, texts, places, parts, size, without = batch.column("key"), batch.column("_text").cast(pa.binary()), [], [], 0, []
             for at in range(batch.num_rows):
                 text = (texts[at].as_py() or b"").decode("utf-8", "replace")
                 if not text or text.isspace():
+                    without.append(at)
                     continue
                 own = dict(zip(batch.column("rare")[at].as_py() or [], batch.column("rare_ids")[at].as_py() or []))
                 places.append(at)
@@ -142,6 +147,8 @@ def _window_encoder(df: DataFrame, words: WordTable, model: StyleModel, text_col
                 if size >= SLICE_CHARS:
                     yield whole(keys, places, parts)
                     places, parts, size = [], [], 0
+            if blank is not None and without:
+                blank.append(keys.take(pa.array(without)))
             if places:
                 yield whole(keys, places, parts)
     schema = T.StructType([rows.schema["key"], T.StructField("window_idx", T.IntegerType()),
@@ -208,6 +215,37 @@ def scored_windows(df: DataFrame, words: WordTable, model: StyleModel, text_col:
     return rows.mapInArrow(lambda batches: score(encode(batches)), _scored(schema["key"]))
 
 
+def pooled_windows(df: DataFrame, words: WordTable, model: StyleModel, text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
+    """``(key, score, vector)``: the windows of each text, pooled by the task that scores them.
+
+    All windows of a text leave ``encode`` in one batch, so a row stands for all of them: its
+    vector is their softmax pooling, its score the logarithm of their weights' sum, by which it
+    can be pooled with others. A text without words has zeros."""
+    rows, encode, schema = _window_encoder(df, words, model, text_col, id_col)
+    score, dim = window_scorer(model), model.dim
+
+    def part(keys: pa.Array, scores: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), dim).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([keys, pa.array(scores), lists], names=["key", "score", "vector"])
+
+    def pool(batches):
+        blank: list[pa.Array] = []
+        for batch in score(encode(batches, blank)):
+            first = np.flatnonzero(batch.column("window_idx").to_numpy() == 0)
+            scores = batch.column("score").to_numpy()
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            top = np.maximum.reduceat(scores, first)
+            weights = np.exp(scores - np.repeat(top, np.diff(np.append(first, len(scores)))))
+            sums = np.add.reduceat(weights, first)
+            yield part(batch.column("key").take(pa.array(first)), top + np.log(sums),
+                       np.add.reduceat(weights[:, None] * vectors, first, axis=0) / sums[:, None])
+            yield from (part(keys, np.zeros(len(keys)), np.zeros((len(keys), dim))) for keys in blank)
+            blank.clear()
+        yield from (part(keys, np.zeros(len(keys)), np.zeros((len(keys), dim))) for keys in blank)
+    parts = T.StructType([schema["key"], T.StructField("score", T.DoubleType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(pool, parts)
+
+
 def _padded(values: list[np.ndarray], first: np.ndarray, first_char: np.ndarray, n: np.ndarray, t_w: int, t_c: int) -> list[np.ndarray]:
     """The four tensors of some windows: words, characters, word lengths, window lengths."""
     words, chars, lengths = values
@@ -224,12 +262,9 @@ def _padded(values: list[np.ndarray], first: np.ndarray, first_char: np.ndarray,
 def style_vectors(df: DataFrame, model: StyleModel, out: str = "style", text_col: str = TEXT, id_col: str = COMMENT_ID) -> DataFrame:
     """The document vector of each distinct (id, text): id, text key and ``out``."""
     words = word_table(df, model, text_col)
-    scored = scored_windows(df, words, model, text_col, id_col)
-    pooled = softmax_pool(scored, "key", "score", "vector", out=out, dim=model.dim)
-    keys = df.select(F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key")).distinct()
-    both = keys.join(pooled, "key", "left")
-    return both.select(F.col("key.id").alias(id_col), *[f"key.{c}" for c in TEXT_KEY],
-                       F.coalesce(out, F.array_repeat(F.lit(0.0), model.dim)).alias(out))
+    parts = cut_lineage(pooled_windows(df, words, model, text_col, id_col))  # texts and their rarer words are not needed any more
+    pooled = softmax_pool(parts, "key", "score", "vector", out=out, dim=model.dim)
+    return pooled.select(F.col("key.id").alias(id_col), *[f"key.{c}" for c in TEXT_KEY], out)
 
 
 def _style_numbers(weights, words, chars, lengths, n_words):
