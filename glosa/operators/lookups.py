@@ -2,8 +2,9 @@
 
 A text's tokens are counted first, so that a row stands for all its occurrences of a
 token; word vectors and lexicon are merged into one lookup table and joined once. Where
-that is too large to broadcast, its rows of the most frequent tokens are, so that vectors
-are shuffled for the occurrences of rarer tokens only.
+that is too large to broadcast, its rows of the most frequent tokens are, and are added up
+where the texts lie; a rarer token's vector is shuffled once for each group of texts that
+has it.
 Vectors travel and add up in blocks of ``BLOCK_DIMS`` dimensions: a grouped sum of a
 few columns whatever the width, with map-side combining and bounded state, so that a
 long document never has its token rows collected.
@@ -15,6 +16,9 @@ hits (or without tokens) still come out, with zeros.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,13 +27,17 @@ from pyspark.sql import types as T
 
 from glosa.columns import COMMENT_ID, TEXT
 from glosa.functions.text import tokens
-from glosa.operators.joins import fits_broadcast, layered_join, lookup_join
+from glosa.operators.joins import DEFAULT_BROADCAST_BYTES, fits_broadcast, frequent_keys, layered_join, lookup_join
 from glosa.operators.windows import check_window
-from glosa.operators.words import counted_words, word_frequencies
+from glosa.operators.words import counted_words, word_frequencies, words_of
 from glosa.session import cut_lineage
 from glosa.sources.lookups import UNK
 
 BLOCK_DIMS = 32
+HELD_WORDS = 200_000  # sent to all tasks with their vectors, at most
+NEAR_ROWS = 4096  # of a text's vectors added up at once
+# Rounds of the words that are not sent to all tasks, pairs of text and word from which on there is another, and pairs of a group of texts.
+FAR_ROUNDS, FAR_PAIRS, GROUP_PAIRS = 4, 250_000, 8_000_000
 TEXT_KEY = ["_h1", "_h2"]
 
 
@@ -104,38 +112,162 @@ def token_lookup_results(df: DataFrame, *, word_vectors: DataFrame | None = None
     table = merged_lookup(word_vectors, dim, lexicon)
     if word_vectors is not None and lexicon is not None:
         table = cut_lineage(table)  # measured and joined: merge once
-    rows = token_counts(df, text_col, id_col)
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(table) else "layered"
+    if strategy == "layered" and word_vectors is not None:
+        blocks = _layered_blocks(df, table, dim, lexicon is not None, text_col, id_col)
+        return _block_results(blocks, dim, lexicon is not None, id_col, pooled_out, polarity_out)
+    rows = token_counts(df, text_col, id_col)
     if strategy == "layered":
         rows = layered_join(rows, table, "token", word_frequencies(df, F.lower(F.col(text_col))))
     else:
         rows = lookup_join(rows, table, "token", "left", strategy=strategy, salt_cols=[id_col, *TEXT_KEY])
-    keys, sums, outs = [id_col, *TEXT_KEY], [F.sum("_c").alias("_n")], []
-    if lexicon is not None:
+    keys, sums = [id_col, *TEXT_KEY], [F.sum("_c").alias("_n")]
+    if word_vectors is None:
         hit = F.when(F.col("polarity").isNotNull(), F.col("_c"))
         sums += [F.sum(F.col("polarity") * F.col("_c")).alias("_p"), F.sum(hit).alias("_hits")]
-        outs.append(F.coalesce(F.try_divide("_p", "_hits"), F.lit(0.0)).alias(polarity_out))
-    if word_vectors is None:
-        return rows.groupBy(*keys).agg(*sums).select(*keys, *outs)
+        return rows.groupBy(*keys).agg(*sums).select(*keys, _polarity(polarity_out))
+    return _block_results(_block_sums(rows, dim, lexicon is not None, keys), dim, lexicon is not None, id_col, pooled_out, polarity_out)
+
+
+def _polarity(out: str) -> Column:
+    return F.coalesce(F.try_divide("_p", "_hits"), F.lit(0.0)).alias(out)
+
+
+def _block_sums(rows: DataFrame, dim: int, polarity: bool, keys: list[str]) -> DataFrame:
+    """(keys, _b, _v, _n, _p, _hits) of joined tokens: of each text and block the sums of the vectors, and once those of the counts."""
     # Counts and polarities belong to a token's first block.
-    rows = rows.select(*keys, "_c", *(["polarity"] if lexicon is not None else []), F.posexplode_outer("_blocks").alias("_b", "_v"))
+    rows = rows.select(*keys, "_c", *(["polarity"] if polarity else []), F.posexplode_outer("_blocks").alias("_b", "_v"))
     first = F.coalesce("_b", F.lit(0)) == 0
     rows = rows.withColumn("_b", F.coalesce("_b", F.lit(0)))
     wide = min(dim, BLOCK_DIMS)
-    block = [F.coalesce(F.sum(F.get("_v", F.lit(j)) * F.col("_c")), F.lit(0.0)) for j in range(wide)]
+    block = [F.coalesce(F.sum(F.get("_v", F.lit(j)).cast("double") * F.col("_c")), F.lit(0.0)) for j in range(wide)]
     once = [F.sum(F.when(first, F.col("_c"))).alias("_n")]
-    if lexicon is not None:
+    if polarity:
         hit = F.when(first & F.col("polarity").isNotNull(), F.col("_c"))
         once += [F.sum(F.when(first, F.col("polarity") * F.col("_c"))).alias("_p"), F.sum(hit).alias("_hits")]
-    blocks = rows.groupBy(*keys, "_b").agg(F.array(*block).alias("_v"), *once)
-    # As many rows a text as blocks.
+    return rows.groupBy(*keys, "_b").agg(F.array(*block).alias("_v"), *once)
+
+
+def _block_results(blocks: DataFrame, dim: int, polarity: bool, id_col: str, pooled_out: str, polarity_out: str) -> DataFrame:
+    """The results of each text from its blocks; it has as many rows as blocks."""
+    keys = [id_col, *TEXT_KEY]
     texts = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_v"))).alias("_s"), F.max("_n").alias("_n"),
-                                      *([F.max("_p").alias("_p"), F.max("_hits").alias("_hits")] if lexicon is not None else []))
+                                      *([F.max("_p").alias("_p"), F.max("_hits").alias("_hits")] if polarity else []))
     total = F.slice(F.flatten(F.transform("_s", lambda x: x["_v"])), 1, dim)
     total = F.when(F.size(total) == dim, total).otherwise(F.array_repeat(F.lit(0.0), dim))  # no hit: the first block only
     pooled = F.transform(total, lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)))
-    return texts.select(*keys, pooled.alias(pooled_out), *outs)
+    return texts.select(*keys, pooled.alias(pooled_out), *([_polarity(polarity_out)] if polarity else []))
+
+
+def _narrowest(table: DataFrame) -> DataFrame:
+    """The table with its blocks as floats if no number changes by it, as in tables of trained vectors."""
+    def kept(x: Column) -> Column:
+        return F.coalesce(x.cast("float").cast("double") == x, F.lit(True))
+    exact = F.bool_and(F.forall("_blocks", lambda b: F.coalesce(F.forall(b, kept), F.lit(True))))
+    if table.agg(F.coalesce(exact, F.lit(True))).first()[0]:
+        return table.withColumn("_blocks", F.col("_blocks").cast("array<array<float>>"))
+    return table
+
+
+@dataclass
+class HeldWords:
+    """Frequent words that go to all tasks: of each its place, or -1 for one that the table lacks, and by place what the table says."""
+    places: dict[str, int]
+    vectors: np.ndarray  # sums of a word's rows
+    rows: np.ndarray  # their number
+    polarity: np.ndarray
+    hits: np.ndarray
+
+
+def _held_words(df: DataFrame, table: DataFrame, dim: int, polarity: bool, text_col: str) -> HeldWords:
+    """The most frequent words, as many as DEFAULT_BROADCAST_BYTES hold with their vectors, HELD_WORDS at most."""
+    most = min(HELD_WORDS, DEFAULT_BROADCAST_BYTES // (8 * dim + 64))
+    hot = frequent_keys(word_frequencies(df, F.lower(F.col(text_col))), "token", most)
+    padded = F.slice(F.concat(F.coalesce(F.flatten(F.transform("_blocks", lambda b: F.coalesce(b, F.array().cast("array<double>")))),
+                                         F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), dim)), 1, dim)
+    vector = F.transform(padded, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("_v")
+    own = table.join(F.broadcast(hot), "token").select("token", vector, (F.col("polarity") if polarity else F.lit(None).cast("double")).alias("_p"))
+    found = own.toArrow().combine_chunks()
+    places = {t: -1 for t in hot.toArrow().column("token").to_pylist()}
+    tokens = found.column("token").to_pylist()
+    at = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    places.update(at)
+    held = HeldWords(places, *(np.zeros(shape, kind) for shape, kind in (((len(at), dim), float), (len(at), np.int64), (len(at), float), (len(at), np.int64))))
+    if tokens:
+        rows, p = np.array([at[t] for t in tokens]), found.column("_p").combine_chunks()
+        np.add.at(held.vectors, rows, found.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        np.add.at(held.rows, rows, 1)
+        np.add.at(held.polarity, rows, p.fill_null(0.0).to_numpy(zero_copy_only=False))
+        np.add.at(held.hits, rows, p.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))
+    return held
+
+
+def _near_sums(df: DataFrame, held: HeldWords, dim: int, text_col: str, id_col: str) -> DataFrame:
+    """(id, text key, _w) of each row: the sums of its frequent words and the counts of its other words."""
+    sent = df.sparkSession.sparkContext.broadcast(held)
+    word = pa.struct([("token", pa.string()), ("_c", pa.int64())])
+    kinds = pa.struct([("n", pa.int64()), ("p", pa.float64()), ("hits", pa.int64()), ("v", pa.list_(pa.float64())), ("far", pa.list_(word))])
+
+    @F.arrow_udf("struct<n:bigint,p:double,hits:bigint,v:array<double>,far:array<struct<token:string,_c:bigint>>>")
+    def summed(texts: pa.Array) -> pa.Array:
+        own, out = sent.value, []
+        for words in words_of(texts):
+            far, at, counts, n, v = [], [], [], 0, np.zeros(dim)
+            for t, c in Counter(words or ()).items():
+                place = own.places.get(t)
+                if place is None:
+                    far.append({"token": t, "_c": c})
+                elif place < 0:
+                    n += c
+                else:
+                    at.append(place)
+                    counts.append(c)
+            places, c = np.array(at, np.int64), np.array(counts, np.int64)
+            for a in range(0, len(at), NEAR_ROWS):
+                v += c[a: a + NEAR_ROWS] @ own.vectors[places[a: a + NEAR_ROWS]]
+            out.append({"n": n + int(c @ own.rows[places]), "p": float(c @ own.polarity[places]), "hits": int(c @ own.hits[places]), "v": v, "far": far})
+        return pa.array(out, kinds)
+    return df.select(id_col, *text_key(F.col(text_col)), summed(F.lower(F.col(text_col))).alias("_w"))
+
+
+def _far_sums(pairs: DataFrame, table: DataFrame, dim: int, polarity: bool, keys: list[str], groups: int) -> DataFrame:
+    """Block sums of counted words (keys, token, _c) that meet the table in a shuffle.
+
+    A word's vector goes once to each of ``groups`` groups of texts, with the texts of the group that
+    have it, and is added up there: neither vectors by text and word nor sums by text and task are moved."""
+    lists = pairs.withColumn("_g", F.pmod("_h1", F.lit(groups))).repartition("token")
+    lists = lists.groupBy("token", "_g").agg(F.collect_list(F.struct(*keys, "_c")).alias("_l"))
+    met = lists.join(table, "token", "left").drop("token").repartition(groups, "_g")
+    rows = met.select("_g", F.explode("_l").alias("_l"), "_blocks", *(["polarity"] if polarity else []))
+    # Groups lie in a partition each, and so do the sums of a text.
+    return _block_sums(rows.select("_g", "_l.*", "_blocks", *(["polarity"] if polarity else [])), dim, polarity, ["_g", *keys]).drop("_g")
+
+
+def _layered_blocks(df: DataFrame, table: DataFrame, dim: int, polarity: bool, text_col: str, id_col: str) -> DataFrame:
+    """Block sums of every text for a table beyond a broadcast.
+
+    Frequent words are added up where the text lies. The others meet the table in up to FAR_ROUNDS
+    rounds, each of a part of the words, so that a round's files are gone when the next one begins."""
+    keys, once = [id_col, *TEXT_KEY], ["_n", *(["_p", "_hits"] if polarity else [])]
+    table = _narrowest(table)
+    # Equal rows have equal sums; they are made one by the text's key, without the text.
+    near = cut_lineage(_near_sums(df, _held_words(df, table, dim, polarity, text_col), dim, text_col, id_col))
+    n_far = near.agg(F.sum(F.size("_w.far"))).first()[0] or 0
+    v = F.col("_w.v")
+    blocks = F.array(*[F.slice(v, a + 1, min(BLOCK_DIMS, dim - a)) for a in range(0, dim, BLOCK_DIMS)])
+    parts = near.select(*keys, F.posexplode(blocks).alias("_b", "_v"), F.col("_w.n").alias("_n"), F.col("_w.p").alias("_p"), F.col("_w.hits").alias("_hits"))
+    parts = parts.select(*keys, "_b", "_v", *[F.when(F.col("_b") == 0, F.col(c)).alias(c) for c in once])
+    pairs = near.select(*keys, F.explode("_w.far").alias("_f")).select(*keys, "_f.token", "_f._c")
+    rounds = int(min(FAR_ROUNDS, -(-n_far // FAR_PAIRS)))
+    groups = int(max(df.sparkSession.sparkContext.defaultParallelism, n_far // GROUP_PAIRS))
+    for r in range(rounds):
+        part = F.pmod(F.xxhash64("token"), F.lit(rounds)) == r
+        far = _far_sums(pairs.where(part), table.where(part), dim, polarity, keys, groups)
+        parts = parts.unionByName(cut_lineage(far.select(*keys, "_b", "_v", *once)))
+    sums = [F.coalesce(F.sum(F.get("_v", F.lit(j))), F.lit(0.0)) for j in range(min(dim, BLOCK_DIMS))]
+    # A text has a row a block and part: moved once, by its key.
+    return parts.repartition(*keys).groupBy(*keys, "_b").agg(F.array(*sums).alias("_v"), *[F.sum(c).alias(c) for c in once])
 
 
 def pooled_word_vectors(df: DataFrame, word_vectors: DataFrame, dim: int, text_col: str = TEXT,

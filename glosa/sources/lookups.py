@@ -11,6 +11,8 @@ table from the whole corpus twice, and a lost executor does not recompute it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +48,12 @@ def derived_word_vectors(comments: DataFrame, text_col: str = TEXT) -> DataFrame
 def derived_wide_vectors(comments: DataFrame, dim: int = 300, text_col: str = TEXT) -> DataFrame:
     """``(token, vector)`` for lower-cased tokens of 3+ characters: at place d (from 0)
     ``(length * (d + 1) + position of 'e') % 13 - 6``."""
-    place = F.sequence(F.lit(1), F.lit(dim))
-    value = F.transform(place, lambda d: ((F.length("token") * d + F.instr("token", "e")) % 13 - 6).cast("double"))
-    return cut_lineage(distinct_tokens(comments, text_col).where(F.length("token") >= 3).select("token", value.alias("vector")))
+    @F.arrow_udf("array<double>")
+    def value(sizes: pa.Array, at: pa.Array) -> pa.Array:
+        numbers = (np.outer(sizes.to_numpy(zero_copy_only=False), np.arange(1, dim + 1)) + at.to_numpy(zero_copy_only=False)[:, None]) % 13 - 6
+        return pa.FixedSizeListArray.from_arrays(pa.array(numbers.astype(float).ravel()), dim).cast(pa.list_(pa.float64()))
+    words = distinct_tokens(comments, text_col).where(F.length("token") >= 3)
+    return cut_lineage(words.select("token", value(F.length("token"), F.instr("token", "e")).alias("vector")))
 
 
 def derived_polarity(comments: DataFrame, text_col: str = TEXT) -> DataFrame:
