@@ -37,6 +37,7 @@ STEP = 4  # from one bucket's bound to the next
 LEAST_CHARS = 8
 CELLS = 4_000_000  # of a call's character tensor
 SLICE_CHARS = 1_000_000  # of the texts whose windows leave a task together
+CODEC = "zstd"  # of texts that move
 FREQUENT_WORDS = 200_000  # sent to all tasks: some 40 MB as a dictionary
 
 
@@ -57,9 +58,16 @@ class StyleModel:
 
 
 def _texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(key, text) of each distinct (id, text)."""
-    texts = df.select(F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key"), F.col(text_col).alias("_text"))
-    return texts.dropDuplicates(["key"])
+    """(key, text, its bytes) of each distinct (id, text); texts are compressed, as they move."""
+    @F.arrow_udf("struct<text:binary,size:bigint>")
+    def packed(column: pa.Array) -> pa.Array:
+        codec, out = pa.Codec(CODEC), []
+        for text in column.cast(pa.binary()):
+            raw = text.as_py()
+            out.append(None if raw is None else {"text": codec.compress(raw, asbytes=True), "size": len(raw)})
+        return pa.array(out, pa.struct([("text", pa.binary()), ("size", pa.int64())]))
+    key = F.struct(F.col(id_col).alias("id"), *text_key(F.col(text_col))).alias("key")
+    return df.select(key, packed(F.col(text_col)).alias("_text")).dropDuplicates(["key"])
 
 
 @dataclass
@@ -132,11 +140,12 @@ def _window_encoder(df: DataFrame, words: WordTable, model: StyleModel, text_col
 
     def encode(batches, blank: list[pa.Array] | None = None):
         """Windows of the texts; the keys of texts without words go to ``blank``."""
-        frequent, table = held.value, alphabet.table()
+        frequent, table, codec = held.value, alphabet.table(), pa.Codec(CODEC)
         for batch in batches:
-            keys, texts, places, parts, size, without = batch.column("key"), batch.column("_text").cast(pa.binary()), [], [], 0, []
+            keys, texts, places, parts, size, without = batch.column("key"), batch.column("_text"), [], [], 0, []
             for at in range(batch.num_rows):
-                text = (texts[at].as_py() or b"").decode("utf-8", "replace")
+                own = texts[at].as_py()
+                text = codec.decompress(own["text"], own["size"], asbytes=True).decode("utf-8", "replace") if own and own["size"] else ""
                 if not text or text.isspace():
                     without.append(at)
                     continue
@@ -263,7 +272,8 @@ def style_vectors(df: DataFrame, model: StyleModel, out: str = "style", text_col
     """The document vector of each distinct (id, text): id, text key and ``out``."""
     words = word_table(df, model, text_col)
     parts = cut_lineage(pooled_windows(df, words, model, text_col, id_col))  # texts and their rarer words are not needed any more
-    pooled = softmax_pool(parts, "key", "score", "vector", out=out, dim=model.dim)
+    # A text has one row already: dealt by its key once, its sums are made where it lies.
+    pooled = softmax_pool(parts.repartition("key"), "key", "score", "vector", out=out, dim=model.dim)
     return pooled.select(F.col("key.id").alias(id_col), *[f"key.{c}" for c in TEXT_KEY], out)
 
 

@@ -32,7 +32,7 @@ from glosa.operators import evaluate as ev
 from glosa.operators import folds as fo
 from glosa.operators.model import FoldModel, SharedStages, feature_importance, positive_margins
 from glosa.operators.tuning import FoldSearch, Trial, search_folds, search_space
-from glosa.session import cut_lineage, path_exists, shared_dir
+from glosa.session import copies_dropped, cut_lineage, path_exists, shared_dir, shuffles_dropped
 from glosa.sources import sinks
 
 
@@ -100,14 +100,17 @@ def feature_table(spark: SparkSession, comments: DataFrame, cfg: RunConfig, asse
         known = spark.read.parquet(manifest).where(F.col("key") == key).orderBy(F.desc("stored")).first()
         if known is not None:
             return _read_features(spark, known["path"], df), layout
-    # Folds are ranked once, not once for each feature that reads the rows.
-    df, layout = build_features(cut_lineage(comments), cfg.features, assets, fit_rows=fit_rows)
-    key = feature_set_hash(cfg.features, assets, inputs)
-    path = f"{base}/{uuid.uuid4().hex}"
-    if FOLD in df.columns:
-        fo.write_folded(df, path)  # S2: folds and test rows are read by partition
-    else:
-        df.write.parquet(path)
+    # Folds are ranked once, not once for each feature that reads the rows. Copies made for the
+    # features go when those are stored.
+    with copies_dropped(spark):
+        df, layout = build_features(cut_lineage(comments), cfg.features, assets, fit_rows=fit_rows)
+        key = feature_set_hash(cfg.features, assets, inputs)
+        path = f"{base}/{uuid.uuid4().hex}"
+        with shuffles_dropped(spark):
+            if FOLD in df.columns:
+                fo.write_folded(df, path)  # S2: folds and test rows are read by partition
+            else:
+                df.write.parquet(path)
     # The entry is added when the copy is whole.
     (spark.createDataFrame([(key, path)], "key string, path string").withColumn("stored", F.current_timestamp())
      .coalesce(1).write.mode("append").parquet(manifest))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosa.columns import COMMENT_ID, LABELS, TEXT
-from glosa.session import path_exists
+from glosa.session import path_exists, shuffles_dropped
 
 
 def submission_frame(rows: DataFrame, with_text: bool = True) -> DataFrame:
@@ -23,8 +23,9 @@ def attach_predictions(test: DataFrame, predictions: DataFrame) -> DataFrame:
 def write_submission(rows: DataFrame, out_dir: str) -> None:
     """``submission_with_text`` and ``submission`` (text dropped) as header CSV."""
     w = dict(header=True, escape='"', quoteAll=False)
-    submission_frame(rows, True).write.mode("overwrite").options(**w).csv(f"{out_dir}/submission_with_text")
-    submission_frame(rows, False).write.mode("overwrite").options(**w).csv(f"{out_dir}/submission")
+    with shuffles_dropped(rows.sparkSession):
+        submission_frame(rows, True).write.mode("overwrite").options(**w).csv(f"{out_dir}/submission_with_text")
+        submission_frame(rows, False).write.mode("overwrite").options(**w).csv(f"{out_dir}/submission")
 
 
 def append_metrics(metrics: DataFrame, path: str, run: str) -> None:
